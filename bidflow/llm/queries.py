@@ -6,6 +6,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op7_pattern_packing": "packing",
+    "op10_knn_toxicity": "toxicity",
 }
 
 
