@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op3_secret_scan": "secret_scan",
     "op7_pattern_packing": "packing",
     "op10_knn_toxicity": "toxicity",
 }
