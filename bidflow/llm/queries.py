@@ -6,6 +6,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op3_secret_scan": "secret_scan",
+    "op4_bottomk_near_dup": "minhash",
     "op6_license_scan": "license_scan",
     "op7_pattern_packing": "packing",
     "op10_knn_toxicity": "toxicity",
