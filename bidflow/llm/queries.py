@@ -6,6 +6,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op3_secret_scan": "secret_scan",
+    "op2_substring_dedup": "substring_dedup",
     "op4_bottomk_near_dup": "minhash",
     "op6_license_scan": "license_scan",
     "op7_pattern_packing": "packing",
