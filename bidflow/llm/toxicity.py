@@ -34,6 +34,8 @@ from bidflow.llm.common import read, rows
 
 PER_CLASS = 4096
 NEIGHBOURS = 15
+#: Nearest examples that a result names.
+EVIDENCE = 3
 THRESHOLD = 0.3
 BLOCK = 128
 #: Chi-square of a term with the label from which the term is in the vocabulary (p below 1e-8).
@@ -52,17 +54,17 @@ def held_out(doc_id="doc_id"):
 
 @dataclass
 class Model:
-    """Block-max index of the examples; vectors are maps from term number to term frequency."""
+    """Block-max index of the examples' distinct vectors, which are maps from term number to term frequency."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
-    labels: np.ndarray
-    weights: np.ndarray  # of the examples' labels in a vote
-    ids: list
-    postings: list = field(default_factory=list)  # by term: examples ascending, unit weights, starts of the blocks
+    count: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))  # examples of each vector by label
+    ids: list = field(default_factory=list)  # of each vector's examples, those of label 1 first
+    share: np.ndarray = field(default_factory=lambda: np.ones(2))  # labelled documents that an example of each label stands for
+    postings: list = field(default_factory=list)  # by term: vectors ascending, unit weights, their blocks
     maxima: np.ndarray | None = None  # term x block
-    raw: np.ndarray | None = None  # calibration
-    calibrated: np.ndarray | None = None
+    raw: np.ndarray = field(default_factory=lambda: np.zeros(0))  # calibration
+    calibrated: np.ndarray = field(default_factory=lambda: np.zeros(0))
     empty_score: float = 0.0
     known: dict = field(default_factory=dict)
 
@@ -71,85 +73,84 @@ class Model:
         w = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms]
         return terms, w / np.linalg.norm(w)
 
-    def build(self, examples: list[dict[int, int]]) -> None:
-        n = len(examples)
-        blocks = -(-n // BLOCK)
+    def build(self, vectors: list[dict[int, int]]) -> None:
+        blocks = -(-len(vectors) // BLOCK)
         by_term: list[tuple[list, list]] = [([], []) for _ in self.idf]
-        for k, counts in enumerate(examples):
-            if counts:
-                for t, w in zip(*self.unit(counts)):
-                    by_term[t][0].append(k)
-                    by_term[t][1].append(w)
+        for k, counts in enumerate(vectors):
+            for t, w in zip(*self.unit(counts)):
+                by_term[t][0].append(k)
+                by_term[t][1].append(w)
         self.maxima = np.zeros((len(self.idf), blocks))
         for t, (docs, w) in enumerate(by_term):
             docs, w = np.array(docs, np.int64), np.array(w)
             np.maximum.at(self.maxima[t], docs // BLOCK, w)
-            self.postings.append((docs, w, np.searchsorted(docs, BLOCK * np.arange(blocks + 1))))
+            self.postings.append((docs, w, docs // BLOCK))
 
     def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of positive cosine that are among the k nearest or tie with the k-th; cosines."""
+        """Vectors of positive cosine whose examples are among the k nearest or tie with the k-th, the nearest first; cosines."""
         terms, w = self.unit(counts)
         bounds = w @ self.maxima[terms]
         order = np.argsort(-bounds, kind="stable")
-        kth, docs, sims = 0.0, np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), 4):
-            some = [b for b in order[at : at + 4] if bounds[b] > 0 and bounds[b] >= kth - 1e-9]
-            if not some:
-                break
-            total = np.zeros((len(some), BLOCK))
+        order = order[bounds[order] > 0]
+        total, done, kth, size = np.zeros(len(self.count)), np.zeros(len(bounds), bool), 0.0, 4
+        while len(order):
+            now, order = order[:size], order[size:]
+            some = np.zeros(len(bounds), bool)
+            some[now] = True
+            done |= some
             for t, q in zip(terms, w):
-                d, v, starts = self.postings[t]
-                for row, b in enumerate(some):
-                    if starts[b] < starts[b + 1]:
-                        total[row, d[starts[b] : starts[b + 1]] - b * BLOCK] += q * v[starts[b] : starts[b + 1]]
-            hit = np.nonzero(total)
-            docs = np.concatenate([docs, np.array(some)[hit[0]] * BLOCK + hit[1]])
-            sims = np.concatenate([sims, total[hit]])
-            if len(sims) > k:
-                kth = np.partition(sims, len(sims) - k)[len(sims) - k]
-                near = sims >= kth - 1e-9
-                docs, sims = docs[near], sims[near]
-        return docs, sims
-
-    def vote(self, counts: dict[int, int], k: int, without: int | None = None) -> float | None:
-        docs, sims = self.nearest(counts, k + (without is not None))
-        if without is not None:
-            docs, sims = docs[docs != without], sims[docs != without]
-        if not len(docs):
-            return None
-        w = sims * self.weights[docs]
-        return float(w @ self.labels[docs] / w.sum())
-
-    def calibrate(self, examples: list[dict[int, int]], k: int) -> None:
-        empty = np.array([not c for c in examples], bool)
-        if empty.any():
-            self.empty_score = float((self.weights * self.labels)[empty].sum() / self.weights[empty].sum())
-        votes = [(v, self.labels[i], self.weights[i]) for i, c in enumerate(examples) if c and (v := self.vote(c, k, i)) is not None]
-        pools: list[list[float]] = []  # vote, weighted label, weight
+                docs, weights, block = self.postings[t]
+                here = some[block]
+                total[docs[here]] += q * weights[here]
+            docs = np.flatnonzero(total)
+            docs = docs[np.argsort(-total[docs], kind="stable")]
+            enough = np.searchsorted(np.cumsum(self.count[docs].sum(1)), k)
+            if enough < len(docs):
+                kth = total[docs[enough]]
+                order = order[bounds[order] >= kth - 1e-9]
+            size *= 4
+        docs = docs[total[docs] >= kth - 1e-9] if done.any() else np.zeros(0, np.int64)
+        return docs, total[docs]
+
+    def vote(self, docs: np.ndarray, sims: np.ndarray, count: np.ndarray) -> float | None:
+        w = sims[:, None] * count * self.share
+        return float(w[:, 1].sum() / w.sum()) if w.sum() > 0 else None
+
+    def calibrate(self, vectors: list[dict[int, int]], k: int) -> None:
+        votes = []
+        for i, counts in enumerate(vectors):
+            docs, sims = self.nearest(counts, k + 1)
+            for y in (0, 1):
+                if n := self.count[i, y]:
+                    count = self.count[docs]
+                    count[docs == i, y] -= 1
+                    if (v := self.vote(docs, sims, count)) is not None:
+                        votes.append((v, y, n * self.share[y]))
+        merged: list[list] = []  # votes, weighted label, weight
         for v, y, w in sorted(votes):
-            if pools and pools[-1][0] == v:
-                pools[-1][1] += w * y
-                pools[-1][2] += w
+            if merged and merged[-1][0][-1] == v:
+                merged[-1][1] += w * y
+                merged[-1][2] += w
             else:
-                pools.append([v, w * y, w])
-        merged: list[list] = []
-        for v, y, w in pools:
-            merged.append([[v], y, w])
+                merged.append([[v], y * w, w])
             while len(merged) > 1 and merged[-2][1] / merged[-2][2] >= merged[-1][1] / merged[-1][2]:
                 last = merged.pop()
                 merged[-1] = [merged[-1][0] + last[0], merged[-1][1] + last[1], merged[-1][2] + last[2]]
         self.raw = np.array([v for m in merged for v in m[0]])
         self.calibrated = np.array([m[1] / m[2] for m in merged for _ in m[0]])
 
-    def score(self, counts: dict[int, int], k: int) -> float:
-        if not counts:
-            return self.empty_score
+    def score(self, counts: dict[int, int], k: int) -> tuple[float, list]:
+        """The score, and the ids of the nearest examples."""
+        if not counts or not len(self.count):
+            return self.empty_score, []
         key = tuple(sorted(counts.items()))
         if key not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            raw = self.vote(counts, k)
-            self.known[key] = self.empty_score if raw is None else float(np.interp(raw, self.raw, self.calibrated)) if len(self.raw) else raw
+            docs, sims = self.nearest(counts, k)
+            raw = self.vote(docs, sims, self.count[docs])
+            score = self.empty_score if raw is None else float(np.interp(raw, self.raw, self.calibrated)) if len(self.raw) else raw
+            self.known[key] = score, [x for d in docs[:EVIDENCE].tolist() for x in self.ids[d]][:EVIDENCE]
         return self.known[key]
 
     def counts(self, text: str | None) -> dict[int, int]:
@@ -217,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
 
     df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if chosen else {}
     idf = np.array([math.log((1 + df.get(None, 0)) / (1 + df.get(t, 0))) + 1 for t in chosen])
-    model = Model(vocabulary, idf, np.zeros(0), np.zeros(0), [])
+    model = Model(vocabulary, idf)
 
     def vectors(batches):
         for text, label, doc in rows(batches, "text", "label", "doc_id"):
@@ -226,18 +227,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
 
     found = examples.mapInArrow(vectors, "label int, doc_id long, terms array<int>, tf array<int>").collect()  # at most 2 x per_class
     examples.unpersist()
-    found.sort(key=lambda r: (r["label"], r["terms"], r["tf"], r["doc_id"]))  # alike examples share blocks
-    counts = [dict(zip(r["terms"], r["tf"])) for r in found]
-    model.ids = [r["doc_id"] for r in found]
-    model.labels = np.array([float(r["label"]) for r in found])
-    model.weights = np.array([sizes[r["label"]] / n[r["label"]] for r in found])
-    if found:
-        model.build(counts)
-        model.calibrate(counts, k)
+    alike: dict[tuple, list[list]] = {}
+    for r in found:
+        alike.setdefault(tuple(zip(r["terms"], r["tf"])), [[], []])[r["label"]].append(r["doc_id"])
+    model.share = np.array([sizes.get(y, 0) / max(1, n[y]) for y in (0, 1)])
+    if () in alike:
+        w = np.array([len(x) for x in alike.pop(())]) * model.share
+        model.empty_score = float(w[1] / w.sum())
+    vectors = sorted(alike)  # alike ones share blocks
+    model.count = np.array([[len(x) for x in alike[v]] for v in vectors], float).reshape(-1, 2)
+    model.ids = [(sorted(alike[v][1]) + sorted(alike[v][0]))[:EVIDENCE] for v in vectors]
+    if vectors:
+        model.build([dict(v) for v in vectors])
+        model.calibrate([dict(v) for v in vectors], k)
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", k: int = NEIGHBOURS, threshold: float = THRESHOLD, evidence: int = 3) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score, predicted, the nearest examples' ids and the terms that were found."""
     added = T.StructType().add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("neighbours", T.ArrayType(T.LongType())).add("terms", T.ArrayType(T.StringType()))
     docs = docs.drop(*added.names)
@@ -249,12 +255,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", k: int = NEIGHB
             scores, near, terms = [], [], []
             for text in batch.column(text_col).to_pylist():
                 counts = model.counts(text)
-                scores.append(model.score(counts, k))
-                at = []
-                if counts and scores[-1] >= threshold:
-                    d, s = model.nearest(counts, k)
-                    at = [model.ids[x] for x in d[np.lexsort((d, -s))][:evidence]]
-                near.append(at)
+                score_, examples = model.score(counts, k)
+                scores.append(score_)
+                near.append(examples if score_ >= threshold else [])
                 terms.append([names[t] for t in sorted(counts)])
             new = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added.names])
