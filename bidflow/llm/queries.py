@@ -10,6 +10,7 @@ _QUERIES = {
     "op4_bottomk_near_dup": "minhash",
     "op6_license_scan": "license_scan",
     "op7_pattern_packing": "packing",
+    "op8_template_line_dedup": "line_dedup",
     "op10_knn_toxicity": "toxicity",
 }
 
