@@ -11,6 +11,7 @@ _QUERIES = {
     "op6_license_scan": "license_scan",
     "op7_pattern_packing": "packing",
     "op8_template_line_dedup": "line_dedup",
+    "op9_projection_near_dup": "embed_dedup",
     "op10_knn_toxicity": "toxicity",
 }
 
