@@ -6,6 +6,7 @@ from importlib import import_module
 
 _QUERIES = {
     "op3_secret_scan": "secret_scan",
+    "op1_arc_to_warc": "warc_arc",
     "op2_substring_dedup": "substring_dedup",
     "op4_bottomk_near_dup": "minhash",
     "op6_license_scan": "license_scan",
