@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_arc_to_warc": "warc_arc",
     "op2_substring_dedup": "substring_dedup",
     "op4_bottomk_near_dup": "minhash",
+    "op5_template_decontamination": "decontam",
     "op6_license_scan": "license_scan",
     "op7_pattern_packing": "packing",
     "op8_template_line_dedup": "line_dedup",
