@@ -4,9 +4,11 @@ A line goes down the tree by its number of tokens, then by its ``LEADING`` first
 with a digit (numbers, dates, ids) are variable fields. The leaves are templates: the tokens as
 they are, and, for lines of ``GENERAL`` tokens or more, the tokens with one of three equal parts of
 what follows the leading tokens generalised, so that lines that differ in one place share a
-template. A template that occurs in ``min_docs`` documents or more recurs, and lines of recurring
-templates are dropped. A document of which they make up more than ``most`` of the tokens is not a
-text with boilerplate but one of many copies; it is left whole, for document deduplication.
+template. A template that occurs in ``min_docs`` documents or more recurs. The lines of a document
+that many copies were made of recur too; they tell by their documents, which consist of recurring
+lines for the most part. So a recurring template is boilerplate, and its lines are dropped, only if
+recurring lines make up at most ``most`` of the tokens of its documents on average. The decision is
+the template's, hence the same in all copies, which stay copies for document deduplication.
 
 Templates are compared by 64-bit hashes. Each document counts once for a template, and counts are
 aggregated before they are shuffled; texts are shuffled once, at the end.
@@ -47,12 +49,13 @@ def templates(tokens: Column) -> Column:
 
 
 def keyed(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """(did, th, lines): the lines of docs (did, th, text) with their numbers, tokens and templates."""
+    """(did, th, lines, total): the lines of docs (did, th, text) with their numbers, tokens and templates; all tokens."""
     # A token with a digit; possessive, so that long tokens cost no backtracking.
     masked = F.regexp_replace("text", r"(?<!\S)[^\s\d]*+\d\S*+", "<*>")
     split = F.transform(F.split(masked, "\n", -1), lambda line: F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " "))
     lines = F.transform(split, lambda t, i: F.struct(i.alias("line"), F.size(t).alias("tokens"), F.when(F.size(t) >= min_tokens, templates(t)).alias("keys")))
-    return docs.select("did", "th", F.filter(lines, lambda x: x["keys"].isNotNull()).alias("lines")).where(F.size("lines") > 0)
+    every = docs.select("did", "th", lines.alias("lines"))
+    return every.select("did", "th", F.filter("lines", lambda x: x["keys"].isNotNull()).alias("lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("total")).where(F.size("lines") > 0)
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,32 +63,35 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"did": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "th": F.xxhash64(text_col)})
 
 
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(did, th, lines, tokens): the recurring lines of each document, and their tokens."""
+def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, most: float = MOST) -> DataFrame:
+    """(did, th, lines): the boilerplate lines of each document."""
     named = identified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
     table = stored(keyed(named, min_tokens), "line-keys")
     once = table.select(F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["keys"])))).alias("key"))
     many = once.groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     each = table.select("did", "th", F.explode("lines").alias("x")).select("did", "th", "x.line", "x.tokens", F.explode("x.keys").alias("key"))
-    found = each.join(many.select("key"), "key").groupBy("did", "th", "line").agg(F.max("tokens").alias("tokens"))
-    return found.groupBy("did", "th").agg(F.collect_list("line").alias("lines"), F.sum("tokens").alias("tokens"))
+    found = stored(each.join(many.select("key"), "key"), "recurring-lines")
+    per_doc = found.groupBy("did", "th", "line").agg(F.max("tokens").alias("tokens")).groupBy("did", "th").agg(F.sum("tokens").alias("tokens"))
+    totals = table.groupBy("did", "th").agg(F.max("total").alias("total"))
+    share = per_doc.join(totals, ["did", "th"]).select("did", "th", F.floor(1_000_000 * F.col("tokens") / F.col("total")).alias("share"))
+    own = found.select("did", "th", "key").distinct().join(share, ["did", "th"])
+    boilerplate = own.groupBy("key").agg(F.sum("share").alias("share"), F.count("*").alias("n")).where(F.col("share") <= int(most * 1_000_000) * F.col("n"))
+    lines = found.join(boilerplate.select("key"), "key").select("did", "th", "line").distinct()
+    return lines.groupBy("did", "th").agg(F.collect_list("line").alias("lines"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, most: float = MOST) -> DataFrame:
     """docs with the recurring lines gone from the text, and n_lines and n_dropped (names replaced if they occur)."""
-    found = recurring(docs, id_col, text_col, min_docs, min_tokens).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("lines").alias("__lines"), F.col("tokens").alias("__tokens"))
+    found = recurring(docs, id_col, text_col, min_docs, min_tokens, most).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     key = (F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("__did")) & (F.xxhash64(text_col) == F.col("__th"))
     joined = docs.select(*names).join(found, key, "left")
     text = F.col(text_col)
-    size = F.length(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    words = size - F.length(F.replace(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(" "), F.lit(""))) + 1
-    drops = F.col("__lines").isNotNull() & (F.col("__tokens") <= most * words)
     kept = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines")), lambda i: lines[i]), "\n"))
-    decided = joined.withColumn("__drops", drops)
-    out = [F.when(F.col("__drops"), kept[0]).otherwise(text).alias(c) if c == text_col else F.col(c) for c in names]
+    drops = F.col("__lines").isNotNull()
+    out = [F.when(drops, kept[0]).otherwise(text).alias(c) if c == text_col else F.col(c) for c in names]
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return decided.select(*out, n_lines.alias("n_lines"), F.when(F.col("__drops"), F.size("__lines")).otherwise(0).cast("long").alias("n_dropped"))
+    return joined.select(*out, n_lines.alias("n_lines"), F.when(drops, F.size("__lines")).otherwise(0).cast("long").alias("n_dropped"))
 
 
 def op8_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
