@@ -68,7 +68,8 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     named = identified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
     table = stored(keyed(named, min_tokens), "line-keys")
     once = table.select(F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["keys"])))).alias("key"))
-    many = once.groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    # Stored, so that the join reads both sides by shuffle and Spark can split a hot template.
+    many = stored(once.groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs), "recurring-templates")
     each = table.select("did", "th", F.explode("lines").alias("x")).select("did", "th", "x.line", "x.tokens", F.explode("x.keys").alias("key"))
     found = stored(each.join(many.select("key"), "key"), "recurring-lines")
     per_doc = found.groupBy("did", "th", "line").agg(F.max("tokens").alias("tokens")).groupBy("did", "th").agg(F.sum("tokens").alias("tokens"))
@@ -76,7 +77,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     share = per_doc.join(totals, ["did", "th"]).select("did", "th", F.floor(1_000_000 * F.col("tokens") / F.col("total")).alias("share"))
     own = found.select("did", "th", "key").distinct().join(share, ["did", "th"])
     boilerplate = own.groupBy("key").agg(F.sum("share").alias("share"), F.count("*").alias("n")).where(F.col("share") <= int(most * 1_000_000) * F.col("n"))
-    lines = found.join(boilerplate.select("key"), "key").select("did", "th", "line").distinct()
+    lines = found.join(stored(boilerplate.select("key"), "boilerplate"), "key").select("did", "th", "line").distinct()
     return lines.groupBy("did", "th").agg(F.collect_list("line").alias("lines"))
 
 

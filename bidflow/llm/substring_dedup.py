@@ -179,7 +179,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = compressed(docs)
 
     found = stored(find_anchors(docs, length), "anchors")
-    again = found.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1").select("anchor")
+    # Stored, so that joins read both sides by shuffle and Spark can split a hot anchor.
+    again = stored(found.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1").select("anchor"), "again")
     kept = stored(found.join(again, "anchor"), "repeated-anchors")
 
     one = F.min(F.struct("did", "th", "place")).alias("one")
@@ -191,7 +192,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Rows that repeat with id and text are one document here: their anchors all repeat.
     windows = stored(find_windows(packed.join(wanted, ["did", "th"]).dropDuplicates(["did", "th"]).select("did", "th", "data", "places"), length), "windows")
-    twice = windows.groupBy("window").agg(F.sum("weight").alias("many")).where("many > 1").select("window")
+    twice = stored(windows.groupBy("window").agg(F.sum("weight").alias("many")).where("many > 1").select("window"), "twice")
     single = windows.where("weight = 1").join(twice, "window").select("did", "th", (F.col("start") * 64).alias("place"))
 
     covered = whole.unionByName(single).groupBy("did", "th").agg(F.collect_set("place").alias("places"))
