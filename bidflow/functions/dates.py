@@ -28,28 +28,36 @@ def clean_date_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), rf"(?i)\s+({ZONES})\s*$", ""))
 
 
+def _labelled(name: str, confidence: float):
+    return lambda x: F.struct(x.alias("value"), F.lit(confidence).alias("confidence"), F.lit(name).alias("format"))
+
+
 def parse_date(c: Column) -> Column:
     """Struct of value, confidence and format; null and 0 where no format gives a valid date."""
-    text = clean_date_text(c)
-    found = []
-    for name, pattern, confidence in FORMATS:
-        part = lambda i, p=pattern: F.expr("null") if i is None else F.try_to_number(F.nullif(F.regexp_extract(text, p, i), F.lit("")), F.lit("9999")).cast("int")
-        iso = name.startswith("iso")
-        year = part(1 if iso else 3)
-        if name == "us_date_short":
-            year = year + F.when(year < 50, 2000).otherwise(1900)
-        hour, minute, second = F.lit(0), F.lit(0), F.lit(0)
-        if name in ("iso8601", "iso_space", "iso_space_no_sec", "us_datetime"):
-            hour, minute = part(4), part(5)
-            second = F.lit(0) if name == "iso_space_no_sec" else F.coalesce(part(6), F.lit(0))
-        if name == "us_datetime":
-            half = F.upper(F.regexp_extract(text, pattern, 7))
-            hour = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
-        month, day = (part(2), part(3)) if iso else (part(1), part(2))
-        value = F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)"))
-        found.append(F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(confidence).alias("confidence"), F.lit(name).alias("format"))))
-    none = F.struct(F.lit(None).cast("timestamp_ntz").alias("value"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("format"))
-    return F.coalesce(*found, none)
+
+    def of(text: Column) -> Column:
+        found = []
+        for name, pattern, confidence in FORMATS:
+            iso, short = name.startswith("iso"), name == "us_date_short"
+            part = lambda i, p=pattern: F.regexp_extract(text, p, i).try_cast("int")
+            year = part(1 if iso else 3)
+            if short:
+                year = year + F.when(year < 50, 2000).otherwise(1900)
+            hour, minute, second = F.lit(0), F.lit(0), F.lit(0)
+            if name in ("iso8601", "iso_space", "iso_space_no_sec", "us_datetime"):
+                hour, minute = part(4), part(5)
+                second = F.lit(0) if name == "iso_space_no_sec" else F.coalesce(part(6), F.lit(0))
+            if name == "us_datetime":
+                half = F.upper(F.regexp_extract(text, pattern, 7))
+                hour = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
+            month, day = (part(2), part(3)) if iso else (part(1), part(2))
+            value = F.when(text.rlike(pattern), F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)")))
+            # In an array of one, the value is found once for the test and the result.
+            found.append(F.get(F.transform(F.array_compact(F.array(value)), _labelled(name, confidence)), F.lit(0)))
+        none = F.struct(F.lit(None).cast("timestamp_ntz").alias("value"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("format"))
+        return F.coalesce(*found, none)
+
+    return F.transform(F.array(clean_date_text(c)), of)[0]
 
 
 def closing_urgency(closing: Column, as_of: Column) -> Column:

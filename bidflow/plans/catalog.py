@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("reading", "scalars")
+
+
+def _modules():
+    return [import_module(f"bidflow.plans.{m}") for m in MODULES]
+
 
 def queries() -> dict:
-    return {}
+    return {name: getattr(m, name) for m in _modules() for name in [*m.SQL, *getattr(m, "NO_SQL", ())]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
