@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def portals_of_job(jobs: DataFrame, portals: DataFrame) -> DataFrame:
     """Each job with the portals it names (comma-separated); none named: all."""
-    names = F.filter(F.transform(F.split(F.coalesce("portals", F.lit("")), ","), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(F.coalesce("portals", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     told = jobs.withColumn("names", names)
     known = portals.select("portal_id", "portal_name")
     named = told.withColumn("portal_name", F.explode("names")).join(known, "portal_name")
@@ -24,7 +24,7 @@ def minutes_of(time_of_day: Column) -> Column:
 
 def next_fire(kind: Column, time_of_day: Column, every_hours: Column, now: Column) -> Column:
     """When a job fires next after now: daily, weekday (Monday to Friday) or hourly."""
-    today = F.date_trunc("DAY", now)
+    today = F.date_trunc("DAY", now).cast("timestamp_ntz")
     at = today + F.make_dt_interval(F.lit(0), F.lit(0), minutes_of(time_of_day))
     daily = F.when(at > now, at).otherwise(at + F.make_dt_interval(F.lit(1)))
     day = F.dayofweek(daily)  # 1: Sunday

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("reading", "scalars")
+MODULES = ("reading", "scalars", "changing", "paging", "extracting")
 
 
 def _modules():

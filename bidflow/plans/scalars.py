@@ -90,7 +90,7 @@ def normalize_opportunity(spark, sf):
     warn = F.array_compact(F.array(F.when(F.col("closing_text").isNotNull() & F.col("d.value").isNull(), F.lit("closing date not read"))))
     return r.select(
         text.first_filled("external_id", F.substring(F.md5("title"), 1, 16)).alias("external_id"), F.substring(text.clean_html_text(F.col("title")), 1, 1000).alias("title"), F.col("d.value").alias("closing_at"), F.col("s.status").alias("status"),
-        amount.alias("estimated_value"), F.when(amount.isNotNull(), F.col("m.currency")).otherwise("USD").alias("currency"), text.normalize_whitespace(F.col("agency")).alias("agency"), F.array_join(F.transform(F.split("category", ","), F.trim), ",").alias("commodity_codes"), F.array_join(warn, ";").alias("warnings"),
+        amount.alias("estimated_value"), F.when(amount.isNotNull(), F.col("m.currency")).otherwise("USD").alias("currency"), text.normalize_whitespace(F.col("agency")).alias("agency"), F.array_join(F.transform(F.split("category", ","), lambda x: F.trim(x)), ",").alias("commodity_codes"), F.array_join(warn, ";").alias("warnings"),
     )
 
 

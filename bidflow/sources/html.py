@@ -140,6 +140,8 @@ def of_linked(root: Node, url: str) -> list[dict]:
                     if value not in (None, ""):
                         record[field] = str(value)
                 if record:
+                    if "detail_url" in record:
+                        record["detail_url"] = urljoin(url, record["detail_url"])
                     out.append(record)
     return out
 
