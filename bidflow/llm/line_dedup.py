@@ -13,7 +13,8 @@ the template's, hence the same in all copies, which stay copies for document ded
 Templates are compared by 64-bit hashes. Each document counts once for a template, and counts are
 aggregated before they are shuffled; texts are shuffled once, at the end.
 
-Edge cases: a null text stays null and has no line; lines under ``min_tokens`` tokens are kept;
+Edge cases: a null text stays null and has no line; lines under ``min_tokens`` tokens and lines that are
+variable fields for the most part (tables of numbers) are kept;
 repeated rows count as documents of their own; null ids are allowed; an empty table gives an empty
 result; other columns are ignored by :func:`recurring` and kept by :func:`drop_lines`.
 """
@@ -51,9 +52,9 @@ def templates(tokens: Column) -> Column:
 def keyed(docs: DataFrame, min_tokens: int) -> DataFrame:
     """(did, th, lines, total): the lines of docs (did, th, text) with their numbers, tokens and templates; all tokens."""
     # A token with a digit; possessive, so that long tokens cost no backtracking.
-    masked = F.regexp_replace("text", r"(?<!\S)[^\s\d]*+\d\S*+", "<*>")
-    split = F.transform(F.split(masked, "\n", -1), lambda line: F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " "))
-    lines = F.transform(split, lambda t, i: F.struct(i.alias("line"), F.size(t).alias("tokens"), F.when(F.size(t) >= min_tokens, templates(t)).alias("keys")))
+    masked = F.regexp_replace(F.regexp_replace("text", r"(?<!\S)[^\s\d]*+\d\S*+", "<*>"), r"[ \t\x0B\f\r]++", " ")
+    split = F.transform(F.split(masked, "\n", -1), lambda line: F.split(F.trim(line), " "))
+    lines = F.transform(split, lambda t, i: F.struct(i.alias("line"), F.size(t).alias("tokens"), F.when((F.size(t) >= min_tokens) & (2 * F.size(F.array_remove(t, "<*>")) >= F.size(t)), templates(t)).alias("keys")))
     every = docs.select("did", "th", lines.alias("lines"))
     return every.select("did", "th", F.filter("lines", lambda x: x["keys"].isNotNull()).alias("lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("total")).where(F.size("lines") > 0)
 

@@ -161,6 +161,7 @@ def best_fit(histogram: dict[int, int], most: int) -> list[tuple[tuple[int, ...]
             if not group[1]:
                 open_[room].pop()
             open_.setdefault(room - length, []).append([(*group[0], length), take])
+            room = max(length, room - length)
         each = most // length
         for many, count in ((each, n // each), (n % each, 1)):
             if many and count:
