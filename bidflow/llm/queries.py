@@ -22,5 +22,41 @@ def queries() -> dict:
     return {name: getattr(import_module(f"bidflow.llm.{module}"), name) for name, module in _QUERIES.items()}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({c}, '[^\\x20\\x09-\\x0D]+')"
+#: Components of links (a, b) over nodes (id), by a recursive walk: for the small tables that SQL is run on.
+_REACH = """ends as (select a, b from links union select b, a from links),
+reach(id, node) as (select id, id from nodes union select r.id, e.b from reach r join ends e on r.node = e.a),
+part as (select id, min(node) as component_id from reach group by 1)"""
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(h, {5 * g + 1}, 5) as int) >> {shift}) & 31), 1)" for g in range(8) for shift in (15, 10, 5, 0))
+
+_SQL = {
+    "op1_arc_to_warc": f"""with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+ d as (select *, min(page_id) over (partition by h, html) as first_id from p)
+ select page_id, cast(strlen(html) as bigint) as payload_bytes, {_BASE32} as payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to from d""",
+    "op2_substring_dedup": f"""with d as (select doc_id, {_WORDS.format(c="coalesce(text, '')")} as words from documents),
+ w as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos, len(words) as n from d),
+ k as (select doc_id, unnest(range(1, len(words) - 33)) as pos, words from d where len(words) >= 35),
+ g as (select doc_id, pos, hash(list_slice(words, pos, pos + 34)) as h from k),
+ r as (select doc_id, pos, 1 as again from (select *, count(*) over (partition by h) as c from g) where c > 1),
+ m as (select w.*, coalesce(sum(again) over (partition by w.doc_id order by w.pos rows between 34 preceding and current row), 0) > 0 as gone from w left join r using (doc_id, pos)),
+ f as (select doc_id, count(*) filter (gone) as n_removed, coalesce(string_agg(word, ' ' order by pos) filter (not gone), '') as kept from m group by 1)
+ select d.doc_id, cast(len(words) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join f using (doc_id)""",
+    "op4_bottomk_near_dup": f"""with recursive d as (select doc_id as id, {_WORDS.format(c=_LOWER)} as words from documents),
+ s as (select id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')] else list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) end as shingles from d),
+ sizes as (select id, cast(len(shingles) as bigint) as n from s),
+ e as (select id, unnest(shingles) as shingle from s),
+ both_ as (select x.id as a, y.id as b, count(*) as c from e x join e y on x.shingle = y.shingle and x.id < y.id group by 1, 2),
+ links as (select a, b from both_ join sizes p on p.id = a join sizes q on q.id = b where 100 * c >= 75 * (p.n + q.n - c)),
+ nodes as (select id from d), {_REACH}
+ select id as doc_id, n as n_shingles, component_id, id = component_id as kept from sizes join part using (id)""",
+    "op9_projection_near_dup": f"""with recursive v as (select vec_id as id, cast(embedding as double[]) as x from embeddings),
+ links as (select p.id as a, q.id as b from v p join v q on p.id < q.id where list_cosine_similarity(p.x, q.x) >= 0.95),
+ nodes as (select id from v), {_REACH}, n as (select a, count(*) as n from ends group by 1)
+ select id as vec_id, coalesce(n, 0) as n_links, component_id, id = component_id as kept from part left join n on n.a = id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the operators that SQL can express on whole tables; tests hold the others against brute force."""
+    return dict(_SQL)

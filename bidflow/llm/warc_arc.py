@@ -244,4 +244,4 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_arc(read(spark, sf_dir, "pages"), arc)
     convert(spark, arc, warc)
     remove_folder(spark, arc)
-    return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "record_date")
+    return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
