@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,3 +53,23 @@ def rows(batches, *names):
     """Tuples of Python values of the named columns, from Arrow record batches."""
     for batch in batches:
         yield from zip(*(batch.column(name).to_pylist() for name in names), strict=True)
+
+
+def compressed(df: DataFrame, text_col: str = "text", out: str = "data") -> DataFrame:
+    """df with the UTF-8 of a text column compressed, for shuffles (null and empty: null)."""
+    others = [f for f in df.schema.fields if f.name != text_col]
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            data = [pack(t) if t else None for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), pa.array(data, pa.binary())], names=[*(f.name for f in others), out])
+
+    return df.mapInArrow(run, T.StructType([*others, T.StructField(out, T.BinaryType())]))
+
+
+def uncompressed(batch, name: str = "data"):
+    """The texts of a compressed column as bytes."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for data in batch.column(name).to_pylist():
+        yield unpack(data) if data else b""

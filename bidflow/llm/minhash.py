@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidflow.llm.common import read, rows, stored
+from bidflow.llm.common import compressed, read, rows, stored, uncompressed
 from bidflow.llm.graph import components
 from bidflow.llm.shingles import shingle_set
 
@@ -33,7 +33,7 @@ K = 32
 WORDS = 5
 PERCENT = 75
 #: Hashes in a block of sets that a task compares with another.
-BLOCK_HASHES = 1 << 18
+BLOCK_HASHES = 1 << 20
 
 
 def sketches(docs: DataFrame, k: int, words: int) -> DataFrame:
@@ -178,14 +178,18 @@ def compared(rows_: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id and full set (binary) of the documents in wanted (id)."""
+    """id and full set (binary) of the documents in wanted (id).
+
+    Texts meet the ids compressed, in the same plan at every size: wanted grows with the documents.
+    """
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t, words).tobytes() for (t,) in rows([batch], "text")], pa.binary())], names=["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t, words).tobytes() for t in uncompressed(batch)], pa.binary())], names=["id", "hashes"])
 
+    texts = compressed(docs.select(F.col("doc_id").alias("id"), "text"))
     # Of several texts with one id, one stands for the id.
-    return docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, hashes binary")
+    return texts.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, hashes binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -215,7 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = stored(lists.groupBy("value").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"), F.count("*").alias("many")).where("many > 1").select("value", "a"), "hubs")
     pairs = lists.join(hubs, "value").where("a <> id").select("a", F.col("id").alias("b")).distinct()
     passed = stored(candidates_pass(pairs.join(sketch_of("b"), "b").join(sketch_of("a"), "a"), k, percent), "candidates")
-    sets = stored(full_sets(docs, passed.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words), "sets")
+    # Of both rounds: all that share a value.
+    sets = stored(full_sets(docs, lists.join(hubs, "value", "left_semi").select("id").distinct(), words), "sets")
     found = stored(confirmed(passed, sets, percent), "links")
     part = components(found, "hub-components")
 
@@ -228,13 +233,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = members.where("part <> main")
     blocks = lambda df, name: df.groupBy("main").agg(F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias(name))
     counts = stored(blocks(rest, "nx").join(blocks(members, "ny"), "main"), "blocks")
-    wanted = stored(full_sets(docs, members.select("id").distinct(), words), "member-sets")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     fields = ["main", "id", "part", "hashes", "side", "i", "j"]
     left = rest.join(counts, "main").withColumns({"side": F.lit(0), "i": own("nx")}).withColumn("j", every("ny"))
     right = members.join(counts, "main").withColumns({"side": F.lit(1), "j": own("ny")}).withColumn("i", every("nx"))
-    both = left.join(wanted, "id").select(fields).unionByName(right.join(wanted, "id").select(fields))
+    both = left.join(sets, "id").select(fields).unionByName(right.join(sets, "id").select(fields))
     tasks = both.select(F.xxhash64("main", "i", "j").alias("task"), "side", "id", "part", "hashes").repartition("task").sortWithinPartitions("task")
     part = components(found.unionByName(stored(compared(tasks, percent), "more-links")), "near-components")
 

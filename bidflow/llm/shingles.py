@@ -36,12 +36,13 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
+def shingle_set(text: str | bytes | None, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of n-word shingles; with fewer words, the whole sequence as one.
 
     Words are what ASCII white space parts, with A-Z in lower case.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    words = data.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     h = word_hashes(words)

@@ -26,11 +26,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidflow.llm.common import read, stored
+from bidflow.llm.common import compressed, read, stored, uncompressed
 from bidflow.llm.shingles import mixed, run_hashes, word_hashes
 
 LENGTH = 35
@@ -102,22 +101,9 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, place long, anchor long, segment long")
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """docs with data, the compressed text, in place of text."""
-
-    def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            data = [pack(t) if t else None for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "did", "th")), pa.array(data, pa.binary())], names=["doc_id", "did", "th", "data"])
-
-    return docs.mapInArrow(run, "doc_id long, did long, th long, data binary")
-
-
 def _unpacked(batch: pa.RecordBatch):
-    unpack = zstandard.ZstdDecompressor().decompress
-    for data in batch.column("data").to_pylist():
-        yield unpack(data).split() if data else []
+    for data in uncompressed(batch):
+        yield data.split()
 
 
 def find_windows(docs: DataFrame, length: int) -> DataFrame:
