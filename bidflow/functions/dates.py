@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bidflow.functions.text import bound
+
 # Prefixes that are removed in this order, and time zones that end a date.
 PREFIXES = ["due:", "closes?:", "deadline:", r"closing\s+date:", r"open\s+until:", "posted:", "published:", "date:"]
 ZONES = "PT|PST|PDT|MT|MST|MDT|CT|CST|CDT|ET|EST|EDT"
@@ -57,7 +59,7 @@ def parse_date(c: Column) -> Column:
         none = F.struct(F.lit(None).cast("timestamp_ntz").alias("value"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("format"))
         return F.coalesce(*found, none)
 
-    return F.transform(F.array(clean_date_text(c)), of)[0]
+    return bound(clean_date_text(c), of)
 
 
 def closing_urgency(closing: Column, as_of: Column) -> Column:

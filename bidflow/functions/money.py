@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bidflow.functions.text import bound
+
 # Codes, and symbols of which the first that occurs decides.
 CODES = ["AUD", "CAD", "CHF", "CNY", "EUR", "GBP", "INR", "JPY", "USD"]
 SYMBOLS = [("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR")]
@@ -32,20 +34,31 @@ def parse_money(c: Column, compat: bool = False, default: str = "USD") -> Column
     compat keeps two traits of older readers: any ``$`` is USD, and a lone comma is a decimal one.
     """
     number, symbols = (number_compat, SYMBOLS) if compat else (number_fixed, LONGEST_FIRST)
-    text = F.upper(F.trim(c))
-    code = F.coalesce(*(F.when(F.contains(text, F.lit(k)), F.lit(k)) for k in CODES))
-    symbol = F.coalesce(*(F.when(F.contains(text, F.lit(s)), F.lit(k)) for s, k in symbols))
-    currency = F.coalesce(symbol, code, F.lit(default))
-    confidence = F.when(symbol.isNotNull(), 0.9).when(code.isNotNull(), 0.95).otherwise(0.8)
-    bare = reduce(lambda x, s: F.replace(x, F.lit(s), F.lit("")), [*CODES, *(s for s, _ in symbols)], text)
     span, scaled, plain = r"([\d,.]+)\s*(?:-)\s*([\d,.]+)", r"([\d,.]+)\s*([KMB])\b", r"[\d,.]+"
-    low, high = number(F.regexp_extract(bare, span, 1)), number(F.regexp_extract(bare, span, 2))
-    unit = F.regexp_extract(bare, scaled, 2)
-    times = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9)
-    ranged, sized, single = (low + high) / 2, number(F.regexp_extract(bare, scaled, 1)) * times, number(F.regexp_extract(bare, plain, 0))
-    amount = F.coalesce(ranged, sized, single)
-    sure = F.when(amount.isNull(), 0.0).when(ranged.isNotNull(), confidence * 0.9).otherwise(confidence)
-    return F.struct(amount.alias("amount"), currency.alias("currency"), sure.alias("confidence"))
+
+    def amounts(bare: Column) -> Column:
+        low, high = (bound(F.regexp_extract(bare, span, i), number) for i in (1, 2))
+        unit = F.regexp_extract(bare, scaled, 2)
+        times = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9)
+        ranged = F.when(bare.rlike(span), (low + high) / 2)
+        sized = F.when(bare.rlike(scaled), bound(F.regexp_extract(bare, scaled, 1), number) * times)
+        return F.struct(ranged.alias("ranged"), F.coalesce(sized, bound(F.regexp_extract(bare, plain, 0), number)).alias("single"))
+
+    def parsed(text: Column) -> Column:
+        code = F.coalesce(*(F.when(F.contains(text, F.lit(k)), F.lit(k)) for k in CODES))
+        symbol = F.coalesce(*(F.when(F.contains(text, F.lit(s)), F.lit(k)) for s, k in symbols))
+        marks = "|".join(re.escape(s) for s in [*CODES, *sorted((s for s, _ in symbols), key=len, reverse=True)])
+        found = F.struct(symbol.alias("symbol"), code.alias("code"), bound(F.regexp_replace(text, marks, ""), amounts).alias("of"))
+
+        def told(x: Column) -> Column:
+            sure = F.when(x["symbol"].isNotNull(), 0.9).when(x["code"].isNotNull(), 0.95).otherwise(0.8)
+            ranged, amount = x["of"]["ranged"], F.coalesce(x["of"]["ranged"], x["of"]["single"])
+            sure = F.when(amount.isNull(), 0.0).when(ranged.isNotNull(), sure * 0.9).otherwise(sure)
+            return F.struct(amount.alias("amount"), F.coalesce(x["symbol"], x["code"], F.lit(default)).alias("currency"), sure.alias("confidence"))
+
+        return bound(found, told)
+
+    return bound(F.upper(F.trim(c)), parsed)
 
 
 def compact(v: Column) -> Column:

@@ -12,6 +12,11 @@ ENTITIES = [("&nbsp;?", " "), ("&amp;?", "&"), ("&lt;?", "<"), ("&gt;?", ">"), (
 URL = r"https?://[^\s<>\"'{}|\\^`\[\]]+"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value found once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def normalize_whitespace(c: Column) -> Column:
     """Runs of any Unicode white space become one blank; null becomes empty."""
     return F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
