@@ -2,7 +2,7 @@
 
 Examples are a bounded sample of labelled documents (``per_class`` of each label, those with the
 smallest hashes; near copies count as one), never those that are held out. Terms that differ between the
-labels beyond chance make the vocabulary; document frequencies come from all documents. The
+labels beyond chance, and strongly, make the vocabulary; document frequencies come from all documents. The
 examples' unit vectors stand in an inverted index whose postings are cut into blocks with the
 largest weight of each term in each block. A document visits blocks by falling upper bound and
 stops when no other block can reach its k-th similarity, so its neighbours are exact; all that
@@ -40,6 +40,8 @@ THRESHOLD = 0.3
 BLOCK = 128
 #: Chi-square of a term with the label from which the term is in the vocabulary (p below 1e-8).
 CHI_SQUARE = 33.0
+#: Least ratio of the odds of a term in the two labels, either way: weak ties (a language, a topic) are no evidence.
+ODDS = 4.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -206,7 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     total = max(1, n[0] + n[1])
     both = F.col("n0") + F.col("n1")
     chi = total * (F.col("n1") * n[0] - F.col("n0") * n[1]) ** 2 / (n[0] * n[1] * both * (total - both)) if n[0] and n[1] else F.lit(0.0)
-    chosen = sorted(r["term"] for r in counted.where((both >= 5) & (both < total) & (chi >= CHI_SQUARE)).select("term").collect())  # as many as the sample has at most
+    odds = (F.col("n1") + 0.5) * (n[0] - F.col("n0") + 0.5) / ((F.col("n0") + 0.5) * (n[1] - F.col("n1") + 0.5))
+    strong = (chi >= CHI_SQUARE) & ((odds >= ODDS) | (odds <= 1 / ODDS))
+    chosen = sorted(r["term"] for r in counted.where((both >= 5) & (both < total) & strong).select("term").collect())  # as many as the sample has at most
     vocabulary = {t: i for i, t in enumerate(chosen)}
 
     def frequencies(batches):
