@@ -157,8 +157,9 @@ def resolved(hits: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, places of the phrases, found: array of (priority, start, end, label) in the normalised text."""
-    # Lower case of A-Z alone: these two are the only other letters whose lower case holds an ASCII letter.
-    other = F.replace(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("K"), F.lit("Ā")), F.lit("İ"), F.lit("Ā"))
+    # Lower case of A-Z alone: the Kelvin sign and the dotted capital I are the only other letters whose
+    # lower case holds an ASCII letter; another letter takes their place.
+    other = F.replace(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u212a"), F.lit("\u0100")), F.lit("\u0130"), F.lit("\u0100"))
     words = docs.select(F.col(id_col).alias("doc_id"), F.trim(F.regexp_replace(F.lower(other), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")).alias("words"))
     norm = words.select("doc_id", F.concat(F.lit(" "), "words", F.lit(" ")).alias("norm"), F.when(F.col("words") == "", 0).otherwise(blanks(F.col("words")) + 1).cast("long").alias("n_words"))
     text, places = F.col("norm"), []

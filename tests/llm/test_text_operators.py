@@ -190,7 +190,7 @@ def test_der_lengths():
 
 LICENSES = [
     (1, "Released under the MIT License. under the mit license"), (2, "Apache License, Version 2.0"), (3, "CC BY-NC 4.0 and CC-BY-NC-SA"), (4, None), (5, "!!"), (6, "It is not licensed under the Apache License, Version 2.0."),
-    (7, "SPDX-License-Identifier: GPL-3.0"), (8, "Ünder the MİT license"), (None, "All rights reserved"), (9, "underthe mit license"),
+    (7, "SPDX-License-Identifier: GPL-3.0"), (8, "Ünder the MİT license"), (None, "All rights reserved"), (9, "underthe mit license"), (10, "KIT under the MIT LICENSE K\u212a"),
 ]
 
 
@@ -202,7 +202,7 @@ def test_licenses(spark):
     assert places(2) == [("apache-2", 1, 0, 0)] and labels(2) == []
     assert places(3) == [("cc-by-nc", 2, 0, 6)]
     assert got[4]["n_words"] == got[5]["n_words"] == 0 and not labels(4) and not labels(5)
-    assert labels(6) == [""] and labels(7) == ["gpl-3"] and labels(None) == ["all-rights-reserved"] and not places(8) and not places(9)
+    assert labels(6) == [""] and labels(7) == ["gpl-3"] and labels(None) == ["all-rights-reserved"] and not places(8) and not places(9) and places(10) == [("mit", 1, 1, 1)] and got[10]["n_words"] == 6
 
 
 def test_rules_are_hundreds_and_valid():
