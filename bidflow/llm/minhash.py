@@ -124,7 +124,11 @@ def similar_in(ids: np.ndarray, parts: np.ndarray, sides: np.ndarray, sets: list
     if len(x) and len(y):
         flat = [np.concatenate([sets[k] for k in side.tolist()]) for side in (x, y)]
         owner = [np.repeat(np.arange(len(side)), size[side]) for side in (x, y)]
-        common = np.intersect1d(*(np.unique(f) for f in flat), assume_unique=True)
+        found = [np.unique(f, return_index=True, return_counts=True) for f in flat]
+        common, i, j = np.intersect1d(found[0][0], found[1][0], assume_unique=True, return_indices=True)
+        # A hash that one document alone has tells nothing, though the document may stand on both sides.
+        first = [ids[side][o[u[1][k]]] for side, o, u, k in zip((x, y), owner, found, (i, j))]
+        common = common[(found[0][2][i] > 1) | (found[1][2][j] > 1) | (first[0] != first[1])]
         columns = []
         for f, o in zip(flat, owner):
             at = np.searchsorted(common, f)
