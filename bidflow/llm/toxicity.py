@@ -177,7 +177,8 @@ def family(docs: DataFrame) -> DataFrame:
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(text, label, doc_id) of at most per_class examples of each label, and how many there would be without that bound."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
-    texts = family(docs.where(F.length("text") > 0).join(known, "doc_id")).select("doc_id", "toxic", "key")
+    # Keys are found where the texts are: only ids and keys are shuffled to meet the labels.
+    texts = family(docs.where(F.length("text") > 0)).select("doc_id", "key").join(known, "doc_id")
     marked = texts.groupBy("key").agg(F.avg("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     marked = marked.select("key", "doc_id", (F.col("toxic") >= 0.5).cast("int").alias("label")).persist()
     sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
