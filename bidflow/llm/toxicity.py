@@ -1,9 +1,11 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled documents (``per_class`` of each label, those with the
-smallest hashes; near copies count as one), never those that are held out. Terms that differ between the
-labels beyond chance, and strongly, make the vocabulary; document frequencies come from all documents. The
-examples' unit vectors stand in an inverted index whose postings are cut into blocks with the
+smallest hashes; near copies count as one), never those that are held out. All terms of the examples
+make the vocabulary; document frequencies come from all documents. A term's weight is its TF-IDF
+times a factor of 1 or more that grows with its chi-square with the label, so that terms that tell
+the labels apart count for more and none is left out. The examples' unit vectors stand in an inverted
+index. Postings of rare terms are added in full; those of frequent terms are cut into blocks with the
 largest weight of each term in each block. A document visits blocks by falling upper bound and
 stops when no other block can reach its k-th similarity, so its neighbours are exact; all that
 tie with the k-th count. Similarity-weighted votes, weighted back to the labels' shares among
@@ -13,7 +15,7 @@ Edge cases: null and empty texts have no terms and take the share of label 1 amo
 without terms; labels other than 0 and 1 and null labels are ignored, a text labelled both ways
 counts as label 1 if at least half of its labels are; without labels every score is 0. Repeated
 rows are scored alike. Input columns are kept; the names ``score``, ``predicted``, ``neighbours``
-and ``terms`` are replaced if they occur.
+and ``terms`` are replaced if they occur; ``terms`` names the text's terms with a strong tie to a label.
 """
 
 from __future__ import annotations
@@ -38,9 +40,12 @@ NEIGHBOURS = 15
 EVIDENCE = 3
 THRESHOLD = 0.3
 BLOCK = 128
-#: Chi-square of a term with the label from which the term is in the vocabulary (p below 1e-8).
+#: A term in more than this share of the examples' vectors is frequent.
+FREQUENT = 1 / 16
+#: Chi-square up to which a term's tie to the label may be chance (p = 0.05): its factor is 1, beyond it chi-square / CHANCE.
+CHANCE = 3.84
+#: A result names terms from this chi-square (p below 1e-8) and ratio of the odds in the two labels, either way.
 CHI_SQUARE = 33.0
-#: Least ratio of the odds of a term in the two labels, either way: weak ties (a language, a topic) are no evidence.
 ODDS = 4.0
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -59,60 +64,94 @@ class Model:
     """Block-max index of the examples' distinct vectors, which are maps from term number to term frequency."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # times the term's factor
+    strong: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # terms that results name
     count: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))  # examples of each vector by label
     ids: list = field(default_factory=list)  # of each vector's examples, those of label 1 first
     share: np.ndarray = field(default_factory=lambda: np.ones(2))  # labelled documents that an example of each label stands for
-    postings: list = field(default_factory=list)  # by term: vectors ascending, unit weights, their blocks
-    maxima: np.ndarray | None = None  # term x block
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each term's postings
+    docs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # postings by term: vectors ascending
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # and their unit weights
     raw: np.ndarray = field(default_factory=lambda: np.zeros(0))  # calibration
     calibrated: np.ndarray = field(default_factory=lambda: np.zeros(0))
     empty_score: float = 0.0
     known: dict = field(default_factory=dict)
+    frequent: tuple | None = None  # made where it is used: number of each frequent term or -1, block x term x vector, term x block maxima
+
+    def __getstate__(self):
+        return self.__dict__ | {"frequent": None, "known": {}}
 
     def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        w = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms]
+        terms = np.fromiter(counts, np.int64, len(counts))
+        order = np.argsort(terms)
+        terms, tf = terms[order], np.fromiter(counts.values(), float, len(counts))[order]
+        w = (1 + np.log(tf)) * self.idf[terms]
         return terms, w / np.linalg.norm(w)
 
+    @property
+    def postings(self):
+        """By term: vectors ascending, unit weights, their blocks."""
+        for a, b in zip(self.starts[:-1], self.starts[1:]):
+            yield self.docs[a:b], self.weights[a:b], self.docs[a:b] // BLOCK
+
     def build(self, vectors: list[dict[int, int]]) -> None:
-        blocks = -(-len(vectors) // BLOCK)
-        by_term: list[tuple[list, list]] = [([], []) for _ in self.idf]
-        for k, counts in enumerate(vectors):
-            for t, w in zip(*self.unit(counts)):
-                by_term[t][0].append(k)
-                by_term[t][1].append(w)
-        self.maxima = np.zeros((len(self.idf), blocks))
-        for t, (docs, w) in enumerate(by_term):
-            docs, w = np.array(docs, np.int64), np.array(w)
-            np.maximum.at(self.maxima[t], docs // BLOCK, w)
-            self.postings.append((docs, w, docs // BLOCK))
+        units = [self.unit(counts) for counts in vectors]
+        terms, weights = (np.concatenate(x) for x in zip(*units))
+        docs = np.repeat(np.arange(len(units), dtype=np.int32), [len(t) for t, _ in units])
+        order = np.argsort(terms, kind="stable")
+        self.docs, self.weights = docs[order], weights[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(self.idf)))])
+        self.frequent = None
+
+    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.frequent is None:
+            many = np.diff(self.starts)
+            chosen = np.flatnonzero(many > max(1, FREQUENT * len(self.count)))
+            number = np.full(len(many), -1)
+            number[chosen] = np.arange(len(chosen))
+            blocks = -(-len(self.count) // BLOCK)
+            table = np.zeros((blocks, len(chosen), BLOCK))
+            for f, t in enumerate(chosen):
+                docs = self.docs[self.starts[t] : self.starts[t + 1]]
+                table[docs // BLOCK, f, docs % BLOCK] = self.weights[self.starts[t] : self.starts[t + 1]]
+            self.frequent = number, table, np.ascontiguousarray(table.max(2, initial=0).T)
+        return self.frequent
 
     def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Vectors of positive cosine whose examples are among the k nearest or tie with the k-th, the nearest first; cosines."""
         terms, w = self.unit(counts)
-        bounds = w @ self.maxima[terms]
+        number, table, maxima = self.dense()
+        f = number[terms]
+        rare, often = terms[f < 0], f[f >= 0]
+        q = w[f >= 0]
+        many = self.starts[rare + 1] - self.starts[rare]
+        ends = np.cumsum(many)
+        at = np.arange(many.sum()) + np.repeat(self.starts[rare] - ends + many, many)
+        blocks = len(table)
+        total = np.bincount(self.docs[at], np.repeat(w[f < 0], many) * self.weights[at], blocks * BLOCK).astype(float).reshape(blocks, BLOCK)
+        # Per block, the most that frequent terms can add to what rare ones gave.
+        bounds = total.max(1, initial=0) + q @ maxima[often]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        total, done, kth, size = np.zeros(len(self.count)), np.zeros(len(bounds), bool), 0.0, 4
+        examples = self.count.sum(1)
+        docs, flat, kth, size, done = np.zeros(0, np.int64), total.reshape(-1), 0.0, 4, []
         while len(order):
             now, order = order[:size], order[size:]
-            some = np.zeros(len(bounds), bool)
-            some[now] = True
-            done |= some
-            for t, q in zip(terms, w):
-                docs, weights, block = self.postings[t]
-                here = some[block]
-                total[docs[here]] += q * weights[here]
-            docs = np.flatnonzero(total)
-            docs = docs[np.argsort(-total[docs], kind="stable")]
-            enough = np.searchsorted(np.cumsum(self.count[docs].sum(1)), k)
+            for b in now:
+                total[b] += q @ table[b, often]
+            done += now.tolist()
+            docs = (np.array(done)[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+            docs = docs[flat[docs] > 0]
+            if kth:
+                docs = docs[flat[docs] >= kth - 1e-9]
+            docs = docs[np.lexsort((docs, -flat[docs]))]
+            enough = np.searchsorted(np.cumsum(examples[docs]), k)
             if enough < len(docs):
-                kth = total[docs[enough]]
+                kth = flat[docs[enough]]
                 order = order[bounds[order] >= kth - 1e-9]
-            size *= 4
-        docs = docs[total[docs] >= kth - 1e-9] if done.any() else np.zeros(0, np.int64)
-        return docs, total[docs]
+            size *= 2
+        docs = docs[flat[docs] >= kth - 1e-9]
+        return docs, flat[docs]
 
     def vote(self, docs: np.ndarray, sims: np.ndarray, count: np.ndarray) -> float | None:
         w = sims[:, None] * count * self.share
@@ -145,7 +184,7 @@ class Model:
         """The score, and the ids of the nearest examples."""
         if not counts or not len(self.count):
             return self.empty_score, []
-        key = tuple(sorted(counts.items()))
+        key = xxhash.xxh3_128_digest(np.array(sorted(counts.items())).tobytes())
         if key not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
@@ -210,8 +249,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     both = F.col("n0") + F.col("n1")
     chi = total * (F.col("n1") * n[0] - F.col("n0") * n[1]) ** 2 / (n[0] * n[1] * both * (total - both)) if n[0] and n[1] else F.lit(0.0)
     odds = (F.col("n1") + 0.5) * (n[0] - F.col("n0") + 0.5) / ((F.col("n0") + 0.5) * (n[1] - F.col("n1") + 0.5))
-    strong = (chi >= CHI_SQUARE) & ((odds >= ODDS) | (odds <= 1 / ODDS))
-    chosen = sorted(r["term"] for r in counted.where((both >= 5) & (both < total) & strong).select("term").collect())  # as many as the sample has at most
+    chi = F.when(both < total, chi).otherwise(0.0)
+    strong = (both >= 5) & (chi >= CHI_SQUARE) & ((odds >= ODDS) | (odds <= 1 / ODDS))
+    terms = counted.select("term", F.greatest(F.lit(1.0), chi / CHANCE).alias("factor"), strong.alias("strong")).toArrow().sort_by("term")  # as many as the sample has at most
+    chosen = terms["term"].to_pylist()
     vocabulary = {t: i for i, t in enumerate(chosen)}
 
     def frequencies(batches):
@@ -221,30 +262,37 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
             seen.update(vocabulary.keys() & set(words(text)))
         yield pa.RecordBatch.from_pydict({"term": pa.array([None, *seen], pa.string()), "n": pa.array([many, *seen.values()], pa.int64())})
 
-    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()} if chosen else {}
-    idf = np.array([math.log((1 + df.get(None, 0)) / (1 + df.get(t, 0))) + 1 for t in chosen])
-    model = Model(vocabulary, idf)
+    df = {}
+    if chosen:
+        seen = docs.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        df = dict(zip(seen["term"].to_pylist(), seen["n"].to_pylist()))
+    idf = np.array([math.log((1 + df.get(None, 0)) / (1 + df.get(t, 0))) + 1 for t in chosen]) * terms["factor"].to_numpy()
+    model = Model(vocabulary, idf, terms["strong"].to_numpy())
 
     def vectors(batches):
         for text, label, doc in rows(batches, "text", "label", "doc_id"):
-            counts = sorted(model.counts(text).items())
-            yield pa.RecordBatch.from_pydict({"label": pa.array([label], pa.int32()), "doc_id": pa.array([doc], pa.int64()), "terms": pa.array([[t for t, _ in counts]], pa.list_(pa.int32())), "tf": pa.array([[c for _, c in counts]], pa.list_(pa.int32()))})
+            counts = np.array(sorted(model.counts(text).items()), np.int32).tobytes()
+            yield pa.RecordBatch.from_pydict({"label": pa.array([label], pa.int32()), "doc_id": pa.array([doc], pa.int64()), "counts": pa.array([counts], pa.binary())})
 
-    found = examples.mapInArrow(vectors, "label int, doc_id long, terms array<int>, tf array<int>").collect()  # at most 2 x per_class
+    found = examples.mapInArrow(vectors, "label int, doc_id long, counts binary").collect()  # at most 2 x per_class
     examples.unpersist()
-    alike: dict[tuple, list[list]] = {}
+    alike: dict[bytes, list[list]] = {}
     for r in found:
-        alike.setdefault(tuple(zip(r["terms"], r["tf"])), [[], []])[r["label"]].append(r["doc_id"])
+        alike.setdefault(bytes(r["counts"]), [[], []])[r["label"]].append(r["doc_id"])
     model.share = np.array([sizes.get(y, 0) / max(1, n[y]) for y in (0, 1)])
-    if () in alike:
-        w = np.array([len(x) for x in alike.pop(())]) * model.share
+    if b"" in alike:
+        w = np.array([len(x) for x in alike.pop(b"")]) * model.share
         model.empty_score = float(w[1] / w.sum())
-    vectors = sorted(alike)  # alike ones share blocks
+    pairs = {v: np.frombuffer(v, np.int32).reshape(-1, 2) for v in alike}
+    many = np.bincount(np.concatenate([x[:, 0] for x in pairs.values()]), minlength=len(chosen)) if pairs else None
+    # Vectors with the same most frequent terms (of a language, a topic) share blocks.
+    vectors = sorted(alike, key=lambda v: (sorted(zip(-many[pairs[v][:, 0]], pairs[v][:, 0]))[:6], v))
     model.count = np.array([[len(x) for x in alike[v]] for v in vectors], float).reshape(-1, 2)
     model.ids = [(sorted(alike[v][1]) + sorted(alike[v][0]))[:EVIDENCE] for v in vectors]
     if vectors:
-        model.build([dict(v) for v in vectors])
-        model.calibrate([dict(v) for v in vectors], k)
+        counts = [dict(pairs[v].tolist()) for v in vectors]
+        model.build(counts)
+        model.calibrate(counts, k)
     return model
 
 
@@ -263,7 +311,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", k: int = NEIGHB
                 score_, examples = model.score(counts, k)
                 scores.append(score_)
                 near.append(examples if score_ >= threshold else [])
-                terms.append([names[t] for t in sorted(counts)])
+                terms.append([names[t] for t in sorted(counts) if model.strong[t]])
             new = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added.names])
 

@@ -176,6 +176,17 @@ def test_nearest_is_exact(spark):
         assert np.allclose(got, sims[docs])
 
 
+def test_texts_without_telling_terms_have_neighbours(spark):
+    rows, labels = labelled()
+    rows.append((901, "an entirely uncommon sentence"))
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame([*labels, (901, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert {*"an entirely uncommon sentence".split()} <= set(model.vocabulary)
+    for text in (rows[-1][1], next(t for i, t in rows if i == 3)):
+        docs, sims = model.nearest(model.counts(text), 5)
+        assert abs(sims[0] - 1) < 1e-9
+    assert model.ids[model.nearest(model.counts(rows[-1][1]), 5)[0][0]] == [901]
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
