@@ -1,7 +1,7 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled documents (``per_class`` of each label, those with the
-smallest hashes; near copies count as one), never those that are held out. All terms of the examples
+smallest hashes, whatever their length; near copies of one label count as one), never those that are held out. All terms of the examples
 make the vocabulary; document frequencies come from all documents. A term's weight is its TF-IDF
 times a factor of 1 or more that grows with its chi-square with the label, so that terms that tell
 the labels apart count for more and none is left out. The examples' unit vectors stand in an inverted
@@ -33,12 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidflow.llm.common import read, rows
+from bidflow.llm.shingles import shingle_set
 
 PER_CLASS = 4096
 NEIGHBOURS = 15
 #: Nearest examples that a result names.
 EVIDENCE = 3
 THRESHOLD = 0.3
+#: Least hashes that near copies must have in common.
+SKETCH = 4
 BLOCK = 128
 #: A term in more than this share of the examples' vectors is frequent.
 FREQUENT = 1 / 16
@@ -200,14 +203,17 @@ class Model:
 
 
 def family(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with key, the least hash of three words in a row: near copies mostly share it, and count as one example."""
+    """docs (doc_id, text) with key, the hash of the SKETCH least hashes of three words in a row: near copies mostly share it, and count as one example.
+
+    Being a hash of hashes, its order doesn't depend on the length of the text.
+    """
 
     def run(batches):
         for batch in batches:
             keys = []
             for text in batch.column("text").to_pylist():
-                w = text.lower().encode().split()
-                keys.append(min((xxhash.xxh64_intdigest(b" ".join(x)) for x in zip(w, w[1:], w[2:])), default=xxhash.xxh64_intdigest(text)) >> 1)
+                least = shingle_set(text, 3)[:SKETCH]
+                keys.append(xxhash.xxh64_intdigest(least.tobytes() if len(least) else text) >> 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "key"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("key", T.LongType())]))
@@ -215,11 +221,10 @@ def family(docs: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(text, label, doc_id) of at most per_class examples of each label, and how many there would be without that bound."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("label"))
     # Keys are found where the texts are: only ids and keys are shuffled to meet the labels.
     texts = family(docs.where(F.length("text") > 0)).select("doc_id", "key").join(known, "doc_id")
-    marked = texts.groupBy("key").agg(F.avg("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
-    marked = marked.select("key", "doc_id", (F.col("toxic") >= 0.5).cast("int").alias("label")).persist()
+    marked = texts.groupBy("key", "label").agg(F.min("doc_id").alias("doc_id")).persist()
     sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = marked.where("label = 1").orderBy("key").limit(per_class).unionByName(marked.where("label = 0").orderBy("key").limit(per_class))
     rows_ = [tuple(r) for r in chosen.select("key", "doc_id", "label").collect()]  # at most 2 x per_class
@@ -227,7 +232,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFram
     spark = docs.sparkSession
     chosen = spark.createDataFrame(rows_, "key long, doc_id long, label int") if rows_ else spark.createDataFrame([], "key long, doc_id long, label int")
     picked = family(docs.where(F.length("text") > 0).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")).join(F.broadcast(chosen), ["doc_id", "key"])
-    return picked.dropDuplicates(["key"]).select("text", "label", "doc_id"), sizes
+    return picked.dropDuplicates(["key", "label"]).select("text", "label", "doc_id"), sizes
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int = NEIGHBOURS) -> Model:

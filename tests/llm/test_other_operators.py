@@ -187,6 +187,26 @@ def test_texts_without_telling_terms_have_neighbours(spark):
     assert model.ids[model.nearest(model.counts(rows[-1][1]), 5)[0][0]] == [901]
 
 
+def test_sample_is_even(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 10 if i % 2 else 400)) for i in range(400)]
+    passage = prose(rng, 3)
+    rows += [(500 + i, f"{passage} {prose(rng, 40)}") for i in range(40)]  # different texts with a passage in common
+    same = prose(rng, 50)
+    rows += [(600 + i, same) for i in range(40)]
+    labels = [(i, 1, 0) for i in range(640)]
+    labels = [(i, q, int(i >= 600 and i % 2)) for i, q, _ in labels]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = {r["doc_id"] for r in docs.where(toxicity.held_out()).collect()}
+    every, sizes = toxicity.sample(docs, known, 10_000)
+    # Copies count once in each label, other texts on their own.
+    assert sizes == {0: len({i for i, _ in rows if i < 600} - held) + 1, 1: 1}
+    assert every.count() == sum(sizes.values())
+    some, _ = toxicity.sample(docs, known.where("doc_id < 400"), 80)
+    short = some.where("doc_id % 2 = 1").count()
+    assert some.count() == 80 and 20 <= short <= 60
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
