@@ -4,18 +4,19 @@ A line goes down the tree by its number of tokens, then by its ``LEADING`` first
 with a digit (numbers, dates, ids) are variable fields. The leaves are templates: the tokens as
 they are, and, for lines of ``GENERAL`` tokens or more, the tokens with one of three equal parts of
 what follows the leading tokens generalised, so that lines that differ in one place share a
-template. A template that occurs in ``min_docs`` documents or more recurs. The lines of a document
-that many copies were made of recur too; they tell by their documents, which consist of recurring
+template. A template that occurs in ``min_docs`` documents or more recurs. Documents with the same set
+of templates are copies and count as one document. The lines of a document
+that many near copies were made of recur too; they tell by their documents, which consist of recurring
 lines for the most part. So a recurring template is boilerplate, and its lines are dropped, only if
 recurring lines make up at most ``most`` of the tokens of its documents on average. The decision is
 the template's, hence the same in all copies, which stay copies for document deduplication.
 
-Templates are compared by 64-bit hashes. Each document counts once for a template, and counts are
+Templates are compared by 64-bit hashes. Each distinct document counts once for a template, and counts are
 aggregated before they are shuffled; texts are shuffled once, at the end.
 
 Edge cases: a null text stays null and has no line; lines under ``min_tokens`` tokens and lines that are
 variable fields for the most part (tables of numbers) are kept;
-repeated rows count as documents of their own; null ids are allowed; an empty table gives an empty
+null ids are allowed; an empty table gives an empty
 result; other columns are ignored by :func:`recurring` and kept by :func:`drop_lines`.
 """
 
@@ -50,13 +51,14 @@ def templates(tokens: Column) -> Column:
 
 
 def keyed(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """(did, th, lines, total): the lines of docs (did, th, text) with their numbers, tokens and templates; all tokens."""
+    """(did, th, lines, total, copy): the lines of docs (did, th, text) with their numbers, tokens and templates; all tokens; a hash of the set of templates."""
     # A token with a digit; possessive, so that long tokens cost no backtracking.
     masked = F.regexp_replace(F.regexp_replace("text", r"(?<!\S)[^\s\d]*+\d\S*+", "<*>"), r"[ \t\x0B\f\r]++", " ")
     split = F.transform(F.split(masked, "\n", -1), lambda line: F.split(F.trim(line), " "))
     lines = F.transform(split, lambda t, i: F.struct(i.alias("line"), F.size(t).alias("tokens"), F.when((F.size(t) >= min_tokens) & (2 * F.size(F.array_remove(t, "<*>")) >= F.size(t)), templates(t)).alias("keys")))
     every = docs.select("did", "th", lines.alias("lines"))
-    return every.select("did", "th", F.filter("lines", lambda x: x["keys"].isNotNull()).alias("lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("total")).where(F.size("lines") > 0)
+    some = every.select("did", "th", F.filter("lines", lambda x: x["keys"].isNotNull()).alias("lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("total")).where(F.size("lines") > 0)
+    return some.withColumn("copy", F.xxhash64(F.array_sort(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["keys"]))))))
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,17 +70,19 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """(did, th, lines): the boilerplate lines of each document."""
     named = identified(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
     table = stored(keyed(named, min_tokens), "line-keys")
-    once = table.select(F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["keys"])))).alias("key"))
+    # Copies are counted once: they neither make a template recur nor decide what becomes of it.
+    distinct = stored(table.groupBy("copy").agg(F.first(F.struct("lines", "total")).alias("x")).select("copy", "x.*"), "distinct-documents")
+    once = distinct.select(F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["keys"])))).alias("key"))
     # Stored, so that the join reads both sides by shuffle and Spark can split a hot template.
     many = stored(once.groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs), "recurring-templates")
-    each = table.select("did", "th", F.explode("lines").alias("x")).select("did", "th", "x.line", "x.tokens", F.explode("x.keys").alias("key"))
+    each = distinct.select("copy", "total", F.explode("lines").alias("x")).select("copy", "total", "x.line", "x.tokens", F.explode("x.keys").alias("key"))
     found = stored(each.join(many.select("key"), "key"), "recurring-lines")
-    per_doc = found.groupBy("did", "th", "line").agg(F.max("tokens").alias("tokens")).groupBy("did", "th").agg(F.sum("tokens").alias("tokens"))
-    totals = table.groupBy("did", "th").agg(F.max("total").alias("total"))
-    share = per_doc.join(totals, ["did", "th"]).select("did", "th", F.floor(1_000_000 * F.col("tokens") / F.col("total")).alias("share"))
-    own = found.select("did", "th", "key").distinct().join(share, ["did", "th"])
+    per_doc = found.groupBy("copy", "line").agg(F.max("tokens").alias("tokens"), F.max("total").alias("total")).groupBy("copy").agg(F.sum("tokens").alias("tokens"), F.max("total").alias("total"))
+    share = per_doc.select("copy", F.floor(1_000_000 * F.col("tokens") / F.col("total")).alias("share"))
+    own = found.select("copy", "key").distinct().join(share, "copy")
     boilerplate = own.groupBy("key").agg(F.sum("share").alias("share"), F.count("*").alias("n")).where(F.col("share") <= int(most * 1_000_000) * F.col("n"))
-    lines = found.join(stored(boilerplate.select("key"), "boilerplate"), "key").select("did", "th", "line").distinct()
+    every = table.select("did", "th", F.explode("lines").alias("x")).select("did", "th", "x.line", F.explode("x.keys").alias("key"))
+    lines = every.join(stored(boilerplate.select("key"), "boilerplate"), "key").select("did", "th", "line").distinct()
     return lines.groupBy("did", "th").agg(F.collect_list("line").alias("lines"))
 
 

@@ -118,6 +118,17 @@ def test_line_templates_generalise(spark):
     assert {r["n_dropped"] for r in got.collect()} == {1}
 
 
+def test_copies_neither_make_nor_veto_a_template(spark):
+    rng = random.Random(3)
+    footer, one = "read more in our weekly letter", "this sentence stands in one text"
+    rows = [(i, f"{prose(rng, 60)}\n{footer}") for i in range(20)]
+    hot = f"{footer}\n{prose(rng, 2)} again"  # consists of recurring lines for the most part
+    rows += [(100 + i, hot) for i in range(200)] + [(500 + i, f"{prose(random.Random(9), 60)}\n{one}") for i in range(30)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(frame(spark, rows)).collect()}
+    assert not any(footer in got[i] for i in [*range(20), 100, 299])
+    assert all(one in got[500 + i] for i in range(30))
+
+
 def test_packing(table, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
