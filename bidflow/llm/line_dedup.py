@@ -4,7 +4,8 @@ A line goes down the tree by its number of tokens, then by its ``LEADING`` first
 with a digit (numbers, dates, ids) are variable fields. The leaves are templates: the tokens as
 they are, and, for lines of ``GENERAL`` tokens or more, the tokens with one of three equal parts of
 what follows the leading tokens generalised, so that lines that differ in one place share a
-template. A template that occurs in ``min_docs`` documents or more recurs. Documents with the same set
+template. A template that occurs in ``min_docs`` documents or more recurs, one of ``LONG`` tokens or more
+from ``LONG_DOCS`` documents on. Documents with the same set
 of templates are copies and count as one document. The lines of a document
 that many near copies were made of recur too; they tell by their documents, which consist of recurring
 lines for the most part. So a recurring template is boilerplate, and its lines are dropped, only if
@@ -29,6 +30,8 @@ from bidflow.llm.common import read, stored
 
 MIN_DOCS = 10
 MIN_TOKENS = 3
+LONG = 50
+LONG_DOCS = 2
 LEADING = 2
 GENERAL = 8
 MOST = 0.5
@@ -72,9 +75,11 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     table = stored(keyed(named, min_tokens), "line-keys")
     # Copies are counted once: they neither make a template recur nor decide what becomes of it.
     distinct = stored(table.groupBy("copy").agg(F.first(F.struct("lines", "total")).alias("x")).select("copy", "x.*"), "distinct-documents")
-    once = distinct.select(F.explode(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["keys"])))).alias("key"))
+    # A key with whether its line is long, which is the same for all lines of a template.
+    long = F.transform("lines", lambda x: F.transform(x["keys"], lambda k: F.struct(k.alias("key"), (x["tokens"] >= LONG).alias("long"))))
+    once = distinct.select(F.explode(F.array_distinct(F.flatten(long))).alias("x")).select("x.*")
     # Stored, so that the join reads both sides by shuffle and Spark can split a hot template.
-    many = stored(once.groupBy("key").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs), "recurring-templates")
+    many = stored(once.groupBy("key", "long").agg(F.count("*").alias("docs")).where(F.col("docs") >= F.when(F.col("long"), min(LONG_DOCS, min_docs)).otherwise(min_docs)), "recurring-templates")
     each = distinct.select("copy", "total", F.explode("lines").alias("x")).select("copy", "total", "x.line", "x.tokens", F.explode("x.keys").alias("key"))
     found = stored(each.join(many.select("key"), "key"), "recurring-lines")
     per_doc = found.groupBy("copy", "line").agg(F.max("tokens").alias("tokens"), F.max("total").alias("total")).groupBy("copy").agg(F.sum("tokens").alias("tokens"), F.max("total").alias("total"))

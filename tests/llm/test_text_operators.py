@@ -129,6 +129,14 @@ def test_copies_neither_make_nor_veto_a_template(spark):
     assert all(one in got[500 + i] for i in range(30))
 
 
+def test_long_lines_recur_from_two_documents(spark):
+    rng = random.Random(5)
+    passage, short = prose(rng, 55), prose(rng, 12)
+    rows = [(i, f"{prose(rng, 90)}\n{passage}\n{short}\n{prose(rng, 90)}") for i in range(2)] + [(9, f"{passage} once more\n{prose(rng, 90)}")]
+    got = {r["doc_id"]: r for r in line_dedup.drop_lines(frame(spark, rows)).collect()}
+    assert [got[i]["n_dropped"] for i in (0, 1, 9)] == [1, 1, 0] and passage not in got[0]["text"] and short in got[1]["text"]
+
+
 def test_packing(table, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
