@@ -1,11 +1,11 @@
 """License scans by ordered signature rules, in DataFrame functions alone.
 
 The text is reduced to lower-case words parted by single blanks. Hundreds of rules (names of
-licenses in the phrasings that state a license) each have a keyword, a regular expression and a
-priority. A document first passes a keyword gate; a rule's expression runs only where its own
-keyword stands in the document. Detections are resolved in order of start, then length, then
-priority, then rule: one whose interval lies within that of a detection before it is suppressed,
-so the more specific statement wins, and a denial (``not licensed under ...``) suppresses what
+licenses in the phrasings that state a license) each have keywords, a regular expression and a
+priority. A document first passes a keyword gate; a rule's expression runs only where one of its
+own keywords, of which each of its alternatives holds one, stands in the document. Detections are
+resolved in order of start, then length, then priority, then rule: one whose interval lies within
+that of a detection before it is suppressed, so the more specific statement wins, and a denial (``not licensed under ...``) suppresses what
 it denies.
 
 Edge cases: a null or empty text has no words, no labels and score 0; a null id stays null;
@@ -24,67 +24,67 @@ from bidflow.llm.common import read
 # Phrases whose places are reported, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label, keyword, name as it reads in normalised words (a regular expression)
+#: label, keywords (parted by bars; each alternative of the name holds one), name as it reads in normalised words (a regular expression)
 NAMES = [
-    ("mit", "mit", "(?:mit|expat)"),
-    ("x11", "x11", "(?:x11|mit x11|x consortium)"),
+    ("mit", "mit|expat", "(?:mit|expat)"),
+    ("x11", "x11|x consortium", "(?:x11|mit x11|x consortium)"),
     ("apache-2", "apache", "apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
     ("apache-1", "apache", "apache(?: software)?(?: licen[sc]e)?(?: version| v)? 1 [01]"),
-    ("gpl-1", "g", "(?:gpl|gnu(?: general)?(?: public)?(?: licen[sc]e)?)(?: version| v)? ?1(?: 0)?"),
-    ("gpl-2", "g", "(?:gpl|gplv|gnu(?: general)?(?: public)?(?: licen[sc]e)?)(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3", "g", "(?:gpl|gplv|gnu(?: general)?(?: public)?(?: licen[sc]e)?)(?: version| v)? ?3(?: 0)?"),
-    ("lgpl-2", "l", "(?:lgpl|lgplv|gnu (?:lesser|library)(?: general)?(?: public)?(?: licen[sc]e)?)(?: version| v)? ?2(?: [01])?"),
-    ("lgpl-3", "l", "(?:lgpl|lgplv|gnu lesser(?: general)?(?: public)?(?: licen[sc]e)?)(?: version| v)? ?3(?: 0)?"),
-    ("agpl-3", "a", "(?:agpl|agplv|gnu affero(?: general)?(?: public)?(?: licen[sc]e)?)(?: version| v)? ?3(?: 0)?"),
-    ("gfdl", "free doc", "(?:gfdl|gnu free documentation)"),
+    ("gpl-1", "gpl|gnu", "(?:gpl|gnu(?: general)?(?: public)?(?: licen[sc]e)?)(?: version| v)? ?1(?: 0)?"),
+    ("gpl-2", "gpl|gnu", "(?:gpl|gplv|gnu(?: general)?(?: public)?(?: licen[sc]e)?)(?: version| v)? ?2(?: 0)?"),
+    ("gpl-3", "gpl|gnu", "(?:gpl|gplv|gnu(?: general)?(?: public)?(?: licen[sc]e)?)(?: version| v)? ?3(?: 0)?"),
+    ("lgpl-2", "lgpl|gnu l", "(?:lgpl|lgplv|gnu (?:lesser|library)(?: general)?(?: public)?(?: licen[sc]e)?)(?: version| v)? ?2(?: [01])?"),
+    ("lgpl-3", "lgpl|gnu lesser", "(?:lgpl|lgplv|gnu lesser(?: general)?(?: public)?(?: licen[sc]e)?)(?: version| v)? ?3(?: 0)?"),
+    ("agpl-3", "agpl|gnu affero", "(?:agpl|agplv|gnu affero(?: general)?(?: public)?(?: licen[sc]e)?)(?: version| v)? ?3(?: 0)?"),
+    ("gfdl", "gfdl|free documentation", "(?:gfdl|gnu free documentation)"),
     ("bsd-0", "bsd", "(?:0bsd|bsd 0 clause|zero clause bsd)"),
     ("bsd-2", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)"),
     ("bsd-3", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("isc", "isc", "isc"),
-    ("mpl-1", "m", "(?:mpl|mozilla public(?: licen[sc]e)?)(?: version| v)? ?1(?: [01])?"),
-    ("mpl-2", "m", "(?:mpl|mozilla public(?: licen[sc]e)?)(?: version| v)? ?2(?: 0)?"),
-    ("epl-1", "e", "(?:epl|eclipse public(?: licen[sc]e)?)(?: version| v)? ?1(?: 0)?"),
-    ("epl-2", "e", "(?:epl|eclipse public(?: licen[sc]e)?)(?: version| v)? ?2(?: 0)?"),
-    ("eupl", "e", "(?:eupl|european union public)"),
+    ("mpl-1", "mpl|mozilla", "(?:mpl|mozilla public(?: licen[sc]e)?)(?: version| v)? ?1(?: [01])?"),
+    ("mpl-2", "mpl|mozilla", "(?:mpl|mozilla public(?: licen[sc]e)?)(?: version| v)? ?2(?: 0)?"),
+    ("epl-1", "epl|eclipse", "(?:epl|eclipse public(?: licen[sc]e)?)(?: version| v)? ?1(?: 0)?"),
+    ("epl-2", "epl|eclipse", "(?:epl|eclipse public(?: licen[sc]e)?)(?: version| v)? ?2(?: 0)?"),
+    ("eupl", "eupl|european union", "(?:eupl|european union public)"),
     ("cddl", "cddl", "cddl"),
     ("cpl-1", "common public", "common public"),
     ("unlicense", "unlicen", "unlicen[sc]e"),
-    ("cc0", "c", "(?:cc0|cc zero|creative commons zero)"),
-    ("cc-by-nc-nd", "c", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)"),
-    ("cc-by-nc-sa", "c", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)"),
-    ("cc-by-nc", "c", "(?:cc by nc|creative commons attribution non ?commercial)"),
-    ("cc-by-nd", "c", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)"),
-    ("cc-by-sa", "c", "(?:cc by sa|creative commons attribution share ?alike)"),
-    ("cc-by", "c", "(?:cc by|creative commons attribution)"),
+    ("cc0", "cc0|cc zero|creative commons", "(?:cc0|cc zero|creative commons zero)"),
+    ("cc-by-nc-nd", "cc by|creative commons", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?)"),
+    ("cc-by-nc-sa", "cc by|creative commons", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)"),
+    ("cc-by-nc", "cc by|creative commons", "(?:cc by nc|creative commons attribution non ?commercial)"),
+    ("cc-by-nd", "cc by|creative commons", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s?)"),
+    ("cc-by-sa", "cc by|creative commons", "(?:cc by sa|creative commons attribution share ?alike)"),
+    ("cc-by", "cc by|creative commons", "(?:cc by|creative commons attribution)"),
     ("artistic-1", "artistic", "artistic(?: licen[sc]e)?(?: version| v)? ?1(?: 0)?"),
     ("artistic-2", "artistic", "artistic(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
-    ("boost-1", "b", "(?:bsl 1 0|boost software)"),
+    ("boost-1", "bsl 1 0|boost", "(?:bsl 1 0|boost software)"),
     ("zlib", "zlib", "zlib(?: libpng)?"),
-    ("wtfpl", "wtf", "(?:wtfpl|do what the fuck you want to public)"),
-    ("ofl-1", "o", "(?:ofl|sil open font)(?: version| v)?(?: 1 1)?"),
-    ("ms-pl", "m", "(?:ms pl|microsoft public)"),
-    ("ms-rl", "m", "(?:ms rl|microsoft reciprocal)"),
-    ("psf-2", "p", "(?:psf|python software foundation)"),
+    ("wtfpl", "wtfpl|do what the fuck", "(?:wtfpl|do what the fuck you want to public)"),
+    ("ofl-1", "ofl|open font", "(?:ofl|sil open font)(?: version| v)?(?: 1 1)?"),
+    ("ms-pl", "ms pl|microsoft", "(?:ms pl|microsoft public)"),
+    ("ms-rl", "ms rl|microsoft", "(?:ms rl|microsoft reciprocal)"),
+    ("psf-2", "psf|python software", "(?:psf|python software foundation)"),
     ("postgresql", "postgresql", "postgresql"),
     ("openssl", "openssl", "openssl"),
     ("php-3", "php", "php(?: version| v)? ?3(?: 0[01]?)?"),
     ("ruby", "ruby", "ruby"),
     ("w3c", "w3c", "w3c(?: software)?(?: notice and)?"),
-    ("afl-3", "a", "(?:afl|academic free)"),
-    ("osl-3", "o", "(?:osl|open software)"),
+    ("afl-3", "afl|academic free", "(?:afl|academic free)"),
+    ("osl-3", "osl|open software", "(?:osl|open software)"),
     ("cecill", "cecill", "cecill(?: [bc])?"),
-    ("odbl", "o", "(?:odbl|open database|odc open database)"),
-    ("odc-by", "o", "(?:odc by|open data commons attribution)"),
-    ("pddl", "p", "(?:pddl|public domain dedication and)"),
-    ("ncsa", "n", "(?:ncsa|university of illinois ncsa)"),
-    ("ecl-2", "e", "(?:ecl|educational community)"),
-    ("upl-1", "u", "(?:upl|universal permissive)"),
+    ("odbl", "odbl|open database", "(?:odbl|open database|odc open database)"),
+    ("odc-by", "odc by|open data commons", "(?:odc by|open data commons attribution)"),
+    ("pddl", "pddl|public domain dedication", "(?:pddl|public domain dedication and)"),
+    ("ncsa", "ncsa", "(?:ncsa|university of illinois ncsa)"),
+    ("ecl-2", "ecl|educational community", "(?:ecl|educational community)"),
+    ("upl-1", "upl|universal permissive", "(?:upl|universal permissive)"),
     ("sleepycat", "sleepycat", "sleepycat"),
     ("vim", "vim", "vim"),
-    ("qpl-1", "q", "(?:qpl|q public)"),
-    ("ipl-1", "i", "(?:ipl|ibm public)"),
-    ("apsl-2", "a", "(?:apsl|apple public source)"),
+    ("qpl-1", "qpl|q public", "(?:qpl|q public)"),
+    ("ipl-1", "ipl|ibm public", "(?:ipl|ibm public)"),
+    ("apsl-2", "apsl|apple public", "(?:apsl|apple public source)"),
     ("llama", "llama", "llama(?: [234])?(?: community)?"),
     ("openrail", "openrail", "(?:bigscience |creativeml )?openrail(?: m)?"),
 ]
@@ -105,15 +105,15 @@ OTHERS = [
 ]
 #: A document without any of these can't match a rule.
 GATE = ("licen", "all rights reserved", "public domain", "permission ", "redistribution and use", " under ")
-RULE = "array<struct<label:string,keyword:string,priority:int,pattern:string>>"
+RULE = "array<struct<label:string,keywords:array<string>,priority:int,pattern:string>>"
 
 
 def rules() -> list[dict]:
     made = []
     for label, keyword, name in NAMES:
         for priority, before, after in PHRASINGS:
-            made.append({"label": "" if priority == 95 else label, "keyword": keyword, "priority": priority, "pattern": f"(?<= ){before}{name}{after}(?= )"})
-    return made + [{"label": label, "keyword": k, "priority": p, "pattern": f"(?<= ){text}(?= )"} for label, k, p, text in OTHERS]
+            made.append({"label": "" if priority == 95 else label, "keywords": keyword.split("|"), "priority": priority, "pattern": f"(?<= ){before}{name}{after}(?= )"})
+    return made + [{"label": label, "keywords": k.split("|"), "priority": p, "pattern": f"(?<= ){text}(?= )"} for label, k, p, text in OTHERS]
 
 
 def blanks(c: Column) -> Column:
@@ -121,7 +121,7 @@ def blanks(c: Column) -> Column:
 
 
 def detections(norm: Column) -> Column:
-    """All intervals of all rules whose keyword occurs: array of (start, end, priority, label)."""
+    """All intervals of all rules of which a keyword occurs: array of (start, end, priority, label)."""
 
     def of(rule: Column) -> Column:
         found = F.struct(F.regexp_extract_all(norm, rule["pattern"], F.lit(0)).alias("m"), F.split(norm, rule["pattern"], -1).alias("p"))
@@ -141,7 +141,7 @@ def detections(norm: Column) -> Column:
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), (-rule["priority"]).alias("rank"), rule["label"].alias("label")))
 
     table = F.from_json(F.lit(json.dumps(rules())), RULE)
-    return F.array_sort(F.flatten(F.transform(F.filter(table, lambda r: F.contains(norm, r["keyword"])), of)))
+    return F.array_sort(F.flatten(F.transform(F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(norm, k))), of)))
 
 
 def resolved(hits: Column) -> Column:

@@ -231,6 +231,37 @@ def test_rules_are_hundreds_and_valid():
         re.compile(rule["pattern"])
 
 
+def alternatives(tree):
+    """Strings of a parsed expression, with each branch and each optional part left out and in."""
+    out = [""]
+    for op, of in tree:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(of)]
+        elif name == "IN":
+            some = [chr(c) for kind, c in of if str(kind) == "LITERAL"]
+        elif name == "BRANCH":
+            some = [x for part in of[1] for x in alternatives(part)]
+        elif name == "SUBPATTERN":
+            some = alternatives(of[3])
+        else:
+            assert name == "MAX_REPEAT"
+            some = ([""] if of[0] == 0 else []) + alternatives(of[2])
+        out = [a + b for a in out for b in some]
+    return out
+
+
+def test_every_alternative_passes_its_gate(spark):
+    for _, keywords, name in license_scan.NAMES:
+        for x in alternatives(re._parser.parse(name)):
+            assert any(k in f" {x} " for k in keywords.split("|")), (name, x)
+    for _, keywords, _, text in license_scan.OTHERS:
+        assert all(any(k in x for k in keywords.split("|")) and any(g in f" {x} " for g in license_scan.GATE) for x in alternatives(re._parser.parse(text)))
+    texts = ["released under the GFDL", "Do What The Fuck You Want To Public License", "under the Expat license", "X Consortium license"]
+    got = {r["doc_id"]: [x["label"] for x in r["found"]] for r in license_scan.scan(frame(spark, [*enumerate(texts)])).collect()}
+    assert got == {0: ["gfdl"], 1: ["wtfpl"], 2: ["mit"], 3: ["x11"]}
+
+
 @pytest.mark.parametrize("run", [minhash.near_duplicates, substring_dedup.remove_repeats, line_dedup.drop_lines, packing.pack, secret_scan.scan, license_scan.scan])
 def test_empty_tables(spark, run):
     assert run(frame(spark, [(1, "x")]).limit(0)).count() == 0
