@@ -7,7 +7,11 @@ reported only when their content decodes and parses to the last byte:
 * ``jwt``: three dotted base64url parts, the first of which decodes to a JSON object with ``alg``;
 * ``der``: base64 or hex that decodes to an ASN.1 SEQUENCE of nested elements whose declared
   lengths fill it exactly, and that holds an INTEGER or OBJECT IDENTIFIER (keys, certificates);
-* ``ssh``: base64 or hex that decodes to length-prefixed fields of which the first names a key type.
+* ``ssh``: base64 or hex that decodes to length-prefixed fields of which the first names a key type,
+  or to an ``openssh-key-v1`` private key.
+
+Base64 may be wrapped: what stands between BEGIN and END marks is joined (line breaks may be escaped),
+and so are runs of lines of one width with the shorter one that ends them. The span is that of the base64.
 
 Spans are in code points of the whole text, end exclusive. Edge cases: a null text is empty and
 has no span; a null id stays null; repeated rows are reported each; an empty table gives an empty
@@ -35,10 +39,15 @@ KINDS = ("assign", "access", "hex", "der", "jwt", "ssh")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]|\\[rn])++)-----END \1-----")
+BREAKS = re.compile(r"\s|\\[rn]")
+LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/]+={0,2})")
 ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")
 #: Key types that a length-prefixed encoding may begin with.
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-ed25519", b"sk-ecdsa-sha2-")
 
+OPENSSH = b"openssh-key-v1\0"
+
 
 def der_elements(data: bytes, start: int, end: int, depth: int = 0) -> list[int] | None:
     """Tags of the elements that fill data[start:end] exactly, nested ones included; None if they don't."""
@@ -67,7 +76,25 @@ def der_elements(data: bytes, start: int, end: int, depth: int = 0) -> list[int]
     return tags
 
 
+def openssh(data: bytes) -> bool:
+    """Whether data is cipher, key derivation and its options, a number of public keys and the private part, to the last byte."""
+    at, left, counted = len(OPENSSH), 3, False
+    while left:
+        if at + 4 > len(data):
+            return False
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        left -= 1
+        if not left and not counted:
+            n = int.from_bytes(data[at : at + 4], "big")
+            at, left, counted = at + 4, n + 1, True
+            if not 1 <= n <= 64:
+                return False
+    return at == len(data)
+
+
 def key_kind(data: bytes) -> str | None:
+    if data.startswith(OPENSSH):
+        return "ssh" if openssh(data) else None
     if len(data) >= 16 and data[0] == 0x30:
         tags = der_elements(data, 0, len(data))
         if tags and len(tags) > 2 and {0x02, 0x06} & {*tags}:
@@ -90,6 +117,18 @@ def decoded(text: str, urlsafe: bool = False) -> bytes | None:
         return None
 
 
+def wrapped(text: str, first: re.Match) -> list[tuple[int, str]]:
+    """(end, base64) of the lines as wide as the first that follow it, with and without a shorter one after them."""
+    width, at, parts, ends = len(first[0]), first.end(), [first[0]], [first.end()]
+    while (m := LINE.match(text, at)) and len(m[1]) <= width:
+        parts.append(m[1])
+        at = m.end()
+        ends.append(at)
+        if len(m[1]) < width:
+            break
+    return [(ends[n - 1], "".join(parts[:n])) for n in (len(parts), len(parts) - 1) if n > 1]
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
     """The method's own spans."""
     found = []
@@ -101,12 +140,29 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
                     found.append(("jwt", *m.span()))
             except ValueError:
                 pass
-    for m in BASE64.finditer(text):
-        # A SEQUENCE begins with 0x30, a length-prefixed name with three zero bytes.
-        if m[0][0] == "M" or m[0].startswith("AAAA"):
-            data = decoded(m[0])
+    reach = tried = 0
+    if "-----BEGIN " in text:
+        for m in PEM.finditer(text):
+            data = decoded(BREAKS.sub("", m[2]))
             if data and (kind := key_kind(data)):
-                found.append((kind, *m.span()))
+                # Breaks, escaped ones too, are no part of the span.
+                start = m.start(2) + re.match(r"(?:\s|\\[rn])*", m[2]).end()
+                found.append((kind, start, start + len(re.sub(r"(?:\s|\\[rn])+\Z", "", text[start : m.end(2)]))))
+    marks = [x[1:] for x in found if x[0] != "jwt"]
+    for m in BASE64.finditer(text):
+        while marks and marks[0][1] <= m.start():
+            marks.pop(0)
+        if m.start() < reach or marks and marks[0][0] <= m.start():
+            continue
+        # A SEQUENCE begins with 0x30, a length-prefixed name with three zero bytes, a private key with its format's name.
+        if m[0][0] == "M" or m[0].startswith(("AAAA", "b3Bl")):
+            for end, joined in [(m.end(), m[0])] if m.start() < tried else [(m.end(), m[0]), *wrapped(text, m)]:
+                tried = max(tried, end)
+                data = decoded(joined)
+                if data and (kind := key_kind(data)):
+                    found.append((kind, m.start(), end))
+                    reach = end
+                    break
     for m in ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and m[0].startswith(("30", "000000")) and (kind := key_kind(bytes.fromhex(m[0]))):
             found.append((kind, *m.span()))

@@ -1,6 +1,7 @@
 """Deduplication, scans and packing against brute force."""
 
 import hashlib
+import base64
 import random
 import re
 import zlib
@@ -201,6 +202,27 @@ def test_secrets(spark):
     assert [s[0] for s in found[7]] == ["der"] and [s[0] for s in found[8]] == ["ssh"] and found[9] == []
 
 
+def test_wrapped_keys():
+    rng = random.Random(2)
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    number = bytes([1, *rng.randbytes(299)])
+    body = bytes([2, 1, 0, 2, 0x82]) + len(number).to_bytes(2, "big") + number
+    der = bytes([0x30, 0x82]) + len(body).to_bytes(2, "big") + body
+    key = field(b"ssh-ed25519") + field(rng.randbytes(32))
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(key) + field(rng.randbytes(136))
+    for data, kind, name in ((der, "der", "RSA PRIVATE KEY"), (ssh, "ssh", "OPENSSH PRIVATE KEY")):
+        one = base64.b64encode(data).decode()
+        for width, end in ((64, "\n"), (76, "\r\n"), (70, "\n  "), (10_000, "\n")):
+            lines = end.join(one[i : i + width] for i in range(0, len(one), width))
+            for before, after in ((f"see\n-----BEGIN {name}-----\n", f"\n-----END {name}-----\nend"), ("a text\n", "\nand more"), ("", "")):
+                text = before + lines + after
+                assert secret_scan.confirmed(text) == [(kind, len(before), len(before) + len(lines))]
+        short = lines[:-8]  # doesn't fill its lengths
+        assert secret_scan.confirmed(f"-----BEGIN {name}-----\n{short}\n-----END {name}-----") == []
+        escaped = "\\n".join(one[i : i + 64] for i in range(0, len(one), 64))
+        assert secret_scan.confirmed(f"-----BEGIN {name}-----\\n{escaped}\\n-----END {name}-----") == [(kind, 18 + len(name), 18 + len(name) + len(escaped))]
+
+
 def test_der_lengths():
     assert secret_scan.der_elements(bytes([0x30, 3, 2, 1, 5]), 0, 5) == [0x30, 2]
     assert secret_scan.der_elements(bytes([0x30, 4, 2, 1, 5]), 0, 5) is None
