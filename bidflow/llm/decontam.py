@@ -3,7 +3,8 @@
 Words become templates: numbers, names (capitalised words that don't open a sentence) and units
 turn into typed slots, other words lose case and surrounding punctuation. All windows of ``WINDOW``
 template words of the benchmark are hashed; documents are searched for the same hashes, whatever
-fills the slots. Matching windows of one item are chained along one alignment, and an alignment
+fills the slots. Windows are matched in a second form too, in which names are words in lower case,
+so that copies count in whatever case they are written and whatever stands before them. Matching windows of one item are chained along one alignment, and an alignment
 counts when it covers at least ``COVER`` of the item's windows and its slots are consistent: each
 value of the item stands for one value of the document throughout, and no two values of a kind for
 the same one. Exact copies and questions with other numbers or names thus both count; texts that
@@ -52,7 +53,7 @@ def canonical(text: str | None) -> tuple[list[bytes], list[bytes]]:
         word = raw.strip(_EDGE)
         if word:
             first = word[0]
-            low = word.lower()
+            low = word.lower() if word.isascii() else word.decode("utf-8", "surrogatepass").casefold().encode("utf-8", "surrogatepass")
             if 48 <= first <= 57 and _NUMBER.fullmatch(word):
                 templates.append(b"<num>")
             elif low in UNITS and templates and templates[-1] == b"<num>":
@@ -66,19 +67,26 @@ def canonical(text: str | None) -> tuple[list[bytes], list[bytes]]:
     return templates, values
 
 
+def unnamed(templates: list[bytes], values: list[bytes]) -> list[bytes]:
+    """The template words with names as words."""
+    return [v if t == b"<name>" else t for t, v in zip(templates, values)]
+
+
 class Index:
-    """Windows of a block of benchmark items, with what it takes to align a document to them."""
+    """Windows of a block of benchmark items, with what it takes to align a document to them; of both forms, or of that without names alone."""
 
-    def __init__(self, items: list[tuple], window: int, cover: float):
+    def __init__(self, items: list[tuple], window: int, cover: float, names: bool = True):
         self.window, self.cover, self.items = window, cover, []
+        self.names, self.other = names, Index(items, window, cover, False) if names else None
         hashes, where = [], []
         for item, text in items:
             templates, values = canonical(text)
+            slots, templates = templates, templates if names else unnamed(templates, values)
             if templates:
                 size = min(window, len(templates))
                 h = run_hashes(word_hashes(templates), size)
                 k = len(self.items)
-                self.items.append((item, templates, values, size, len(h)))
+                self.items.append((item, slots, values, size, len(h)))
                 hashes.append(h)
                 where += [(k, i) for i in range(len(h))]
         self.sizes = sorted({x[3] for x in self.items})
@@ -88,13 +96,14 @@ class Index:
         self.keys = np.unique(self.hashes)
 
     def consistent(self, k: int, templates: list[bytes], values: list[bytes], shift: int) -> bool:
-        """Whether slots map one to one in the part where item and document are aligned."""
+        """Whether slots map one to one in the part where item and document are aligned; in any case, names stand in the item's slots."""
         _, item_templates, item_values, _, _ = self.items[k]
+        names = frozenset() if self.names else {v for t, v in zip(item_templates, item_values) if t == b"<name>"}
         to: dict[tuple, bytes] = {}
         back: dict[tuple, bytes] = {}
         for i, slot in enumerate(item_templates):
             j = i + shift
-            if slot in _SLOTS and 0 <= j < len(values) and templates[j] == slot:
+            if slot in _SLOTS and 0 <= j < len(values) and (templates[j] == slot or slot == b"<name>" and values[j] in names):
                 a, b = item_values[i], values[j]
                 if to.setdefault((slot, a), b) != b or back.setdefault((slot, b), a) != a:
                     return False
@@ -105,7 +114,12 @@ class Index:
         templates, values = canonical(text)
         if not templates or not len(self.keys):
             return []
-        words = word_hashes(templates)
+        best = self.other.found(templates, values) | self.found(templates, values)
+        return sorted((x[4], -x[1], x[0], x[3], x[2]) for x in best.values())
+
+    def found(self, templates: list[bytes], values: list[bytes]) -> dict[int, tuple]:
+        """By number of the item: windows matched, start word negated, exact, of all windows, item."""
+        words = word_hashes(templates if self.names else unnamed(templates, values))
         shifts: dict[tuple[int, int], int] = defaultdict(int)
         for size in self.sizes:
             h = run_hashes(words, size)
@@ -137,7 +151,7 @@ class Index:
                     n = sum(x[1] for x in found[low : high + 1])
                     if self.cover * total <= n <= total and all(self.consistent(k, templates, values, s) for s, _ in found[low : high + 1]):
                         best[k] = max(best.get(k, (0,)), (n, -found[low][0], False, total, item))
-        return sorted((x[4], -x[1], x[0], x[3], x[2]) for x in best.values())
+        return best
 
 
 def blocks(benchmark: DataFrame, window: int, cover: float, most: int = BLOCK_WORDS):

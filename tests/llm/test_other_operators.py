@@ -123,6 +123,19 @@ def test_decontamination(spark):
     assert decontam.contaminated(frame(spark, docs).limit(0), bench).count() == 0
 
 
+def test_copies_in_any_case_are_contaminated():
+    german = "Wenn Maria im Garten zehn Äpfel pflückt und Tom in der Küche drei Kuchen mit Äpfeln backt wie viele Äpfel hat Maria"
+    short = "Grab the red box near the door"
+    index = decontam.Index([(1, QUESTION), (2, german), (3, short)], 8, 0.6)
+    for k, item in ((1, QUESTION), (2, german), (3, short)):
+        for text in (item, item.lower(), item.upper(), f"before it {item} after"):
+            assert [m[0] for m in index.matches(text)] == [k]
+            assert [m[4] for m in index.matches(text)] == [True]
+    assert [m[0] for m in index.matches(QUESTION.replace("Maria", "Anna").replace("Tom", "Bob"))] == [1]
+    assert index.matches(short.replace("red", "blue")) == []
+    assert index.matches(QUESTION.replace("Maria keep", "Tom keep").lower()) == []
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(i, f"item number{i} " + " ".join(f"q{i}_{k}" for k in range(12))) for i in range(9)], "item_id long, text string")
     docs = frame(spark, [(i, f"lead words {t} tail") for i, (_, t) in enumerate(bench.collect())])
