@@ -59,10 +59,8 @@ def embedded_json(spark, sf):
     o = v.opportunities(spark, sf)
     item = F.to_json(F.struct(F.col("external_id").alias("id"), F.struct(F.col("agency").alias("name")).alias("buyer"), F.col("category").alias("type")))
     pages = o.select(F.floor(F.col("id") / 25).alias("page_id"), "id", item.alias("item")).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda x: x["item"]), ",").alias("items"))
-    made = pages.select("page_id", F.concat(F.lit("<script>window.__DATA__ = {\"results\":["), "items", F.lit("]};</script>")).alias("html"))
-    body = F.regexp_extract("html", r"(?s)window\.__DATA__\s*=\s*(\{.*?\});", 1)
-    rows = F.from_json(F.get_json_object(body, "$.results"), "array<struct<id:string,buyer:struct<name:string>,type:string>>")
-    return made.select("page_id", F.explode(rows).alias("r")).select("page_id", F.col("r.id").alias("external_id"), F.col("r.buyer.name").alias("agency"), F.col("r.type").alias("category"))
+    made = pages.select("page_id", F.lit("").alias("url"), F.concat(F.lit("<script>window.__DATA__ = {\"results\":["), "items", F.lit("]};</script>")).alias("html"))
+    return html.extract(made, 0.2).select("page_id", "external_id", "agency", "category")
 
 
 L = f"with {LISTINGS}"

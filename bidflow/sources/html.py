@@ -1,4 +1,4 @@
-"""Rows out of pages: HTML tables, cards, JSON-LD and markdown tables, in one Arrow stage."""
+"""Rows out of pages: HTML tables, cards, JSON-LD, embedded JSON and markdown tables, in one Arrow stage."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from bidflow.functions.headers import FIELDS, IMPORTANT, REQUIRED, synonyms
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-METHODS = ("jsonld", "table", "card", "markdown")
+METHODS = ("jsonld", "embedded", "table", "card", "markdown")
 
 
 class Node:
@@ -146,6 +146,65 @@ def of_linked(root: Node, url: str) -> list[dict]:
     return out
 
 
+# Where scripts hold data, keys of lists, and names of properties; of a field's names the first that is filled wins.
+EMBEDDED = re.compile(r"(?:window\.(?:__DATA__|initialData)|(?:var|let|const)\s+(?:data|bids|opportunities))\s*=\s*(?=[{\[])|JSON\.parse\s*\(\s*'((?:[^'\\]|\\.)+)'\s*\)", re.DOTALL)
+LISTS = ("data", "results", "items", "records", "bids", "opportunities", "listings")
+PROPERTIES = {
+    "external_id": "id bid_id solicitation_id opportunity_id reference number", "title": "title name subject description_short", "closing_at": "close_date closing_date due_date deadline end_date",
+    "posted_at": "post_date posted_date publish_date open_date", "status": "status state phase", "agency": "agency organization buyer", "category": "category type commodity",
+    "location": "location place region", "estimated_value": "value amount budget estimated_value", "detail_url": "url link href",
+}
+
+
+def of_object(item: dict, url: str) -> dict:
+    record = {}
+    for field, names in PROPERTIES.items():
+        for name in names.split():
+            value = item.get(name)
+            if isinstance(value, dict):
+                value = next((value[k] for k in ("name", "value", "text") if value.get(k)), None)
+            if value and isinstance(value, (str, int, float)):
+                record[field] = str(value)
+                break
+    if "detail_url" in record:
+        record["detail_url"] = urljoin(url, record["detail_url"])
+    return record
+
+
+def of_json(data, url: str, hints: tuple = ()) -> list[dict]:
+    """Records of a list of objects; of an object, those at the first dotted path or key that gives some, else itself."""
+    if isinstance(data, list):
+        return [r for item in data if isinstance(item, dict) and (r := of_object(item, url))]
+    if not isinstance(data, dict):
+        return []
+    for path in hints:
+        nested = data
+        for key in path.split("."):
+            nested = nested.get(key) if isinstance(nested, dict) else None
+        if found := of_json([nested] if isinstance(nested, dict) else nested, url):
+            return found
+    for key in LISTS:
+        if isinstance(data.get(key), list) and (found := of_json(data[key], url)):
+            return found
+    return of_json([data], url)
+
+
+def of_embedded(root: Node, url: str, hints: tuple = ()) -> list[dict]:
+    """Records of JSON in the page's scripts."""
+    out, decoder = [], json.JSONDecoder()
+    for script in root.find("script"):
+        if "src" in script.attrs:
+            continue
+        text = "".join(c for c in script.children if isinstance(c, str))
+        for m in EMBEDDED.finditer(text):
+            try:
+                data = json.loads(re.sub(r"\\(['\"\\])", r"\1", m[1])) if m[1] else decoder.raw_decode(text, m.end())[0]
+            except ValueError:
+                continue
+            out += of_json(data, url, hints)
+    return out
+
+
 def of_markdown(text: str, url: str) -> list[dict]:
     """Records of the first table with a rule under its header."""
     lines = text.splitlines()
@@ -179,11 +238,11 @@ def confidence(records: list[dict]) -> float:
     return round(0.5 * share(REQUIRED) + 0.3 * share(IMPORTANT) + 0.2 * min(1, len(records) / 5), 3)
 
 
-def extract_page(html: str, url: str, threshold: float) -> tuple[str, float, list[dict]]:
+def extract_page(html: str, url: str, threshold: float, hints: tuple = ()) -> tuple[str, float, list[dict]]:
     """The first method whose records reach the threshold."""
     root = dom(html)
     tables = (of_table(t, url) for t in root.find("table"))
-    tries = (("jsonld", lambda: of_linked(root, url)), ("table", lambda: max(tables, key=confidence, default=[])), ("card", lambda: of_cards(root, url)), ("markdown", lambda: of_markdown(html, url)))
+    tries = (("jsonld", lambda: of_linked(root, url)), ("embedded", lambda: of_embedded(root, url, hints)), ("table", lambda: max(tables, key=confidence, default=[])), ("card", lambda: of_cards(root, url)), ("markdown", lambda: of_markdown(html, url)))
     for name, run in tries:
         records = run()
         if (sure := confidence(records)) >= threshold:
@@ -194,14 +253,17 @@ def extract_page(html: str, url: str, threshold: float) -> tuple[str, float, lis
 COLUMNS = [*FIELDS, "detail_url"]
 
 
-def extract(pages: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """One row per record of the pages (page_id, url, html): method, confidence, row_index and the fields as text."""
+def extract(pages: DataFrame, threshold: float = 0.4, hints: tuple = ()) -> DataFrame:
+    """One row per record of the pages (page_id, url, html): method, confidence, row_index and the fields as text.
+
+    ``hints`` are dotted paths to the records in embedded JSON, which are tried first.
+    """
 
     def run(batches):
         for batch in batches:
             out = []
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                method, sure, records = extract_page(html or "", url or "", threshold)
+                method, sure, records = extract_page(html or "", url or "", threshold, hints)
                 out += [(page, method, sure, i, *(r.get(c) for c in COLUMNS)) for i, r in enumerate(records)]
             columns = list(zip(*out)) or [[]] * (4 + len(COLUMNS))
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32()] + [pa.string()] * len(COLUMNS)

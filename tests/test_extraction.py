@@ -19,3 +19,15 @@ def test_empty_pages(spark):
 def test_linked_data_with_bad_json():
     page = '<script type="application/ld+json">{bad</script><script type="application/ld+json">[{"name": ["T"], "identifier": {"value": 7}, "url": "/a"}, 3]</script>'
     assert html.of_linked(html.dom(page), "https://e.org/") == [{"external_id": "7", "title": "T", "detail_url": "https://e.org/a"}]
+
+
+def test_embedded_json():
+    one = '{"bid_id": 7, "name": "A; b};", "buyer": {"name": "X"}, "due_date": "2024-01-02", "state": "open", "link": "/a"}'
+    record = {"external_id": "7", "title": "A; b};", "agency": "X", "closing_at": "2024-01-02", "status": "open", "detail_url": "https://e.org/a"}
+    quoted = one.replace('"', '\\"')
+    for script in (f'window.__DATA__ = {{"results": [{one}]}};', f"window.initialData={one};", f'var data = {{"items": [{one}, 3]}};', f"var bids = [{one}];", f"var opportunities = [{one}]\n;", f"x = JSON.parse( '[{quoted}]' )"):
+        method, _, records = html.extract_page(f"<script>bad = 1; {script} var data = {{bad}};</script>", "https://e.org/l", 0.4)
+        assert (method, records) == ("embedded", [record])
+    deep = f'<script>var data = {{"page": {{"rows": [{one}]}}}};</script>'
+    assert html.extract_page(deep, "https://e.org/l", 0.4)[0] == "pipeline_failed"
+    assert html.extract_page(deep, "https://e.org/l", 0.4, ("no.such", "page.rows"))[2] == [record]
