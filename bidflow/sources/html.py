@@ -1,148 +1,323 @@
-"""Rows out of pages: HTML tables, cards, JSON-LD, embedded JSON and markdown tables, in one Arrow stage."""
+"""Rows out of pages: structured data, tables, cards, rules and markdown tables, in one Arrow stage."""
 
 from __future__ import annotations
 
 import json
 import re
-from html.parser import HTMLParser
-from urllib.parse import urljoin
+from dataclasses import dataclass, field
+from xml.etree.ElementTree import Element
+from urllib.parse import parse_qs, urljoin, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidflow.functions.headers import FIELDS, IMPORTANT, REQUIRED, synonyms
+from bidflow.functions.headers import ALIASES, FAMILIES, HEADERS, IMPORTANT, REQUIRED, nearest, synonyms
+from bidflow.sources.markup import classes, following, parse, select, selected, text_lines, text_of, within
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CLOSES = {"tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-METHODS = ("jsonld", "embedded", "table", "card", "markdown")
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "children", "text")
-
-    def __init__(self, tag, attrs=()):
-        self.tag, self.attrs, self.children, self.text = tag, dict(attrs), [], []
+_SYNONYMS = synonyms()
+#: Fields of a record, beside those of headers.
+MORE = ["description", "department", "source_url", "contact_info", "estimated_value_currency"]
+COLUMNS = [*HEADERS, *MORE]
 
-    def walk(self):
-        yield self
-        for child in self.children:
-            if isinstance(child, Node):
-                yield from child.walk()
+dom = parse
 
-    def content(self) -> str:
-        return " ".join("".join(c if isinstance(c, str) else f" {c.content()} " for c in self.children).split())
 
-    def find(self, *tags):
-        return [n for n in self.walk() if n.tag in tags and n is not self]
+def absolute(url: str, href: str) -> str:
+    return href if not url or href.startswith(("http://", "https://")) else urljoin(url, href)
 
 
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("root")
-        self.open = [self.root]
+# Tables: a score picks five, the surest of them gives the records.
+SCORES = dict.fromkeys(REQUIRED, 10) | dict.fromkeys(IMPORTANT, 5)
+MOST_TABLES = MOST_GROUPS = 5
 
-    def handle_starttag(self, tag, attrs):
-        while len(self.open) > 1 and self.open[-1].tag in CLOSES.get(tag, ()):
-            self.open.pop()
-        node = Node(tag, attrs)
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(Node(tag, attrs))
+def match_header(header: str) -> tuple[str | None, float]:
+    """Field and confidence: 1 for a known header, 0.7 for a similar one."""
+    text = header.strip().lower()
+    exact = _SYNONYMS.get(text)
+    similar = exact or nearest(text)[0]
+    return similar, 1.0 if exact else 0.7 if similar else 0.0
 
-    def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                break
 
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
+def table_rows(table: Element) -> list[Element]:
+    """The table's own lines below its header; those of tables within are theirs."""
+    own = [n for n in table if n.tag == "tr"] + [n for part in table if part.tag in ("tbody", "tfoot") for n in part if n.tag == "tr"]
+    bodies = [n for part in table if part.tag == "tbody" for n in part if n.tag == "tr"]
+    return bodies or own[1:]
 
 
-def dom(html: str) -> Node:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    return builder.root
+def table_headers(table: Element) -> list[str]:
+    """Of its head, else its first line."""
+    for part in table:
+        if part.tag == "thead" and (heads := within(part, "th")):
+            return [text_of(h) for h in heads]
+    for line in table.iter("tr"):
+        for tag in ("th", "td"):
+            if heads := [text_of(n) for n in line if n.tag == tag]:
+                return heads
+        break
+    return []
 
 
-_SYNONYMS = synonyms()
+def table_score(fields: list, rows: int, nested: bool) -> float:
+    """From the fields of its headers (None: unknown), its number of rows and whether it holds tables."""
+    score = float(sum(SCORES.get(f, 2) for f in fields if f))
+    score *= 0.0 if not rows else 0.5 if rows < 3 else 1.2 if rows > 100 else 1.0
+    return score * 0.5 if nested else score
 
 
-def of_table(table: Node, url: str) -> list[dict]:
-    """Records of a table whose headers name an id or a title."""
-    lines = table.find("tr")
-    heads = [n for n in lines[0].find("th", "td")] if lines else []
-    fields = {i: f for i, h in enumerate(heads) if (f := _SYNONYMS.get(h.content().strip().lower()))}
-    if not {*fields.values()} & {*REQUIRED}:
-        return []
+def of_table(table: Element, url: str) -> tuple[float, list[dict]]:
+    """Confidence and records of a table; without an id or title among its headers it has none."""
+    heads = [match_header(h) for h in table_headers(table)]
+    lines = table_rows(table)
+    # The first line is the header where no head says so, even within a body.
+    if lines and not any(p.tag == "thead" for p in table) and lines[0] is next(table.iter("tr")):
+        lines = lines[1:]
+    mapped = {f for f, _ in heads if f}
+    if not mapped & {*REQUIRED}:
+        return 0.2, []
     out = []
-    for line in lines[1:]:
-        cells, record = line.find("td"), {}
-        for i, field in fields.items():
-            if i < len(cells):
-                record[field] = cells[i].content()
-                if field in REQUIRED and (links := [a for a in cells[i].find("a") if a.attrs.get("href")]):
-                    record["detail_url"] = urljoin(url, links[-1].attrs["href"])
-        if any(record.get(f) for f in fields.values()):
-            out.append(record)
-    return out
-
-
-def of_cards(root: Node, url: str) -> list[dict]:
-    """Records of the largest group of three or more alike elements that hold a link."""
-    best: list[Node] = []
-    for node in root.walk():
-        groups: dict[tuple, list[Node]] = {}
-        for child in node.children:
-            if isinstance(child, Node) and child.attrs.get("class"):
-                groups.setdefault((child.tag, *sorted(child.attrs["class"].lower().split())[:3]), []).append(child)
-        for group in groups.values():
-            if len(group) >= 3 and len(group) > len(best) and all(n.find("a") for n in group):
-                best = group
-    out = []
-    for card in best:
-        link = max(card.find("a"), key=lambda a: min(len(a.content()), 80))
-        record = {"title": link.content(), "detail_url": urljoin(url, link.attrs.get("href") or "")}
-        labels = card.find("dt", "dd")
-        for dt, dd in zip(labels, labels[1:]):
-            if dt.tag == "dt" and dd.tag == "dd" and (field := _SYNONYMS.get(dt.content().rstrip(":").strip().lower())):
-                record.setdefault(field, dd.content())
-        if record["title"] or record.get("external_id"):
+    for line in lines:
+        cells, record = [n for n in line if n.tag == "td"], {}
+        filled = False
+        for (name, _), cell in zip(heads, cells):
+            if not name:
+                continue
+            if value := text_of(cell):
+                record[name] = value
+                filled = True
+            if name in ("external_id", "title", "detail_url") and (link := next((a.get("href") for a in cell.iter("a") if a.get("href")), None)):
+                record["detail_url"] = absolute(url, link)
+        if filled:
             out.append(record)
-    return out
+    if not out:
+        return 0.0, []
+    sure = sum(c for f, c in heads if f) / len(heads)
+    return round(0.3 * sure + 0.4 * len(mapped & {*REQUIRED}) / 2 + 0.2 * len(mapped & {*IMPORTANT}) / 4 + 0.1 * min(1.0, len(out) / 5), 3), out
+
+
+def of_tables(root: Element, url: str) -> tuple[float, list[dict]]:
+    scored = []
+    for table in root.iter("table"):
+        fields = [match_header(h)[0] for h in table_headers(table)]
+        if (score := table_score(fields, len(table_rows(table)), next((True for n in table.iter("table") if n is not table), False))) > 0:
+            scored.append((score, table))
+    scored.sort(key=lambda x: -x[0])
+    return max((of_table(t, url) for _, t in scored[:MOST_TABLES]), key=lambda x: x[0], default=(0.0, []))
+
+
+# Cards. Words of classes and of texts.
+CARD_HINTS = ("card", "result", "listing", "item", "opportunity", "search-result", "mat-card")
+CONTAINER_HINTS = ("results", "list", "items", "search-results", "listing", "content")
+STATUS_HINTS = ("status", "badge", "state", "tag", "chip", "label")
+AGENCY_HINTS = ("agency", "organization", "department", "buyer", "ministry", "fg-text", "org")
+AGENCY_WORDS = ("town", "city", "county", "municipal", "ministry", "department", "authority", "board", "district", "university", "college", "school", "government")
+STATUS_WORDS = ("open", "closed", "awarded", "expired", "cancelled", "canceled", "draft", "evaluation", "selection")
+SHOWN_STATUS = STATUS_WORDS[:6]
+LINK_WORDS = ("posting", "opportunity", "tender", "bid", "notice")
+NO_TITLES = {"view", "details", "more", "read more", "learn more"}
+ID_ATTRIBUTES = ("data-id", "data-bid-id", "data-opportunity-id", "data-posting-id", "data-item-id", "id")
+ID_KEYS = ("id", "bid", "posting", "opportunity")
+CARD_FIELDS = ("closing_at", "posted_at", "status", "agency", "category", "detail_url")
+DATE = re.compile(r"\b(\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s+\d{1,2},\s+\d{4})\b", re.IGNORECASE)
+CODE = re.compile(r"\b[A-Z]{2,}-\d{2,}[A-Z0-9-]*\b")
+
+
+def any_in(words: tuple, text: str) -> bool:
+    return any(w in text for w in words)
+
+
+def group_score(cards: int, children: int, linked: float, worded: float, hints: float) -> float:
+    """Of a group of alike children: linked and worded are shares of cards with a link, and with more than 40 characters."""
+    score = min(cards, 30) * (1 + 2 * linked + 1.5 * worded) + 2 * cards / children + hints
+    return score * 0.4 if linked < 0.2 and worded < 0.2 else score
+
+
+def card_groups(root: Element) -> list[tuple[float, list[Element]]]:
+    """Groups of three children or more that are alike in tag and classes, the best first."""
+    found = []
+    for node in root.iter():
+        if len(node) < 3:
+            continue
+        alike: dict[tuple, list[Element]] = {}
+        for child in node:
+            alike.setdefault((child.tag, " ".join(sorted(child.get("class", "").split())[:3]).lower()), []).append(child)
+        for (tag, names), cards in alike.items():
+            if len(cards) >= 3:
+                linked = sum(any(a.get("href") is not None for a in c.iter("a")) for c in cards) / len(cards)
+                worded = sum(len(text_of(c)) > 40 for c in cards) / len(cards)
+                hints = 2.0 * any_in(CARD_HINTS, f"{tag}|{names}") + 1.5 * any_in(CONTAINER_HINTS, classes(node)) + 1.5 * ("-" in tag)
+                found.append((group_score(len(cards), len(node), linked, worded, hints), cards))
+    return sorted(found, key=lambda x: -x[0])[:MOST_GROUPS]
+
+
+def link_score(text: str, names: str, href: str) -> int:
+    return min(len(text), 80) * (len(text) > 3) + 10 * ("title" in names) + 20 * any_in(LINK_WORDS, href)
+
+
+def main_link(card: Element) -> tuple[str | None, str | None]:
+    best, found = 0, (None, None)
+    for a in card.iter("a"):
+        href = a.get("href")
+        if href and not href.startswith("#") and not href.lower().startswith("javascript:"):
+            text = text_of(a)
+            if (score := link_score(text, classes(a), href)) > best:
+                best, found = score, (href, text)
+    return found
+
+
+def is_title(text: str | None) -> bool:
+    return bool(text) and 4 <= len(text) <= 180 and text.lower() not in NO_TITLES
+
+
+def title_of(card: Element, link: str | None) -> str | None:
+    if is_title(link):
+        return link
+    for n in [n for tag in ("h1", "h2", "h3", "h4", "h5") for n in card.iter(tag)] + [n for n in card.iter() if n is not card and "title" in n.get("class", "")]:
+        if is_title(text := text_of(n)):
+            return text
+    return max(filter(is_title, text_lines(card)), key=len, default=None)
+
+
+def card_id(card: Element, link: str | None) -> str | None:
+    for n in card.iter():
+        for name, value in n.items():
+            if name in ID_ATTRIBUTES and value:
+                return value
+    if link:
+        parts = urlparse(link)
+        last = parts.path.rstrip("/").split("/")[-1]
+        if len(last) >= 4:
+            return last
+        query = parse_qs(parts.query)
+        for key in ID_KEYS:
+            if query.get(key):
+                return query[key][0]
+    code = CODE.search("".join(card.itertext()))
+    return code[0] if code else None
+
+
+def card_status(card: Element) -> str | None:
+    for n in card.iter():
+        if any_in(STATUS_HINTS, classes(n)) and 0 < len(text := text_of(n)) <= 24:
+            return text
+    whole = text_of(card).lower()
+    return next((w.title() for w in SHOWN_STATUS if w in whole), None)
+
+
+def agency_score(text: str) -> float:
+    if not 3 <= len(text) <= 140 or DATE.search(text):
+        return 0.0
+    low = text.lower()
+    return 6.0 * any_in(AGENCY_WORDS, low) - 6.0 * any_in(STATUS_WORDS, low) + max(0.0, 20.0 - abs(len(text) - 30)) / 2 + 2.0 * (len(text.split()) >= 2)
+
+
+def card_agency(card: Element, title: str | None, status: str | None) -> str | None:
+    hinted = [text_of(n) for n in card.iter() if any_in(AGENCY_HINTS, classes(n))]
+    for texts in (hinted, [t for t in text_lines(card) if t not in (title, status)]):
+        best = max(texts, key=agency_score, default="")
+        if agency_score(best) > 0:
+            return best
+    return None
+
+
+def label_of(text: str) -> str | None:
+    """The field that a label names."""
+    label = " ".join(re.sub(r"[^a-z0-9#\s]", " ", text.lower()).split())
+    if not label:
+        return None
+    return next((f for f, words in FAMILIES if any_in(words, label)), None) or match_header(label)[0]
+
+
+def label_pairs(card: Element, lines: bool = True):
+    """Labels and values: of definition lists, rows of two cells, parts named so by class, labels with a next element, and ``label: value`` lines."""
+    after = following(card)
+    for dt in within(card, "dt"):
+        if (dd := after.get(dt)) is not None and dd.tag == "dd":
+            yield text_of(dt), text_of(dd)
+    for line in within(card, "tr"):
+        cells = within(line, "th", "td")
+        if len(cells) >= 2:
+            yield text_of(cells[0]), text_of(cells[1])
+    every = [n for n in card.iter() if n is not card]
+    for part in every:
+        if "detail" in part.get("class", ""):
+            named = lambda word, part=part: next((n for n in part.iter() if n is not part and word in n.get("class", "")), None)
+            head, value = named("header"), named("value")
+            if head is not None and value is not None:
+                yield text_of(head), text_of(value)
+    for n in every:
+        if ("label" in n.get("class", "") or {"field-name"} & {*n.get("class", "").split()}) and (value := after.get(n)) is not None and len(label := text_of(n)) <= 60:
+            yield label, text_of(value)
+    if lines:
+        for line in text_lines(card):
+            if ":" in line and len(line) < 120:
+                label, value = line.split(":", 1)
+                yield label.strip(), value.strip()
+
+
+def of_card(card: Element, url: str) -> dict:
+    href, text = main_link(card)
+    title, record = title_of(card, text), {}
+    if href:
+        record["detail_url"] = absolute(url, href)
+    if title:
+        record["title"] = title
+    for label, value in label_pairs(card):
+        if label and value and (name := label_of(label)):
+            record.setdefault(name, value)
+    status = card_status(card)
+    dates = [m[0] for m in DATE.finditer(text_of(card))]
+    for name, value in (("external_id", card_id(card, record.get("detail_url"))), ("status", status), ("agency", card_agency(card, title, status)), ("closing_at", dates[0] if dates else None), ("posted_at", dates[1] if len(dates) > 1 else None)):
+        if value:
+            record.setdefault(name, value)
+    return record if record.get("external_id") or record.get("title") else {}
+
+
+def of_cards(root: Element, url: str) -> tuple[float, list[dict]]:
+    groups = card_groups(root)
+    records = [r for card in groups[0][1] if (r := of_card(card, url))] if groups else []
+    if not records:
+        return 0.0, []
+    fields = sum(sum(bool(r.get(f)) for f in CARD_FIELDS) / len(CARD_FIELDS) for r in records) / len(records)
+    return round(0.4 * fields + 0.4 + 0.2 * min(1.0, len(records) / 5), 3), records
 
 
-# Properties of linked data.
-LINKED = {"identifier": "external_id", "name": "title", "validThrough": "closing_at", "datePosted": "posted_at", "status": "status", "seller": "agency", "category": "category", "url": "detail_url"}
+# Structured data. Properties of linked data, of which a later one replaces an earlier one.
+LINKED = {
+    "identifier": "external_id", "@id": "external_id", "sku": "external_id", "name": "title", "headline": "title", "alternateName": "title", "description": "description", "abstract": "description",
+    "startDate": "posted_at", "datePublished": "posted_at", "datePosted": "posted_at", "endDate": "closing_at", "validThrough": "closing_at", "expires": "closing_at",
+    "provider": "agency", "seller": "agency", "organizer": "agency", "author": "agency", "category": "category", "@type": "category", "location": "location", "areaServed": "location",
+    "price": "estimated_value", "priceCurrency": "estimated_value_currency", "url": "detail_url", "mainEntityOfPage": "source_url", "contactPoint": "contact_info", "email": "contact_email", "telephone": "contact_phone",
+}
+#: Read besides: no property of linked data gives a status.
+LINKED_MORE = {"status": "status"}
 
 
-def of_linked(root: Node, url: str) -> list[dict]:
+def of_linked(root: Element, url: str) -> list[dict]:
     out = []
-    for script in root.find("script"):
-        if (script.attrs.get("type") or "").lower() == "application/ld+json":
-            try:
-                data = json.loads("".join(c for c in script.children if isinstance(c, str)))
-            except ValueError:
-                continue
-            items = data.get("@graph", [data]) if isinstance(data, dict) else data
-            for item in items if isinstance(items, list) else []:
-                record = {}
-                for name, field in LINKED.items():
-                    value = item.get(name) if isinstance(item, dict) else None
-                    value = value[0] if isinstance(value, list) and value else value
-                    value = next((value[k] for k in ("name", "value", "@value") if k in value), None) if isinstance(value, dict) else value
-                    if value not in (None, ""):
-                        record[field] = str(value)
-                if record:
-                    if "detail_url" in record:
-                        record["detail_url"] = urljoin(url, record["detail_url"])
-                    out.append(record)
+    for script in root.iter("script"):
+        if script.get("type") != "application/ld+json":
+            continue
+        try:
+            data = json.loads(script.text or "")
+        except ValueError:
+            continue
+        items = data["@graph"] if isinstance(data, dict) and "@graph" in data else data if isinstance(data, list) else [data]
+        for item in items if isinstance(items, list) else [items]:
+            record = {}
+            for name, to in (LINKED | LINKED_MORE).items():
+                value = item.get(name) if isinstance(item, dict) else None
+                value = value[0] if isinstance(value, list) and value else value
+                if isinstance(value, dict):
+                    value = value.get("name") or value.get("value") or value.get("@value")
+                if value:
+                    record[to] = str(value)
+            if record:
+                if "detail_url" in record:
+                    record["detail_url"] = absolute(url, record["detail_url"])
+                out.append(record)
     return out
 
 
@@ -150,27 +325,40 @@ def of_linked(root: Node, url: str) -> list[dict]:
 EMBEDDED = re.compile(r"(?:window\.(?:__DATA__|initialData)|(?:var|let|const)\s+(?:data|bids|opportunities))\s*=\s*(?=[{\[])|JSON\.parse\s*\(\s*'((?:[^'\\]|\\.)+)'\s*\)", re.DOTALL)
 LISTS = ("data", "results", "items", "records", "bids", "opportunities", "listings")
 PROPERTIES = {
-    "external_id": "id bid_id solicitation_id opportunity_id reference number", "title": "title name subject description_short", "closing_at": "close_date closing_date due_date deadline end_date",
-    "posted_at": "post_date posted_date publish_date open_date", "status": "status state phase", "agency": "agency organization buyer", "category": "category type commodity",
-    "location": "location place region", "estimated_value": "value amount budget estimated_value", "detail_url": "url link href",
+    "external_id": "id bid_id solicitation_id opportunity_id reference number", "title": "title name subject description_short", "description": "description details summary scope",
+    "closing_at": "close_date closing_date due_date deadline end_date", "posted_at": "post_date posted_date publish_date open_date", "status": "status state phase",
+    "agency": "agency organization buyer", "department": "department", "category": "category type commodity", "location": "location place region",
+    "estimated_value": "value amount budget estimated_value", "detail_url": "url link href", "contact_name": "contact contact_name buyer_name", "contact_email": "email contact_email", "contact_phone": "phone contact_phone",
 }
 
 
 def of_object(item: dict, url: str) -> dict:
     record = {}
-    for field, names in PROPERTIES.items():
+    for to, names in PROPERTIES.items():
         for name in names.split():
             value = item.get(name)
             if isinstance(value, dict):
-                value = next((value[k] for k in ("name", "value", "text") if value.get(k)), None)
+                value = value.get("name") or value.get("value") or value.get("text")
             if value and isinstance(value, (str, int, float)):
-                record[field] = str(value)
+                record[to] = str(value)
                 break
     if "detail_url" in record:
-        record["detail_url"] = urljoin(url, record["detail_url"])
+        record["detail_url"] = absolute(url, record["detail_url"])
     return record
 
 
+def nested(data, path: str):
+    """What a dotted path of keys and places leads to, else None."""
+    for key in path.split("."):
+        if isinstance(data, dict):
+            data = data.get(key)
+        elif isinstance(data, list) and key.isdigit() and int(key) < len(data):
+            data = data[int(key)]
+        else:
+            return None
+    return data
+
+
 def of_json(data, url: str, hints: tuple = ()) -> list[dict]:
     """Records of a list of objects; of an object, those at the first dotted path or key that gives some, else itself."""
     if isinstance(data, list):
@@ -178,10 +366,8 @@ def of_json(data, url: str, hints: tuple = ()) -> list[dict]:
     if not isinstance(data, dict):
         return []
     for path in hints:
-        nested = data
-        for key in path.split("."):
-            nested = nested.get(key) if isinstance(nested, dict) else None
-        if found := of_json([nested] if isinstance(nested, dict) else nested, url):
+        part = nested(data, path)
+        if found := of_json([part] if isinstance(part, dict) else part, url):
             return found
     for key in LISTS:
         if isinstance(data.get(key), list) and (found := of_json(data[key], url)):
@@ -189,13 +375,13 @@ def of_json(data, url: str, hints: tuple = ()) -> list[dict]:
     return of_json([data], url)
 
 
-def of_embedded(root: Node, url: str, hints: tuple = ()) -> list[dict]:
+def of_embedded(root: Element, url: str, hints: tuple = ()) -> list[dict]:
     """Records of JSON in the page's scripts."""
     out, decoder = [], json.JSONDecoder()
-    for script in root.find("script"):
-        if "src" in script.attrs:
+    for script in root.iter("script"):
+        if script.get("src") is not None:
             continue
-        text = "".join(c for c in script.children if isinstance(c, str))
+        text = script.text or ""
         for m in EMBEDDED.finditer(text):
             try:
                 data = json.loads(re.sub(r"\\(['\"\\])", r"\1", m[1])) if m[1] else decoder.raw_decode(text, m.end())[0]
@@ -205,16 +391,103 @@ def of_embedded(root: Node, url: str, hints: tuple = ()) -> list[dict]:
     return out
 
 
+#: Names of data attributes; others keep their own.
+DATA_NAMES = {"id": "external_id", "bid_id": "external_id", "item_id": "external_id", "title": "title", "name": "title", "status": "status", "state": "status", "date": "closing_at", "deadline": "closing_at", "due": "closing_at"}
+
+
+def of_attributes(root: Element) -> list[dict]:
+    """Records of elements with data-id, data-bid-id or data-item."""
+    out = []
+    for n in select(root, "[data-id], [data-bid-id], [data-item]"):
+        names = ((name[5:].replace("-", "_"), value) for name, value in n.items() if name.startswith("data-"))
+        record = {DATA_NAMES.get(name, name): value for name, value in names}
+        if any(record.values()):
+            out.append(record)
+    return out
+
+
+def structured_confidence(records: list[dict]) -> float:
+    """By filled fields, the raw data counting as one."""
+    return min(0.95, 0.5 + sum(1 + sum(map(bool, r.values())) for r in records) / len(records) / 20) if records else 0.0
+
+
+def of_structured(html: str, root: Element | None, url: str, hints: tuple) -> tuple[str, float, list[dict]]:
+    """Method, confidence and records of the first kind that has some: the page as JSON, linked data, JSON in scripts, data attributes."""
+    if html.lstrip().startswith(("{", "[")):
+        try:
+            if records := of_json(json.loads(html), url, hints):
+                return "raw_json", 0.9, records
+        except ValueError:
+            pass
+    root = parse(html) if root is None else root
+    for name, records in (("jsonld", lambda: of_linked(root, url)), ("embedded", lambda: of_embedded(root, url, hints)), ("data_attributes", lambda: of_attributes(root))):
+        if found := records():
+            return name, structured_confidence(found), found
+    return "structured", 0.0, []
+
+
+@dataclass(frozen=True)
+class FieldRule:
+    """How a field is read: the first selector that gives a value; of an attribute or the text, a part of it by expression, cleaned."""
+
+    selectors: tuple[str, ...]
+    attribute: str | None = None
+    regex: str | None = None
+    clean: bool = True
+    required: bool = False
+
+    def value(self, node: Element, url: str) -> str | None:
+        value = node.get(self.attribute.lower()) if self.attribute else "".join(node.itertext())
+        if value and self.attribute in ("href", "src") and url:
+            value = urljoin(url, value)
+        if value and self.regex:
+            m = re.search(self.regex, value)
+            value = m and (m[1] if m.re.groups else m[0])
+        if value and self.clean:
+            value = " ".join(value.split())
+        return value or None
+
+    def values(self, top: Element, url: str, first: bool = False) -> list[str]:
+        for selector in self.selectors:
+            nodes = selected(top, selector)
+            if found := [v for n in (nodes[:1] if first else nodes) if (v := self.value(n, url))]:
+                return found
+        return []
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Declared extraction: fields within each container, or lists of values that are aligned by position."""
+
+    fields: dict[str, FieldRule] = field(default_factory=dict)
+    container: str | None = None
+
+    def records(self, root: Element, url: str) -> list[dict]:
+        if self.container:
+            found = [{name: v[0] for name, rule in self.fields.items() if (v := rule.values(c, url, first=True))} for c in selected(root, self.container)]
+        else:
+            columns = {name: v for name, rule in self.fields.items() if (v := rule.values(root, url))}
+            found = [{name: v[i] for name, v in columns.items() if i < len(v)} for i in range(max(map(len, columns.values()), default=0))]
+        return [r for r in found if r]
+
+    def confidence(self, records: list[dict]) -> float:
+        if not records:
+            return 0.0
+        share = lambda names: sum(bool(r.get(f)) for r in records for f in names) / (len(records) * len(names))
+        must = [f for f, rule in self.fields.items() if rule.required]
+        return round(0.4 * share([*self.fields]) + 0.4 * (share(must) if must else 1.0) + 0.2 * min(1.0, len(records) / 5), 3)
+
+
 def of_markdown(text: str, url: str) -> list[dict]:
-    """Records of the first table with a rule under its header."""
-    lines = text.splitlines()
+    """Records of the first table with a rule under its header, below "## Results" if there is such a line."""
+    lines = text[max(0, text.find("## Results")) :].splitlines()
     for k in range(len(lines) - 1):
         if lines[k].lstrip().startswith("|") and re.fullmatch(r"\s*\|?(\s*:?-{3,}:?\s*\|)+\s*:?-*:?\s*", lines[k + 1]):
             heads = [h.strip() for h in lines[k].strip().strip("|").split("|")]
             fields = {}
             for i, h in enumerate(heads):
-                tokens = {*re.sub("[^a-z0-9]+", " ", h.lower()).split()}
-                fields[i] = next((f for f, bases in FIELDS.items() for b in bases if {*b.split()} <= tokens), None)
+                tokens = {*re.sub("[^a-z0-9#]+", " ", h.lower()).split()}
+                fields[i] = next((f for f, aliases in ALIASES.items() for a in aliases if {*a.split()} <= tokens), None)
             out = []
             for line in lines[k + 2 :]:
                 if not line.lstrip().startswith("|"):
@@ -224,46 +497,89 @@ def of_markdown(text: str, url: str) -> list[dict]:
                     if link := re.search(r"\[[^\]]*\]\(([^)\s]+)\)", cell):
                         record.setdefault("detail_url", urljoin(url, link[1]))
                     if fields.get(i):
-                        record[fields[i]] = " ".join(re.sub(r"\[([^\]]+)\]\([^)]+\)", r"\1", cell).split())
+                        record[{"value": "estimated_value"}.get(fields[i], fields[i])] = " ".join(re.sub(r"\[([^\]]+)\]\([^)]+\)", r"\1", cell).split())
                 if record.get("title") or record.get("external_id"):
                     out.append(record)
             return out
     return []
 
 
-def confidence(records: list[dict]) -> float:
-    if not records:
-        return 0.0
-    share = lambda names: sum(bool(r.get(f)) for r in records for f in names) / (len(records) * len(names))
-    return round(0.5 * share(REQUIRED) + 0.3 * share(IMPORTANT) + 0.2 * min(1, len(records) / 5), 3)
-
-
-def extract_page(html: str, url: str, threshold: float, hints: tuple = ()) -> tuple[str, float, list[dict]]:
-    """The first method whose records reach the threshold."""
-    root = dom(html)
-    tables = (of_table(t, url) for t in root.find("table"))
-    tries = (("jsonld", lambda: of_linked(root, url)), ("embedded", lambda: of_embedded(root, url, hints)), ("table", lambda: max(tables, key=confidence, default=[])), ("card", lambda: of_cards(root, url)), ("markdown", lambda: of_markdown(html, url)))
-    for name, run in tries:
-        records = run()
-        if (sure := confidence(records)) >= threshold:
-            return name, sure, records
-    return "pipeline_failed", 0.0, []
+QUICK = ("external_id", "agency", "closing_at", "posted_at", "status")
+
 
+def quick_confidence(records: list[dict]) -> float:
+    return min(1.0, sum(0.4 * bool(r.get("title")) + 0.6 * sum(bool(r.get(f)) for f in QUICK) / len(QUICK) for r in records) / len(records)) if records else 0.0
 
-COLUMNS = [*FIELDS, "detail_url"]
+
+# Labels on detail pages, of which the first field that has one within the label wins.
+DETAIL_LABELS = {
+    "title": ["title", "solicitation title", "project name", "bid title"], "external_id": ["solicitation number", "bid number", "rfp number", "id", "number"],
+    "closing_at": ["closing date", "due date", "deadline", "close date", "end date"], "posted_at": ["posted date", "publish date", "open date", "issue date"], "status": ["status", "bid status", "state"],
+    "agency": ["agency", "department", "organization", "buyer"], "category": ["category", "type", "commodity", "classification"], "description": ["description", "scope", "details", "summary"],
+    "contact_name": ["contact", "buyer name", "procurement officer"], "contact_email": ["email", "contact email"], "estimated_value": ["estimated value", "budget", "value", "amount"],
+}
 
 
-def extract(pages: DataFrame, threshold: float = 0.4, hints: tuple = ()) -> DataFrame:
+def of_detail(html: str, url: str, rules: Rules | None = None, description: str | None = None) -> dict:
+    """What a detail page tells: by rules, by the selector of the description, and by labels where those give fewer than three fields."""
+    root, record = parse(html), {}
+    for name, rule in (rules.fields if rules else {}).items():
+        if value := rule.values(root, url, first=True):
+            record[name] = value[0]
+    if description and (nodes := selected(root, description)):
+        record["description"] = text_of(nodes[0])
+    if len(record) < 3:
+        labels: dict[str, str] = {}
+        for label, value in label_pairs(root, lines=False):
+            low = label.lower().strip().rstrip(":")
+            name = next((f for f, words in DETAIL_LABELS.items() if any_in(tuple(words), low)), None)
+            if name and value:
+                labels[name] = value  # the last one stays
+        record = labels | record
+    return record | {"source_url": url}
+
+
+#: Where links to the next page are looked for, in this order.
+NEXT = ('a[rel="next"]', "a.next", "a.pagination-next", 'a[aria-label*="Next"]', 'a[title*="Next"]', "li.next a", '.pagination a:contains("Next")', '.pagination a:contains(">")', 'a:contains("Next Page")')
+
+
+def next_page(html: str, url: str, hint: str | None = None) -> str | None:
+    """URL of the next page."""
+    root = parse(html)
+    for selector in ([hint] if hint else []) + [*NEXT]:
+        nodes = selected(root, selector)
+        href = nodes[0].get("href") if nodes else None
+        if href and (selector == hint or not href.startswith("#")):
+            return urljoin(url, href)
+    return None
+
+
+def extract_page(html: str, url: str, threshold: float, hints: tuple = (), rules: Rules | None = None) -> tuple[str, float, list[dict]]:
+    """The first method whose records reach the threshold, and are surer than 0.3."""
+    root = parse(html)
+    tries = [lambda: of_structured(html, root, url, hints), lambda: ("table", *of_tables(root, url)), lambda: ("card", *of_cards(root, url))]
+    if rules:
+        tries.append(lambda: ("rules", rules.confidence(found := rules.records(root, url)), found))
+    if "|" in html:
+        tries.append(lambda: ("markdown", quick_confidence(found := of_markdown(html, url)), found))
+    for run in tries:
+        name, sure, records = run()
+        if records and sure >= max(threshold, 0.3):
+            return name, sure, records
+    return "pipeline_failed", 0.0, []
+
+
+def extract(pages: DataFrame, threshold: float = 0.4, hints: tuple = (), rules: Rules | None = None) -> DataFrame:
     """One row per record of the pages (page_id, url, html): method, confidence, row_index and the fields as text.
 
-    ``hints`` are dotted paths to the records in embedded JSON, which are tried first.
+    ``hints`` are dotted paths to the records in embedded JSON, which are tried first; ``rules`` apply where no heuristic is sure.
     """
 
     def run(batches):
         for batch in batches:
             out = []
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                method, sure, records = extract_page(html or "", url or "", threshold, hints)
+                method, sure, records = extract_page(html or "", url or "", threshold, hints, rules)
                 out += [(page, method, sure, i, *(r.get(c) for c in COLUMNS)) for i, r in enumerate(records)]
             columns = list(zip(*out)) or [[]] * (4 + len(COLUMNS))
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32()] + [pa.string()] * len(COLUMNS)
@@ -273,6 +589,29 @@ def extract(pages: DataFrame, threshold: float = 0.4, hints: tuple = ()) -> Data
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, schema)
 
 
+def details(pages: DataFrame, rules: Rules | None = None, description: str | None = None) -> DataFrame:
+    """One row per detail page (page_id, url, html): its fields as text, with confidence 0.7."""
+
+    def run(batches):
+        for batch in batches:
+            out = [(page, 0.7, of_detail(html or "", url or "", rules, description)) for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")))]
+            arrays = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64()), *(pa.array([x[2].get(c) for x in out], pa.string()) for c in COLUMNS)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "confidence", *COLUMNS])
+
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, confidence double, " + ", ".join(f"{c} string" for c in COLUMNS))
+
+
+def next_pages(pages: DataFrame, hint: str | None = None) -> DataFrame:
+    """(page_id, next_url) of the pages (page_id, url, html)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [next_page(html or "", url or "", hint) for url, html in zip(*(batch.column(c).to_pylist() for c in ("url", "html")))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(found, pa.string())], names=["page_id", "next_url"])
+
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, next_url string")
+
+
 def listing_pages(listings: DataFrame, kind: str, size: int = 25) -> DataFrame:
     """Listing pages written from listings (id, external_id, title, agency, closing_text, status_text), size rows a page."""
     esc = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
