@@ -39,7 +39,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """df, written once to shared storage and read back: a cut in the lineage."""
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stored() wrote, once nothing reads it any more; other tables are left alone."""
+    for table in tables:
+        if "stored_at" in vars(table):
+            remove_folder(table.sparkSession, table.stored_at)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

@@ -34,6 +34,8 @@ WORDS = 5
 PERCENT = 75
 #: Hashes in a block of sets that a task compares with another.
 BLOCK_HASHES = 1 << 20
+#: Sets in such a block, so that a task's table of pairs is bounded too, however short the texts.
+BLOCK_SETS = 2048
 
 
 def sketches(docs: DataFrame, k: int, words: int) -> DataFrame:
@@ -235,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Lists of one main component are one task family, so that a pair of several lists is compared once.
     members = stored(mixed.groupBy("main", "id", "n", "part").agg(F.lit(1).alias("one")).drop("one"), "members")
     rest = members.where("part <> main")
-    blocks = lambda df, name: df.groupBy("main").agg(F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias(name))
+    blocks = lambda df, name: df.groupBy("main").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_HASHES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias(name))
     counts = stored(blocks(rest, "nx").join(blocks(members, "ny"), "main"), "blocks")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
