@@ -65,3 +65,42 @@ def parse_date(c: Column) -> Column:
 def closing_urgency(closing: Column, as_of: Column) -> Column:
     days = F.floor(F.timestamp_diff("SECOND", as_of, closing) / 86400)
     return F.when(days < 0, "Past").when(days <= 7, F.concat(days.cast("string"), F.lit("d"))).otherwise(F.date_format(closing, "yyyy-MM-dd"))
+
+
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+
+def natural_date(c: Column, as_of: Column) -> Column:
+    """Struct of value and confidence of dates in words: ``Mar 5, 2024``, ``5 March 2024``, ``March 5`` (the next one), with a time of day or without; today, tomorrow, yesterday; ``in 3 days``, ``3 days ago``.
+
+    Confidence is 0.7, 0.1 more with a year or a time each, 0.1 less for what is relative; null and 0 for all else.
+    """
+
+    def of(text: Column) -> Column:
+        part = lambda pattern, i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
+        month, time = rf"({'|'.join(MONTHS)})[a-z]*\.?", r"(?:,?\s+(?:at\s+)?(\d{1,2}):(\d{2})\s*([ap]m)?)?"
+        first, last = rf"^{month}\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s+(\d{{4}}))?{time}$", rf"^(\d{{1,2}})(?:st|nd|rd|th)?\s+{month}(?:,?\s+(\d{{4}}))?{time}$"
+        pick = lambda i, j: F.coalesce(part(first, i), part(last, j))
+        number = F.array_position(F.array(*(F.lit(m) for m in MONTHS)), pick(1, 2)).cast("int")
+        day, year, hour, minute, half = pick(2, 1).cast("int"), pick(3, 3).cast("int"), pick(4, 4).cast("int"), pick(5, 5).cast("int"), pick(6, 6)
+        hour = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
+        date = lambda y: F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(number.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
+        this = date(F.year(as_of))
+        found = F.when(number > 0, F.when(year.isNotNull(), date(year)).otherwise(F.when(this >= F.to_date(as_of), this).otherwise(date(F.year(as_of) + 1))))
+        word = F.when(text == "today", 0).when(text == "tomorrow", 1).when(text == "yesterday", -1)
+        ahead, ago = part(r"^in\s+(\d{1,5})\s+days?$", 1).cast("int"), part(r"^(\d{1,5})\s+days?\s+ago$", 1).cast("int")
+        moved = F.coalesce(word, ahead, -ago)
+        at = found.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.coalesce(hour, F.lit(0)), F.coalesce(minute, F.lit(0)))
+        value = F.coalesce(F.when(F.coalesce(hour, F.lit(0)).between(0, 23), at), (F.date_add(F.to_date(as_of), moved)).cast("timestamp_ntz"))
+        sure = F.bround(0.7 + F.when(year.isNotNull(), 0.1).otherwise(0.0) + F.when(hour.isNotNull(), 0.1).otherwise(0.0) - F.when(moved.isNotNull(), 0.1).otherwise(0.0), 3)
+        return F.struct(value.alias("value"), F.when(value.isNotNull(), sure).otherwise(0.0).alias("confidence"))
+
+    return bound(F.lower(clean_date_text(F.coalesce(c, F.lit("")))), of)
+
+
+def dynamic_value(c: Column, as_of: Column, last_run: Column) -> Column:
+    """Text with ``${TODAY}``, ``${TODAY+7d}``, ``${TODAY-7d}`` and ``${LAST_RUN_DATE}`` (30 days ago if there was none) as dates."""
+    day = lambda d: F.date_format(d, "yyyy-MM-dd")
+    moved = F.regexp_extract(c, r"\$\{TODAY([+-]\d{1,5})d\}", 1).try_cast("int")
+    text = F.replace(F.replace(c, F.lit("${TODAY}"), day(as_of)), F.lit("${LAST_RUN_DATE}"), day(F.coalesce(last_run, as_of - F.make_dt_interval(F.lit(30)))))
+    return F.when(moved.isNull(), text).otherwise(F.replace(text, F.regexp_extract(c, r"(\$\{TODAY[+-]\d{1,5}d\})", 1), day(F.date_add(F.to_date(as_of), moved))))

@@ -29,3 +29,29 @@ def fingerprint(df, missing: str = "") -> Column:
 def dedupe_id(external_id: Column, *parts: Column) -> Column:
     text = F.concat(*(F.coalesce(p, F.lit("")) for p in parts))
     return F.coalesce(F.nullif(external_id, F.lit("")), F.substring(F.md5(text), 1, 16))
+
+
+def json_text(c: Column) -> Column:
+    """A JSON string of ASCII letters alone."""
+    plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    short = F.create_map(*(F.lit(x) for x in ("\n", "\\n", "\r", "\\r", "\t", "\\t", "\b", "\\b", "\f", "\\f")))
+
+    def one(x: Column) -> Column:
+        n = F.ascii(x)
+        wide = F.concat(unit(F.shiftright(n - 65536, 10) + 0xD800), unit((n - 65536).bitwiseAND(1023) + 0xDC00))
+        return F.when(n.between(32, 126), x).otherwise(F.coalesce(F.try_element_at(short, x), F.when(n > 65535, wide).otherwise(unit(n))))
+
+    odd = F.array_join(F.transform(F.split(plain, ""), one), "")
+    return F.concat(F.lit('"'), F.when(plain.rlike(r"[^\x20-\x7E]"), odd).otherwise(plain), F.lit('"'))
+
+
+# What the key of a stored listing covers, in this order.
+STABLE = ["agency", "external_id", "posted_at", "title"]
+
+
+def stable_fingerprint(df) -> Column:
+    """First 16 hex digits of the SHA-256 of a JSON object of the stable fields that are filled."""
+    kinds = dict(df.dtypes)
+    pairs = [F.when(F.coalesce(as_text(c, kinds[c]), F.lit("")) != "", F.concat(F.lit(f'"{c}": '), json_text(as_text(c, kinds[c])))) for c in STABLE]
+    return F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}")), 256), 1, 16)

@@ -34,3 +34,21 @@ def parse_status(c: Column, default: str = "UNKNOWN") -> Column:
 def inferred(status: Column, closing: Column, awarded: Column, as_of: Column) -> Column:
     """A given status, else what the dates say."""
     return F.coalesce(status, F.when(awarded.isNotNull(), "AWARDED"), F.when(closing > as_of, "OPEN"), F.when(closing.isNotNull(), "CLOSED"), F.lit("UNKNOWN"))
+
+
+# Exact texts of a status, of a table apart from the patterns above.
+EXACT = {
+    "OPEN": [
+        "open", "active", "accepting bids", "accepting responses", "accepting submissions", "in progress", "current", "live", "available", "published", "posted", "issued", "advertised", "pending",
+        "pending award", "under review", "evaluation", "bidding",
+    ],
+    "CLOSED": ["closed", "bid closed", "submissions closed", "response closed", "ended", "complete", "completed", "finished", "past due", "no longer accepting"],
+    "AWARDED": ["awarded", "award made", "contract awarded", "winner selected", "selected", "award complete", "under contract"],
+    "EXPIRED": ["expired", "lapsed", "past", "outdated", "stale"],
+    "CANCELLED": ["cancelled", "canceled", "withdrawn", "revoked", "terminated", "void", "deleted", "removed"],
+}
+
+
+def exact_status(c: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for status, texts in EXACT.items() for text in texts for x in (text, status)))
+    return F.coalesce(F.try_element_at(known, F.lower(F.trim(c))), F.lit("UNKNOWN"))

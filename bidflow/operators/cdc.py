@@ -14,9 +14,12 @@ from bidflow.functions.hashing import as_text, fingerprint
 KEY = ["portal_id", "external_id"]
 # Significance of the fields that a diff compares.
 SIGNIFICANCE = {
-    "title": "high", "status": "high", "closing_at": "high", "estimated_value": "high",
-    "agency": "medium", "category": "medium", "posted_at": "medium", "contact_name": "medium",
+    "title": "high", "status": "high", "closing_at": "high", "estimated_value": "high", "award_amount": "high", "awardee": "high",
+    "description": "medium", "agency": "medium", "department": "medium", "category": "medium", "posted_at": "medium", "awarded_at": "medium", "contact_name": "medium", "contact_email": "medium",
+    "contact_phone": "low", "location": "low", "commodity_codes": "low", "detail_url": "low", "description_markdown": "low",
 }
+# Fields that a keyed store tracks.
+TRACKED = ["title", "description", "status", "closing_at", "posted_at", "category", "agency", "estimated_value", "contact_name", "contact_email", "awardee", "award_amount"]
 
 
 def last_of_batch(batch: DataFrame, order: str) -> DataFrame:
@@ -84,13 +87,39 @@ def missed(classes_of_all: DataFrame) -> DataFrame:
     return both.where("outcome = 'UNCHANGED'").where(~F.col("old_contact_name").eqNullSafe(F.col("new_contact_name"))).select(*KEY, F.col("old_contact_name").alias("old_value"), F.col("new_contact_name").alias("new_value"))
 
 
-def upserted(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """The state after the batch: rows with an equal fingerprint stay as they are."""
+def upserted(state: DataFrame, batch: DataFrame, seen_at: Column | None = None) -> DataFrame:
+    """The state after the batch: rows with an equal fingerprint stay as they are; last_seen_at, if seen_at is given, moves for all that are in the batch."""
     old = state.withColumn("fingerprint", fingerprint(state)).select(*KEY, F.struct(*state.columns, "fingerprint").alias("old"))
-    new = batch.withColumn("fingerprint", fingerprint(batch)).select(*KEY, F.struct(*batch.columns, "fingerprint").alias("new"))
+    told = batch if seen_at is None else batch.withColumn("last_seen_at", seen_at)
+    new = told.withColumn("fingerprint", fingerprint(batch)).select(*KEY, F.struct(*state.columns, "fingerprint").alias("new"))
     both = old.join(new, KEY, "full")
     keep = F.col("new").isNull() | (F.col("old.fingerprint") == F.col("new.fingerprint"))
-    return both.select(F.when(F.coalesce(keep, F.lit(False)), F.col("old")).otherwise(F.col("new")).alias("row")).select("row.*")
+    rows = both.select(F.col("new").isNotNull().alias("__seen"), F.when(F.coalesce(keep, F.lit(False)), F.col("old")).otherwise(F.col("new")).alias("row")).select("__seen", "row.*")
+    return (rows if seen_at is None else rows.withColumn("last_seen_at", F.when(F.col("__seen"), seen_at).otherwise(F.col("last_seen_at")))).drop("__seen")
+
+
+def disappeared(state: DataFrame, as_of: Column, days: int) -> DataFrame:
+    """Events for open rows that no run has seen for so many days."""
+    return state.where((F.col("last_seen_at") < as_of - F.make_dt_interval(F.lit(days))) & (F.col("status") == "OPEN")).select(*KEY, F.lit("EXPIRED").alias("event_type"), "last_seen_at")
+
+
+def diff_list(classes: DataFrame) -> DataFrame:
+    """Diffs as JSON: what changed, both fingerprints, significance."""
+    high = F.exists("changes", lambda c: c["significance"] == "high")
+    body = F.struct("changes", F.col("old_fingerprint"), F.col("new_fingerprint"), high.alias("is_significant"))
+    return classes.where("outcome = 'UPDATED'").select(*KEY, F.to_json(body, {"ignoreNullFields": "false"}).alias("diff"))
+
+
+def diff_map(classes: DataFrame) -> DataFrame:
+    """Diffs as JSON: each field with its old and new value."""
+    pairs = F.map_from_entries(F.transform("changes", lambda c: F.struct(c["field"], F.struct(c["old"].alias("old"), c["new"].alias("new")))))
+    return classes.where("outcome = 'UPDATED'").select(*KEY, F.to_json(pairs, {"ignoreNullFields": "false"}).alias("diff"))
+
+
+def shown_keys(diff: Column, most: int = 3) -> Column:
+    """The first keys of a diff, and how many more there are."""
+    keys = F.json_object_keys(diff)
+    return F.concat(F.array_join(F.slice(keys, 1, most), ", "), F.when(F.size(keys) > most, F.concat(F.lit(" (+"), (F.size(keys) - most).cast("string"), F.lit(")"))).otherwise(""))
 
 
 def run_counters(classes: DataFrame) -> DataFrame:
@@ -104,12 +133,16 @@ def insert_if_absent(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def repo_changes(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """Tracked fields that differ by value, dates to the minute, whatever the fingerprints say."""
+    """Tracked fields that differ by value, dates to the minute, whatever the fingerprints say; a field that the batch lacks counts as null."""
     both = joined(state, batch).where("known")
-    minute = lambda side: F.date_trunc("MINUTE", F.col(f"{side}_closing_at"))
-    tests = {"title": None, "status": None, "agency": None, "category": None, "contact_name": None, "estimated_value": None}
-    parts = [F.when(~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")), F.lit(c)) for c in tests] + [F.when(~minute("old").eqNullSafe(minute("new")), F.lit("closing_at"))]
-    fields = F.array_sort(F.array_compact(F.array(*parts)))
+    kinds = dict(both.dtypes)
+
+    def value(side: str, name: str) -> Column:
+        c = F.col(f"{side}_{name}") if f"{side}_{name}" in kinds else F.lit(None)
+        return F.date_trunc("MINUTE", c) if kinds.get(f"old_{name}", "").startswith("timestamp") else c
+
+    tracked = [c for c in TRACKED if f"old_{c}" in kinds]
+    fields = F.array_sort(F.array_compact(F.array(*(F.when(~value("old", c).eqNullSafe(value("new", c)), F.lit(c)) for c in tracked))))
     return both.select(*KEY, fields.alias("f")).where(F.size("f") > 0).select(*KEY, F.array_join("f", ",").alias("fields"), F.concat(F.lit("Updated "), F.size("f").cast("string"), F.lit(" field(s)")).alias("message"))
 
 
