@@ -9,6 +9,7 @@ from bidflow.functions.text import shortened
 
 # Columns of the exports.
 CSV_COLUMNS = ["external_id", "title", "agency", "status", "category", "posted_at", "closing_at", "estimated_value", "portal_id"]
+JSON_COLUMNS = ["external_id", "title", "description", "agency", "status", "category", "posted_at", "closing_at", "estimated_value", "portal_id", "detail_url"]
 JSONL_COLUMNS = ["external_id", "title", "agency", "status", "category", "posted_at", "closing_at", "estimated_value"]
 
 
@@ -63,22 +64,30 @@ def quick_filter(df: DataFrame, keywords: list[str] = (), statuses: list[str] =
 
 
 def export_rows(df: DataFrame, kind: str) -> DataFrame:
-    """Rows as the exports write them: csv columns, or one JSON object a line."""
+    """Rows as the exports write them: csv columns (no value: empty, 0 too), or one JSON object a line."""
+    columns = {"csv": CSV_COLUMNS, "json": JSON_COLUMNS}.get(kind, JSONL_COLUMNS)
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c)
-    shaped = df.select(*(stamp(c) if c in ("posted_at", "closing_at") else F.col(c) for c in (CSV_COLUMNS if kind == "csv" else JSONL_COLUMNS)))
-    return shaped if kind == "csv" else shaped.select(F.col("external_id"), F.to_json(F.struct(*JSONL_COLUMNS), {"ignoreNullFields": "false"}).alias("line"))
+    shaped = df.select(*(stamp(c) if c in ("posted_at", "closing_at") else F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
+    return shaped if kind == "csv" else shaped.select(F.col("external_id"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))
 
 
 def write_export(df: DataFrame, path: str) -> None:
-    """The format follows the suffix: .csv, .json or .jsonl."""
+    """The format follows the suffix: .csv, .jsonl (an object a line) or .json: the parts, one after the other, are one array."""
     kind = path.rsplit(".", 1)[-1]
     if kind not in ("csv", "json", "jsonl"):
         raise ValueError(f"no export format {kind!r}")
-    shaped = export_rows(df, "csv" if kind == "csv" else "jsonl")
+    shaped = export_rows(df, kind)
     if kind == "csv":
-        shaped.write.option("header", True).csv(path)
-    else:
+        shaped.withColumn("estimated_value", F.when(F.col("estimated_value") != 0, F.col("estimated_value"))).write.option("header", True).option("emptyValue", "").option("nullValue", '""').csv(path)
+    elif kind == "jsonl":
         shaped.select("line").write.text(path)
+    else:
+        spark = df.sparkSession
+        numbered = shaped.select("line", F.monotonically_increasing_id().alias("n"))
+        first = numbered.agg(F.min("n")).first()[0]
+        rows = numbered.select(F.when(F.col("n") == first, F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("line"))
+        edge = lambda mark: spark.range(1, numPartitions=1).select(F.lit(mark).alias("line"))
+        edge("[").unionByName(rows).unionByName(edge("]")).write.text(path)
 
 
 def table_view(df: DataFrame, urgency: Column, value: Column) -> DataFrame:

@@ -71,7 +71,7 @@ def total_records_text(spark, sf):
 
 def page_chain(spark, sf):
     links = _pages(spark, sf).select("page_id", F.when(F.col("page_id") % 7 != 0, F.col("page_id") + 3).alias("next_id"))
-    return p.page_chain(links, _pages(spark, sf).where("page_id % 10 = 1").select("page_id"), 5)
+    return p.page_chain(links, _pages(spark, sf).select("page_id"), 5)
 
 
 def conversation_turns(spark, sf):
@@ -100,7 +100,7 @@ SQL = {
     "contacts_in_text": "select doc_id, cast(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) as bigint) as emails, cast(len(regexp_extract_all(text, '\\+?\\d? ?\\(\\d{3}\\) \\d{3}-\\d{4}')) as bigint) as phones from documents",
     "total_records_text": O + " select id, case when id % 9 <> 0 then cast(id % 40 * 25 + 1 as int) end as first, case when id % 9 <> 0 then cast(id % 40 * 25 + 25 as int) end as last, case when id % 9 <> 0 then cast(id + 1000 as int) end as total, case when id % 9 <> 0 then cast(ceil((id + 1000) / 25.0) as int) end as page_count from opportunities",
     "page_chain": """with recursive links as (select page_id, case when page_id % 7 <> 0 then page_id + 3 end as next_id from pages),
- chain as (select page_id as start_id, page_id, 1 as depth from pages where page_id % 10 = 1 union all select c.start_id, l.next_id, c.depth + 1 from chain c join links l on c.page_id = l.page_id where l.next_id is not null and c.depth < 5)
+ chain as (select page_id as start_id, page_id, 1 as depth from pages union all select c.start_id, l.next_id, c.depth + 1 from chain c join links l on c.page_id = l.page_id where l.next_id is not null and c.depth < 5)
  select start_id, page_id, depth from chain""",
     "conversation_turns": "select conv_id, count(*) as turns, count(*) filter (role = 'user') as user_turns, cast(sum(length(text)) as bigint) as chars, md5(arg_min(text, turn)) as first_md5 from conversations group by 1",
 }

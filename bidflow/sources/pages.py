@@ -54,14 +54,21 @@ def totals(text: Column) -> Column:
     return F.struct(part(1).alias("first"), part(2).alias("last"), part(3).alias("total"))
 
 
+#: Steps after which a chain's lineage is cut, where the session has a folder for that.
+CUT = 16
+
+
 def page_chain(links: DataFrame, start: DataFrame, most: int) -> DataFrame:
-    """(start_id, page_id, depth): what following next_id from each start page visits, at most ``most`` pages each.
+    """(start_id, page_id, depth): what following next_id from each start page visits, at most ``most`` pages each and none twice.
 
-    Each step is a join of the pages reached last; all starts go together.
+    Each step is one join of the chains that go on; all starts go together, and a chain is a row that carries its path.
     """
-    step = start.select(F.col("page_id").alias("start_id"), "page_id", F.lit(1).alias("depth"))
-    visited = step
-    for depth in range(2, most + 1):
-        step = step.join(links, "page_id").where("next_id is not null").select("start_id", F.col("next_id").alias("page_id"), F.lit(depth).alias("depth"))
-        visited = visited.unionByName(step)
-    return visited
+    chains = start.select(F.col("page_id").alias("start_id"), "page_id", F.array("page_id").alias("path"))
+    step = links.where("next_id is not null").groupBy("page_id").agg(F.min("next_id").alias("next_id"))
+    for depth in range(1, most):
+        on = chains.join(step, "page_id", "left")
+        goes = F.col("next_id").isNotNull() & (F.size("path") == depth) & ~F.array_contains("path", F.col("next_id"))
+        chains = on.select("start_id", F.when(goes, F.col("next_id")).otherwise(F.col("page_id")).alias("page_id"), F.when(goes, F.array_append("path", F.col("next_id"))).otherwise(F.col("path")).alias("path"))
+        if depth % CUT == 0 and links.sparkSession.sparkContext.getCheckpointDir():
+            chains = chains.checkpoint()
+    return chains.select("start_id", F.posexplode("path").alias("pos", "page_id")).select("start_id", "page_id", (F.col("pos") + 1).alias("depth"))
