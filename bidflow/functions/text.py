@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Entities that are decoded, in this order.
@@ -17,6 +17,17 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with more columns that are computed once a row, however often they are used later (Spark would inline them)."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores before heavy projections, where it is read from fewer files than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def normalize_whitespace(c: Column) -> Column:
     """Runs of any Unicode white space become one blank; null becomes empty."""
     return F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))

@@ -49,20 +49,26 @@ def canonical(raw: DataFrame, as_of: Column, keep: tuple = ()) -> DataFrame:
         return text.first_filled(*there) if there else F.lit(None).cast("string")
 
     none = F.lit(None)
-    parsed = lambda name: dates.parse_date(first(name))["value"]
     cut = lambda name: F.nullif(F.substring(text.normalize_whitespace(first(name)), 1, LONGEST), F.lit(""))
     amount = lambda name: text.bound(money.parse_money(first(name), True), lambda m: F.when(m["amount"] != 0, F.struct(F.round(m["amount"], 4).alias("amount"), m["currency"].alias("currency"))))
     title = F.nullif(F.substring(text.clean_html_text(first("title")), 1, LONGEST_TITLE), F.lit(""))
     stand_in = text.first_filled(*[c for c in ("title", "name", "description") if c in raw.columns])
     key = F.coalesce(first("external_id"), F.substring(F.md5(stand_in), 1, 16), F.concat(F.lit("unknown_"), F.unix_timestamp(as_of).cast("string")))
-    typed = raw.select(
+    told = text.computed(
+        raw,
+        {
+            "__closing": dates.parse_date(first("closing_at")), "__posted": dates.parse_date(first("posted_at")), "__awarded": dates.parse_date(first("awarded_at")),
+            "__state": status.parse_status(first("status")),
+        },
+    )
+    typed = told.select(
         *keep, key.alias("external_id"), first("external_id").isNull().alias("__made"), title.alias("title"), F.nullif(text.clean_html_text(first("description")), F.lit("")).alias("description"), first("description_markdown").alias("description_markdown"),
-        parsed("closing_at").alias("closing_at"), first("closing_at").isNotNull().alias("__told"), parsed("posted_at").alias("posted_at"), parsed("awarded_at").alias("awarded_at"), first("status").alias("__status"),
+        F.col("__closing.value").alias("closing_at"), first("closing_at").isNotNull().alias("__told"), F.col("__posted.value").alias("posted_at"), F.col("__awarded.value").alias("awarded_at"), F.when(first("status").isNotNull(), F.col("__state.status")).alias("__status"),
         cut("category").alias("category"), F.transform(F.split(first("commodity_codes"), ","), lambda x: F.trim(x)).alias("codes"), cut("agency").alias("agency"), cut("department").alias("department"), cut("location").alias("location"),
         *(first(c).alias(c) for c in ("contact_name", "contact_email", "contact_phone", "awardee", "source_url", "detail_url")), amount("estimated_value").alias("__value"), amount("award_amount").alias("__award"),
         F.coalesce(F.col("confidence").try_cast("double") if "confidence" in raw.columns else none.cast("double"), F.lit(0.0)).alias("extraction_confidence"),
     )
-    state = F.when(F.col("__status").isNotNull(), status.parse_status(F.col("__status"))["status"]).otherwise(status.inferred(none.cast("string"), F.col("closing_at"), F.col("awarded_at"), as_of))
+    state = status.inferred(F.col("__status"), F.col("closing_at"), F.col("awarded_at"), as_of)
     warnings = F.array_compact(F.array(F.when(F.col("__made"), F.lit("external id made up")), F.when(F.col("__told") & F.col("closing_at").isNull(), F.lit("closing date not read"))))
     return typed.select(
         *keep, "external_id", "title", "description", "description_markdown", "posted_at", "closing_at", "awarded_at", state.alias("status"), "category", F.nullif(F.array_join("codes", ","), F.lit("")).alias("commodity_codes"), "agency", "department",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bidflow.functions import dates, status, text
@@ -40,18 +39,18 @@ def markdown_round_trip(spark, sf):
 def pages_to_opportunities(spark, sf):
     """From pages to typed rows: extract, read dates and statuses, keep what has an id or a title."""
     found = html.extract(html.listing_pages(_listings(spark, sf), "table"))
-    typed = found.withColumns({"d": dates.parse_date(F.col("closing_at")), "s": status.parse_status(F.col("status"))})
+    typed = text.computed(found, {"d": dates.parse_date(F.col("closing_at")), "s": status.parse_status(F.col("status"))})
     kept = typed.where(text.first_filled("external_id", "title").isNotNull() & (F.col("confidence") > 0.3))
     return kept.select("external_id", F.col("d.value").alias("closing_at"), F.col("s.status").alias("status"), F.substring_index("detail_url", "/", -1).cast("long").alias("id"))
 
 
 def rules_zip_longest(spark, sf):
-    """Lists that selectors gave, aligned by position up to the longest."""
-    o = v.opportunities(spark, sf)
-    place = lambda by: (F.row_number().over(Window.partitionBy("portal_id").orderBy(by)) - 1).alias("pos")
-    a = o.where("id % 2 = 0").select("portal_id", place("id"), F.col("id").alias("a"))
-    b = o.where("id % 3 = 0").select("portal_id", place("category"), F.col("category").alias("b"))
-    return a.join(b, ["portal_id", "pos"], "full")
+    """Lists that selectors gave on each page, aligned by position up to the longest."""
+    o = v.opportunities(spark, sf).withColumn("page_id", F.floor(F.col("id") / 25))
+    lists = o.groupBy("page_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("id") % 2 == 0, F.col("id")))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("id") % 3 == 0, F.struct("category", "id")))).alias("b")
+    )  # as long as a page at most
+    return lists.select("page_id", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "x")).select("page_id", "pos", "x.a", F.col("x.b.category").alias("b"))
 
 
 def embedded_json(spark, sf):
@@ -78,8 +77,8 @@ SQL = {
     "jsonld_round_trip": _sql("jsonld"),
     "markdown_round_trip": _sql("markdown"),
     "pages_to_opportunities": L + """ select o.external_id, case o.id % 7 when 4 then closing_at + interval 14 hour + interval 30 minute when 6 then null else closing_at end as closing_at, status, o.id from opportunities o""",
-    "rules_zip_longest": L + """, a as (select portal_id, row_number() over (partition by portal_id order by id) - 1 as pos, id as a from opportunities where id % 2 = 0),
- b as (select portal_id, row_number() over (partition by portal_id order by category) - 1 as pos, category as b from opportunities where id % 3 = 0)
- select portal_id, cast(pos as int) as pos, a, b from a full join b using (portal_id, pos)""",
+    "rules_zip_longest": L + """, p as (select *, cast(floor(id / 25) as bigint) as page_id from opportunities), a as (select page_id, row_number() over (partition by page_id order by id) - 1 as pos, id as a from p where id % 2 = 0),
+ b as (select page_id, row_number() over (partition by page_id order by category, id) - 1 as pos, category as b from p where id % 3 = 0)
+ select page_id, cast(pos as int) as pos, a, b from a full join b using (page_id, pos)""",
     "embedded_json": L + " select cast(floor(id / 25) as bigint) as page_id, external_id, agency, category from opportunities",
 }

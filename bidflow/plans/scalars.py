@@ -10,12 +10,11 @@ from bidflow.sources import views as v
 
 
 def parse_date_formats(spark, sf):
-    d = dates.parse_date(F.col("closing_text"))
-    return v.raw_listings(spark, sf).withColumn("d", d).select("id", F.col("d.value").alias("closing_at"), F.col("d.confidence").alias("confidence"), F.col("d.format").alias("format"))
+    return text.computed(text.spread(v.raw_listings(spark, sf)), {"d": dates.parse_date(F.col("closing_text"))}).select("id", F.col("d.value").alias("closing_at"), F.col("d.confidence").alias("confidence"), F.col("d.format").alias("format"))
 
 
 def _money(spark, sf, compat):
-    m = v.raw_listings(spark, sf).withColumn("m", money.parse_money(F.col("value_text"), compat))
+    m = text.computed(text.spread(v.raw_listings(spark, sf)), {"m": money.parse_money(F.col("value_text"), compat)})
     return m.select("id", F.round("m.amount", 4).alias("amount"), F.col("m.currency").alias("currency"), F.round("m.confidence", 4).alias("confidence"))
 
 
@@ -28,7 +27,7 @@ def parse_money_compat(spark, sf):
 
 
 def parse_status(spark, sf):
-    s = v.raw_listings(spark, sf).withColumn("s", status.parse_status(F.col("status_text")))
+    s = text.computed(text.spread(v.raw_listings(spark, sf)), {"s": status.parse_status(F.col("status_text"))})
     return s.select("id", F.col("s.status").alias("status"), F.col("s.confidence").alias("confidence"))
 
 
@@ -85,7 +84,7 @@ def table_confidence(spark, sf):
 
 def normalize_opportunity(spark, sf):
     """Raw text fields to canonical ones, in one projection."""
-    r = v.raw_listings(spark, sf).withColumns({"d": dates.parse_date(F.col("closing_text")), "m": money.parse_money(F.col("value_text")), "s": status.parse_status(F.col("status_text"))})
+    r = text.computed(text.spread(v.raw_listings(spark, sf)), {"d": dates.parse_date(F.col("closing_text")), "m": money.parse_money(F.col("value_text")), "s": status.parse_status(F.col("status_text"))})
     amount = F.when(F.col("m.amount") != 0, F.round("m.amount", 4))
     warn = F.array_compact(F.array(F.when(F.col("closing_text").isNotNull() & F.col("d.value").isNull(), F.lit("closing date not read"))))
     return r.select(
