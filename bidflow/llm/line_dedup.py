@@ -35,33 +35,43 @@ LONG_DOCS = 2
 LEADING = 2
 GENERAL = 8
 MOST = 0.5
+#: Stands for what follows a token's first digit, that digit included.
+MARK = "\x01"
 
 
 def templates(tokens: Column) -> Column:
-    """Hashes of the templates of a line, from its tokens."""
+    """Hashes of the templates of a line, from the hashes of its tokens: each part of the line is hashed once."""
     n = F.size(tokens)
     third = F.floor((n - LEADING) / 3).cast("int")
-    part = lambda start, end: F.slice(tokens, start + 1, end - start)
+    part = lambda start, end: F.xxhash64(F.slice(tokens, start + 1, end - start))
     zero, lead = F.lit(0), F.lit(LEADING)
-    whole = F.xxhash64(F.lit(0), n, tokens)
-    general = F.array(
-        whole,
-        F.xxhash64(F.lit(1), n, part(zero, lead), part(lead + third, n)),
-        F.xxhash64(F.lit(2), n, part(zero, lead + third), part(lead + 2 * third, n)),
-        F.xxhash64(F.lit(3), n, part(zero, lead + 2 * third)),
+    parts = F.struct(part(zero, lead).alias("lead"), part(lead, lead + third).alias("a"), part(lead + third, lead + 2 * third).alias("b"), part(lead + 2 * third, n).alias("c"))
+    general = F.transform(
+        F.array(parts),
+        lambda p: F.array(
+            F.xxhash64(F.lit(0), n, p["lead"], p["a"], p["b"], p["c"]),
+            F.xxhash64(F.lit(1), n, p["lead"], p["b"], p["c"]),
+            F.xxhash64(F.lit(2), n, p["lead"], p["a"], p["c"]),
+            F.xxhash64(F.lit(3), n, p["lead"], p["a"], p["b"]),
+        ),
     )
-    return F.when(n >= GENERAL, general).otherwise(F.array(whole))
+    return F.when(n >= GENERAL, general[0]).otherwise(F.array(F.xxhash64(F.lit(0), n, tokens)))
 
 
 def keyed(docs: DataFrame, min_tokens: int) -> DataFrame:
     """(did, th, lines, total, copy): the lines of docs (did, th, text) with their numbers, tokens and templates; all tokens; a hash of the set of templates."""
-    # A token with a digit; possessive, so that long tokens cost no backtracking.
-    masked = F.regexp_replace(F.regexp_replace("text", r"(?<!\S)[^\s\d]*+\d\S*+", "<*>"), r"[ \t\x0B\f\r]++", " ")
-    split = F.transform(F.split(masked, "\n", -1), lambda line: F.split(F.trim(line), " "))
-    lines = F.transform(split, lambda t, i: F.struct(i.alias("line"), F.size(t).alias("tokens"), F.when((F.size(t) >= min_tokens) & (2 * F.size(F.array_remove(t, "<*>")) >= F.size(t)), templates(t)).alias("keys")))
+    # From its first digit on, a token becomes a mark; a token that ends in the mark is a variable field.
+    text = F.regexp_replace("text", r"\d\S*+", MARK)
+    for blank in "\t\x0b\f\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    field = F.lit(0).cast("long")
+    hashed = lambda line: F.transform(F.array_remove(F.split(line, " "), ""), lambda t: F.when(t.endswith(MARK), field).otherwise(F.xxhash64(t)))
+    n = lambda t: F.greatest(F.size(t), F.lit(1))
+    fit = lambda t: (F.size(t) >= min_tokens) & (2 * F.size(F.array_remove(t, field)) >= F.size(t))
+    lines = F.transform(F.transform(F.split(text, "\n", -1), hashed), lambda t, i: F.struct(i.alias("line"), n(t).alias("tokens"), F.when(fit(t), templates(t)).alias("keys")))
     every = docs.select("did", "th", lines.alias("lines"))
-    some = every.select("did", "th", F.filter("lines", lambda x: x["keys"].isNotNull()).alias("lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("total")).where(F.size("lines") > 0)
-    return some.withColumn("copy", F.xxhash64(F.array_sort(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["keys"]))))))
+    some = every.select("did", "th", F.filter("lines", lambda x: x["keys"].isNotNull()).alias("lines"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("total"))  # a filter on lines would make Spark find them twice
+    return some.withColumn("copy", F.xxhash64(F.sort_array(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["keys"]))))))
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,14 +90,16 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     once = distinct.select(F.explode(F.array_distinct(F.flatten(long))).alias("x")).select("x.*")
     # Stored, so that the join reads both sides by shuffle and Spark can split a hot template.
     many = stored(once.groupBy("key", "long").agg(F.count("*").alias("docs")).where(F.col("docs") >= F.when(F.col("long"), min(LONG_DOCS, min_docs)).otherwise(min_docs)), "recurring-templates")
-    each = distinct.select("copy", "total", F.explode("lines").alias("x")).select("copy", "total", "x.line", "x.tokens", F.explode("x.keys").alias("key"))
-    found = stored(each.join(many.select("key"), "key"), "recurring-lines")
-    per_doc = found.groupBy("copy", "line").agg(F.max("tokens").alias("tokens"), F.max("total").alias("total")).groupBy("copy").agg(F.sum("tokens").alias("tokens"), F.max("total").alias("total"))
+    # Narrow rows, line and tokens in one number; the same plan at every size, as recurring templates grow with the documents.
+    each = distinct.select("copy", F.explode("lines").alias("x")).select("copy", (F.shiftleft(F.col("x.line").cast("long"), 31) + F.col("x.tokens")).alias("place"), F.explode("x.keys").alias("key"))
+    found = stored(each.join(many.select("key").hint("merge"), "key"), "recurring-lines")
+    tokens = F.sum(F.col("place").bitwiseAND((1 << 31) - 1)).alias("tokens")
+    per_doc = found.groupBy("copy", "place").agg(F.lit(1).alias("one")).groupBy("copy").agg(tokens).join(distinct.select("copy", "total"), "copy")
     share = per_doc.select("copy", F.floor(1_000_000 * F.col("tokens") / F.col("total")).alias("share"))
     own = found.select("copy", "key").distinct().join(share, "copy")
     boilerplate = own.groupBy("key").agg(F.sum("share").alias("share"), F.count("*").alias("n")).where(F.col("share") <= int(most * 1_000_000) * F.col("n"))
     every = table.select("did", "th", F.explode("lines").alias("x")).select("did", "th", "x.line", F.explode("x.keys").alias("key"))
-    lines = every.join(stored(boilerplate.select("key"), "boilerplate"), "key").select("did", "th", "line").distinct()
+    lines = every.join(stored(boilerplate.select("key"), "boilerplate").hint("merge"), "key").select("did", "th", "line").distinct()
     return lines.groupBy("did", "th").agg(F.collect_list("line").alias("lines"))
 
 
@@ -96,7 +108,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = recurring(docs, id_col, text_col, min_docs, min_tokens, most).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     key = (F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("__did")) & (F.xxhash64(text_col) == F.col("__th"))
-    joined = docs.select(*names).join(found, key, "left")
+    joined = docs.select(*names).join(found.hint("merge"), key, "left")  # the same plan at every size
     text = F.col(text_col)
     kept = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines")), lambda i: lines[i]), "\n"))
     drops = F.col("__lines").isNotNull()
