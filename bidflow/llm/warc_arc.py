@@ -28,6 +28,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +69,10 @@ def arc_record(version: int, page_id, url: str | None, payload: bytes, name: str
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """pages as gzip ARC archives, of version 1 and 2 in turn."""
+    """pages as gzip ARC archives, of version 1 and 2 in turn; tasks begin with either."""
 
     def run(batches):
-        made, size, version = [], 0, 1
+        made, size, version = [], 0, 1 + TaskContext.get().partitionId() % 2
         for page, url, html in rows(batches, "page_id", "url", "html"):
             if not made:
                 name = f"{uuid.uuid4().hex}.arc"
@@ -177,7 +178,8 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = 0) -> None:
 
     known = stored(archives(spark, arc).mapInArrow(digests, "path string, at int, page_id long, digest string, size long, url string, date string"), "arc-digests")
     able = known.where((F.col("size") >= least) & F.col("page_id").isNotNull())
-    groups = able.groupBy("digest", "size").agg(F.count("*").alias("many"), F.min(F.struct("page_id", "path", "at", "url", "date")).alias("first")).where("many > 1")
+    # Stored, so that the join reads both sides by shuffle and Spark can split a hot digest.
+    groups = stored(able.groupBy("digest", "size").agg(F.count("*").alias("many"), F.min(F.struct("page_id", "path", "at", "url", "date")).alias("first")).where("many > 1"), "digest-groups")
     again = able.join(groups, ["digest", "size"]).where("path <> first.path or at <> first.at")
     decisions = again.groupBy("path").agg(F.collect_list(F.struct("at", "first.page_id", "first.url", "first.date", "digest")).alias("revisits"))  # as many as an archive has records at most
 
