@@ -73,13 +73,14 @@ class Directions:
         return out.view(np.int64)
 
 
-def unit(data: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(d, np.float64) for d in data])
+def unit(data: list[bytes], dim: int) -> np.ndarray:
+    x = np.stack([np.frombuffer(d, np.float32 if len(d) == 4 * dim else np.float64) for d in data]).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square over- or underflows
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def parsed(vectors: DataFrame) -> DataFrame:
-    """vec_id, key and data (64-bit components; both null unless the vector can be linked), dim."""
+    """vec_id, key and data (components, in 32 bits where that is exact; both null unless the vector can be linked), dim."""
 
     def run(batches):
         for batch in batches:
@@ -88,19 +89,20 @@ def parsed(vectors: DataFrame) -> DataFrame:
                 x = np.array([], float)
                 if v.is_valid and not v.values.null_count:
                     x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                size = np.linalg.norm(x) if len(x) else 0.0
-                ok = bool(0 < size < math.inf)
-                raw = (x + 0.0).tobytes() if ok else None  # + 0.0: one zero
-                keys.append(xxhash.xxh3_128_digest(raw) if ok else None)
-                data.append(raw)
+                ok = bool(len(x) and np.isfinite(x).all() and x.any())
+                x = x + 0.0  # one zero
+                with np.errstate(over="ignore", under="ignore"):
+                    short = x.astype(np.float32)
+                keys.append(xxhash.xxh3_128_digest(x.tobytes()) if ok else None)
+                data.append((short if (short == x).all() else x).tobytes() if ok else None)
                 dims.append(len(x) if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(data, pa.binary()), pa.array(dims, pa.int32())], names=["vec_id", "key", "data", "dim"])
 
     return vectors.mapInArrow(run, "vec_id long, key binary, data binary, dim int")
 
 
-def placed(classes: DataFrame, directions: dict[int, Directions]) -> DataFrame:
-    """Each class in its cells: (cell, id, many, dim, data, table)."""
+def placed(classes: DataFrame, directions: dict[int, Directions], cells_alone: bool = False) -> DataFrame:
+    """Each class in its cells: (cell, id, many, dim, data, table), or (cell)."""
 
     def run(batches):
         for batch in batches:
@@ -108,11 +110,15 @@ def placed(classes: DataFrame, directions: dict[int, Directions]) -> DataFrame:
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 d = directions[dim]
-                cells = d.cells(unit(part.column("data").to_pylist()) @ d.axes)
+                cells = d.cells(unit(part.column("data").to_pylist(), dim) @ d.axes)
                 for t in range(d.tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[:, t]), *(part.column(c) for c in ("id", "many", "dim", "data")), pa.array(np.full(part.num_rows, t, np.int32))], names=["cell", "id", "many", "dim", "data", "table"])
+                    cell = pa.array(cells[:, t])
+                    if cells_alone:
+                        yield pa.RecordBatch.from_arrays([cell], names=["cell"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([cell, *(part.column(c) for c in ("id", "many", "dim", "data")), pa.array(np.full(part.num_rows, t, np.int32))], names=["cell", "id", "many", "dim", "data", "table"])
 
-    return classes.select("id", "many", "dim", "data").mapInArrow(run, "cell long, id long, many long, dim int, data binary, table int")
+    return classes.select("id", "many", "dim", "data").mapInArrow(run, "cell long" if cells_alone else "cell long, id long, many long, dim int, data binary, table int")
 
 
 def _links_of(batch: pa.RecordBatch, directions: dict[int, Directions], cosine: float):
@@ -123,7 +129,7 @@ def _links_of(batch: pa.RecordBatch, directions: dict[int, Directions], cosine:
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for dim in np.unique(dims).tolist():
         d, at = directions[dim], np.flatnonzero(dims == dim)
-        x = unit([v for v, k in zip(batch.column("data").to_pylist(), (dims == dim).tolist()) if k])
+        x = unit([v for v, k in zip(batch.column("data").to_pylist(), (dims == dim).tolist()) if k], dim)
         projected = x @ d.axes
         cells = d.cells(projected)
         g, t = group[at], table[at]
@@ -189,7 +195,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     counts = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row per vector length
     directions = {dim: Directions(dim, n, cosine, recall) for dim, n in counts.items()}
     cells = placed(classes, directions)
-    large = cells.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    # Stored, so that the join reads both sides by shuffle and Spark can split a hot cell.
+    large = stored(placed(classes, directions, True).groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large-cells")
     blocks = F.coalesce(F.ceil(F.col("size") / (BLOCK // 2)), F.lit(1)).cast("int")
     split = cells.join(large, "cell", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     paired = split.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
