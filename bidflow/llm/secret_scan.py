@@ -6,11 +6,14 @@ reported only when their content decodes and parses to the last byte:
 
 * ``jwt``: three dotted base64url parts, the first of which decodes to a JSON object with ``alg``;
 * ``der``: base64 or hex that decodes to an ASN.1 SEQUENCE of nested elements whose declared
-  lengths fill it exactly, and that holds an INTEGER or OBJECT IDENTIFIER (keys, certificates);
-* ``ssh``: base64 or hex that decodes to length-prefixed fields of which the first names a key type,
-  or to an ``openssh-key-v1`` private key.
-
-Base64 may be wrapped: what stands between BEGIN and END marks is joined (line breaks may be escaped),
+  lengths fill it exactly, and whose outer elements are those of a private key: a version, then
+  integers, an octet string, or an algorithm and an octet string; or an algorithm and an octet
+  string alone (an encrypted key);
+* ``ssh``: base64 or hex that decodes to an ``openssh-key-v1`` private key;
+* ``public``: the same encodings of what is no secret (certificates, public keys, other ASN.1 with
+  an INTEGER or OBJECT IDENTIFIER; length-prefixed fields of which the first names a key type).
+
+Base64 may use the alphabet for URLs, and may be wrapped: what stands between BEGIN and END marks is joined (line breaks may be escaped),
 and so are runs of lines of one width with the shorter one that ends them. The span is that of the base64.
 
 Spans are in code points of the whole text, end exclusive. Edge cases: a null text is empty and
@@ -35,10 +38,11 @@ from bidflow.llm.common import read, rows
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-KINDS = ("assign", "access", "hex", "der", "jwt", "ssh")
+KINDS = ("assign", "access", "hex", "der", "jwt", "public", "ssh")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}")
+URL_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|AAAA|b3Bl)[A-Za-z0-9_-]{30,}={0,2}(?![A-Za-z0-9+/_=-])")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]|\\[rn])++)-----END \1-----")
 BREAKS = re.compile(r"\s|\\[rn]")
 LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/]+={0,2})")
@@ -92,13 +96,37 @@ def openssh(data: bytes) -> bool:
     return at == len(data)
 
 
+def outer_tags(data: bytes) -> list[int]:
+    """Tags of the elements in the outermost one of well-formed DER."""
+
+    def content(at: int) -> tuple[int, int]:
+        size, at = data[at + 1], at + 2
+        if size & 0x80:
+            n = size & 0x7F
+            size, at = int.from_bytes(data[at : at + n], "big"), at + n
+        return at, at + size
+
+    at, end = content(0)
+    tags = []
+    while at < end:
+        tags.append(data[at])
+        at = content(at)[1]
+    return tags
+
+
+def private(tags: list[int]) -> bool:
+    """Whether the outer elements are those of a private key, encrypted or not."""
+    versioned = tags[:1] == [0x02] and (tags[1:2] == [0x04] or tags[1:3] == [0x30, 0x04] or len(tags) > 4 and set(tags[:5]) == {0x02})
+    return versioned or tags == [0x30, 0x04]
+
+
 def key_kind(data: bytes) -> str | None:
     if data.startswith(OPENSSH):
         return "ssh" if openssh(data) else None
     if len(data) >= 16 and data[0] == 0x30:
         tags = der_elements(data, 0, len(data))
         if tags and len(tags) > 2 and {0x02, 0x06} & {*tags}:
-            return "der"
+            return "der" if private(outer_tags(data)) else "public"
     if data[:3] == b"\0\0\0":
         at, fields = 0, []
         while at + 4 <= len(data):
@@ -106,7 +134,7 @@ def key_kind(data: bytes) -> str | None:
             fields.append(data[at + 4 : at + 4 + n])
             at += 4 + n
         if at == len(data) and len(fields) > 1 and fields[0].startswith(SSH_TYPES):
-            return "ssh"
+            return "public"
     return None
 
 
@@ -163,6 +191,10 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
                     found.append((kind, m.start(), end))
                     reach = end
                     break
+    if "-" in text or "_" in text:
+        for m in URL_BASE64.finditer(text):
+            if ("-" in m[0] or "_" in m[0]) and (data := decoded(m[0].rstrip("="), True)) and (kind := key_kind(data)):
+                found.append((kind, *m.span()))
     for m in ANY_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and m[0].startswith(("30", "000000")) and (kind := key_kind(bytes.fromhex(m[0]))):
             found.append((kind, *m.span()))
