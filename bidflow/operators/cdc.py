@@ -88,14 +88,19 @@ def missed(classes_of_all: DataFrame) -> DataFrame:
 
 
 def upserted(state: DataFrame, batch: DataFrame, seen_at: Column | None = None) -> DataFrame:
-    """The state after the batch: rows with an equal fingerprint stay as they are; last_seen_at, if seen_at is given, moves for all that are in the batch."""
+    """The state after the batch: rows with an equal fingerprint stay as they are.
+
+    With seen_at, all rows that are in the batch get it as last_seen_at, unless the batch tells one of its own.
+    """
     old = state.withColumn("fingerprint", fingerprint(state)).select(*KEY, F.struct(*state.columns, "fingerprint").alias("old"))
-    told = batch if seen_at is None else batch.withColumn("last_seen_at", seen_at)
+    told = batch if seen_at is None or "last_seen_at" in batch.columns else batch.withColumn("last_seen_at", seen_at)
     new = told.withColumn("fingerprint", fingerprint(batch)).select(*KEY, F.struct(*state.columns, "fingerprint").alias("new"))
     both = old.join(new, KEY, "full")
     keep = F.col("new").isNull() | (F.col("old.fingerprint") == F.col("new.fingerprint"))
-    rows = both.select(F.col("new").isNotNull().alias("__seen"), F.when(F.coalesce(keep, F.lit(False)), F.col("old")).otherwise(F.col("new")).alias("row")).select("__seen", "row.*")
-    return (rows if seen_at is None else rows.withColumn("last_seen_at", F.when(F.col("__seen"), seen_at).otherwise(F.col("last_seen_at")))).drop("__seen")
+    rows = both.select(F.when(F.coalesce(keep, F.lit(False)), F.col("old")).otherwise(F.col("new")).alias("row"), F.col("new").alias("seen"))
+    names = [c for c in [*state.columns, "fingerprint"] if seen_at is None or c != "last_seen_at"]
+    last = [] if seen_at is None else [F.coalesce("seen.last_seen_at", "row.last_seen_at").alias("last_seen_at")]
+    return rows.select(*(f"row.{c}" for c in names), *last)
 
 
 def disappeared(state: DataFrame, as_of: Column, days: int) -> DataFrame:

@@ -7,24 +7,25 @@ what it wrote and nothing is applied twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from bidflow.functions import dates, money, status, text
 from bidflow.operators import cdc
+from bidflow.operators.canonical import canonical
 
 PAGE = "page_id long, url string, html string, fetched_at timestamp"
-STATE = "portal_id int, external_id string, title string, agency string, category string, status string, posted_at timestamp_ntz, closing_at timestamp_ntz, estimated_value double, contact_name string"
+#: A row of the portals' state: its key, the canonical fields, and when it was seen last.
+STATE = (
+    "portal_id int, external_id string, title string, description string, description_markdown string, posted_at timestamp_ntz, closing_at timestamp_ntz, awarded_at timestamp_ntz, status string, "
+    "category string, commodity_codes string, agency string, department string, location string, contact_name string, contact_email string, contact_phone string, estimated_value double, "
+    "estimated_value_currency string, award_amount double, awardee string, source_url string, detail_url string, extraction_confidence double, last_seen_at timestamp_ntz"
+)
 
 
-def normalized(records: DataFrame, portal_id: int) -> DataFrame:
+def normalized(records: DataFrame, portal_id: int, as_of: Column) -> DataFrame:
     """Extracted records as rows of the state."""
-    typed = records.withColumns({"d": dates.parse_date(F.col("closing_at")), "p": dates.parse_date(F.col("posted_at")), "s": status.parse_status(F.col("status")), "m": money.parse_money(F.col("estimated_value"))})
-    return typed.select(
-        F.lit(portal_id).alias("portal_id"), text.first_filled("external_id", F.substring(F.md5("title"), 1, 16)).alias("external_id"), text.clean_html_text(F.col("title")).alias("title"), "agency", "category",
-        F.col("s.status").alias("status"), F.col("p.value").alias("posted_at"), F.col("d.value").alias("closing_at"), F.col("m.amount").alias("estimated_value"), F.lit(None).cast("string").alias("contact_name"),
-    ).where("external_id is not null")
+    return canonical(records, as_of).drop("warnings").select(F.lit(portal_id).alias("portal_id"), "*", as_of.alias("last_seen_at"))
 
 
 def version(path: str, table: str, n: int) -> str:
@@ -37,12 +38,15 @@ def state_of(spark: SparkSession, path: str, n: int) -> DataFrame:
 
 
 def apply_batch(batch: DataFrame, n: int, path: str) -> None:
-    """batch: rows of the state, of which the last of a key counts (by its other columns, if a batch has several)."""
+    """batch: rows of the state (fields that it lacks are null), of which the last of a key counts (by its other columns, if a batch has several)."""
     spark = batch.sparkSession
-    once = batch.groupBy(*cdc.KEY).agg(F.max(F.struct(*(c for c in batch.columns if c not in cdc.KEY))).alias("r")).select(*cdc.KEY, "r.*").select(batch.columns)
     state = state_of(spark, path, n - 1)
+    seen = F.current_timestamp().cast("timestamp_ntz")
+    told = {f.name: F.col(f.name) if f.name in batch.columns else F.lit(None).cast(f.dataType) for f in state.schema.fields}
+    whole = batch.select(*(c.alias(name) for name, c in told.items())).withColumn("last_seen_at", F.coalesce("last_seen_at", seen))
+    once = whole.groupBy(*cdc.KEY).agg(F.max(F.struct(*(c for c in whole.columns if c not in cdc.KEY))).alias("r")).select(*cdc.KEY, "r.*").select(whole.columns)
     cdc.events_of(cdc.classified(state, once)).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(version(path, "events", n))
-    cdc.upserted(state, once).drop("fingerprint").write.mode("overwrite").parquet(version(path, "state", n))
+    cdc.upserted(state, once, seen).drop("fingerprint").write.mode("overwrite").parquet(version(path, "state", n))
 
 
 def stream_listings(records: DataFrame, path: str) -> StreamingQuery:
