@@ -1,7 +1,7 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled documents (``per_class`` of each label, those with the
-smallest hashes, whatever their length; near copies of one label count as one), never those that are held out. All terms of the examples
+smallest hashes, whatever their length; exact copies of one label count as one), never those that are held out. All terms of the examples
 make the vocabulary; document frequencies come from all documents. A term's weight is its TF-IDF
 times a factor of 1 or more that grows with its chi-square with the label, so that terms that tell
 the labels apart count for more and none is left out. The examples' unit vectors stand in an inverted
@@ -20,10 +20,10 @@ and ``terms`` are replaced if they occur; ``terms`` names the text's terms with
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidflow.llm.common import read, rows
-from bidflow.llm.shingles import shingle_set
+from bidflow.llm.common import discard, read, rows, stored
 
 PER_CLASS = 4096
 NEIGHBOURS = 15
 #: Nearest examples that a result names.
 EVIDENCE = 3
 THRESHOLD = 0.3
-#: Least hashes that near copies must have in common.
-SKETCH = 4
 BLOCK = 128
+#: Texts that are scored together.
+AT_ONCE = 64
 #: A term in more than this share of the examples' vectors is frequent.
 FREQUENT = 1 / 16
 #: Chi-square up to which a term's tie to the label may be chance (p = 0.05): its factor is 1, beyond it chi-square / CHANCE.
@@ -57,6 +56,13 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def numbers_of(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
+    """The number of each word of the text that is in the vocabulary."""
+    found = words(text)
+    numbers = np.fromiter(map(vocabulary.get, found, repeat(-1)), np.int64, len(found))
+    return numbers[numbers >= 0]
+
+
 def held_out(doc_id="doc_id"):
     """Rows whose labels are never learnt."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
@@ -78,18 +84,15 @@ class Model:
     raw: np.ndarray = field(default_factory=lambda: np.zeros(0))  # calibration
     calibrated: np.ndarray = field(default_factory=lambda: np.zeros(0))
     empty_score: float = 0.0
-    known: dict = field(default_factory=dict)
     frequent: tuple | None = None  # made where it is used: number of each frequent term or -1, block x term x vector, term x block maxima
 
     def __getstate__(self):
-        return self.__dict__ | {"frequent": None, "known": {}}
+        return self.__dict__ | {"frequent": None}
 
-    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.fromiter(counts, np.int64, len(counts))
-        order = np.argsort(terms)
-        terms, tf = terms[order], np.fromiter(counts.values(), float, len(counts))[order]
+    def unit(self, of: np.ndarray, terms: np.ndarray, tf: np.ndarray, m: int) -> np.ndarray:
+        """Weights of the terms of m vectors; ``of`` tells which one each term is of."""
         w = (1 + np.log(tf)) * self.idf[terms]
-        return terms, w / np.linalg.norm(w)
+        return w / np.sqrt(np.bincount(of, w * w, m))[of]
 
     @property
     def postings(self):
@@ -97,12 +100,11 @@ class Model:
         for a, b in zip(self.starts[:-1], self.starts[1:]):
             yield self.docs[a:b], self.weights[a:b], self.docs[a:b] // BLOCK
 
-    def build(self, vectors: list[dict[int, int]]) -> None:
-        units = [self.unit(counts) for counts in vectors]
-        terms, weights = (np.concatenate(x) for x in zip(*units))
-        docs = np.repeat(np.arange(len(units), dtype=np.int32), [len(t) for t, _ in units])
+    def build(self, vectors: list[np.ndarray]) -> None:
+        of, terms, tf = flat(vectors)
+        weights = self.unit(of, terms, tf, len(vectors))
         order = np.argsort(terms, kind="stable")
-        self.docs, self.weights = docs[order], weights[order]
+        self.docs, self.weights = of[order].astype(np.int32), weights[order]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(self.idf)))])
         self.frequent = None
 
@@ -120,56 +122,72 @@ class Model:
             self.frequent = number, table, np.ascontiguousarray(table.max(2, initial=0).T)
         return self.frequent
 
-    def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors of positive cosine whose examples are among the k nearest or tie with the k-th, the nearest first; cosines."""
-        terms, w = self.unit(counts)
+    def nearest(self, of: np.ndarray, terms: np.ndarray, tf: np.ndarray, m: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of m queries: vectors of positive cosine whose examples are among the k nearest or tie with the k-th, the nearest first; cosines."""
         number, table, maxima = self.dense()
+        blocks = len(table)
+        w = self.unit(of, terms, tf, m)
         f = number[terms]
-        rare, often = terms[f < 0], f[f >= 0]
-        q = w[f >= 0]
+        often = f >= 0
+        q = np.zeros((m, table.shape[1]))
+        q[of[often], f[often]] = w[often]
+        rare, w, of = terms[~often], w[~often], of[~often]
         many = self.starts[rare + 1] - self.starts[rare]
-        ends = np.cumsum(many)
-        at = np.arange(many.sum()) + np.repeat(self.starts[rare] - ends + many, many)
-        blocks = len(table)
-        total = np.bincount(self.docs[at], np.repeat(w[f < 0], many) * self.weights[at], blocks * BLOCK).astype(float).reshape(blocks, BLOCK)
+        at = np.arange(many.sum()) + np.repeat(self.starts[rare] - np.cumsum(many) + many, many)
+        width = blocks * BLOCK
+        total = np.bincount(np.repeat(of * width, many) + self.docs[at], np.repeat(w, many) * self.weights[at], m * width).astype(float).reshape(m, blocks, BLOCK)
         # Per block, the most that frequent terms can add to what rare ones gave.
-        bounds = total.max(1, initial=0) + q @ maxima[often]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        examples = self.count.sum(1)
-        docs, flat, kth, size, done = np.zeros(0, np.int64), total.reshape(-1), 0.0, 4, []
-        while len(order):
-            now, order = order[:size], order[size:]
-            for b in now:
-                total[b] += q @ table[b, often]
-            done += now.tolist()
-            docs = (np.array(done)[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            docs = docs[flat[docs] > 0]
-            if kth:
-                docs = docs[flat[docs] >= kth - 1e-9]
-            docs = docs[np.lexsort((docs, -flat[docs]))]
+        bounds = total.max(2, initial=0) + q @ maxima
+        order = np.argsort(-bounds, axis=1)
+        kth, done, each = np.zeros(m), np.zeros((m, blocks), bool), np.arange(m)[:, None]
+        for low, high in ((0, 4), (4, 16), (16, blocks)):  # by falling bound; what can't reach the k-th so far is left out
+            wanted = np.zeros((m, blocks), bool)
+            wanted[each, order[:, low:high]] = True
+            wanted &= (bounds > 0) & (bounds >= kth[:, None] - 1e-9)
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                here = np.flatnonzero(wanted[:, b])
+                total[here, b] += q[here] @ table[b]
+            done |= wanted
+            # A vector stands for one example at least: the k-th vector is no nearer than the k-th example.
+            first = order[:, :high]
+            if low == high or high >= blocks or k > first.shape[1] * BLOCK:
+                continue
+            known = np.where(done[each, first][:, :, None], total[each, first], 0).reshape(m, -1)
+            kth = np.maximum(kth, np.partition(known, known.shape[1] - k, axis=1)[:, known.shape[1] - k])
+        known = total.reshape(m, width)
+        hidden = ~done
+        if hidden.any():
+            total[hidden] = 0
+        examples, out = self.count.sum(1), []
+        for i in range(m):
+            docs = np.flatnonzero((known[i] > 0) & (known[i] >= kth[i] - 1e-9))
+            docs = docs[np.lexsort((docs, -known[i, docs]))]
             enough = np.searchsorted(np.cumsum(examples[docs]), k)
             if enough < len(docs):
-                kth = flat[docs[enough]]
-                order = order[bounds[order] >= kth - 1e-9]
-            size *= 2
-        docs = docs[flat[docs] >= kth - 1e-9]
-        return docs, flat[docs]
+                docs = docs[known[i, docs] >= known[i, docs[enough]] - 1e-9]
+            out.append((docs, known[i, docs]))
+        return out
 
     def vote(self, docs: np.ndarray, sims: np.ndarray, count: np.ndarray) -> float | None:
         w = sims[:, None] * count * self.share
         return float(w[:, 1].sum() / w.sum()) if w.sum() > 0 else None
 
-    def calibrate(self, vectors: list[dict[int, int]], k: int) -> None:
+    def left_out(self, numbers: list[int], vectors: list[np.ndarray], k: int) -> list[tuple[float, int, float]]:
+        """(vote of its other neighbours, label, weight) of the examples of the vectors with these numbers."""
         votes = []
-        for i, counts in enumerate(vectors):
-            docs, sims = self.nearest(counts, k + 1)
-            for y in (0, 1):
-                if n := self.count[i, y]:
-                    count = self.count[docs]
-                    count[docs == i, y] -= 1
-                    if (v := self.vote(docs, sims, count)) is not None:
-                        votes.append((v, y, n * self.share[y]))
+        for low in range(0, len(vectors), AT_ONCE):
+            some = vectors[low : low + AT_ONCE]
+            for i, (docs, sims) in zip(numbers[low:], self.nearest(*flat(some), len(some), k + 1)):
+                for y in (0, 1):
+                    if n := self.count[i, y]:
+                        count = self.count[docs]
+                        count[docs == i, y] -= 1
+                        if (v := self.vote(docs, sims, count)) is not None:
+                            votes.append((v, y, n * self.share[y]))
+        return votes
+
+    def calibrate(self, votes: list[tuple[float, int, float]]) -> None:
+        """Isotonic regression of the labels on the votes."""
         merged: list[list] = []  # votes, weighted label, weight
         for v, y, w in sorted(votes):
             if merged and merged[-1][0][-1] == v:
@@ -183,55 +201,49 @@ class Model:
         self.raw = np.array([v for m in merged for v in m[0]])
         self.calibrated = np.array([m[1] / m[2] for m in merged for _ in m[0]])
 
-    def score(self, counts: dict[int, int], k: int) -> tuple[float, list]:
-        """The score, and the ids of the nearest examples."""
-        if not counts or not len(self.count):
-            return self.empty_score, []
-        key = xxhash.xxh3_128_digest(np.array(sorted(counts.items())).tobytes())
-        if key not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            docs, sims = self.nearest(counts, k)
-            raw = self.vote(docs, sims, self.count[docs])
-            score = self.empty_score if raw is None else float(np.interp(raw, self.raw, self.calibrated)) if len(self.raw) else raw
-            self.known[key] = score, [x for d in docs[:EVIDENCE].tolist() for x in self.ids[d]][:EVIDENCE]
-        return self.known[key]
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        get = self.vocabulary.get
-        return Counter(t for w in words(text) if (t := get(w)) is not None)
-
-
-def family(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with key, the hash of the SKETCH least hashes of three words in a row: near copies mostly share it, and count as one example.
-
-    Being a hash of hashes, its order doesn't depend on the length of the text.
-    """
-
-    def run(batches):
-        for batch in batches:
-            keys = []
-            for text in batch.column("text").to_pylist():
-                least = shingle_set(text, 3)[:SKETCH]
-                keys.append(xxhash.xxh64_intdigest(least.tobytes() if len(least) else text) >> 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "key"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("key", T.LongType())]))
+    def score(self, texts: list, k: int, found: dict[bytes, tuple]) -> list[tuple[float, list, list]]:
+        """For each text: the score, the ids of the nearest examples, and the strong terms; found holds those of texts seen lately."""
+        keys = [xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass")) for text in texts]
+        if len(found) > 100_000:
+            found.clear()
+        new = [*{key: text for key, text in zip(keys, texts) if key not in found}.items()]
+        for low in range(0, len(new), AT_ONCE):
+            some = new[low : low + AT_ONCE]
+            lists = [numbers_of(text, self.vocabulary) for _, text in some]
+            of = np.repeat(np.arange(len(some)), [len(x) for x in lists])
+            at, tf = np.unique(of * max(1, len(self.idf)) + np.concatenate(lists), return_counts=True)
+            of, terms = np.divmod(at, max(1, len(self.idf)))
+            ends = np.searchsorted(of, np.arange(len(some) + 1))
+            near = self.nearest(of, terms, tf, len(some), k) if len(self.count) else [(np.zeros(0, np.int64), np.zeros(0))] * len(some)
+            for i, ((key, _), (docs, sims)) in enumerate(zip(some, near)):
+                mine = terms[ends[i] : ends[i + 1]]
+                raw = self.vote(docs, sims, self.count[docs])
+                score = self.empty_score if raw is None else float(np.interp(raw, self.raw, self.calibrated)) if len(self.raw) else raw
+                found[key] = score, [x for d in docs[:EVIDENCE].tolist() for x in self.ids[d]][:EVIDENCE], mine[self.strong[mine]].tolist()
+        return [found[key] for key in keys]
+
+
+def flat(vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which vector, term and frequency of vectors that are rows (term, frequency)."""
+    pairs = np.concatenate(vectors)
+    return np.repeat(np.arange(len(vectors)), [len(v) for v in vectors]), pairs[:, 0].astype(np.int64), pairs[:, 1]
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(text, label, doc_id) of at most per_class examples of each label, and how many there would be without that bound."""
+    """(text, label, doc_id) of at most per_class examples of each label, and how many there would be without that bound.
+
+    The order is that of a hash of the whole text, which doesn't follow its length.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("label"))
-    # Keys are found where the texts are: only ids and keys are shuffled to meet the labels.
-    texts = family(docs.where(F.length("text") > 0)).select("doc_id", "key").join(known, "doc_id")
-    marked = texts.groupBy("key", "label").agg(F.min("doc_id").alias("doc_id")).persist()
+    texts = docs.where(F.length("text") > 0).select("doc_id", "text", F.xxhash64("text").alias("key"))
+    # Only ids and keys are shuffled to meet the labels.
+    marked = stored(texts.select("doc_id", "key").join(known, "doc_id").groupBy("key", "label").agg(F.min("doc_id").alias("doc_id")), "labelled")
     sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = marked.where("label = 1").orderBy("key").limit(per_class).unionByName(marked.where("label = 0").orderBy("key").limit(per_class))
     rows_ = [tuple(r) for r in chosen.select("key", "doc_id", "label").collect()]  # at most 2 x per_class
-    marked.unpersist()
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame(rows_, "key long, doc_id long, label int") if rows_ else spark.createDataFrame([], "key long, doc_id long, label int")
-    picked = family(docs.where(F.length("text") > 0).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")).join(F.broadcast(chosen), ["doc_id", "key"])
+    discard(marked)
+    chosen = docs.sparkSession.createDataFrame(rows_, "key long, doc_id long, label int")
+    picked = texts.join(F.broadcast(chosen), ["doc_id", "key"])
     return picked.dropDuplicates(["key", "label"]).select("text", "label", "doc_id"), sizes
 
 
@@ -239,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     """A model of the labelled documents (columns doc_id, text; doc_id, toxic)."""
     docs = docs.select("doc_id", "text")
     examples, sizes = sample(docs, labels.select("doc_id", "toxic"), per_class)
-    examples = examples.persist()
+    examples = stored(examples, "examples")
     n = Counter({r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()})
 
     def differing(batches):
@@ -261,29 +273,32 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     vocabulary = {t: i for i, t in enumerate(chosen)}
 
     def frequencies(batches):
-        seen, many = Counter(), 0
+        seen, many = np.zeros(len(vocabulary), np.int64), 0
         for (text,) in rows(batches, "text"):
             many += 1
-            seen.update(vocabulary.keys() & set(words(text)))
-        yield pa.RecordBatch.from_pydict({"term": pa.array([None, *seen], pa.string()), "n": pa.array([many, *seen.values()], pa.int64())})
+            seen[numbers_of(text, vocabulary)] += 1  # once, however often the term is there
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"term": pa.array([-1, *found.tolist()], pa.int32()), "n": pa.array([many, *seen[found].tolist()], pa.int64())})
 
-    df = {}
+    df, every = np.zeros(len(chosen)), 0
     if chosen:
-        seen = docs.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        df = dict(zip(seen["term"].to_pylist(), seen["n"].to_pylist()))
-    idf = np.array([math.log((1 + df.get(None, 0)) / (1 + df.get(t, 0))) + 1 for t in chosen]) * terms["factor"].to_numpy()
+        seen = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # as many as terms
+        term, n_docs = seen["term"].to_numpy(), seen["n"].to_numpy()
+        df[term[term >= 0]], every = n_docs[term >= 0], int(n_docs[term < 0].sum())
+    idf = (np.log((1 + every) / (1 + df)) + 1) * terms["factor"].to_numpy()
     model = Model(vocabulary, idf, terms["strong"].to_numpy())
 
     def vectors(batches):
         for text, label, doc in rows(batches, "text", "label", "doc_id"):
-            counts = np.array(sorted(model.counts(text).items()), np.int32).tobytes()
+            counts = np.stack(np.unique(numbers_of(text, vocabulary), return_counts=True), 1).astype(np.int32).tobytes()
             yield pa.RecordBatch.from_pydict({"label": pa.array([label], pa.int32()), "doc_id": pa.array([doc], pa.int64()), "counts": pa.array([counts], pa.binary())})
 
-    found = examples.mapInArrow(vectors, "label int, doc_id long, counts binary").collect()  # at most 2 x per_class
-    examples.unpersist()
+    table = stored(examples.mapInArrow(vectors, "label int, doc_id long, counts binary"), "example-vectors")
+    found = table.toArrow()  # at most 2 x per_class
+    discard(examples)
     alike: dict[bytes, list[list]] = {}
-    for r in found:
-        alike.setdefault(bytes(r["counts"]), [[], []])[r["label"]].append(r["doc_id"])
+    for label, doc, counts in zip(*(found[c].to_pylist() for c in ("label", "doc_id", "counts"))):
+        alike.setdefault(counts, [[], []])[label].append(doc)
     model.share = np.array([sizes.get(y, 0) / max(1, n[y]) for y in (0, 1)])
     if b"" in alike:
         w = np.array([len(x) for x in alike.pop(b"")]) * model.share
@@ -295,9 +310,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, k: int =
     model.count = np.array([[len(x) for x in alike[v]] for v in vectors], float).reshape(-1, 2)
     model.ids = [(sorted(alike[v][1]) + sorted(alike[v][0]))[:EVIDENCE] for v in vectors]
     if vectors:
-        counts = [dict(pairs[v].tolist()) for v in vectors]
-        model.build(counts)
-        model.calibrate(counts, k)
+        model.build([pairs[v] for v in vectors])
+
+        number = {xxhash.xxh3_128_digest(v): i for i, v in enumerate(vectors)}
+        bare = replace(model, vocabulary={}, ids=[])
+
+        def votes(batches):
+            for batch in batches:
+                mine = batch.column("counts").to_pylist()
+                found = bare.left_out([number[xxhash.xxh3_128_digest(v)] for v in mine], [np.frombuffer(v, np.int32).reshape(-1, 2) for v in mine], k)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 3, (pa.float64(), pa.int32(), pa.float64()))], names=["vote", "label", "weight"])
+
+        every = table.where(F.length("counts") > 0).select("counts").distinct().repartition(-(-len(vectors) // 512))
+        model.calibrate([tuple(r) for r in every.mapInArrow(votes, "vote double, label int, weight double").collect()])  # two a vector at most
+    discard(table)
     return model
 
 
@@ -306,17 +332,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", k: int = NEIGHB
     added = T.StructType().add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("neighbours", T.ArrayType(T.LongType())).add("terms", T.ArrayType(T.StringType()))
     docs = docs.drop(*added.names)
     schema = T.StructType([*docs.schema.fields, *added.fields])
-    names = sorted(model.vocabulary, key=model.vocabulary.get)
+    names = {model.vocabulary[t]: t for t in model.vocabulary if model.strong[model.vocabulary[t]]}
 
     def run(batches):
+        found: dict[bytes, tuple] = {}
         for batch in batches:
-            scores, near, terms = [], [], []
-            for text in batch.column(text_col).to_pylist():
-                counts = model.counts(text)
-                score_, examples = model.score(counts, k)
-                scores.append(score_)
-                near.append(examples if score_ >= threshold else [])
-                terms.append([names[t] for t in sorted(counts) if model.strong[t]])
+            results = model.score(batch.column(text_col).to_pylist(), k, found)
+            scores = [score for score, _, _ in results]
+            near = [examples if score >= threshold else [] for score, examples, _ in results]
+            terms = [[names[t] for t in strong] for _, _, strong in results]
             new = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added.names])
 
