@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from bidflow.functions.text import shortened
 
 # Columns of the exports.
-CSV_COLUMNS = ["external_id", "title", "agency", "status", "category", "posted_at", "closing_at", "estimated_value", "portal_id"]
-JSON_COLUMNS = ["external_id", "title", "description", "agency", "status", "category", "posted_at", "closing_at", "estimated_value", "portal_id", "detail_url"]
-JSONL_COLUMNS = ["external_id", "title", "agency", "status", "category", "posted_at", "closing_at", "estimated_value"]
+CSV_COLUMNS = ["id", "external_id", "title", "status", "agency", "closing_at", "posted_at", "estimated_value", "source_url"]
+JSON_COLUMNS = ["id", "external_id", "title", "description", "status", "agency", "closing_at", "posted_at", "estimated_value", "source_url", "detail_url"]
+JSONL_COLUMNS = ["id", "external_id", "title", "status", "agency", "closing_at", "posted_at", "estimated_value"]
+# Columns of lists that are printed.
+SHOWN_JSON = ["id", "external_id", "title", "status", "agency", "closing_at", "posted_at", "estimated_value", "source_url"]
+SHOWN_CSV = ["id", "external_id", "title", "status", "agency", "closing_at", "estimated_value"]
 
 
 def list_opportunities(df: DataFrame, portal_id: int | None = None, status: str | None = None, closing_within_days: int | None = None, as_of: Column | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -66,9 +69,20 @@ def quick_filter(df: DataFrame, keywords: list[str] = (), statuses: list[str] =
 def export_rows(df: DataFrame, kind: str) -> DataFrame:
     """Rows as the exports write them: csv columns (no value: empty, 0 too), or one JSON object a line."""
     columns = {"csv": CSV_COLUMNS, "json": JSON_COLUMNS}.get(kind, JSONL_COLUMNS)
+    return _shaped(df, columns, kind == "csv")
+
+
+def shown_rows(df: DataFrame, kind: str) -> DataFrame:
+    """Rows as lists print them: json objects a line, or csv columns with the first 80 letters of the title."""
+    if kind == "csv":
+        df = df.withColumn("title", F.substring("title", 1, 80))
+    return _shaped(df, SHOWN_CSV if kind == "csv" else SHOWN_JSON, kind == "csv")
+
+
+def _shaped(df: DataFrame, columns: list[str], plain: bool) -> DataFrame:
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c)
     shaped = df.select(*(stamp(c) if c in ("posted_at", "closing_at") else F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
-    return shaped if kind == "csv" else shaped.select(F.col("external_id"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))
+    return shaped if plain else shaped.select(F.col("external_id"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))
 
 
 def write_export(df: DataFrame, path: str) -> None:

@@ -88,6 +88,22 @@ def export_jsonl_projection(spark, sf):
     return listing.export_rows(o, "jsonl")
 
 
+def _whole(spark, sf):
+    return v.opportunities(spark, sf).withColumn("estimated_value", F.floor("estimated_value"))
+
+
+def export_json_projection(spark, sf):
+    return listing.export_rows(_whole(spark, sf), "json")
+
+
+def shown_csv(spark, sf):
+    return listing.shown_rows(v.opportunities(spark, sf), "csv")
+
+
+def shown_json(spark, sf):
+    return listing.shown_rows(_whole(spark, sf), "json")
+
+
 def quick_filters(spark, sf):
     o = v.opportunities(spark, sf).join(v.raw_listings(spark, sf).select("id", "value_text"), "id").withColumns({"description": F.lit(None).cast("string"), "location": F.lit("North")})
     kept = listing.quick_filter(o, ["urgent", "HIGH"], ["open", "pend"], ["BUILD", "auto"], "north", v.as_of("1996-01-01 00:00:00"), v.as_of("1999-01-01 00:00:00"), 1000, 400000)
@@ -160,8 +176,11 @@ SQL = {
     "resumable_runs": R + " select portal_id, count(*) as n, max(finished_at) as last_at from runs where status in ('RUNNING', 'PARTIAL', 'FAILED') group by 1",
     "portal_dashboard": R + """, totals as (select portal_id, count(*) as total_runs, sum(opportunities_new) as total_new, max(finished_at) as last_scraped_at, max(finished_at) filter (status = 'COMPLETED') as last_success_at from runs group by 1)
  select n_nationkey as portal_id, lower(n_name) as portal_name, cast(coalesce(total_runs, 0) as bigint) as total_runs, cast(coalesce(total_new, 0) as bigint) as total_new, last_scraped_at, last_success_at from nation left join totals on n_nationkey = portal_id where n_nationkey % 5 <> 0""",
-    "export_csv_projection": O + " select external_id, title, agency, status, category, strftime(posted_at, '%Y-%m-%dT%H:%M:%S') as posted_at, strftime(closing_at, '%Y-%m-%dT%H:%M:%S') as closing_at, estimated_value, portal_id from opportunities",
-    "export_jsonl_projection": O + """ select external_id, cast(to_json({'external_id': external_id, 'title': title, 'agency': agency, 'status': status, 'category': category, 'posted_at': strftime(posted_at, '%Y-%m-%dT%H:%M:%S'), 'closing_at': strftime(closing_at, '%Y-%m-%dT%H:%M:%S'), 'estimated_value': cast(floor(estimated_value) as bigint)}) as varchar) as line from opportunities""",
+    "export_csv_projection": O + " select id, external_id, title, status, agency, strftime(closing_at, '%Y-%m-%dT%H:%M:%S') as closing_at, strftime(posted_at, '%Y-%m-%dT%H:%M:%S') as posted_at, estimated_value, cast(null as varchar) as source_url from opportunities",
+    "export_jsonl_projection": O + """ select external_id, cast(to_json({'id': id, 'external_id': external_id, 'title': title, 'status': status, 'agency': agency, 'closing_at': strftime(closing_at, '%Y-%m-%dT%H:%M:%S'), 'posted_at': strftime(posted_at, '%Y-%m-%dT%H:%M:%S'), 'estimated_value': cast(floor(estimated_value) as bigint)}) as varchar) as line from opportunities""",
+    "export_json_projection": O + """ select external_id, cast(to_json({'id': id, 'external_id': external_id, 'title': title, 'description': cast(null as varchar), 'status': status, 'agency': agency, 'closing_at': strftime(closing_at, '%Y-%m-%dT%H:%M:%S'), 'posted_at': strftime(posted_at, '%Y-%m-%dT%H:%M:%S'), 'estimated_value': cast(floor(estimated_value) as bigint), 'source_url': cast(null as varchar), 'detail_url': cast(null as varchar)}) as varchar) as line from opportunities""",
+    "shown_csv": O + " select id, external_id, substring(title, 1, 80) as title, status, agency, strftime(closing_at, '%Y-%m-%dT%H:%M:%S') as closing_at, estimated_value from opportunities",
+    "shown_json": O + """ select external_id, cast(to_json({'id': id, 'external_id': external_id, 'title': title, 'status': status, 'agency': agency, 'closing_at': strftime(closing_at, '%Y-%m-%dT%H:%M:%S'), 'posted_at': strftime(posted_at, '%Y-%m-%dT%H:%M:%S'), 'estimated_value': cast(floor(estimated_value) as bigint), 'source_url': cast(null as varchar)}) as varchar) as line from opportunities""",
     "quick_filters": f"with {LISTINGS}" + """ select o.id, o.title, status, o.category, closing_at, value_text from opportunities o join listings l on o.id = l.id
  where (contains(lower(o.title), 'urgent') or contains(lower(o.title), 'high')) and (contains(lower(status), 'open') or contains(lower(status), 'pend')) and (contains(lower(o.category), 'build') or contains(lower(o.category), 'auto'))
  and posted_at >= timestamp '1996-01-01' and coalesce(closing_at <= timestamp '1999-01-01', true)

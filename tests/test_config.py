@@ -36,11 +36,11 @@ def test_chains_stop_at_cycles(spark):
 
 
 def test_exports(spark, tmp_path):
-    df = spark.sql("select 'x' as external_id, 't' as title, 'd' as description, 'a' as agency, 'OPEN' as status, 'c' as category, timestamp_ntz'2024-01-02 03:04:05' as posted_at, cast(null as timestamp_ntz) as closing_at, 0.0D as estimated_value, 3 as portal_id, '/d' as detail_url")
+    df = spark.sql("select 4 as id, 'x' as external_id, 't' as title, 'd' as description, 'a' as agency, 'OPEN' as status, 'c' as category, timestamp_ntz'2024-01-02 03:04:05' as posted_at, cast(null as timestamp_ntz) as closing_at, 0.0D as estimated_value, 3 as portal_id, '/d' as detail_url")
     read = lambda name: "\n".join(line for p in sorted((tmp_path / name).glob("part-*")) for line in p.read_text().splitlines())
     for name in ("e.csv", "e.json", "e.jsonl"):
         listing.write_export(df, str(tmp_path / name))
-    assert read("e.csv").splitlines()[1] == 'x,t,a,OPEN,c,2024-01-02T03:04:05,"","",3'
+    assert read("e.csv").splitlines()[1] == '4,x,t,OPEN,a,"",2024-01-02T03:04:05,"",""'
     import json
 
     rows = json.loads(read("e.json"))
