@@ -198,8 +198,9 @@ class Model:
             while len(merged) > 1 and merged[-2][1] / merged[-2][2] >= merged[-1][1] / merged[-1][2]:
                 last = merged.pop()
                 merged[-1] = [merged[-1][0] + last[0], merged[-1][1] + last[1], merged[-1][2] + last[2]]
-        self.raw = np.array([v for m in merged for v in m[0]])
-        self.calibrated = np.array([m[1] / m[2] for m in merged for _ in m[0]])
+        # Between the steps' middles scores grow evenly, so that votes that differ keep their order.
+        self.raw = np.array([sum(m[0]) / len(m[0]) for m in merged])
+        self.calibrated = np.array([m[1] / m[2] for m in merged])
 
     def score(self, texts: list, k: int, found: dict[bytes, tuple]) -> list[tuple[float, list, list]]:
         """For each text: the score, the ids of the nearest examples, and the strong terms; found holds those of texts seen lately."""

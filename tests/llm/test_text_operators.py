@@ -33,8 +33,9 @@ def multiset(rows):
     return Counter(map(tuple, rows))
 
 
-def test_substring_dedup(table, docs):
-    length = 35
+@pytest.mark.parametrize(("length", "part"), [(35, 1 << 19), (35, 256), (4, 128), (9, 1 << 19)])
+def test_substring_dedup(table, docs, length, part, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PART", part)
     words = [SPLIT.findall(t or "") for _, t in docs]
     seen = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
     wanted = []
@@ -45,7 +46,7 @@ def test_substring_dedup(table, docs):
                 covered.update(range(i, i + length))
         kept = [x for i, x in enumerate(w) if i not in covered]
         wanted.append((doc, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
-    got = substring_dedup.remove_repeats(table).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    got = substring_dedup.remove_repeats(table, length=length).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert multiset(got) == multiset(wanted)
 
 
@@ -199,14 +200,80 @@ def test_secrets(spark):
     assert found[2] == [("access", 0, 20, True)] and found[3] == [("hex", 10, 34, True)]
     assert found[4] == found[5] == found[None] == [] and got[-1] == (1, [])
     assert [s[0] for s in found[6]] == ["jwt"] and found[6][0][1:3] == (2, 43)
-    assert [s[0] for s in found[7]] == ["der"] and [s[0] for s in found[8]] == ["ssh"] and found[9] == []
+    assert [s[0] for s in found[7]] == ["public"] and [s[0] for s in found[8]] == ["public"] and found[9] == []
+
+
+def base_by_hand(text):
+    """Base spans, character by character."""
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    out, at = [], 0
+    while at < len(text):
+        end = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text[at : at + len(name)])
+            if low == name:
+                for quote in (True, False):
+                    j = at + len(name)
+                    if quote and text[j : j + 1] not in ('"', "'"):
+                        continue
+                    j += quote
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    if text[j : j + 1] in (":", "="):
+                        j += 1
+                        while text[j : j + 1] == " ":
+                            j += 1
+                        j += text[j : j + 1] in ('"', "'")
+                        k = j
+                        while text[k : k + 1] in value and k < len(text):
+                            k += 1
+                        if k > j:
+                            end = k
+                            if k - j >= 6:
+                                out.append(("assign", at, k))
+                    break
+                break
+        at = end or at + 1
+    for kind, lead, letters, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            k = at + len(lead)
+            while text.startswith(lead, at) and k < len(text) and text[k] in letters:
+                k += 1
+            if text.startswith(lead, at) and k > at + len(lead):
+                if k - at >= least:
+                    out.append((kind, at, k))
+                at = k
+            else:
+                at += 1
+    return out
+
+
+def test_base_spans_by_hand():
+    rng = random.Random(11)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "AKIAAKIA", "0123456789abcdef", "deadbeef", "x", "-", "/", "É", "\n", "ABCDEFGHIJ0123456789", "ſ", "\u212a"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert sorted(secret_scan.base_spans(text)) == sorted(base_by_hand(text)), text
+
+
+def test_url_base64():
+    number = bytes([1, *([0xFB, 0xEF, 0xBE, 0xFF] * 30)])
+    integer = bytes([2, len(number)]) + number
+    body = bytes([2, 1, 0]) + integer * 5
+    der = bytes([0x30, 0x82]) + len(body).to_bytes(2, "big") + body
+    one = base64.urlsafe_b64encode(der).decode()
+    assert "-" in one or "_" in one
+    for text in (one, one.rstrip("=")):
+        assert secret_scan.confirmed(f"k={text} end") == [("der", 2, 2 + len(text))]
+    assert secret_scan.confirmed(one[:-8]) == []
 
 
 def test_wrapped_keys():
     rng = random.Random(2)
     field = lambda x: len(x).to_bytes(4, "big") + x
     number = bytes([1, *rng.randbytes(299)])
-    body = bytes([2, 1, 0, 2, 0x82]) + len(number).to_bytes(2, "big") + number
+    body = bytes([2, 1, 0]) + (bytes([2, 0x82]) + len(number).to_bytes(2, "big") + number) * 4
     der = bytes([0x30, 0x82]) + len(body).to_bytes(2, "big") + body
     key = field(b"ssh-ed25519") + field(rng.randbytes(32))
     ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(key) + field(rng.randbytes(136))
@@ -253,6 +320,29 @@ def test_rules_are_hundreds_and_valid():
         re.compile(rule["pattern"])
 
 
+def by_rules(text):
+    """Detections by every rule over the whole text, without prefilter; an interval within one before it goes."""
+    norm = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))) + " "
+    hits = sorted((m.start(), -m.end(), -r["priority"], r["label"]) for r in license_scan.rules() for m in re.finditer(r["pattern"], norm))
+    out, reach = [], -1
+    for start, back, rank, label in hits:
+        if -back > reach:
+            reach = -back
+            out.append((-rank, start, -back, label))
+    return out
+
+
+def test_rules_by_brute_force(spark):
+    rng = random.Random(7)
+    bits = [rng.choice(alternatives(re._parser.parse(text))) for _, _, _, text in license_scan.OTHERS]
+    names = [rng.choice(alternatives(re._parser.parse(name))) for _, _, name in license_scan.NAMES]
+    bits += [f"{lead} {n} {tail}" for n in names for lead, tail in [rng.choice([("released under the", "license"), ("not licensed under the", "license"), ("SPDX-License-Identifier:", ""), ("under", "license"), ("the", "licence agreement"), ("a", "b")])]]
+    texts = [*enumerate(" ".join([prose(rng, rng.randrange(4)), *rng.sample(bits, rng.randrange(1, 6)), prose(rng, 2)]) for _ in range(150)), (150, prose(rng, 3000) + " " + bits[3])]
+    texts += [texts[0]]
+    got = Counter((r["doc_id"], tuple(tuple(x) for x in r["found"])) for r in license_scan.scan(frame(spark, texts)).collect())
+    assert got == Counter((d, tuple(by_rules(t))) for d, t in texts) and sum(len(f) for _, f in got) > 300
+
+
 def alternatives(tree):
     """Strings of a parsed expression, with each branch and each optional part left out and in."""
     out = [""]
@@ -261,7 +351,9 @@ def alternatives(tree):
         if name == "LITERAL":
             some = [chr(of)]
         elif name == "IN":
-            some = [chr(c) for kind, c in of if str(kind) == "LITERAL"]
+            some = [chr(c if str(kind) == "LITERAL" else c[0]) for kind, c in of]
+        elif name == "ANY":
+            some = ["w"]
         elif name == "BRANCH":
             some = [x for part in of[1] for x in alternatives(part)]
         elif name == "SUBPATTERN":
