@@ -96,16 +96,128 @@ PHRASINGS = [
     (75, "under (?:the )?(?:terms of )?(?:the )?", "(?: public)? licen[sc]e"),
     (65, "(?:the )?", "(?: public)? licen[sc]e(?: agreement)?"),
 ]
+#: Notices, headers and clauses by hand: label, keyword that every text of the rule holds, priority, text
 OTHERS = [
-    ("all-rights-reserved", "reserved", 60, "all rights reserved"),
+    ("all-rights-reserved", "rights reserved", 60, "all rights reserved"),
     ("public-domain", "public domain", 60, "(?:released|placed|dedicated)(?: in)?to the public domain"),
-    ("mit", "permission", 80, "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", "permission", 80, "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd-3", "redistribution", 80, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("public-domain", "public domain", 60, "(?:this (?:file|work|code|software|program|text) )?is (?:hereby )?in the public domain"),
+    ("mit", "permission is hereby granted", 80, "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "permission notice", 78, "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "noninfringement", 70, "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit-0", "permission is hereby granted", 82, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
+    ("x11", "consortium shall not be used", 84, "the name of the x consortium shall not be used in advertising"),
+    ("isc", "permission to use", 80, "permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", "permission to use", 79, "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("bsd-0", "permission to use", 84, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("hpnd", "permission to use", 77, "permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("bsd-3", "redistribution and use", 80, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-2", "redistributions of source", 72, "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2", "redistributions in binary", 72, "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3", "endorse or promote", 83, "neither the names? of .{1,80} nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-3", "endorse or promote", 82, "the names? of the (?:author|copyright holder|contributor)s? may not be used to endorse or promote products"),
+    ("bsd-4", "advertising materials", 86, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-3-clear", "express or implied licenses", 86, "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("apache-2", "licensed under the apache", 88, "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2", "apache org", 76, "you may obtain a copy of the license at http s? ?www apache org licenses license 2 0"),
+    ("apache-2", "apache org", 74, "www apache org licenses license 2 0"),
+    ("apache-2", "applicable law", 62, "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", "apache software foundation", 80, "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1", "apache software foundation", 80, "this product includes software developed by the apache software foundation"),
+    ("apache-1", "apache group", 80, "this product includes software developed by the apache group for use in the apache http server project"),
+    ("gpl", "general public license", 70, "the terms of the gnu general public license"),
+    ("gpl-2+", "general public license", 88, "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3+", "general public license", 88, "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2", "general public license", 86, "gnu general public license as published by the free software foundation version 2"),
+    ("gpl-2", "general public license", 86, "gnu general public license version 2 only"),
+    ("gpl-2", "general public license", 85, "gnu general public license version 2 june 1991"),
+    ("gpl-3", "general public license", 85, "gnu general public license version 3 29 june 2007"),
+    ("gpl", "general public license", 64, "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "free software", 64, "this program is free software you can redistribute it and or modify it under the terms of the gnu"),
+    ("gpl", "merchantability", 61, "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
+    ("gpl-classpath", "linking this library statically", 86, "linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("lgpl-2", "lesser general public", 88, "gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-2", "library general public", 88, "gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl-3", "lesser general public", 88, "gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl", "lesser general public", 66, "you should have received a copy of the gnu lesser general public license along with this"),
+    ("agpl-3", "affero general public", 88, "gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3", "affero general public", 85, "gnu affero general public license version 3 19 november 2007"),
+    ("agpl", "affero general public", 66, "you should have received a copy of the gnu affero general public license along with this program"),
+    ("gfdl", "free documentation", 84, "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "invariant sections", 70, "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2", "mozilla public", 88, "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "mozilla org", 76, "you can obtain one at https? ?mozilla org mpl 2 0"),
+    ("mpl-1", "mozilla public", 88, "the contents of this file are subject to the mozilla public license version 1 [01]"),
+    ("mpl-1", "mozilla org", 74, "www mozilla org mpl"),
+    ("npl", "netscape public", 86, "the contents of this file are subject to the netscape public license"),
+    ("cddl", "common development and distribution", 88, "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl", "common development and distribution", 80, "common development and distribution license(?: cddl)?(?: version)?(?: 1 [01])?"),
+    ("epl-1", "eclipse public", 88, "made available under the terms of the eclipse public license v1 0"),
+    ("epl-2", "eclipse public", 88, "made available under the terms of the eclipse public license(?: v)? 2 0"),
+    ("epl", "eclipse org", 74, "www eclipse org legal epl"),
+    ("edl-1", "eclipse distribution", 80, "eclipse distribution license(?: v)? ?1 0"),
+    ("eupl", "eupl", 84, "licensed under the eupl version 1 [12]"),
+    ("unlicense", "unencumbered software", 86, "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy", 82, "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("unlicense", "unlicense org", 74, "(?:http )?unlicense org"),
+    ("cc0", "has waived", 84, "to the extent possible under law .{1,80} has waived all copyright and related or neighboring rights"),
+    ("cc0", "publicdomain zero", 76, "creativecommons org publicdomain zero 1 0"),
+    ("public-domain", "publicdomain mark", 76, "creativecommons org publicdomain mark 1 0"),
+    ("cc-by", "creativecommons org", 76, "creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-sa", "creativecommons org", 76, "creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by-nd", "creativecommons org", 76, "creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-nc", "creativecommons org", 76, "creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nc-sa", "creativecommons org", 76, "creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", "creativecommons org", 76, "creativecommons org licenses by nc nd [1-4] [05]"),
+    ("cc-by-sa", "text is available under", 84, "text is available under the creative commons attribution share ?alike license"),
+    ("cc", "some rights reserved", 62, "some rights reserved"),
+    ("zlib", "claim that you wrote", 84, "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered source versions", 76, "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "freely", 72, "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("boost-1", "boost software", 88, "distributed under the boost software license version 1 0"),
+    ("boost-1", "boost org", 74, "www boost org license 1 0 txt"),
+    ("boost-1", "permission is hereby granted", 81, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("wtfpl", "do what the fuck", 84, "you just do what the fuck you want to"),
+    ("beerware", "buy me a beer", 86, "you can buy me a beer in return"),
+    ("beerware", "beer ware", 84, "the beer ware license"),
+    ("json", "for good not evil", 88, "the software shall be used for good not evil"),
+    ("artistic-2", "artistic", 84, "you may .{0,60}under the terms of the artistic license 2 0"),
+    ("perl", "same terms as perl", 86, "(?:redistribute it and or modify it|distributed) under the same terms as perl itself"),
+    ("artistic-1", "freely available", 66, "place your modifications in the public domain or otherwise make them freely available"),
+    ("psf-2", "python software foundation", 84, "python software foundation license version 2"),
+    ("psf-2", "psf hereby grants", 84, "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("openssl", "openssl toolkit", 84, "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "eric young", 84, "this product includes cryptographic software written by eric young"),
+    ("php-3", "php software", 84, "this product includes php software freely available from"),
+    ("postgresql", "without a written agreement", 84, "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("unicode", "unicode data files", 84, "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
+    ("ofl-1", "sil open font", 88, "this font software is licensed under the sil open font license version 1 1"),
+    ("ofl-1", "font software", 70, "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself"),
+    ("w3c", "copying this work", 84, "by obtaining using and or copying this work you the licensee agree that you have read understood and will comply"),
+    ("ncsa", "university of illinois", 82, "university of illinois ncsa open source license"),
+    ("ms-pl", "accompanying software", 82, "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("sleepycat", "complete source code", 84, "redistributions in any form must be accompanied by information on how to obtain complete source code for"),
+    ("odbl", "opendatacommons org", 76, "opendatacommons org licenses odbl"),
+    ("odc-by", "opendatacommons org", 76, "opendatacommons org licenses by"),
+    ("pddl", "opendatacommons org", 76, "opendatacommons org licenses pddl"),
+    ("ogl-uk", "open government", 82, "open government licen[sc]e(?: v(?:ersion)? ?[123](?: 0)?)?"),
+    ("proprietary", "confidential", 72, "(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", "strictly prohibited", 72, "unauthori[sz]ed (?:copying|use|distribution|reproduction)(?: (?:copying|use|distribution|reproduction|or|and|of))* .{0,60}is strictly prohibited"),
+    ("proprietary", "written permission", 66, "may not be (?:reproduced|copied|distributed|redistributed)(?: .{0,60})? without (?:the )?(?:prior |express )?(?:prior )?written permission"),
+    ("non-commercial", "commercial", 66, "(?:for )?non ?commercial (?:use|purposes) only"),
+    ("non-commercial", "commercial", 66, "not (?:be used )?for commercial (?:use|purposes)"),
+    ("research-only", "research", 66, "(?:for )?(?:academic |scientific )?research (?:use|purposes) only"),
+    ("no-ai", "may not be used", 66, "may not be used (?:to train|for training|for the training of) (?:artificial intelligence|ai|machine learning|language models)"),
+    ("rail", "use restrictions", 76, "use restrictions as referenced in paragraph 5 must be included"),
+    ("llama", "llama", 84, "built with (?:meta )?llama"),
+    ("copyleft-next", "copyleft next", 80, "copyleft next(?: 0 3 [01])?"),
+    ("elastic-2", "elastic license", 84, "elastic license(?: version)? 2(?: 0)?"),
+    ("sspl-1", "server side public", 84, "server side public license(?: version| v)?(?: 1)?"),
+    ("busl-1", "business source", 84, "business source license(?: version)?(?: 1 1)?"),
+    ("commons-clause", "commons clause", 84, "commons clause license condition v1 0"),
 ]
 #: A document without any of these can't match a rule.
-GATE = ("licen", "all rights reserved", "public domain", "permission ", "redistribution and use", " under ")
-RULE = "array<struct<label:string,keywords:array<string>,priority:int,pattern:string>>"
+GATE = ("licen", " rights reserved", "public domain", "permission ", "redistribution", " under ", *sorted({k for _, k, _, text in OTHERS if not any(x in text for x in ("license", " rights reserved", "public domain", "permission ", "redistribution", " under "))}))
+RULE = "array<struct<keywords:array<string>,rules:array<struct<label:string,priority:int,pattern:string>>>>"
 
 
 def rules() -> list[dict]:
@@ -140,8 +252,12 @@ def detections(norm: Column) -> Column:
         spans = F.flatten(F.transform(F.array(found), place))
         return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), (-rule["priority"]).alias("rank"), rule["label"].alias("label")))
 
-    table = F.from_json(F.lit(json.dumps(rules())), RULE)
-    return F.array_sort(F.flatten(F.transform(F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(norm, k))), of)))
+    groups: dict[tuple, list] = {}  # rules with the same keywords are looked up together
+    for rule in rules():
+        groups.setdefault(tuple(rule["keywords"]), []).append(rule)
+    table = F.from_json(F.lit(json.dumps([{"keywords": k, "rules": r} for k, r in groups.items()])), RULE)
+    able = F.flatten(F.transform(F.filter(table, lambda g: F.exists(g["keywords"], lambda k: F.contains(norm, k))), lambda g: g["rules"]))
+    return F.array_sort(F.flatten(F.transform(able, of)))
 
 
 def resolved(hits: Column) -> Column:
