@@ -46,3 +46,16 @@ def version_as_of(df: DataFrame, moments: DataFrame) -> DataFrame:
     w = Window.partitionBy("opportunity_id").orderBy("at", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right).withColumns({"current_id": F.last("id", True).over(w), "current_type": F.last("event_type", True).over(w)})
     return both.where("kind = 1").select("moment_id", "opportunity_id", "current_id", "current_type")
+
+
+def until_stop(pages: DataFrame, key: str, order: str, stop, most: int) -> DataFrame:
+    """Pages of each crawl up to the first one that meets stop (that one not), at most ``most`` of them; page_number counts from 1."""
+    w = Window.partitionBy(key).orderBy(order)
+    told = pages.withColumns({"page_number": F.row_number().over(w), "__stops": F.sum(F.coalesce(stop, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return told.where((F.col("__stops") == 0) & (F.col("page_number") <= most)).drop("__stops")
+
+
+def first_signatures(pages: DataFrame, key: str, order: str, signature) -> DataFrame:
+    """pages with ``repeats``: whether an earlier page of the crawl has the same signature."""
+    seen = F.row_number().over(Window.partitionBy(key, "__signature").orderBy(order))
+    return pages.withColumn("__signature", signature).withColumn("repeats", seen > 1).drop("__signature")

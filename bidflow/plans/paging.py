@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidflow.functions import text
+from bidflow.operators import windows
 from bidflow.plans.ctes import OPPORTUNITIES
 from bidflow.sources import pages as p
 from bidflow.sources import views as v
@@ -74,6 +75,20 @@ def page_chain(spark, sf):
     return p.page_chain(links, _pages(spark, sf).select("page_id"), 5)
 
 
+def crawl_until_stop(spark, sf):
+    """Conversations as crawls: pages up to the first short or repeated one, ten at most."""
+    c = windows.first_signatures(v.table(spark, sf, "conversations"), "conv_id", "turn", F.md5(F.coalesce("text", F.lit(""))))
+    short = F.length(F.coalesce("text", F.lit(""))) < 60
+    return windows.until_stop(c, "conv_id", "turn", short | F.col("repeats"), 10).select("conv_id", "turn", "page_number")
+
+
+def page_types(spark, sf):
+    """What kind each page is, with marks of each kind written into the pages."""
+    mark = F.element_at(F.array(*(F.lit(x) for x in ("", "<h1>404 Not Found</h1>", "<p>No results</p>", "<table><tr><td>1<tr><td>2<tr ><td>3</table>", "<i class='big card'></i><i class=\"card\"></i><i class='x listing-item'></i>", "<form><input type='search'></form>"))), (F.col("page_id") % 6 + 1).cast("int"))
+    plain = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?i)<(tr|form)[ >]|class=|results|results?|found", "")
+    return v.table(spark, sf, "pages").select("page_id", p.page_type(F.concat(plain, mark)).alias("page_type"))
+
+
 def conversation_turns(spark, sf):
     """Conversations as threads of messages: turns, roles and the first line."""
     c = v.table(spark, sf, "conversations")
@@ -102,5 +117,8 @@ SQL = {
     "page_chain": """with recursive links as (select page_id, case when page_id % 7 <> 0 then page_id + 3 end as next_id from pages),
  chain as (select page_id as start_id, page_id, 1 as depth from pages union all select c.start_id, l.next_id, c.depth + 1 from chain c join links l on c.page_id = l.page_id where l.next_id is not null and c.depth < 5)
  select start_id, page_id, depth from chain""",
+    "crawl_until_stop": """with c as (select conv_id, turn, length(coalesce(text, '')) < 60 or row_number() over (partition by conv_id, md5(coalesce(text, '')) order by turn) > 1 as stops, row_number() over (partition by conv_id order by turn) as n from conversations),
+ f as (select conv_id, coalesce(min(n) filter (stops), 1000) as first_stop from c group by 1) select conv_id, turn, cast(n as int) as page_number from c join f using (conv_id) where n < first_stop and n <= 10""",
+    "page_types": "select page_id, list_extract(['unknown', 'error_page', 'empty_results', 'results_table', 'results_cards', 'search_form'], cast(page_id % 6 + 1 as int)) as page_type from pages",
     "conversation_turns": "select conv_id, count(*) as turns, count(*) filter (role = 'user') as user_turns, cast(sum(length(text)) as bigint) as chars, md5(arg_min(text, turn)) as first_md5 from conversations group by 1",
 }

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from xml.etree.ElementTree import Element
 from urllib.parse import parse_qs, urljoin, urlparse
+from xml.etree.ElementTree import Element
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,10 +33,10 @@ SCORES = dict.fromkeys(REQUIRED, 10) | dict.fromkeys(IMPORTANT, 5)
 MOST_TABLES = MOST_GROUPS = 5
 
 
-def match_header(header: str) -> tuple[str | None, float]:
-    """Field and confidence: 1 for a known header, 0.7 for a similar one."""
+def match_header(header: str, aliases: Mapping[str, str] = {}) -> tuple[str | None, float]:
+    """Field and confidence: 1 for a known header (aliases, in lower case, come first), 0.7 for a similar one."""
     text = header.strip().lower()
-    exact = _SYNONYMS.get(text)
+    exact = aliases.get(text) or _SYNONYMS.get(text)
     similar = exact or nearest(text)[0]
     return similar, 1.0 if exact else 0.7 if similar else 0.0
 
@@ -67,9 +68,9 @@ def table_score(fields: list, rows: int, nested: bool) -> float:
     return score * 0.5 if nested else score
 
 
-def of_table(table: Element, url: str) -> tuple[float, list[dict]]:
+def of_table(table: Element, url: str, aliases: Mapping[str, str] = {}) -> tuple[float, list[dict]]:
     """Confidence and records of a table; without an id or title among its headers it has none."""
-    heads = [match_header(h) for h in table_headers(table)]
+    heads = [match_header(h, aliases) for h in table_headers(table)]
     lines = table_rows(table)
     # The first line is the header where no head says so, even within a body.
     if lines and not any(p.tag == "thead" for p in table) and lines[0] is next(table.iter("tr")):
@@ -97,14 +98,14 @@ def of_table(table: Element, url: str) -> tuple[float, list[dict]]:
     return round(0.3 * sure + 0.4 * len(mapped & {*REQUIRED}) / 2 + 0.2 * len(mapped & {*IMPORTANT}) / 4 + 0.1 * min(1.0, len(out) / 5), 3), out
 
 
-def of_tables(root: Element, url: str) -> tuple[float, list[dict]]:
+def of_tables(root: Element, url: str, aliases: Mapping[str, str] = {}) -> tuple[float, list[dict]]:
     scored = []
     for table in root.iter("table"):
-        fields = [match_header(h)[0] for h in table_headers(table)]
+        fields = [match_header(h, aliases)[0] for h in table_headers(table)]
         if (score := table_score(fields, len(table_rows(table)), next((True for n in table.iter("table") if n is not table), False))) > 0:
             scored.append((score, table))
     scored.sort(key=lambda x: -x[0])
-    return max((of_table(t, url) for _, t in scored[:MOST_TABLES]), key=lambda x: x[0], default=(0.0, []))
+    return max((of_table(t, url, aliases) for _, t in scored[:MOST_TABLES]), key=lambda x: x[0], default=(0.0, []))
 
 
 # Cards. Words of classes and of texts.
@@ -462,6 +463,13 @@ class Rules:
     fields: dict[str, FieldRule] = field(default_factory=dict)
     container: str | None = None
 
+    @classmethod
+    def of(cls, config: Mapping) -> Rules:
+        """From a portal's configuration: fields (name: selectors, attribute, regex, clean, required) and container_selector."""
+        told = {name: {"selectors": r} if isinstance(r, (str, list)) else r for name, r in (config.get("fields") or {}).items()}
+        many = lambda x: (x,) if isinstance(x, str) else tuple(x)
+        return cls({name: FieldRule(**{**r, "selectors": many(r["selectors"])}) for name, r in told.items()}, config.get("container_selector"))
+
     def records(self, root: Element, url: str) -> list[dict]:
         if self.container:
             found = [{name: v[0] for name, rule in self.fields.items() if (v := rule.values(c, url, first=True))} for c in selected(root, self.container)]
@@ -554,14 +562,19 @@ def next_page(html: str, url: str, hint: str | None = None) -> str | None:
     return None
 
 
-def extract_page(html: str, url: str, threshold: float, hints: tuple = (), rules: Rules | None = None) -> tuple[str, float, list[dict]]:
-    """The first method whose records reach the threshold, and are surer than 0.3."""
+#: A further method: its name, and a function of the page's tree and URL that gives confidence and records.
+Extractor = tuple[str, Callable[[Element, str], tuple[float, list[dict]]]]
+
+
+def extract_page(html: str, url: str, threshold: float, hints: tuple = (), rules: Rules | None = None, aliases: Mapping[str, str] = {}, extractors: tuple[Extractor, ...] = ()) -> tuple[str, float, list[dict]]:
+    """The first method whose records reach the threshold, and are surer than 0.3; further extractors come last."""
     root = parse(html)
-    tries = [lambda: of_structured(html, root, url, hints), lambda: ("table", *of_tables(root, url)), lambda: ("card", *of_cards(root, url))]
+    tries = [lambda: of_structured(html, root, url, hints), lambda: ("table", *of_tables(root, url, aliases)), lambda: ("card", *of_cards(root, url))]
     if rules:
         tries.append(lambda: ("rules", rules.confidence(found := rules.records(root, url)), found))
     if "|" in html:
         tries.append(lambda: ("markdown", quick_confidence(found := of_markdown(html, url)), found))
+    tries += [lambda name=name, run=run: (name, *run(root, url)) for name, run in extractors]
     for run in tries:
         name, sure, records = run()
         if records and sure >= max(threshold, 0.3):
@@ -569,17 +582,18 @@ def extract_page(html: str, url: str, threshold: float, hints: tuple = (), rules
     return "pipeline_failed", 0.0, []
 
 
-def extract(pages: DataFrame, threshold: float = 0.4, hints: tuple = (), rules: Rules | None = None) -> DataFrame:
+def extract(pages: DataFrame, threshold: float = 0.4, hints: tuple = (), rules: Rules | None = None, aliases: Mapping[str, str] = {}, extractors: tuple[Extractor, ...] = ()) -> DataFrame:
     """One row per record of the pages (page_id, url, html): method, confidence, row_index and the fields as text.
 
-    ``hints`` are dotted paths to the records in embedded JSON, which are tried first; ``rules`` apply where no heuristic is sure.
+    ``hints`` are dotted paths to the records in embedded JSON, which are tried first; ``rules`` apply where no heuristic is
+    sure; ``aliases`` are headers of tables with their fields; ``extractors`` are further methods, tried last.
     """
 
     def run(batches):
         for batch in batches:
             out = []
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                method, sure, records = extract_page(html or "", url or "", threshold, hints, rules)
+                method, sure, records = extract_page(html or "", url or "", threshold, hints, rules, aliases, extractors)
                 out += [(page, method, sure, i, *(r.get(c) for c in COLUMNS)) for i, r in enumerate(records)]
             columns = list(zip(*out)) or [[]] * (4 + len(COLUMNS))
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32()] + [pa.string()] * len(COLUMNS)

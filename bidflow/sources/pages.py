@@ -54,6 +54,21 @@ def totals(text: Column) -> Column:
     return F.struct(part(1).alias("first"), part(2).alias("last"), part(3).alias("total"))
 
 
+# Words of each type of page, tried in this order.
+PAGE_TYPES = [
+    ("error_page", ["internal server error", "404 not found", "page not found", "service unavailable"]),
+    ("empty_results", ["no results", "0 results", "no records found", "nothing found", "no opportunities"]),
+]
+
+
+def page_type(html: Column) -> Column:
+    """error_page, empty_results, results_table, results_cards, search_form or unknown, by words and elements of the page."""
+    low = F.lower(html)
+    rows, cards = F.regexp_count(low, F.lit("<tr[ >]")), F.regexp_count(low, F.lit(r"class=[\"'][^\"']*(card|result-item|listing-item)"))
+    told = [F.when(contains_any(low, words), F.lit(kind)) for kind, words in PAGE_TYPES]
+    return F.coalesce(*told, F.when(rows >= 3, "results_table"), F.when(cards >= 3, "results_cards"), F.when(F.contains(low, F.lit("<form")) & low.rlike("type=.?(search|text)"), "search_form"), F.lit("unknown"))
+
+
 #: Steps after which a chain's lineage is cut, where the session has a folder for that.
 CUT = 16
 

@@ -105,3 +105,13 @@ def test_next_pages(spark):
     pages = [(1, '<a rel="next" href="?p=2">x</a>'), (2, '<li class=next><a href="#">'), (3, '<div class=pagination><a href=/3>Next</a></div>'), (4, None), (5, '<a href="n">Next Page</a>')]
     df = spark.createDataFrame([(i, "https://e.org/l", h) for i, h in pages], "page_id long, url string, html string")
     assert {r["page_id"]: r["next_url"] for r in html.next_pages(df).collect()} == {1: "https://e.org/l?p=2", 2: None, 3: "https://e.org/3", 4: None, 5: "https://e.org/n"}
+
+
+def test_aliases_and_further_extractors(spark):
+    page = "<table><tr><th>Vergabe-Nr<th>Titel der Sache<tr><td>7<td>Straße</table>"
+    assert html.extract_page(page, "", 0.4, aliases={"vergabe-nr": "external_id", "titel der sache": "title"})[2] == [{"external_id": "7", "title": "Straße"}]
+    df = spark.createDataFrame([(1, "u", "<p>odd")], "page_id long, url string, html string")
+    own = ("paragraphs", lambda root, url: (0.9, [{"title": markup.text_of(p)} for p in root.iter("p")]))
+    assert [(r["method"], r["title"]) for r in html.extract(df, extractors=(own,)).collect()] == [("paragraphs", "odd")]
+    rules = html.Rules.of({"container_selector": "p", "fields": {"title": "b", "external_id": {"selectors": ["i"], "regex": r"\d+", "required": True}}})
+    assert rules.container == "p" and rules.fields["external_id"].required and rules.records(markup.parse("<p><b>t</b><i>no 5</i>"), "") == [{"title": "t", "external_id": "5"}]
