@@ -239,6 +239,56 @@ def portal_preview(spark, sf):
     return names.select("region", F.concat(F.array_join(F.slice("names", 1, 3), ", "), F.when(F.size("names") > 3, F.concat(F.lit(" (+"), (F.size("names") - 3).cast("string"), F.lit(")"))).otherwise("")).alias("shown"))
 
 
+def portal_counters(spark, sf):
+    """Of each portal: runs, new opportunities, the last run and the last that succeeded (kept when later ones fail)."""
+    r = v.runs(spark, sf).groupBy("portal_id").agg(F.count("*").alias("total_runs"), F.sum("opportunities_new").alias("total_opportunities"), F.max("finished_at").alias("last_scraped_at"), F.max(F.when(T("status") == "COMPLETED", T("finished_at"))).alias("last_success_at"))
+    p = v.portals(spark, sf).select("portal_id", "portal_name")
+    return p.join(r, "portal_id", "left").select("portal_id", F.coalesce("total_runs", F.lit(0)).alias("total_runs"), F.coalesce("total_opportunities", F.lit(0)).alias("total_opportunities"), "last_scraped_at", "last_success_at")
+
+
+def runs_of_named_portal(spark, sf):
+    """Runs of portals that are asked for by name."""
+    p = v.portals(spark, sf).where(T("portal_name").isin("nation_3", "nation_7", "none"))
+    return v.runs(spark, sf).join(p.select("portal_id", "portal_name"), "portal_id").select("portal_name", "run_id", "status", F.timestamp_diff("SECOND", T("started_at"), T("finished_at")).alias("duration_seconds"))
+
+
+def resumable_runs(spark, sf):
+    """Runs that stopped short and have a checkpoint."""
+    saved = v.events(spark, sf).where("id % 5 = 0").select(T("id").alias("run_id"), F.lit("{}").alias("checkpoint"))
+    return runs.with_checkpoints(_running(spark, sf), saved).where(T("status").isin("RUNNING", "PARTIAL", "FAILED") & T("checkpoint").isNotNull()).select("run_id", "status")
+
+
+def rate_limiter_stats(spark, sf):
+    """Hosts that are tracked, and requests to each and in all."""
+    hosts = v.table(spark, sf, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host")).agg(F.count("*").alias("requests"))
+    return hosts.agg(F.count("*").alias("domains_tracked"), F.sum("requests").alias("total_requests"), F.max("requests").alias("most"), F.min("requests").alias("least"))
+
+
+def nested_paths(spark, sf):
+    """Dotted paths through objects and lists, out of range and absent ones among them."""
+    j = F.to_json(F.struct(F.array(F.struct(F.struct(T("c_name").alias("name")).alias("buyer"), F.array(T("c_custkey"), T("c_custkey") + 1).alias("codes"))).alias("items")))
+    at = lambda path: F.get_json_object(j, path)
+    return v.table(spark, sf, "customer").select("c_custkey", at("$.items[0].buyer.name").alias("name"), at("$.items[0].codes[1]").alias("second"), at("$.items[1].buyer").alias("beyond"), at("$.items[0].none.x").alias("absent"))
+
+
+def lookup_by_key(spark, sf):
+    """Point lookups by portal and external id, and by fingerprint: each key's row, or none."""
+    o = v.opportunities(spark, sf)
+    keyed = o.select("id", "portal_id", "external_id", hashing.fingerprint(o).alias("fingerprint"))
+    asked = o.select("portal_id", F.when(T("id") % 2 == 0, T("external_id")).otherwise("OPP-x").alias("external_id"))
+    by_key = asked.join(keyed, ["portal_id", "external_id"], "left").select(F.lit("key").alias("by"), T("external_id").alias("asked"), "id")
+    print_ = o.select(hashing.fingerprint(o).alias("fingerprint"))
+    by_print = print_.join(keyed, "fingerprint", "left").select(F.lit("fingerprint").alias("by"), T("fingerprint").alias("asked"), "id")
+    return by_key.unionByName(by_print)
+
+
+def record_ordinals(spark, sf):
+    """Places of records on their pages, and numbers of the pages of a portal, counted from 1."""
+    o = v.opportunities(spark, sf).select("portal_id", F.floor(T("id") / 25).alias("page"), "id")
+    pages = o.groupBy("portal_id", "page").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # 25 at most
+    return pages.select("portal_id", "page", F.posexplode("ids").alias("row_index", "id"))
+
+
 L, O = f"with {LISTINGS}", f"with {OPPORTUNITIES}"
 _DATE = """case l.id % 7 when 4 then closing_at + interval 14 hour + interval 30 minute when 6 then null else closing_at end"""
 # Field, when it differs, its old and new text, significance.
@@ -300,4 +350,12 @@ SQL = {
  c as (select doc_id, length(trim(line, ' ')) as n, i from e), b as (select doc_id, max(n) as n, arg_min(i, (-n, i)) as line from c where n between 4 and 180 group by 1) select d.doc_id, cast(n as int) as n, cast(line as int) as line from documents d left join b using (doc_id)""",
     "dates_in_text": O + " select id, strftime(coalesce(closing_at, posted_at), '%B %-d, %Y') as closing, strftime(posted_at, '%Y-%m-%d') as posted, 3::bigint as n from opportunities",
     "portal_preview": O + ", n as (select region, array_agg(portal_name order by portal_name) as names from portals group by 1) select region, array_to_string(names[1:3], ', ') || case when len(names) > 3 then ' (+' || (len(names) - 3) || ')' else '' end as shown from n",
+    "portal_counters": f"""with {RUNS}, r as (select portal_id, count(*) as total_runs, cast(sum(opportunities_new) as bigint) as total_opportunities, max(finished_at) as last_scraped_at, max(finished_at) filter (status = 'COMPLETED') as last_success_at from runs group by 1)
+ select n_nationkey as portal_id, coalesce(total_runs, 0) as total_runs, coalesce(total_opportunities, 0) as total_opportunities, last_scraped_at, last_success_at from nation left join r on portal_id = n_nationkey""",
+    "runs_of_named_portal": f"with {RUNS} select lower(n_name) as portal_name, run_id, status, cast(epoch_us(finished_at) - epoch_us(started_at) as bigint) // 1000000 as duration_seconds from runs join nation on n_nationkey = portal_id where lower(n_name) in ('nation_3', 'nation_7', 'none')",
+    "resumable_runs": f"with {RUNS}, r as (select run_id, case when run_id % 3 = 0 then status else 'RUNNING' end as status from runs) select run_id, status from r where run_id % 5 = 0 and status in ('RUNNING', 'PARTIAL', 'FAILED')",
+    "rate_limiter_stats": "with h as (select regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, count(*) as requests from pages group by 1) select count(*) as domains_tracked, cast(sum(requests) as bigint) as total_requests, max(requests) as most, min(requests) as least from h",
+    "nested_paths": "select c_custkey, c_name as name, cast(c_custkey + 1 as varchar) as second, cast(null as varchar) as beyond, cast(null as varchar) as absent from customer",
+    "lookup_by_key": f"{O}, f as (select *, {fingerprint()} as fp from opportunities) select 'key' as by, case when id % 2 = 0 then external_id else 'OPP-x' end as asked, case when id % 2 = 0 then id end as id from f union all select 'fingerprint', fp, id from f",
+    "record_ordinals": O + " select portal_id, cast(floor(id / 25) as bigint) as page, cast(row_number() over (partition by portal_id, floor(id / 25) order by id) - 1 as int) as row_index, id from opportunities",
 }
