@@ -1,18 +1,20 @@
 """Removal of word runs that occur more than once in the corpus, by growing repeated windows.
 
-A window is ``length`` consecutive words of one document. Lengths grow level by level, and only
-what repeats at one level is looked at again at the next:
+A window is ``length`` consecutive words of one document. Lengths double level by level (9, 18, 35
+words), and only what repeats at one level is extended to the next, until none is left:
 
 1. Runs of a quarter of the length. Of the runs in a window the one with the least hash is its
    anchor; equal windows have equal anchors, so one run in fourteen stands for all. Anchors that
    occur once drop out, and with them all windows around them.
-2. Segments: a surviving anchor is extended to both sides over all windows that it stands for, to
-   at least the whole length. A segment that occurs again is covered from end to end.
-3. Windows of the whole length, only around anchors whose segments differ, and of each repeated
-   segment only for one occurrence. Those that occur again are covered.
+2. Runs of twice that length that hold a surviving anchor: every window around it holds the run that
+   goes on to its right or the one that begins to its left. Runs that occur once drop out likewise.
+3. The whole length: a surviving run is extended to both sides over all windows that it stands for.
+   A segment that occurs again is covered from end to end. Where segments differ, single windows
+   decide, of each repeated segment only for one occurrence.
 
-Words and runs are compared by 64-bit hashes. Only anchors and windows are shuffled, and each text
-at most twice, compressed.
+Words and runs are compared by 64-bit hashes, windows of the whole length by two of them (of the
+run within and of all their words). Only anchors and windows are shuffled, and each text at most
+twice, compressed.
 
 Edge cases: a null or empty text has no words; documents shorter than a window lose nothing; a
 window that repeats within one document counts; windows are judged on the input; repeated rows are
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidflow.llm.common import compressed, read, stored, uncompressed
+from bidflow.llm.common import compressed, discard, read, stored, uncompressed
 from bidflow.llm.shingles import mixed, run_hashes, word_hashes
 
 LENGTH = 35
@@ -60,8 +62,9 @@ class Prefixes:
 
 
 def anchors(h: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """First and last window that each anchor stands for, the anchor's hash and that of its segment."""
+    """First and last window of each group of windows that share an anchor and a run of twice its length; hashes of anchor, run and segment."""
     short = -(-length // 4)
+    double = 2 * short
     runs = run_hashes(h, short)
     low = (runs & ~np.uint64(PART * 2 - 1)) | np.arange(len(runs), dtype=np.uint64)
     width, wide = 1, length - short + 1
@@ -70,11 +73,14 @@ def anchors(h: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         low = np.minimum(low[: len(low) - step], low[step:])
         width += step
     at = (low & np.uint64(PART * 2 - 1)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    # Windows from length - double words before the anchor on hold the run to its right, earlier ones that to its left.
+    right = np.arange(len(at)) >= at - (length - double)
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (right[1:] != right[:-1])])
     last = np.r_[first[1:] - 1, len(at) - 1]
-    at = at[first]
+    at, right = at[first], right[first]
+    doubled = run_hashes(h, double)[np.where(right, at, at + short - double)]
     segment = mixed(Prefixes(h).of(first, last + length) + (at - first).astype(np.uint64))
-    return first, last, runs[at], segment
+    return first, last, runs[at], doubled, segment
 
 
 def _words(batch: pa.RecordBatch, column: str):
@@ -83,22 +89,22 @@ def _words(batch: pa.RecordBatch, column: str):
 
 
 def find_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """Rows (did, th, place, anchor, segment); place: first window * 64 + further windows."""
+    """Rows (did, th, place, anchor, run, segment); place: first window * 64 + further windows."""
 
     def run(batches):
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy() for c in ("did", "th"))
-            parts: list[list] = [[], [], [], [], []]
+            parts: list[list] = [[], [], [], [], [], []]
             for k, words in enumerate(_words(batch, "text")):
                 for start in range(0, max(0, len(words) - length + 1), PART):
-                    first, last, anchor, segment = anchors(word_hashes(words[start : start + PART + length - 1]), length)
+                    first, last, anchor, doubled, segment = anchors(word_hashes(words[start : start + PART + length - 1]), length)
                     n = len(first)
-                    for part, x in zip(parts, (np.full(n, ids[k]), np.full(n, keys[k]), (first + start) * 64 + last - first, anchor.view(np.int64), segment.view(np.int64))):
+                    for part, x in zip(parts, (np.full(n, ids[k]), np.full(n, keys[k]), (first + start) * 64 + last - first, *(x.view(np.int64) for x in (anchor, doubled, segment)))):
                         part.append(x)
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["did", "th", "place", "anchor", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["did", "th", "place", "anchor", "run", "segment"])
 
-    return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, place long, anchor long, segment long")
+    return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, place long, anchor long, run long, segment long")
 
 
 def _unpacked(batch: pa.RecordBatch):
@@ -107,17 +113,19 @@ def _unpacked(batch: pa.RecordBatch):
 
 
 def find_windows(docs: DataFrame, length: int) -> DataFrame:
-    """Windows at the places of each document: (did, th, start, window, weight); weight 2 stands for windows known to repeat."""
+    """Windows at the places of each document: (did, th, start, run, window, weight); weight 2 stands for windows known to repeat."""
 
     def run(batches):
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy() for c in ("did", "th"))
-            parts: list[list] = [[], [], [], [], []]
-            for k, (words, places) in enumerate(zip(_unpacked(batch), batch.column("places").to_pylist())):
-                places = np.unique(np.array(places, np.int64))
-                weight, places = places & 1, places >> 1
-                many = (places & 63) + 1
-                starts = np.repeat(places >> 6, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            ends = np.concatenate([[0], np.cumsum(batch.column("places").value_lengths().to_numpy())])
+            every = [batch.column("places").flatten().field(c).to_numpy() for c in ("place", "run", "known")]
+            parts: list[list] = [[], [], [], [], [], []]
+            for k, words in enumerate(_unpacked(batch)):
+                place, runs, known = (x[ends[k] : ends[k + 1]] for x in every)
+                many = (place & 63) + 1
+                starts = np.repeat(place >> 6, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                runs, known = np.repeat(runs, many), np.repeat(known, many)
                 hashes = word_hashes(words)
                 for at in range(0, len(words), PART):
                     here = (starts >= at) & (starts < at + PART)
@@ -125,12 +133,12 @@ def find_windows(docs: DataFrame, length: int) -> DataFrame:
                         s = starts[here] - at
                         window = Prefixes(hashes[at : at + PART + length]).of(s, s + length)
                         n = len(s)
-                        for part, x in zip(parts, (np.full(n, ids[k]), np.full(n, keys[k]), s + at, window.view(np.int64), np.repeat(weight, many)[here] + 1)):
+                        for part, x in zip(parts, (np.full(n, ids[k]), np.full(n, keys[k]), s + at, runs[here], window.view(np.int64), known[here] + 1)):
                             part.append(x)
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["did", "th", "start", "window", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["did", "th", "start", "run", "window", "weight"])
 
-    return docs.mapInArrow(run, "did long, th long, start long, window long, weight long")
+    return docs.mapInArrow(run, "did long, th long, start long, run long, window long, weight long")
 
 
 def removed(docs: DataFrame, length: int, keep_text: bool) -> DataFrame:
@@ -165,21 +173,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = compressed(docs)
 
     found = stored(find_anchors(docs, length), "anchors")
-    # Stored, so that joins read both sides by shuffle and Spark can split a hot anchor.
-    again = stored(found.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1").select("anchor"), "again")
-    kept = stored(found.join(again, "anchor"), "repeated-anchors")
 
+    def repeated(table: DataFrame, level: str) -> DataFrame:
+        """The rows whose hash at this level occurs again."""
+        # Stored, so that the join reads both sides by shuffle and Spark can split a hot hash.
+        again = stored(table.groupBy(level).agg(F.count("*").alias("many")).where("many > 1").select(level), f"again-{level}")
+        kept = stored(table.join(again, level), f"repeated-{level}")
+        discard(table, again)
+        return kept
+
+    kept = repeated(repeated(found, "anchor").drop("anchor"), "run")
     one = F.min(F.struct("did", "th", "place")).alias("one")
-    segments = stored(kept.groupBy("anchor", "segment").agg(F.count("*").alias("many"), one), "segments")
-    whole = kept.join(segments.where("many > 1").select("anchor", "segment"), ["anchor", "segment"]).select("did", "th", "place")
-    differ = segments.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    wanted = segments.join(differ, "anchor").select("one.did", "one.th", (F.col("one.place") * 2 + (F.col("many") > 1).cast("int")).alias("place"))
+    segments = stored(kept.groupBy("run", "segment").agg(F.count("*").alias("many"), one), "segments")
+    whole = kept.join(segments.where("many > 1").select("run", "segment"), ["run", "segment"]).select("did", "th", "place")
+    differ = segments.groupBy("run").agg(F.count("*").alias("kinds")).where("kinds > 1").select("run")
+    wanted = segments.join(differ, "run").select("one.did", "one.th", F.struct("one.place", "run", (F.col("many") > 1).cast("long").alias("known")).alias("place"))
     wanted = wanted.groupBy("did", "th").agg(F.collect_list("place").alias("places"))
 
     # Rows that repeat with id and text are one document here: their anchors all repeat.
     windows = stored(find_windows(packed.join(wanted, ["did", "th"]).dropDuplicates(["did", "th"]).select("did", "th", "data", "places"), length), "windows")
-    twice = stored(windows.groupBy("window").agg(F.sum("weight").alias("many")).where("many > 1").select("window"), "twice")
-    single = windows.where("weight = 1").join(twice, "window").select("did", "th", (F.col("start") * 64).alias("place"))
+    twice = stored(windows.groupBy("run", "window").agg(F.sum("weight").alias("many")).where("many > 1").select("run", "window"), "twice")
+    single = windows.where("weight = 1").join(twice, ["run", "window"]).select("did", "th", (F.col("start") * 64).alias("place"))
 
     covered = whole.unionByName(single).groupBy("did", "th").agg(F.collect_set("place").alias("places"))
     return removed(packed.join(covered, ["did", "th"], "left").select("doc_id", "data", "places"), length, keep_text)
