@@ -48,3 +48,35 @@ def test_cdc_of_an_empty_state(spark):
     assert [r["event_type"] for r in cdc.events_of(cdc.classified(state, batch)).collect()] == ["NEW"]
     assert cdc.upserted(state, batch).count() == 1 and cdc.upserted(batch.drop("fingerprint"), batch).count() == 1
     assert [r["outcome"] for r in cdc.classified(batch, batch).collect()] == ["UNCHANGED"]
+
+
+def test_nearest_header_by_brute_force():
+    import random
+    from functools import lru_cache
+
+    from bidflow.functions import headers
+
+    @lru_cache(None)
+    def common(a, b):
+        if not a or not b:
+            return 0
+        return common(a[1:], b[1:]) + 1 if a[0] == b[0] else max(common(a[1:], b), common(a, b[1:]))
+
+    rng = random.Random(2)
+    known = list(headers.synonyms().items())
+    for _ in range(25):
+        name = [*rng.choice(known)[0]]
+        for _ in range(rng.randrange(4)):
+            name[rng.randrange(len(name))] = rng.choice("abcdefgh ")
+        text = "".join(name)
+        scores = [(round(200 * common(text, other) / (len(text) + len(other))), field) for other, field in known]
+        most = max(s for s, _ in scores)
+        assert headers.nearest(text) == (next(f for s, f in scores if s == most) if most >= 75 else None, most)
+        common.cache_clear()
+
+
+def test_natural_dates(spark):
+    as_of = F.lit("2024-03-05 10:00:00").cast("timestamp_ntz")
+    got = evaluate(spark, lambda c: dates.natural_date(c, as_of), ["March 4", "Mar 5", "5th of March", "1st Apr 2025, 9:05 am", "Dec 31, 2023 at 12:30 am", "in 1 day", "10 days ago", None, "Feb 29", "May 1 25:00"])
+    assert [r["value"] for r in got] == [dt.datetime(2025, 3, 4), dt.datetime(2024, 3, 5), None, dt.datetime(2025, 4, 1, 9, 5), dt.datetime(2023, 12, 31, 0, 30), dt.datetime(2024, 3, 6), dt.datetime(2024, 2, 24), None, None, None]
+    assert [r["confidence"] for r in got] == [0.7, 0.7, 0.0, 0.9, 0.9, 0.6, 0.6, 0.0, 0.0, 0.0]
