@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidflow.functions.headers import ALIASES, FAMILIES, HEADERS, IMPORTANT, REQUIRED, nearest, synonyms
-from bidflow.sources.markup import classes, following, parse, select, selected, text_lines, text_of, within
+from bidflow.sources.markup import classes, following, parse, selected, text_lines, text_of, within
 
 _SYNONYMS = synonyms()
 #: Fields of a record, beside those of headers.
@@ -392,6 +392,7 @@ def of_embedded(root: Element, url: str, hints: tuple = ()) -> list[dict]:
     return out
 
 
+DATA_MARKS = frozenset(("data-id", "data-bid-id", "data-item"))
 #: Names of data attributes; others keep their own.
 DATA_NAMES = {"id": "external_id", "bid_id": "external_id", "item_id": "external_id", "title": "title", "name": "title", "status": "status", "state": "status", "date": "closing_at", "deadline": "closing_at", "due": "closing_at"}
 
@@ -399,7 +400,9 @@ DATA_NAMES = {"id": "external_id", "bid_id": "external_id", "item_id": "external
 def of_attributes(root: Element) -> list[dict]:
     """Records of elements with data-id, data-bid-id or data-item."""
     out = []
-    for n in select(root, "[data-id], [data-bid-id], [data-item]"):
+    for n in root.iter():
+        if not n.attrib or DATA_MARKS.isdisjoint(n.attrib):
+            continue
         names = ((name[5:].replace("-", "_"), value) for name, value in n.items() if name.startswith("data-"))
         record = {DATA_NAMES.get(name, name): value for name, value in names}
         if any(record.values()):
