@@ -113,3 +113,20 @@ def backoff(delay: Column, factor: Column, attempt: Column, most: Column) -> Col
 
 def jitter(low_ms: int, high_ms: int, seed: int) -> Column:
     return F.floor(F.rand(seed) * (high_ms - low_ms + 1) + low_ms) / 1000
+
+
+def jobs_after(jobs: DataFrame, commands: DataFrame) -> DataFrame:
+    """jobs (name, enabled, portals) after commands (name, action, portals), one a name: add (if the name is new; no portals: all), pause, resume, delete; what names no job is ignored."""
+    told = commands.select("name", F.col("action").alias("__action"), F.col("portals").alias("__portals"))
+    both = jobs.withColumn("__known", F.lit(True)).join(told, "name", "full")
+    known, action = F.col("__known").isNotNull(), F.col("__action")
+    kept = both.where((known & F.coalesce(action != "delete", F.lit(True))) | (~known & (action == "add")))
+    enabled = F.when(~known, True).when(action == "pause", False).when(action == "resume", True).otherwise(F.col("enabled"))
+    return kept.select("name", enabled.alias("enabled"), F.when(known, F.col("portals")).otherwise(F.coalesce("__portals", F.lit(""))).alias("portals"))
+
+
+def page_snapshots(pages: DataFrame, records: DataFrame, at: Column, least: float = 0.4) -> DataFrame:
+    """Rows to keep of pages (page_id, url) whose records (page_id, confidence) are missing or not sure enough, with the reason."""
+    sure = records.groupBy("page_id").agg(F.max("confidence").alias("extraction_confidence"))
+    reason = F.when(F.col("extraction_confidence").isNull(), "no_records").when(F.col("extraction_confidence") < least, "low_confidence")
+    return pages.select("page_id", "url").join(sure, "page_id", "left").withColumn("reason", reason).where("reason is not null").select("page_id", "url", "reason", "extraction_confidence", at.alias("created_at"))

@@ -289,6 +289,21 @@ def record_ordinals(spark, sf):
     return pages.select("portal_id", "page", F.posexplode("ids").alias("row_index", "id"))
 
 
+def schedule_changes(spark, sf):
+    """Jobs after commands to add, pause, resume and delete."""
+    n = v.table(spark, sf, "nation").select(F.lower("n_name").alias("name"), "n_nationkey")
+    jobs = n.where("n_nationkey < 15").select("name", (T("n_nationkey") % 2 == 0).alias("enabled"), F.lit("a,b").alias("portals"))
+    action = F.element_at(F.array(*(F.lit(x) for x in ("add", "pause", "resume", "delete"))), (T("n_nationkey") % 4 + 1).cast("int"))
+    return runs.jobs_after(jobs, n.where("n_nationkey >= 5").select("name", action.alias("action"), F.when(T("n_nationkey") % 8 == 0, "c").alias("portals")))
+
+
+def page_snapshots(spark, sf):
+    """Pages that are kept for inspection, as their records are missing or unsure."""
+    c = v.table(spark, sf, "customer").select(T("c_custkey").alias("page_id"), F.concat(F.lit("https://e.org/"), T("c_custkey").cast("string")).alias("url"))
+    records = c.where("page_id % 3 > 0").select("page_id", (T("page_id") % 10 / 10).alias("confidence"))
+    return runs.page_snapshots(c, records, v.as_of())
+
+
 L, O = f"with {LISTINGS}", f"with {OPPORTUNITIES}"
 _DATE = """case l.id % 7 when 4 then closing_at + interval 14 hour + interval 30 minute when 6 then null else closing_at end"""
 # Field, when it differs, its old and new text, significance.
@@ -358,4 +373,8 @@ SQL = {
     "nested_paths": "select c_custkey, c_name as name, cast(c_custkey + 1 as varchar) as second, cast(null as varchar) as beyond, cast(null as varchar) as absent from customer",
     "lookup_by_key": f"{O}, f as (select *, {fingerprint()} as fp from opportunities) select 'key' as by, case when id % 2 = 0 then external_id else 'OPP-x' end as asked, case when id % 2 = 0 then id end as id from f union all select 'fingerprint', fp, id from f",
     "record_ordinals": O + " select portal_id, cast(floor(id / 25) as bigint) as page, cast(row_number() over (partition by portal_id, floor(id / 25) order by id) - 1 as int) as row_index, id from opportunities",
+    "schedule_changes": """with n as (select lower(n_name) as name, n_nationkey as k, n_nationkey < 15 as known, case when n_nationkey >= 5 then list_extract(['add', 'pause', 'resume', 'delete'], n_nationkey % 4 + 1) end as action from nation)
+ select name, case when not known then true when action = 'pause' then false when action = 'resume' then true else k % 2 = 0 end as enabled, case when known then 'a,b' when k % 8 = 0 then 'c' else '' end as portals from n where (known and coalesce(action <> 'delete', true)) or (not known and action = 'add')""",
+    "page_snapshots": f"""with c as (select c_custkey as page_id, 'https://e.org/' || c_custkey as url, case when c_custkey % 3 > 0 then (c_custkey % 10) / 10.0::double end as extraction_confidence from customer)
+ select page_id, url, case when extraction_confidence is null then 'no_records' else 'low_confidence' end as reason, extraction_confidence, timestamp '{v.AS_OF}' as created_at from c where extraction_confidence is null or extraction_confidence < 0.4""",
 }
