@@ -202,7 +202,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     paired = split.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("cell", "table", "id", "many", "dim", "data", "block", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"))
     keyed = paired.withColumn("group", F.xxhash64("cell", "left", "right", "dim", "table"))
-    dealt = keyed.repartition("group").sortWithinPartitions("group")
+    dealt = keyed.drop("cell").repartition("group").sortWithinPartitions("group")
     found = stored(compared(dealt, directions, cosine), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     part = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "vector-components").withColumnRenamed("node", "id")
