@@ -42,6 +42,8 @@ THRESHOLD = 0.3
 BLOCK = 128
 #: Texts that are scored together.
 AT_ONCE = 64
+#: Rows that a task takes from Arrow at a time.
+ROWS = 1024
 #: A term in more than this share of the examples' vectors is frequent.
 FREQUENT = 1 / 16
 #: Chi-square up to which a term's tie to the label may be chance (p = 0.05): its factor is 1, beyond it chi-square / CHANCE.
@@ -205,7 +207,7 @@ class Model:
     def score(self, texts: list, k: int, found: dict[bytes, tuple]) -> list[tuple[float, list, list]]:
         """For each text: the score, the ids of the nearest examples, and the strong terms; found holds those of texts seen lately."""
         keys = [xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass")) for text in texts]
-        if len(found) > 100_000:
+        if len(found) > 20_000:
             found.clear()
         new = [*{key: text for key, text in zip(keys, texts) if key not in found}.items()]
         for low in range(0, len(new), AT_ONCE):
@@ -337,7 +339,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", k: int = NEIGHB
 
     def run(batches):
         found: dict[bytes, tuple] = {}
-        for batch in batches:
+        for batch in (whole.slice(low, ROWS) for whole in batches for low in range(0, whole.num_rows, ROWS)):
             results = model.score(batch.column(text_col).to_pylist(), k, found)
             scores = [score for score, _, _ in results]
             near = [examples if score >= threshold else [] for score, examples, _ in results]
