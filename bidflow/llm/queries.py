@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_template_line_dedup": "line_dedup",
     "op9_projection_near_dup": "embed_dedup",
     "op10_knn_toxicity": "toxicity",
+    "op13_filter_audit": "filter_audit",
 }
 
 
@@ -54,6 +55,18 @@ _SQL = {
  links as (select p.id as a, q.id as b from v p join v q on p.id < q.id where list_cosine_similarity(p.x, q.x) >= 0.95),
  nodes as (select id from v), {_REACH}, n as (select a, count(*) as n from ends group by 1)
  select id as vec_id, coalesce(n, 0) as n_links, component_id, id = component_id as kept from part left join n on n.a = id""",
+    "op13_filter_audit": """with recursive p as (select '' as o, 'ABCDE' as rest union all select o || substr(rest, i, 1), substr(rest, 1, i - 1) || substr(rest, i + 1) from p, (select unnest(range(1, 6)) as i) where i <= length(rest)),
+ steps as (select o as filter_order, cast(step as int) as step, substr(o, cast(step as int), 1) as letter, substr(o, 1, cast(step as int) - 1) as before from (select o from p where length(o) = 5), (select unnest(range(1, 6)) as step)),
+ t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+ f as (select doc_id, part, len(words) < 200 as a, 100 * len(list_distinct(words)) < 50 * len(words) as b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) as c,
+  regexp_matches(text, '[#$%&*|]') as d, coalesce(doc_id > min(doc_id) over (partition by text), false) as e from t),
+ l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+ m as (select part, case when a then 'A' else '' end || case when b then 'B' else '' end || case when c then 'C' else '' end || case when d then 'D' else '' end || case when e then 'E' else '' end as fails, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from f left join l using (doc_id)),
+ n as (select part, fails, good, toxic, count(*) as n from m group by all),
+ x as (select part, filter_order, step, letter, n, good, toxic, contains(fails, letter) as here, fails = letter as alone, before <> '' and regexp_matches(fails, '[' || before || 'x]') as gone from n, steps),
+ y as (select part, filter_order, step, letter, sum(n) filter (not here and not gone) as kept, sum(n) filter (here and not gone) as removed, sum(n) filter (here and gone) as redundant, sum(n) filter (alone) as unique_fails, sum(n * good) filter (here and not gone) as good_lost, sum(n * toxic) filter (here and not gone) as toxic_lost from x group by all)
+ select part, filter_order, step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed, cast(coalesce(redundant, 0) as bigint) as redundant, cast(coalesce(unique_fails, 0) as bigint) as unique_fails,
+  cast(coalesce(good_lost, 0) as bigint) as good_lost, cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost, cast(coalesce(sum(removed) over (partition by part, letter), 0) as bigint) as shapley from y""",
 }
 
 
