@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_template_line_dedup": "line_dedup",
     "op9_projection_near_dup": "embed_dedup",
     "op10_knn_toxicity": "toxicity",
+    "op12_exact_topk": "exact_topk",
     "op13_filter_audit": "filter_audit",
 }
 
@@ -55,6 +56,10 @@ _SQL = {
  links as (select p.id as a, q.id as b from v p join v q on p.id < q.id where list_cosine_similarity(p.x, q.x) >= 0.95),
  nodes as (select id from v), {_REACH}, n as (select a, count(*) as n from ends group by 1)
  select id as vec_id, coalesce(n, 0) as n_links, component_id, id = component_id as kept from part left join n on n.a = id""",
+    "op12_exact_topk": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x)),
+ r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+ select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5""",
     "op13_filter_audit": """with recursive p as (select '' as o, 'ABCDE' as rest union all select o || substr(rest, i, 1), substr(rest, 1, i - 1) || substr(rest, i + 1) from p, (select unnest(range(1, 6)) as i) where i <= length(rest)),
  steps as (select o as filter_order, cast(step as int) as step, substr(o, cast(step as int), 1) as letter, substr(o, 1, cast(step as int) - 1) as before from (select o from p where length(o) = 5), (select unnest(range(1, 6)) as step)),
  t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
