@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_template_line_dedup": "line_dedup",
     "op9_projection_near_dup": "embed_dedup",
     "op10_knn_toxicity": "toxicity",
+    "op11_fp_search": "fp_search",
     "op12_exact_topk": "exact_topk",
     "op13_filter_audit": "filter_audit",
 }
@@ -60,6 +61,15 @@ _SQL = {
  s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x)),
  r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
  select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5""",
+    "op11_fp_search": """with d as (select row_number() over () as row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms from documents where text is not null),
+ s as (select count(*) as big_n, sum(len(terms)) as big_l from d where len(terms) > 0),
+ i as (select row_number() over () as item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from (select distinct item_id, text from benchmark where item_id is not null)),
+ q as (select item, item_id, term, count(*) as c from i group by all),
+ t as (select row, doc_id, term, n, count(*) as tf from (select row, doc_id, len(terms) as n, unnest(terms) as term from d) where term in (select term from q) group by all),
+ w as (select term, cast(floor(1000 * ln((2 * big_n + 2) / cast(2 * count(*) + 1 as double))) as bigint) as w from t, s group by term, big_n),
+ x as (select item, item_id, row, doc_id, cast(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + cast((25 * n * big_n) // big_l as bigint))))) as bigint) as score from q join w using (term) join t using (term), s group by all),
+ r as (select *, row_number() over (partition by item order by score desc, doc_id nulls last) as rank from x where score > 0)
+ select item_id, cast(rank as int) as rank, doc_id, score from r where rank <= 20""",
     "op13_filter_audit": """with recursive p as (select '' as o, 'ABCDE' as rest union all select o || substr(rest, i, 1), substr(rest, 1, i - 1) || substr(rest, i + 1) from p, (select unnest(range(1, 6)) as i) where i <= length(rest)),
  steps as (select o as filter_order, cast(step as int) as step, substr(o, cast(step as int), 1) as letter, substr(o, 1, cast(step as int) - 1) as before from (select o from p where length(o) = 5), (select unnest(range(1, 6)) as step)),
  t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
