@@ -78,17 +78,44 @@ def _cron_field(field: Column, value: Column, low: int) -> Column:
     return F.exists(F.split(field, ","), fits)
 
 
-def next_cron(expression: Column, now: Column, days: int = 8) -> Column:
-    """The next minute after now that a cron expression (minute, hour, day, month, weekday with 0 for Sunday) fits, within so many days."""
-    part = lambda i: F.element_at(F.split(F.trim(expression), r"\s+"), i)
-    day = F.date_trunc("DAY", now).cast("timestamp_ntz")
-    fit_day = lambda d: _cron_field(part(3), F.dayofmonth(d), 1) & _cron_field(part(4), F.month(d), 1) & _cron_field(part(5), F.dayofweek(d) - 1, 0)
-    days_ = F.filter(F.transform(F.sequence(F.lit(0), F.lit(days)), lambda i: day + F.make_dt_interval(i)), fit_day)
-    hours = F.filter(F.sequence(F.lit(0), F.lit(23)), lambda h: _cron_field(part(2), h, 0))
-    minutes = F.filter(F.sequence(F.lit(0), F.lit(59)), lambda m: _cron_field(part(1), m, 0))
-    clock = F.flatten(F.transform(hours, lambda h: F.transform(minutes, lambda m: h * 60 + m)))
-    at = bound(clock, lambda c: F.flatten(F.transform(days_, lambda d: F.transform(c, lambda m: d + F.make_dt_interval(F.lit(0), F.lit(0), m)))))
-    return F.array_min(F.filter(at, lambda t: t > now))
+#: Years in which any date of the calendar falls on any weekday at least once: 29 February meets one again after 40 at most.
+CYCLE = 40
+
+
+def _next_day(after: Column, fits_month, fits_day, fits_weekday) -> Column:
+    """The first date after a date whose month, day and weekday fit; months are tried in turn, and days in the first months that fit alone."""
+    none = F.lit(None).cast("date")
+    months, days = (F.filter(F.sequence(F.lit(1), F.lit(n)), f) for n, f in ((12, fits_month), (31, fits_day)))
+
+    def in_month(year: Column, month: Column) -> Column:
+        first = F.make_date(year, month, F.lit(1))
+        dates = F.transform(F.filter(days, lambda d: d <= F.dayofmonth(F.last_day(first))), lambda d: F.date_add(first, d - 1))
+        return F.array_min(F.filter(dates, lambda d: (d > after) & fits_weekday(F.dayofweek(d) - 1)))
+
+    first_of = lambda values, find: F.aggregate(values, none, lambda found, x: F.when(found.isNotNull(), found).otherwise(find(x)))
+    return first_of(F.sequence(F.lit(0), F.lit(CYCLE)), lambda y: first_of(months, lambda m: in_month(F.year(after) + y, m)))
+
+
+def next_cron(expression: Column, now: Column) -> Column:
+    """The next minute after now that a cron expression (minute, hour, day, month, weekday with 0 for Sunday) fits, however far off.
+
+    Null: there is none (30 February), or the expression isn't one.
+    """
+
+    def of(part: Column) -> Column:
+        fits = lambda i, low: lambda value: _cron_field(F.get(part, F.lit(i)), value, low)
+        minutes, hours = (F.filter(F.sequence(F.lit(0), F.lit(n)), fits(i, 0)) for i, n in ((0, 59), (1, 23)))
+        day, weekday, today = F.date_trunc("DAY", now).cast("timestamp_ntz"), fits(4, 0), F.to_date(now)
+        fits_today = fits(3, 1)(F.month(now)) & fits(2, 1)(F.dayofmonth(now)) & weekday(F.dayofweek(now) - 1)
+        later = lambda values, than: F.array_min(F.filter(values, lambda x: x > than))
+        first = F.array_min(minutes)
+        this_hour = F.when(F.array_contains(hours, F.hour(now)), F.hour(now) * 60 + later(minutes, F.minute(now)))
+        at = F.when(fits_today, F.coalesce(this_hour, later(hours, F.hour(now)) * 60 + first))
+        other = _next_day(today, fits(3, 1), fits(2, 1), weekday).cast("timestamp_ntz")
+        minute_of = lambda start, m: start + F.make_dt_interval(F.lit(0), F.lit(0), m)
+        return F.coalesce(minute_of(day, at), minute_of(other, F.array_min(hours) * 60 + first))
+
+    return bound(F.split(F.trim(expression), r"\s+"), of)
 
 
 def portal_names(given: Column) -> Column:

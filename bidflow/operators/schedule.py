@@ -32,6 +32,16 @@ def next_fire(kind: Column, time_of_day: Column, every_hours: Column, now: Colum
     return F.when(kind == "daily", daily).when(kind == "weekday", weekday).when(kind == "hourly", now + F.make_dt_interval(F.lit(0), every_hours))
 
 
+def in_zone(fires, now: Column, zone: Column, *args: Column) -> Column:
+    """fires(*args, now) with now, and what it gives, in UTC, and the schedule in a zone; an hour that the zone skips or repeats counts as its first offset has it."""
+    return F.convert_timezone(zone, F.lit("UTC"), fires(*args, F.convert_timezone(F.lit("UTC"), zone, now)))
+
+
+def jittered(at: Column, most_minutes: Column, *seed: Column) -> Column:
+    """at, later by up to so many minutes; the same each time for the same seed (a job's name, say) and time."""
+    return at + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pmod(F.xxhash64(*seed, at), F.greatest(most_minutes, F.lit(0)) * 60 + 1))
+
+
 def lock_decision(holder: Column, expires: Column, wanted_by: Column, now: Column) -> Column:
     """What happens when wanted_by asks for a lock: re-entrant for its holder, expired ones are taken over."""
     return F.when(holder.isNull(), "acquired").when(expires <= now, "taken over").when(holder == wanted_by, "renewed").otherwise("refused")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bidflow.functions import dates, hashing, status
 from bidflow.operators import canonical as canon
-from bidflow.operators import cdc, runs
+from bidflow.operators import cdc, runs, schedule
 from bidflow.plans.ctes import LISTINGS, OPPORTUNITIES, RUNS, fingerprint
 from bidflow.sources import views as v
 
@@ -158,7 +158,29 @@ def cron_next(spark, sf):
     """The next fire of cron jobs after each customer's point in time."""
     expression = F.element_at(F.array(*(F.lit(x) for x in ("30 6 * * *", "0 */6 * * *", "15 9 * * 1-5", "0 0 1,15 * *", "*/20 22 * * 0"))), (T("c_custkey") % 5 + 1).cast("int"))
     now = F.lit("2024-02-27 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (T("c_custkey") * 37 % 4000).cast("int"))
-    return v.table(spark, sf, "customer").select("c_custkey", runs.next_cron(expression, now, 20).alias("next_run_at"))
+    return v.table(spark, sf, "customer").select("c_custkey", runs.next_cron(expression, now).alias("next_run_at"))
+
+
+#: Schedules that may be years away, one that never fires, and one that isn't any.
+_FAR = ["0 0 1 * *", "0 0 29 2 *", "30 12 31 12 5", "0 0 30 2 *", "*/7 3 * * *", "59 23 29 2 0", "whenever"]
+
+
+def cron_far(spark, sf):
+    """The next fire of schedules that fire once a month, in leap years, or on a weekday's date."""
+    k = T("c_custkey")
+    expression = F.element_at(F.array(*map(F.lit, _FAR)), (k % len(_FAR) + 1).cast("int"))
+    now = F.lit("2023-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((k * 13 % 2200).cast("int"), F.lit(0), (k * 7 % 1440).cast("int"))
+    return v.table(spark, sf, "customer").select("c_custkey", runs.next_cron(expression, now).alias("next_run_at"))
+
+
+def zoned_schedules(spark, sf):
+    """Daily, weekday and cron jobs in zones of their own, in UTC, and how late jitter may make them."""
+    zone = F.element_at(F.array(*map(F.lit, ("America/New_York", "Europe/Berlin", "Asia/Kolkata"))), (T("id") % 3 + 1).cast("int"))
+    kind, at = F.when(T("id") % 2 == 0, "daily").otherwise("weekday"), F.format_string("%02d:30", T("id") % 5 + 8)
+    fires = schedule.in_zone(lambda now: schedule.next_fire(kind, at, F.lit(1), now), T("created_at"), zone)
+    late = schedule.jittered(fires, F.lit(5), T("id"))
+    cron = schedule.in_zone(lambda now: runs.next_cron(F.lit("15 9 * * 1-5"), now), T("created_at"), zone)
+    return v.events(spark, sf).select("id", fires.alias("next_run_at"), cron.alias("next_cron_at"), F.timestamp_diff("SECOND", fires, late).between(0, 300).alias("in_time"))
 
 
 def blackout(spark, sf):
@@ -350,6 +372,15 @@ SQL = {
  f as (select m, unnest([0, 1, 2, 3, 4]) as k from ms where minute(m) in (0, 15, 20, 30, 40)),
  g as (select m, k from f where case k when 0 then hour(m) = 6 and minute(m) = 30 when 1 then hour(m) % 6 = 0 and minute(m) = 0 when 2 then hour(m) = 9 and minute(m) = 15 and dayofweek(m) between 1 and 5 when 3 then hour(m) = 0 and minute(m) = 0 and day(m) in (1, 15) else hour(m) = 22 and minute(m) % 20 = 0 and dayofweek(m) = 0 end)
  select c_custkey, min(m) as next_run_at from p join g on g.k = p.k and g.m > p.t group by c_custkey""",
+    "cron_far": """with p as (select c_custkey, timestamp '2023-01-01 00:00:00' + to_days(cast(c_custkey * 13 % 2200 as int)) + to_minutes(c_custkey * 7 % 1440) as t, c_custkey % 7 as k from customer),
+ ds as (select unnest(generate_series(timestamp '2023-01-01', timestamp '2070-01-01', interval 1 day)) as d),
+ f as (select 0 as k, d as m from ds where day(d) = 1 union all select 1, d from ds where month(d) = 2 and day(d) = 29 union all select 2, d + interval 750 minute from ds where month(d) = 12 and day(d) = 31 and dayofweek(d) = 5
+  union all select 4, d + to_minutes(180 + x) from ds, (select unnest(range(0, 60, 7)) as x) where d < timestamp '2030-01-01' union all select 5, d + interval 1439 minute from ds where month(d) = 2 and day(d) = 29 and dayofweek(d) = 0)
+ select c_custkey, min(m) as next_run_at from p left join f on f.k = p.k and f.m > p.t group by c_custkey""",
+    "zoned_schedules": """with e as (select event_id as id, timezone(z, timezone('UTC', ts)) as now, event_id % 2 = 0 as every, (event_id % 5 + 8) * 60 + 30 as mins, z from (select *, list_extract(['America/New_York', 'Europe/Berlin', 'Asia/Kolkata'], cast(event_id % 3 + 1 as int)) as z from events)),
+ d as (select *, date_trunc('day', now) + to_minutes(mins) as today, date_trunc('day', now) + interval 555 minute as c from e), n as (select *, case when today > now then today else today + interval 1 day end as next, case when c > now then c else c + interval 1 day end as cron from d),
+ w as (select *, next + to_days(case when every then 0 when dayofweek(next) = 6 then 2 when dayofweek(next) = 0 then 1 else 0 end) as fires, cron + to_days(case dayofweek(cron) when 6 then 2 when 0 then 1 else 0 end) as cron_fires from n)
+ select id, timezone('UTC', timezone(z, fires)) as next_run_at, timezone('UTC', timezone(z, cron_fires)) as next_cron_at, true as in_time from w""",
     "blackout": """with e as (select event_id as id, hour(ts) * 60 + minute(ts) as t from events) select id, case when id % 3 <> 0 then false when id % 2 = 0 then t >= 1320 or t < 360 else t >= 90 and t < 360 end as blacked_out from e""",
     "job_portals": "select n_nationkey, lower(n_name) || case n_nationkey % 3 when 0 then '|x' when 1 then '' else '|y' end as names from nation",
     "portal_dispatch": """with p as (select n_nationkey, n_nationkey % 2 = 0 as form, n_nationkey % 3 = 0 as browser from nation)
