@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidflow.functions import dates, money, status, text
+from bidflow.functions import date_grammar, money, status, text
 
 # Keys of raw fields in the order in which they are tried.
 KEYS = {
@@ -41,8 +41,11 @@ def listing_items(records: DataFrame) -> DataFrame:
     return records.select(*(F.col(c) if c in records.columns else F.lit(None).cast("string").alias(c) for c in LISTING), *(c for c in ("confidence", "row_index") if c in records.columns)).where(text.first_filled("external_id", "title").isNotNull())
 
 
-def canonical(raw: DataFrame, as_of: Column, keep: tuple = ()) -> DataFrame:
-    """raw (any of the keys as text columns) as canonical rows, with warnings; ``keep`` are columns to carry along."""
+def canonical(raw: DataFrame, as_of: Column, keep: tuple = (), compat: bool = False, day_first: bool = False) -> DataFrame:
+    """raw (any of the keys as text columns) as canonical rows, with warnings; ``keep`` are columns to carry along.
+
+    Dates in words are read relative to as_of. ``compat`` reads money as the older parser does, which takes the comma of $1,234 for a decimal point.
+    """
 
     def first(name: str) -> Column:
         there = [k for k in KEYS[name] if k in raw.columns]
@@ -50,20 +53,21 @@ def canonical(raw: DataFrame, as_of: Column, keep: tuple = ()) -> DataFrame:
 
     none = F.lit(None)
     cut = lambda name: F.nullif(F.substring(text.normalize_whitespace(first(name)), 1, LONGEST), F.lit(""))
-    amount = lambda name: text.bound(money.parse_money(first(name), True), lambda m: F.when(m["amount"] != 0, F.struct(F.round(m["amount"], 4).alias("amount"), m["currency"].alias("currency"))))
+    amount = lambda name: text.bound(money.parse_money(first(name), compat), lambda m: F.when(m["amount"] != 0, F.struct(F.round(m["amount"], 4).alias("amount"), m["currency"].alias("currency"))))
+    date = lambda i: F.col("__dates")[i]["value"]
     title = F.nullif(F.substring(text.clean_html_text(first("title")), 1, LONGEST_TITLE), F.lit(""))
-    stand_in = text.first_filled(*[c for c in ("title", "name", "description") if c in raw.columns])
+    stand_in = F.coalesce(*(text.first_filled(c) for c in ("title", "name", "description") if c in raw.columns), none.cast("string"))
     key = F.coalesce(first("external_id"), F.substring(F.md5(stand_in), 1, 16), F.concat(F.lit("unknown_"), F.unix_timestamp(as_of).cast("string")))
     told = text.computed(
         raw,
         {
-            "__closing": dates.parse_date(first("closing_at")), "__posted": dates.parse_date(first("posted_at")), "__awarded": dates.parse_date(first("awarded_at")),
+            "__dates": F.transform(F.array(*map(first, ("closing_at", "posted_at", "awarded_at"))), lambda t: date_grammar.parse_any(t, as_of, day_first)),  # one expression for all three
             "__state": status.parse_status(first("status")),
         },
     )
     typed = told.select(
         *keep, key.alias("external_id"), first("external_id").isNull().alias("__made"), title.alias("title"), F.nullif(text.clean_html_text(first("description")), F.lit("")).alias("description"), first("description_markdown").alias("description_markdown"),
-        F.col("__closing.value").alias("closing_at"), first("closing_at").isNotNull().alias("__told"), F.col("__posted.value").alias("posted_at"), F.col("__awarded.value").alias("awarded_at"), F.when(first("status").isNotNull(), F.col("__state.status")).alias("__status"),
+        date(0).alias("closing_at"), first("closing_at").isNotNull().alias("__told"), date(1).alias("posted_at"), date(2).alias("awarded_at"), F.when(first("status").isNotNull(), F.col("__state.status")).alias("__status"),
         cut("category").alias("category"), F.transform(F.split(first("commodity_codes"), ","), lambda x: F.trim(x)).alias("codes"), cut("agency").alias("agency"), cut("department").alias("department"), cut("location").alias("location"),
         *(first(c).alias(c) for c in ("contact_name", "contact_email", "contact_phone", "awardee", "source_url", "detail_url")), amount("estimated_value").alias("__value"), amount("award_amount").alias("__award"),
         F.coalesce(F.col("confidence").try_cast("double") if "confidence" in raw.columns else none.cast("double"), F.lit(0.0)).alias("extraction_confidence"),
