@@ -99,11 +99,11 @@ def classes(node: Element) -> str:
     return node.get("class", "").lower()
 
 
-COMPOUND = re.compile(r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\.(?P<class>[\w-]+)|\#(?P<id>[\w-]+)|\[(?P<name>[\w:-]+)\s*(?:(?P<how>[*^$~]?=)\s*["']?(?P<value>[^"'\]]*)["']?)?\]|:contains\(\s*["']?(?P<words>[^"')]*)["']?\s*\)""")
+COMPOUND = re.compile(r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\.(?P<class>[\w-]+)|\#(?P<id>[\w-]+)|\[(?P<name>[\w:-]+)\s*(?:(?P<how>[*^$~]?=)\s*["']?(?P<value>[^"'\]]*)["']?)?\]|:contains\(\s*["']?(?P<words>[^"')]*)["']?\s*\)|:nth-child\(\s*(?P<nth>\d+)\s*\)""")
 HOW = {"=": lambda x, y: x == y, "*=": lambda x, y: y in x, "^=": lambda x, y: x.startswith(y), "$=": lambda x, y: x.endswith(y), "~=": lambda x, y: y in x.split()}
 
 
-def _fits(node: Element, compound: str) -> bool:
+def _fits(node: Element, compound: str, places: dict[Element, int]) -> bool:
     at = 0
     for m in COMPOUND.finditer(compound):
         if m.start() != at:
@@ -116,6 +116,7 @@ def _fits(node: Element, compound: str) -> bool:
             and (node.get("id") == m["id"] if m["id"] else True)
             and (has is not None and (not m["how"] or HOW[m["how"]](has, m["value"])) if m["name"] else True)
             and (m["words"] in "".join(node.itertext()) if m["words"] else True)
+            and (places.get(node) == int(m["nth"]) if m["nth"] else True)
         ):
             return False
     if at != len(compound):
@@ -124,8 +125,9 @@ def _fits(node: Element, compound: str) -> bool:
 
 
 def select(node: Element, selector: str) -> list[Element]:
-    """Elements within that fit a CSS selector, in document order: tags, classes, ids, attributes, :contains, descendants, children (>), commas."""
+    """Elements within that fit a CSS selector, in document order: tags, classes, ids, attributes, :contains, :nth-child, descendants, children (>), commas."""
     found = set()
+    places = {child: i for parent in node.iter() for i, child in enumerate(parent, 1)} if ":nth-child" in selector else {}
     for one in re.split(r",(?![^\[(]*[\])])", selector):
         steps = re.findall(r"""(?:\[[^\]]*\]|\([^)]*\)|[^\s>\[(])+|>""", one)
         if re.sub(r"\s", "", "".join(steps)) != re.sub(r"\s", "", one):
@@ -135,7 +137,7 @@ def select(node: Element, selector: str) -> list[Element]:
             if step == ">":
                 direct = True
                 continue
-            here = [*dict.fromkeys(n for top in here for n in (top if direct else top.iter()) if n is not top and _fits(n, step))]
+            here = [*dict.fromkeys(n for top in here for n in (top if direct else top.iter()) if n is not top and _fits(n, step, places))]
             direct = False
         found.update(here if steps else ())
     return [n for n in node.iter() if n in found]
