@@ -146,6 +146,13 @@ SQL = {
  case when l.id % 5 = 1 then 'EUR' else 'USD' end as currency, l.agency, l.category as commodity_codes, case when l.id % 7 = 6 then 'closing date not read' else '' end as warnings
  from listings l join opportunities o on l.id = o.id""",
     "fingerprint_canonical": O + f" select id, {fingerprint()} as fingerprint from opportunities",
+    "header_fuzzy_match": f"""with recursive {OPPORTUNITIES}, h as (select distinct substr(list_extract(['closing date', 'solicitation number', 'agency', 'estimated value'], cast(id % 4 + 1 as int)), 1, cast(id % 13 + 5 as int)) || list_extract(['', 's', '_x'], cast(id % 3 + 1 as int)) as header from opportunities),
+ d as (select unnest({list(headers.synonyms())}) as name, unnest({list(headers.synonyms().values())}) as field, unnest(range({len(headers.synonyms())})) as rank),
+ p as (select row_number() over () as pair, trim(lower(header)) as a, name as b, header, field, rank from h, d),
+ l as (select pair, 0 as i, list_transform(range(length(b) + 1), lambda x: cast(0 as bigint)) as row from p
+  union all select l.pair, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(row[k], case when k > 1 and substr(b, k - 1, 1) = substr(a, i + 1, 1) then row[k - 1] + 1 else 0 end)))) from l join p on p.pair = l.pair where i < length(a)),
+ s as (select header, field, rank, cast(round_even(200.0 * row[-1] / (length(a) + length(b)), 0) as int) as score from l join p on p.pair = l.pair where i = length(a)),
+ m as (select header, arg_max(field, (score, -rank)) as field, max(score) as score from s where score >= 75 group by 1)
+ select header, field, score from h left join m using (header)""",
     "fingerprint_dict": O + f" select id, {fingerprint(missing='None')} as fingerprint from opportunities",
 }
-NO_SQL = ["header_fuzzy_match"]
