@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidflow.functions import headers
-from bidflow.sources import html
+from bidflow.sources import html, selectors, variant
 from bidflow.sources import views as v
 
 BASE = "https://bids.example.org/list/"
@@ -84,13 +84,53 @@ def jsonld_properties(spark, sf):
     return html.extract(_pages(spark, sf, body)).select("page_id", "method", F.round("confidence", 3).alias("confidence"), *names)
 
 
-def json_payloads(spark, sf):
-    """Pages that are JSON: lists under several keys, aliases of fields in order."""
+def _json_pages(spark, sf):
     k = _k()
     item = F.to_json(F.struct(F.when(k % 2 == 0, k).alias("bid_id"), _text("N", k).alias("number"), F.when(k % 3 == 0, F.lit("")).otherwise(F.col("c_name")).alias("title"), F.lit("fallback").alias("subject"), F.struct(F.col("c_mktsegment").alias("value")).alias("organization"), F.lit("dep").alias("department"), F.col("c_nationkey").alias("budget"), F.lit("2024-05-06").alias("due_date"), F.lit("x@y.z").alias("email")))
     keys = F.element_at(F.array(*(F.lit(x) for x in ("data", "results", "opportunities"))), (k % 3 + 1).cast("int"))
     body = F.when(k % 4 == 0, _text("[", item, ",", item, "]")).when(k % 4 == 1, item).when(k % 4 == 2, _text('{"', keys, '": [', item, ", 1]}")).otherwise(_text(' {"total": 1, "items": [], "records": [', item, "]}"))
-    return html.extract(_pages(spark, sf, body)).select("page_id", "method", "confidence", "row_index", "external_id", "title", "agency", "department", "estimated_value", "closing_at", "contact_email")
+    return _pages(spark, sf, body)
+
+
+_PAYLOAD = ("page_id", "method", "confidence", "row_index", "external_id", "title", "agency", "department", "estimated_value", "closing_at", "contact_email")
+
+
+def json_payloads(spark, sf):
+    """Pages that are JSON: lists under several keys, aliases of fields in order."""
+    return html.extract(_json_pages(spark, sf)).select(*_PAYLOAD)
+
+
+def json_payloads_native(spark, sf):
+    """The same pages, by VARIANT alone."""
+    return variant.json_records(_json_pages(spark, sf)).select(*_PAYLOAD)
+
+
+def mixed_payloads(spark, sf):
+    """Of payloads of events, some of other shapes: the schema that fits all of a type, and their numbers."""
+    e = v.table(spark, sf, "events")
+    k = F.col("event_id")
+    told = F.when(k % 5 == 0, F.concat(F.lit('{"k": "'), k.cast("string"), F.lit('", "more": [1, null]}'))).when(k % 7 == 0, "{broken").otherwise(F.col("props"))
+    shapes = variant.shape(e.select("event_type", told.alias("props")), "props", "event_type")
+    sums = e.groupBy("event_type").agg(F.sum(F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")).alias("sum_k"))
+    return shapes.join(sums, "event_type").select("event_type", "shape", "n", "broken", "sum_k")
+
+
+def next_selectors(spark, sf):
+    """Strategy and shortest selector of each page's next-page element."""
+    k = _k()
+    body = F.element_at(
+        F.array(
+            _text("<nav><a href=/p/1>1</a><a rel=next href='/p/", k, "'>2</a></nav>"), _text("<p>", F.col("c_name"), "</p><a aria-label='Next page' href='/x'>n</a>"), _text("<a href='/a'>A</a><a title='Next' href='/", k, "' id='n", k, "'>B</a>"),
+            F.lit("<ul><li class='x'><a href=1>1</a><li class='next-page'><a href=2>2</a></ul>"), _text("<div class='pager'><button>", k, "</button><button disabled>Next</button></div>"), F.lit("<p><a href='#'>on</a></p>"),
+        ),
+        (k % 6 + 1).cast("int"),
+    )
+    return selectors.next_selectors(_pages(spark, sf, body))
+
+
+def page_outline(spark, sf):
+    """What every fetched page holds: its title, links, paragraphs, and how it would be paged."""
+    return html.outline(v.table(spark, sf, "pages"))
 
 
 def embedded_scripts(spark, sf):
@@ -188,8 +228,14 @@ SQL = {
     "card_labels": """select c_custkey as page_id, 'card' as method, cast(i - 1 as int) as row_index, 'R' || c_custkey || '-' || i as external_id, 'Works package ' || i as title, c_name as agency, c_mktsegment as category, 'in week ' || i as closing_at from (select *, unnest([1, 2, 3]) as i from customer)""",
     "jsonld_properties": """select c_custkey as page_id, 'jsonld' as method, 0.95::double as confidence, 'S-' || c_custkey as external_id, case when c_custkey % 2 = 0 then 'Headline ' || c_custkey else c_name end as title, 'about it' as description, '2024-01-01' as posted_at, '2024-03-01' as closing_at,
  c_mktsegment as agency, case when c_custkey % 5 = 0 then 'Service' else 'goods' end as category, 'Place ' || c_nationkey as location, nullif(cast(c_custkey as varchar), '0') as estimated_value, 'EUR' as estimated_value_currency, 'https://bids.example.org/list/d/' || c_custkey as detail_url, 'a@b.c' as contact_email, '123' as contact_phone from customer""",
-    "json_payloads": """select c_custkey as page_id, 'raw_json' as method, 0.9::double as confidence, cast(i as int) as row_index, case when c_custkey % 2 = 0 and c_custkey > 0 then cast(c_custkey as varchar) else 'N' || c_custkey end as external_id, case when c_custkey % 3 = 0 then 'fallback' else c_name end as title,
- c_mktsegment as agency, 'dep' as department, nullif(cast(c_nationkey as varchar), '0') as estimated_value, '2024-05-06' as closing_at, 'x@y.z' as contact_email from (select *, unnest(range(0, case when c_custkey % 4 = 0 then 2 else 1 end)) as i from customer)""",
+    **dict.fromkeys(("json_payloads", "json_payloads_native"), """select c_custkey as page_id, 'raw_json' as method, 0.9::double as confidence, cast(i as int) as row_index, case when c_custkey % 2 = 0 and c_custkey > 0 then cast(c_custkey as varchar) else 'N' || c_custkey end as external_id, case when c_custkey % 3 = 0 then 'fallback' else c_name end as title,
+ c_mktsegment as agency, 'dep' as department, nullif(cast(c_nationkey as varchar), '0') as estimated_value, '2024-05-06' as closing_at, 'x@y.z' as contact_email from (select *, unnest(range(0, case when c_custkey % 4 = 0 then 2 else 1 end)) as i from customer)"""),
+    "mixed_payloads": """with e as (select event_type, event_id, json_extract(props, '$.k')::bigint as k from events), t as (select event_type, count(*) as n, count(*) filter (event_id % 5 <> 0 and event_id % 7 = 0) as broken, bool_or(event_id % 5 = 0) as other, bool_or(event_id % 5 <> 0 and event_id % 7 <> 0) as plain, cast(sum(k) as bigint) as sum_k from e group by 1)
+ select event_type, case when other and plain then 'OBJECT<k: VARIANT, more: ARRAY<BIGINT>>' when other then 'OBJECT<k: STRING, more: ARRAY<BIGINT>>' else 'OBJECT<k: BIGINT>' end as shape, n, broken, sum_k from t""",
+    "next_selectors": """select c_custkey as page_id, list_extract(['rel', 'aria', 'title', 'class', 'text', null], cast(c_custkey % 6 + 1 as int)) as strategy, case c_custkey % 6 when 0 then '[rel]' when 1 then 'a' when 2 then case when c_custkey < 100 then '#n' || c_custkey else '[id]' end when 3 then '.next-page' when 4 then '[disabled]' end as selector,
+ case when c_custkey % 6 < 5 then c_custkey % 6 = 4 end as disabled from customer""",
+    "page_outline": r"""with p as (select page_id, regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs') as h from pages), q as (select page_id, regexp_replace(regexp_replace(h, '<script>.*?</script>', '', 'gs'), '<style>.*?</style>', '', 'gs') as h from p)
+ select page_id, trim(regexp_replace(replace(replace(regexp_extract(h, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')) as title, trim(regexp_replace(replace(replace(regexp_extract(h, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')) as heading, cast(len(regexp_extract_all(h, '<a ')) as bigint) as n_links, regexp_extract_all(h, '<a href="([^"]*)"', 1)[1] as first_link, cast(len(regexp_extract_all(h, '<p>')) as bigint) as n_paragraphs from q""",
     "embedded_scripts": """select c_custkey as page_id, 'embedded' as method, round_even(0.5::double + case when c_custkey = 0 then 3 else 4 end / 20.0::double, 3) as confidence, nullif(cast(c_custkey as varchar), '0') as external_id, c_name as title, 'open' as status from customer""",
     "data_attributes": """select c_custkey as page_id, 'data_attributes' as method, 0.75::double as confidence, cast(i - 1 as int) as row_index, c_custkey || '-' || i as external_id, c_name as title, 'open' as status, '2024-01-0' || i as closing_at from (select *, unnest(range(1, c_custkey % 3 + 2)) as i from customer)""",
     "rule_records": """select c_custkey as page_id, 'rules' as method, round_even(0.4::double * (case when c_custkey % 2 = 0 then 3 else 2 end / 4.0::double) + 0.4::double + 0.2::double * (c_custkey % 2 + 1) / 5.0::double, 3) as confidence, cast(i - 1 as int) as row_index, c_custkey || '0' || i as external_id, c_name as title,

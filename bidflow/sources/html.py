@@ -629,6 +629,24 @@ def next_pages(pages: DataFrame, hint: str | None = None) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, next_url string")
 
 
+def outline(pages: DataFrame) -> DataFrame:
+    """(page_id, title, heading, n_links, first_link, n_paragraphs) of the pages (page_id, html)."""
+
+    def told(html: str) -> tuple:
+        root = parse(html)
+        first = lambda tag: next((text_of(n) for n in root.iter(tag)), "")
+        links = [n.get("href") for n in root.iter("a")]
+        return first("title"), first("h1"), len(links), next(iter(links), None), sum(1 for _ in root.iter("p"))
+
+    def run(batches):
+        for batch in batches:
+            columns = list(zip(*(told(h or "") for h in batch.column("html").to_pylist()), strict=True)) or [()] * 5
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *map(pa.array, columns, kinds)], names=["page_id", "title", "heading", "n_links", "first_link", "n_paragraphs"])
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, title string, heading string, n_links long, first_link string, n_paragraphs long")
+
+
 def listing_pages(listings: DataFrame, kind: str, size: int = 25) -> DataFrame:
     """Listing pages written from listings (id, external_id, title, agency, closing_text, status_text), size rows a page."""
     esc = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
