@@ -17,12 +17,14 @@ aggregated before they are shuffled; texts are shuffled once, at the end.
 
 Edge cases: a null text stays null and has no line; lines under ``min_tokens`` tokens and lines that are
 variable fields for the most part (tables of numbers) are kept;
-null ids are allowed; an empty table gives an empty
+null ids are allowed; texts of any length are read whole, a document's lines in one row; copies of a document count once; an empty table gives an empty
 result; other columns are ignored by :func:`recurring` and kept by :func:`drop_lines`.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,16 +107,17 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, most: float = MOST) -> DataFrame:
     """docs with the recurring lines gone from the text, and n_lines and n_dropped (names replaced if they occur)."""
-    found = recurring(docs, id_col, text_col, min_docs, min_tokens, most).select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
+    did, th, gone = (f"__{uuid.uuid4().hex}" for _ in range(3))  # names that no column has
+    found = recurring(docs, id_col, text_col, min_docs, min_tokens, most).toDF(did, th, gone)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col("__did")) & (F.xxhash64(text_col) == F.col("__th"))
+    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) == F.col(did)) & (F.xxhash64(text_col) == F.col(th))
     joined = docs.select(*names).join(found.hint("merge"), key, "left")  # the same plan at every size
     text = F.col(text_col)
-    kept = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines")), lambda i: lines[i]), "\n"))
-    drops = F.col("__lines").isNotNull()
+    kept = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: lines[i]), "\n"))
+    drops = F.col(gone).isNotNull()
     out = [F.when(drops, kept[0]).otherwise(text).alias(c) if c == text_col else F.col(c) for c in names]
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return joined.select(*out, n_lines.alias("n_lines"), F.when(drops, F.size("__lines")).otherwise(0).cast("long").alias("n_dropped"))
+    return joined.select(*out, n_lines.alias("n_lines"), F.when(drops, F.size(gone)).otherwise(0).cast("long").alias("n_dropped"))
 
 
 def op8_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Base kinds are plain patterns: ``assign`` (a value assigned to a name such as ``
 ``access`` (access key ids) and ``hex`` (long hexadecimal runs). The method's own kinds are
 reported only when their content decodes and parses to the last byte:
 
-* ``jwt``: three dotted base64url parts, the first of which decodes to a JSON object with ``alg``;
+* ``jwt``: three dotted base64url parts, of which the first decodes to a JSON object with ``alg``, the second to a JSON object, and
+  the third, the signature, to a byte at least (a token that is signed by nothing is no secret);
 * ``der``: base64 or hex that decodes to an ASN.1 SEQUENCE of nested elements whose declared
   lengths fill it exactly, and whose outer elements are those of a private key: a version, then
   integers, an octet string, or an algorithm and an octet string; or an algorithm and an octet
@@ -14,7 +15,9 @@ reported only when their content decodes and parses to the last byte:
   an INTEGER or OBJECT IDENTIFIER; length-prefixed fields of which the first names a key type).
 
 Base64 may use the alphabet for URLs, and may be wrapped: what stands between BEGIN and END marks is joined (line breaks may be escaped),
-and so are runs of lines of one width with the shorter one that ends them. The span is that of the base64.
+and so are runs of lines of one width with the shorter one that ends them. It may begin within a run of its own letters (a path's
+last part), where what begins there declares the length of all that follows. Hex may follow ``0x``. The span is that of the base64 or hex.
+Texts of any length are scanned whole, in time that grows with their length.
 
 Spans are in code points of the whole text, end exclusive. Edge cases: a null text is empty and
 has no span; a null id stays null; repeated rows are reported each; an empty table gives an empty
@@ -40,13 +43,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "der", "jwt", "public", "ssh")
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}")
 URL_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M|AAAA|b3Bl)[A-Za-z0-9_-]{30,}={0,2}(?![A-Za-z0-9+/_=-])")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]|\\[rn])++)-----END \1-----")
 BREAKS = re.compile(r"\s|\\[rn]")
 LINE = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/]+={0,2})")
-ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")
+ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?([0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")
+#: What base64 of keys begins with: a SEQUENCE, a length of less than 256, the format's name.
+INNER = re.compile(r"M[A-P]|AAAA|b3BlbnNzaC1rZXktdjEA")
 #: Key types that a length-prefixed encoding may begin with.
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-ed25519", b"sk-ecdsa-sha2-")
 
@@ -157,14 +162,37 @@ def wrapped(text: str, first: re.Match) -> list[tuple[int, str]]:
     return [(ends[n - 1], "".join(parts[:n])) for n in (len(parts), len(parts) - 1) if n > 1]
 
 
+def begins_key(text: str, start: int, end: int) -> bool:
+    """Whether base64 in text[start:end] (without padding) begins like a key; a SEQUENCE has to declare the length of all of it."""
+    head = decoded(text[start : start + 16])
+    if not head or head[0] != 0x30:
+        return bool(head) and (head.startswith(OPENSSH[:8]) or head[:3] == b"\0\0\0" and head[3] < 64)
+    size, header = head[1], 2
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4:
+            return False
+        size, header = int.from_bytes(head[2 : 2 + n], "big"), 2 + n
+    return header + size == (end - start) * 3 // 4
+
+
+def inner_key(run: str) -> tuple[str, int] | None:
+    """Kind and start of a key that begins within a run of base64 and ends with it."""
+    end = len(run.rstrip("="))
+    for m in INNER.finditer(run, 1):
+        if end - m.start() >= 32 and begins_key(run, m.start(), end) and (data := decoded(run[m.start() :])) and (kind := key_kind(data)):
+            return kind, m.start()
+    return None
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
     """The method's own spans."""
     found = []
     if "eyJ" in text:
         for m in TOKEN.finditer(text):
-            head, body = decoded(m[1], True), decoded(m[2], True)
+            head, body, signed = (decoded(m[i], True) for i in (1, 2, 3))
             try:
-                if head and body is not None and isinstance(h := json.loads(head), dict) and "alg" in h:
+                if head and body and signed and isinstance(h := json.loads(head), dict) and "alg" in h and isinstance(json.loads(body), dict):
                     found.append(("jwt", *m.span()))
             except ValueError:
                 pass
@@ -191,13 +219,16 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
                     found.append((kind, m.start(), end))
                     reach = end
                     break
+        if reach < m.end() and (within := inner_key(m[0])):
+            found.append((within[0], m.start() + within[1], m.end()))
+            reach = m.end()
     if "-" in text or "_" in text:
         for m in URL_BASE64.finditer(text):
             if ("-" in m[0] or "_" in m[0]) and (data := decoded(m[0].rstrip("="), True)) and (kind := key_kind(data)):
                 found.append((kind, *m.span()))
     for m in ANY_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and m[0].startswith(("30", "000000")) and (kind := key_kind(bytes.fromhex(m[0]))):
-            found.append((kind, *m.span()))
+        if len(m[1]) % 2 == 0 and m[1].lower().startswith(("30", "000000", "6f70656e")) and (kind := key_kind(bytes.fromhex(m[1]))):
+            found.append((kind, *m.span(1)))
     return found
 
 
@@ -229,5 +260,6 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = scan(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["base"])
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    told = lambda public: F.filter("spans", lambda x: (x["kind"] == "public") == F.lit(public))  # noqa: E731  # what is public is no secret
     number = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
-    return spans.select("doc_id", *(number(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *(number(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(told(False)).alias("spans"), joined(told(True)).alias("public_spans"))
