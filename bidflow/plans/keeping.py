@@ -1,12 +1,13 @@
-"""Deletes along foreign keys, and runs that overlap."""
+"""Deletes along foreign keys, runs that overlap, sessions and sliding windows, counters of a run."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidflow.operators import cascade, overlap
-from bidflow.plans.ctes import OPPORTUNITIES, RUNS
+from bidflow.operators import cascade, cdc, overlap, progress
+from bidflow.plans.ctes import EVENTS, OPPORTUNITIES, RUNS
 from bidflow.sources import views as v
+from bidflow.streaming import flows
 
 T = F.col
 
@@ -75,6 +76,23 @@ def overlapping_in_all(spark, sf):
     return overlap.overlapping(_long_runs(spark, sf), limit=8, slice_seconds=1800)
 
 
+def session_runs(spark, sf):
+    """Runs by gaps of more than half an hour, from session windows."""
+    return flows.sessions(v.events(spark, sf), "opportunity_id", 1800)
+
+
+def sliding_activity(spark, sf):
+    """Events by type of each day, the days beginning every six hours."""
+    return flows.sliding(v.events(spark, sf), "1 day", "6 hours")
+
+
+def observed_counters(spark, sf):
+    """The counters of a merge, taken while its outcomes are written."""
+    classes = cdc.classified(v.snapshot(spark, sf, False), v.snapshot(spark, sf, True)).select("outcome", "event", "changes")
+    counts = progress.write_measured(classes, lambda df: df.write.format("noop").mode("overwrite").save())
+    return spark.createDataFrame([tuple(counts[c] for c in ("found", "new", "updated", "unchanged"))], "found long, new long, updated long, unchanged long")
+
+
 _STORE = f"""{OPPORTUNITIES}, {RUNS},
  sr as (select run_id as id, case when run_id % 6 > 0 then portal_id end as portal_id, run_id % 4 as scheduled_job_id from runs),
  oe as (select event_id as id, case when event_id % 5 > 0 then user_id end as opportunity_id, event_id as run_id from events),
@@ -103,6 +121,11 @@ SQL = {
  union all select 'opportunity_events', count(*), 'opportunity_id:' || count(opportunity_id) || ',run_id:' || count(*) filter (run_id not in (select id from gr)) from oe union all select 'documents', count(*), 'opportunity_id:' || count(opportunity_id) from dc
  union all select 'scrape_runs', count(*), 'portal_id:' || count(portal_id) || ',scheduled_job_id:' || count(*) from sr where id % 5 <> 0 union all select 'page_snapshots', count(*), 'portal_id:' || count(portal_id) || ',run_id:' || count(*) from ps where run_id % 5 <> 0""",
     "cascade_ids": f"with {_STORE} select 'portals' as name, id from gp union all select 'opportunities', id from go union all select 'opportunity_events', id from oe where opportunity_id in (select id from go) union all select 'documents', id from dc where opportunity_id in (select id from go)",
+    "session_runs": f"with {RUNS.replace('cast(opportunity_id % 30 as int) as portal_id', 'opportunity_id')} select run_id, opportunity_id, started_at, finished_at, pages_scraped, errors_count, opportunities_new, opportunities_updated from runs",
+    "sliding_activity": f"""with {EVENTS}, s as (select event_type, unnest(generate_series(time_bucket(interval 6 hour, created_at) - interval 18 hour, time_bucket(interval 6 hour, created_at), interval 6 hour)) as window_start from events_)
+ select window_start, window_start + interval 1 day as window_end, event_type, count(*) as n from s group by all""",
+    "observed_counters": f"""with {OPPORTUNITIES}, c as (select case when id % 10 = 0 then 'NEW' when (id % 7 = 0 and closing_at is not null) or (id % 13 = 0 and status <> 'CLOSED') then 'UPDATED' else 'UNCHANGED' end as outcome from opportunities)
+ select count(*) as found, count(*) filter (outcome = 'NEW') as new, count(*) filter (outcome = 'UPDATED') as updated, count(*) filter (outcome = 'UNCHANGED') as unchanged from c""",
     "overlapping_runs": f"with {RUNS}, {_overlap('portal_id', 2)}",
     "overlapping_in_all": f"with {RUNS}, {_overlap('', 8)}",
 }

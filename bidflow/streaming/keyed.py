@@ -25,6 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from bidflow.functions.hashing import as_text, fingerprint
 from bidflow.operators import cdc
+from bidflow.operators.progress import measured
 from bidflow.streaming.listings import STATE
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -109,12 +110,12 @@ def _changes() -> Column:
 
 
 def keep(records: DataFrame, path: str, days: int = 30, late: str = "1 hour") -> StreamingQuery:
-    """Run through what is there and end; another call goes on from where this one ended."""
+    """Run through what is there and end; another call goes on from where this one ended. A listener of progress.Progress is told the counters."""
     spark = records.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
-        told = outcomes(records, days, late)
+        told = measured(outcomes(records, days, late))
         return told.writeStream.format("parquet").option("path", f"{path}/outcomes").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
