@@ -12,7 +12,12 @@ def _modules():
 
 
 def queries() -> dict:
-    return {name: getattr(m, name) for m in _modules() for name in [*m.SQL, *getattr(m, "NO_SQL", ())]}
+    found: dict = {}
+    for m in _modules():
+        if twice := found.keys() & m.SQL.keys():
+            raise ValueError(f"registered twice: {', '.join(sorted(twice))}")
+        found |= {name: getattr(m, name) for name in m.SQL}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bidflow.operators import cascade, cdc, overlap, progress
 from bidflow.plans.ctes import EVENTS, OPPORTUNITIES, RUNS
+from bidflow.sources import config
 from bidflow.sources import views as v
 from bidflow.streaming import flows
 
@@ -61,6 +62,18 @@ def cascade_ids(spark, sf):
     return whole
 
 
+def config_validation(spark, sf):
+    """What is wrong with configurations of all kinds of values, and what stands for a value that is missing."""
+    k = T("c_custkey")
+    join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    text = join(
+        '{"name": "', F.when(k % 9 == 0, "").otherwise(T("c_name")), '", "base_url": "', F.when(k % 8 == 0, "nowhere").otherwise("https://e.org/"), '", "seed_urls": [', F.when(k % 10 > 0, '"/l"').otherwise(""), '], "backend": {"preferred": "', F.when(k % 4 == 0, "curl").otherwise("http"),
+        '"}, "politeness": {"min_delay_ms": ', k % 7 * 300, ', "max_delay_ms": 1000, "max_retries": ', k % 13, '}, "discovery": {"pagination": {"max_pages": ', k, '}}, "extraction": {"confidence_threshold": ', k % 1200 / 1000, ', "listing": {"fields": {"title": {"regex": "', F.when(k % 6 == 0, "(").otherwise("(.)"), '"}}}}}',
+    )
+    found = config.checked(v.table(spark, sf, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+    return found.select(T("id").alias("c_custkey"), F.array_join("faults", "; ").alias("faults"), F.get_json_object("settings", "$.politeness.concurrency").alias("concurrency"), F.get_json_object("settings", "$.display_name").alias("display_name"))
+
+
 def _long_runs(spark, sf):
     """Runs of some length: as many minutes longer as their id tells."""
     return v.runs(spark, sf).withColumn("finished_at", T("finished_at") + F.make_dt_interval(F.lit(0), F.lit(0), (T("run_id") * 7 % 600).cast("int")))
@@ -126,6 +139,9 @@ SQL = {
  select window_start, window_start + interval 1 day as window_end, event_type, count(*) as n from s group by all""",
     "observed_counters": f"""with {OPPORTUNITIES}, c as (select case when id % 10 = 0 then 'NEW' when (id % 7 = 0 and closing_at is not null) or (id % 13 = 0 and status <> 'CLOSED') then 'UPDATED' else 'UNCHANGED' end as outcome from opportunities)
  select count(*) as found, count(*) filter (outcome = 'NEW') as new, count(*) filter (outcome = 'UPDATED') as updated, count(*) filter (outcome = 'UNCHANGED') as unchanged from c""",
+    "config_validation": """select c_custkey, concat_ws('; ', case when c_custkey % 9 = 0 then 'name: is not within 1 and 100' end, case when c_custkey % 10 = 0 then 'seed_urls: is not at least 1' end, case when c_custkey % 4 = 0 then 'backend.preferred: is none of http, playwright, crawl4ai' end,
+ case when c_custkey % 13 > 10 then 'politeness.max_retries: is not within 0 and 10' end, case when c_custkey not between 1 and 1000 then 'discovery.pagination.max_pages: is not within 1 and 1000' end, case when c_custkey % 1200 > 1000 then 'extraction.confidence_threshold: is not within 0 and 1' end,
+ case when c_custkey % 7 * 300 > 1000 then 'politeness.max_delay_ms: is less than min_delay_ms' end, case when c_custkey % 8 = 0 then 'base_url: is no URL' end, case when c_custkey % 6 = 0 then 'extraction.listing.fields.title.regex: is no pattern' end) as faults, '2' as concurrency, case when c_custkey % 9 = 0 then '' else c_name end as display_name from customer""",
     "overlapping_runs": f"with {RUNS}, {_overlap('portal_id', 2)}",
     "overlapping_in_all": f"with {RUNS}, {_overlap('', 8)}",
 }

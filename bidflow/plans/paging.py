@@ -52,7 +52,7 @@ def page_title(spark, sf):
     return _pages(spark, sf).select("page_id", text.clean_html_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang"))
 
 
-def dates_in_text(spark, sf):
+def dates_in_documents(spark, sf):
     found = F.regexp_extract_all("text", F.lit(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b"), 0)
     return v.table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.get(found, F.lit(0)).alias("closing_text"), F.get(found, F.lit(1)).alias("posted_text"))
 
@@ -111,7 +111,7 @@ SQL = {
     "first_url": "select page_id, regexp_extract('at ' || url || ' <end>', 'https?://[^\\s<>\"''{}|\\\\^`\\[\\]]+') as url from pages",
     "page_links": "select page_id, count(*) as links, count(distinct href) as distinct_links from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages) group by 1",
     "page_title": f"select page_id, {CLEAN.format(c='''regexp_extract(html, '<title>([^<]*)</title>', 1)''')} as title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) as lang from pages",
-    "dates_in_text": "select doc_id, cast(len(f) as bigint) as n, list_extract(f, 1) as closing_text, list_extract(f, 2) as posted_text from (select doc_id, regexp_extract_all(text, '\\b\\d{4}-\\d{2}-\\d{2}\\b|\\b\\d{1,2}/\\d{1,2}/\\d{2,4}\\b') as f from documents)",
+    "dates_in_documents": "select doc_id, cast(len(f) as bigint) as n, list_extract(f, 1) as closing_text, list_extract(f, 2) as posted_text from (select doc_id, regexp_extract_all(text, '\\b\\d{4}-\\d{2}-\\d{2}\\b|\\b\\d{1,2}/\\d{1,2}/\\d{2,4}\\b') as f from documents)",
     "contacts_in_text": "select doc_id, cast(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) as bigint) as emails, cast(len(regexp_extract_all(text, '\\+?\\d? ?\\(\\d{3}\\) \\d{3}-\\d{4}')) as bigint) as phones from documents",
     "total_records_text": O + " select id, case when id % 9 <> 0 then cast(id % 40 * 25 + 1 as int) end as first, case when id % 9 <> 0 then cast(id % 40 * 25 + 25 as int) end as last, case when id % 9 <> 0 then cast(id + 1000 as int) end as total, case when id % 9 <> 0 then cast(ceil((id + 1000) / 25.0) as int) end as page_count from opportunities",
     "page_chain": """with recursive links as (select page_id, case when page_id % 7 <> 0 then page_id + 3 end as next_id from pages),

@@ -69,7 +69,7 @@ def run_summary_rollup(spark, sf):
     return aggregates.run_summary(v.runs(spark, sf))
 
 
-def resumable_runs(spark, sf):
+def resumable_by_portal(spark, sf):
     return v.runs(spark, sf).where(F.col("status").isin("RUNNING", "PARTIAL", "FAILED")).groupBy("portal_id").agg(F.count("*").alias("n"), F.max("finished_at").alias("last_at"))
 
 
@@ -173,7 +173,7 @@ SQL = {
     "runs_recent_with_portal": R + ", portals as (select n_nationkey as portal_id, lower(n_name) as portal_name from nation) select run_id, coalesce(portal_name, '?') as portal_name, started_at, status, pages_scraped from runs left join portals using (portal_id) order by started_at desc, run_id desc limit 20",
     "run_durations": R + " select run_id, date_sub('microsecond', started_at, finished_at) as micros, status from runs",
     "run_summary_rollup": R + " select portal_id, count(*) as runs, cast(sum(pages_scraped) as bigint) as pages_scraped, cast(sum(opportunities_new) as bigint) as opportunities_new, cast(sum(opportunities_updated) as bigint) as opportunities_updated, cast(sum(errors_count) as bigint) as errors_count, cast(grouping(portal_id) as int) as is_total from runs group by rollup (portal_id)",
-    "resumable_runs": R + " select portal_id, count(*) as n, max(finished_at) as last_at from runs where status in ('RUNNING', 'PARTIAL', 'FAILED') group by 1",
+    "resumable_by_portal": R + " select portal_id, count(*) as n, max(finished_at) as last_at from runs where status in ('RUNNING', 'PARTIAL', 'FAILED') group by 1",
     "portal_dashboard": R + """, totals as (select portal_id, count(*) as total_runs, sum(opportunities_new) as total_new, max(finished_at) as last_scraped_at, max(finished_at) filter (status = 'COMPLETED') as last_success_at from runs group by 1)
  select n_nationkey as portal_id, lower(n_name) as portal_name, cast(coalesce(total_runs, 0) as bigint) as total_runs, cast(coalesce(total_new, 0) as bigint) as total_new, last_scraped_at, last_success_at from nation left join totals on n_nationkey = portal_id where n_nationkey % 5 <> 0""",
     "export_csv_projection": O + " select id, external_id, title, status, agency, strftime(closing_at, '%Y-%m-%dT%H:%M:%S') as closing_at, strftime(posted_at, '%Y-%m-%dT%H:%M:%S') as posted_at, estimated_value, cast(null as varchar) as source_url from opportunities",

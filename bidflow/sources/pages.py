@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidflow.scratch import discard, stored
+
 # Signs of a block page, and markers of each kind of pagination.
 BLOCK_WORDS = ["captcha", "access denied", "blocked", "unusual traffic", "are you a robot", "verify you are human", "cloudflare"]
 BLOCK_STATUS = [403, 406, 418, 451]
@@ -69,21 +71,27 @@ def page_type(html: Column) -> Column:
     return F.coalesce(*told, F.when(rows >= 3, "results_table"), F.when(cards >= 3, "results_cards"), F.when(F.contains(low, F.lit("<form")) & low.rlike("type=.?(search|text)"), "search_form"), F.lit("unknown"))
 
 
-#: Steps after which a chain's lineage is cut, where the session has a folder for that.
-CUT = 16
-
-
 def page_chain(links: DataFrame, start: DataFrame, most: int) -> DataFrame:
     """(start_id, page_id, depth): what following next_id from each start page visits, at most ``most`` pages each and none twice.
 
-    Each step is one join of the chains that go on; all starts go together, and a chain is a row that carries its path.
+    Pointers double: a round knows where 2**k steps lead from every page, and takes all pages of a chain
+    that far on, so rounds grow with the logarithm of ``most``, and a row is a page of a chain, not a chain. A page that a chain comes to again keeps
+    its first place, and the chain ends there. If a page has several next pages the least counts. Rounds are stored, so plans stay short.
     """
-    chains = start.select(F.col("page_id").alias("start_id"), "page_id", F.array("page_id").alias("path"))
-    step = links.where("next_id is not null").groupBy("page_id").agg(F.min("next_id").alias("next_id"))
-    for depth in range(1, most):
-        on = chains.join(step, "page_id", "left")
-        goes = F.col("next_id").isNotNull() & (F.size("path") == depth) & ~F.array_contains("path", F.col("next_id"))
-        chains = on.select("start_id", F.when(goes, F.col("next_id")).otherwise(F.col("page_id")).alias("page_id"), F.when(goes, F.array_append("path", F.col("next_id"))).otherwise(F.col("path")).alias("path"))
-        if depth % CUT == 0 and links.sparkSession.sparkContext.getCheckpointDir():
-            chains = chains.checkpoint()
-    return chains.select("start_id", F.posexplode("path").alias("pos", "page_id")).select("start_id", "page_id", (F.col("pos") + 1).alias("depth"))
+    jump = stored(links.where("next_id is not null").groupBy("page_id").agg(F.min("next_id").alias("to")), "page-jumps")
+    chains = stored(start.select(F.col("page_id").alias("start_id"), "page_id", F.lit(1).alias("depth")).distinct(), "page-chains")
+    step = 1
+    while step < most:
+        onward = chains.where(F.col("depth") + step <= most).join(jump, "page_id").select("start_id", F.col("to").alias("page_id"), (F.col("depth") + step).alias("depth"))
+        longer = stored(chains.unionByName(onward).groupBy("start_id", "page_id").agg(F.min("depth").alias("depth")), "page-chains")
+        ended = longer.agg(F.max("depth")).first()[0]
+        discard(chains)
+        chains, step = longer, 2 * step
+        if ended is None or ended < step:  # no chain goes on
+            break
+        if step < most:
+            further = stored(jump.select("page_id", F.col("to").alias("via")).join(jump.withColumnRenamed("page_id", "via"), "via").select("page_id", "to"), "page-jumps")
+            discard(jump)
+            jump = further
+    discard(jump)
+    return chains
