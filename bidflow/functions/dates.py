@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -98,9 +99,16 @@ def natural_date(c: Column, as_of: Column) -> Column:
     return bound(F.lower(clean_date_text(F.coalesce(c, F.lit("")))), of)
 
 
-def dynamic_value(c: Column, as_of: Column, last_run: Column) -> Column:
-    """Text with ``${TODAY}``, ``${TODAY+7d}``, ``${TODAY-7d}`` and ``${LAST_RUN_DATE}`` (30 days ago if there was none) as dates."""
+def dynamic_value(c: Column, as_of: Column, last_run: Column, env: Mapping[str, str] = {}, more: Mapping[str, Column] = {}) -> Column:
+    """Text with its variables filled in: ``${TODAY}``, ``${TODAY+7d}`` and ``${TODAY-7d}``, ``${LAST_RUN_DATE}`` (30 days ago if there was none), ``${env:NAME}`` (unset: empty), and ``${name}`` of more."""
     day = lambda d: F.date_format(d, "yyyy-MM-dd")
-    moved = F.regexp_extract(c, r"\$\{TODAY([+-]\d{1,5})d\}", 1).try_cast("int")
     text = F.replace(F.replace(c, F.lit("${TODAY}"), day(as_of)), F.lit("${LAST_RUN_DATE}"), day(F.coalesce(last_run, as_of - F.make_dt_interval(F.lit(30)))))
-    return F.when(moved.isNull(), text).otherwise(F.replace(text, F.regexp_extract(c, r"(\$\{TODAY[+-]\d{1,5}d\})", 1), day(F.date_add(F.to_date(as_of), moved))))
+    found = lambda pattern: F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
+    moved = lambda t, n: F.replace(t, F.concat(F.lit("${TODAY"), n, F.lit("d}")), day(F.date_add(F.to_date(as_of), n.try_cast("int"))))
+    text = F.aggregate(found(r"\$\{TODAY([+-]\d{1,5})d\}"), text, moved)
+    held = F.create_map(*(F.lit(x) for pair in env.items() for x in pair)) if env else F.create_map().cast("map<string,string>")
+    named = lambda t, n: F.replace(t, F.concat(F.lit("${env:"), n, F.lit("}")), F.coalesce(F.try_element_at(held, n), F.lit("")))
+    text = F.aggregate(found(r"\$\{env:([^}]+)\}"), text, named)
+    for name, value in more.items():
+        text = F.replace(text, F.lit(f"${{{name}}}"), F.coalesce(value.cast("string"), F.lit("None")))
+    return text

@@ -26,9 +26,10 @@ def fingerprint(df, missing: str = "") -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
 
 
-def dedupe_id(external_id: Column, *parts: Column) -> Column:
+def dedupe_id(external_id: Column, *parts: Column, length: int = 16) -> Column:
+    """The external id, or so many hex digits of the MD5 of some parts (16 of title, closing date and agency; rows that are saved take 12 of title and closing date)."""
     text = F.concat(*(F.coalesce(p, F.lit("")) for p in parts))
-    return F.coalesce(F.nullif(external_id, F.lit("")), F.substring(F.md5(text), 1, 16))
+    return F.coalesce(F.nullif(external_id, F.lit("")), F.substring(F.md5(text), 1, length))
 
 
 def json_text(c: Column) -> Column:

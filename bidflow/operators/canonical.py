@@ -88,3 +88,18 @@ def merged(listings: DataFrame, details: DataFrame, on: str) -> DataFrame:
     both = listings.join(renamed, on, "left")
     plain = [c for c in listings.columns if c != on and c not in fields]
     return both.select(on, *plain, *(F.when(F.col("__there"), F.col(f"__{c}")).otherwise(F.col(c) if c in listings.columns else F.lit(None)).alias(c) for c in fields))
+
+
+def enriched(listings: DataFrame, details: DataFrame, fields: list[str], most: int, order: str) -> DataFrame:
+    """Listings with the filled fields of their details, of the first most rows by order that have a detail_url; what was told stays where a detail is silent.
+
+    detail tells what became of a row: scraped, failed (no detail came, or one without success), or null where none was asked for. details: detail_url, success, and some of the fields.
+    """
+    asked = listings.where(text.first_filled("detail_url").isNotNull()).orderBy(order).limit(most).select(F.col(order).alias("__order"), F.lit(True).alias("__asked"))
+    told = [f for f in fields if f in details.columns]
+    came = details.where("success").groupBy("detail_url").agg(F.max(F.struct(*told)).alias("__d"))
+    both = listings.join(asked, F.col(order) == F.col("__order"), "left").join(came, "detail_url", "left")
+    here = F.col("__asked") & F.col("__d").isNotNull()
+    new = {f: F.coalesce(F.when(here, F.nullif(F.col(f"__d.{f}"), F.lit(""))), F.col(f) if f in listings.columns else F.lit(None).cast("string")) for f in told}
+    outcome = F.when(here, "scraped").when(F.col("__asked"), "failed")
+    return both.select(*(c for c in listings.columns if c not in new), *(c.alias(f) for f, c in new.items()), outcome.alias("detail"))

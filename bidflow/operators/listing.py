@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidflow.functions.text import shortened
+from bidflow.scratch import discard, stored
 
 # Columns of the exports.
 CSV_COLUMNS = ["id", "external_id", "title", "status", "agency", "closing_at", "posted_at", "estimated_value", "source_url"]
@@ -97,11 +98,27 @@ def write_export(df: DataFrame, path: str) -> None:
         shaped.select("line").write.text(path)
     else:
         spark = df.sparkSession
-        numbered = shaped.select("line", F.monotonically_increasing_id().alias("n"))
+        once = stored(shaped.select("line"), "export")  # read twice, so that the first row is the same both times
+        numbered = once.select("line", F.monotonically_increasing_id().alias("n"))
         first = numbered.agg(F.min("n")).first()[0]
         rows = numbered.select(F.when(F.col("n") == first, F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("line"))
         edge = lambda mark: spark.range(1, numPartitions=1).select(F.lit(mark).alias("line"))
         edge("[").unionByName(rows).unionByName(edge("]")).write.text(path)
+        discard(once)
+
+
+def of_portal(opportunities: DataFrame, portals: DataFrame, name: str) -> DataFrame:
+    """The opportunities of a portal by its name; none if there is no such portal."""
+    return opportunities.join(portals.where(F.col("portal_name") == name).select("portal_id", "portal_name"), "portal_id")
+
+
+def portal_view(portals: DataFrame, totals: DataFrame, enabled: bool = False) -> DataFrame:
+    """Portals by name as JSON of six keys, with the opportunities and the last run of totals (portal_id, total_opportunities, last_scraped_at)."""
+    shown = portals.where("enabled") if enabled else portals
+    told = shown.join(totals, "portal_id", "left")
+    stamp = F.date_format("last_scraped_at", "yyyy-MM-dd'T'HH:mm:ss")
+    body = F.struct(F.col("portal_name").alias("name"), "display_name", "base_url", "enabled", F.coalesce("total_opportunities", F.lit(0)).cast("long").alias("total_opportunities"), stamp.alias("last_scraped"))
+    return told.select("portal_name", F.to_json(body, {"ignoreNullFields": "false"}).alias("line")).orderBy("portal_name")
 
 
 def table_view(df: DataFrame, urgency: Column, value: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("reading", "scalars", "changing", "paging", "extracting", "records", "operations", "wording", "keeping")
+MODULES = ("reading", "scalars", "changing", "paging", "extracting", "records", "operations", "wording", "keeping", "storing")
 
 
 def _modules():

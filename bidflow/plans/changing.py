@@ -100,8 +100,8 @@ SQL = {
     "cdc_events": K + f""" select portal_id, external_id, kind as event_type, cast(case when outcome = 'NEW' then 0 else {N} end as bigint) as n_changes,
  case when outcome = 'NEW' then '' else concat_ws(',', case when c_status then 'status' end, case when c_closing then 'closing_at' end, case when c_contact then 'contact_name' end) end as fields,
  outcome <> 'NEW' and (c_status or c_closing) as significant from classes where outcome <> 'UNCHANGED'""",
-    "change_summary": K + """ select portal_id, external_id, case when outcome = 'NEW' then 'New opportunity' else concat_ws('; ', case when c_status then 'Status: ' || old_status || ' -> ' || new_status end,
- case when c_closing then 'Changed: closing_at' end, case when not c_status and not c_closing and c_contact then 'Changed: contact_name' end) end as summary from classes where outcome <> 'UNCHANGED'""",
+    "change_summary": K + """ select portal_id, external_id, case when outcome = 'NEW' then 'New opportunity' when c_status then 'Status: ' || old_status || ' \u2192 ' || new_status
+ when c_closing then 'Changed: closing_at' when c_contact then 'Updated: contact_name' end as summary from classes where outcome <> 'UNCHANGED'""",
     "cdc_field_changes": K + f""", u as (select * from classes where outcome = 'UPDATED')
  select portal_id, external_id, 'status' as field, old_status as old_value, new_status as new_value, 'high' as significance from u where c_status
  union all select portal_id, external_id, 'closing_at', strftime(old_closing, {FMT}), strftime(new_closing, {FMT}), 'high' from u where c_closing

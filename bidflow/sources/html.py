@@ -322,21 +322,33 @@ def of_linked(root: Element, url: str) -> list[dict]:
     return out
 
 
-# Where scripts hold data, keys of lists, and names of properties; of a field's names the first that is filled wins.
+# Where scripts hold data, and keys of lists.
 EMBEDDED = re.compile(r"(?:window\.(?:__DATA__|initialData)|(?:var|let|const)\s+(?:data|bids|opportunities))\s*=\s*(?=[{\[])|JSON\.parse\s*\(\s*'((?:[^'\\]|\\.)+)'\s*\)", re.DOTALL)
 LISTS = ("data", "results", "items", "records", "bids", "opportunities", "listings")
+# Names of properties; of a field's names the first that is filled wins.
 PROPERTIES = {
-    "external_id": "id bid_id solicitation_id opportunity_id reference number", "title": "title name subject description_short", "description": "description details summary scope",
-    "closing_at": "close_date closing_date due_date deadline end_date", "posted_at": "post_date posted_date publish_date open_date", "status": "status state phase",
-    "agency": "agency organization buyer", "department": "department", "category": "category type commodity", "location": "location place region",
-    "estimated_value": "value amount budget estimated_value", "detail_url": "url link href", "contact_name": "contact contact_name buyer_name", "contact_email": "email contact_email", "contact_phone": "phone contact_phone",
-}
+    "external_id": ["id", "bid_id", "solicitation_id", "opportunity_id", "reference", "number"],
+    "title": ["title", "name", "subject", "description_short"],
+    "description": ["description", "details", "summary", "scope"],
+    "closing_at": ["close_date", "closing_date", "due_date", "deadline", "end_date"],
+    "posted_at": ["post_date", "posted_date", "publish_date", "open_date"],
+    "status": ["status", "state", "phase"],
+    "agency": ["agency", "organization", "buyer"],
+    "department": ["department"],
+    "category": ["category", "type", "commodity"],
+    "location": ["location", "place", "region"],
+    "estimated_value": ["value", "amount", "budget", "estimated_value"],
+    "detail_url": ["url", "link", "href"],
+    "contact_name": ["contact", "contact_name", "buyer_name"],
+    "contact_email": ["email", "contact_email"],
+    "contact_phone": ["phone", "contact_phone"],
+}
 
 
 def of_object(item: dict, url: str) -> dict:
     record = {}
     for to, names in PROPERTIES.items():
-        for name in names.split():
+        for name in names:
             value = item.get(name)
             if isinstance(value, dict):
                 value = value.get("name") or value.get("value") or value.get("text")

@@ -33,7 +33,7 @@ def _text(item: Column, name: str) -> Column:
 
 def record_of(item: Column) -> Column:
     """Struct of an object's fields."""
-    return F.struct(*(F.coalesce(*(_text(item, n) for n in names.split())).alias(field) for field, names in PROPERTIES.items()))
+    return F.struct(*(F.coalesce(*(_text(item, n) for n in names)).alias(field) for field, names in PROPERTIES.items()))
 
 
 def _path(hint: str) -> str:

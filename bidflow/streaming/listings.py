@@ -2,7 +2,8 @@
 
 State and events are Parquet tables of numbered versions. A micro-batch writes the version of its
 own batch number from the one before it, so a batch that is run again after a failure overwrites
-what it wrote and nothing is applied twice.
+what it wrote and nothing is applied twice. Each batch writes the whole state; where that is large beside a
+batch, streaming.keyed keeps it in Spark's state store and writes the keys of the batch alone.
 """
 
 from __future__ import annotations
@@ -32,21 +33,26 @@ def version(path: str, table: str, n: int) -> str:
     return f"{path}/{table}/v{n:09d}"
 
 
+def _printed_state(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The state after batch n (before the first: empty), with the fingerprints that it was written with."""
+    schema = f"{STATE}, fingerprint string"
+    return spark.read.schema(schema).parquet(version(path, "state", n)) if n >= 0 else spark.createDataFrame([], schema)
+
+
 def state_of(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The state after batch n (before the first: empty)."""
-    return spark.read.schema(STATE).parquet(version(path, "state", n)) if n >= 0 else spark.createDataFrame([], STATE)
+    return _printed_state(spark, path, n).drop("fingerprint")
 
 
 def apply_batch(batch: DataFrame, n: int, path: str) -> None:
     """batch: rows of the state (fields that it lacks are null), of which the last of a key counts (by its other columns, if a batch has several)."""
     spark = batch.sparkSession
-    state = state_of(spark, path, n - 1)
+    state = _printed_state(spark, path, n - 1)
     seen = F.current_timestamp().cast("timestamp_ntz")
-    told = {f.name: F.col(f.name) if f.name in batch.columns else F.lit(None).cast(f.dataType) for f in state.schema.fields}
+    told = {f.name: F.col(f.name) if f.name in batch.columns else F.lit(None).cast(f.dataType) for f in state.schema.fields if f.name != "fingerprint"}
     whole = batch.select(*(c.alias(name) for name, c in told.items())).withColumn("last_seen_at", F.coalesce("last_seen_at", seen))
     once = whole.groupBy(*cdc.KEY).agg(F.max(F.struct(*(c for c in whole.columns if c not in cdc.KEY))).alias("r")).select(*cdc.KEY, "r.*").select(whole.columns)
     cdc.events_of(cdc.classified(state, once)).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(version(path, "events", n))
-    cdc.upserted(state, once, seen).drop("fingerprint").write.mode("overwrite").parquet(version(path, "state", n))
+    cdc.upserted(state, once, seen).write.mode("overwrite").parquet(version(path, "state", n))
 
 
 def stream_listings(records: DataFrame, path: str) -> StreamingQuery:
