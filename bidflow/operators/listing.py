@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidflow.functions.text import shortened
+from bidflow.functions.text import absolute, shortened
 from bidflow.scratch import discard, stored
 
 # Columns of the exports.
@@ -37,8 +37,11 @@ def list_events(df: DataFrame, opportunity_id: int | None = None, event_type: st
     return df if since is None else df.where(F.col("created_at") >= since)
 
 
-def quick_filter(df: DataFrame, keywords: list[str] = (), statuses: list[str] = (), categories: list[str] = (), location: str | None = None, since: Column | None = None, closing_by: Column | None = None, low: float = 0, high: float = 0) -> DataFrame:
-    """Substring filters over listing rows; rows whose date or value can't be read are kept."""
+def quick_filter(df: DataFrame, keywords: list[str] = (), statuses: list[str] = (), categories: list[str] = (), location: str | None = None, since: Column | None = None, closing_by: Column | None = None, low: float = 0, high: float = 0, base_url: str | None = None) -> DataFrame:
+    """Substring filters over listing rows; rows whose date or value can't be read are kept. With base_url, links to details are made absolute first, filters or none."""
+    if base_url and "detail_url" in df.columns:
+        link = F.col("detail_url")
+        df = df.withColumn("detail_url", F.when(link.startswith("http") | (link == ""), link).otherwise(absolute(F.lit(base_url), link)))
 
     def any_of(text: Column, words: list[str]) -> Column:
         found = F.lit(False)

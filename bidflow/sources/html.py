@@ -427,16 +427,25 @@ def structured_confidence(records: list[dict]) -> float:
     return min(0.95, 0.5 + sum(1 + sum(map(bool, r.values())) for r in records) / len(records) / 20) if records else 0.0
 
 
-def of_structured(html: str, root: Element | None, url: str, hints: tuple) -> tuple[str, float, list[dict]]:
-    """Method, confidence and records of the first kind that has some: the page as JSON, linked data, JSON in scripts, data attributes."""
+#: Confidence of a page that is JSON.
+RAW = 0.9
+
+
+def of_raw(html: str, url: str, hints: tuple) -> list[dict]:
+    """Records of a page that is JSON."""
     if html.lstrip().startswith(("{", "[")):
         try:
-            if records := of_json(json.loads(html), url, hints):
-                return "raw_json", 0.9, records
+            return of_json(json.loads(html), url, hints)
         except ValueError:
             pass
-    root = parse(html) if root is None else root
-    for name, records in (("jsonld", lambda: of_linked(root, url)), ("embedded", lambda: of_embedded(root, url, hints)), ("data_attributes", lambda: of_attributes(root))):
+    return []
+
+
+def of_structured(root: Element, url: str, hints: tuple, linked_first: bool = True, embedded: bool = True) -> tuple[str, float, list[dict]]:
+    """Method, confidence and records of the first kind that has some: linked data (or else last), JSON in scripts, data attributes."""
+    linked = ("jsonld", lambda: of_linked(root, url))
+    kinds = [linked] * linked_first + [("embedded", lambda: of_embedded(root, url, hints))] * embedded + [("data_attributes", lambda: of_attributes(root))] + [linked] * (not linked_first)
+    for name, records in kinds:
         if found := records():
             return name, structured_confidence(found), found
     return "structured", 0.0, []
@@ -581,10 +590,13 @@ def next_page(html: str, url: str, hint: str | None = None) -> str | None:
 Extractor = tuple[str, Callable[[Element, str], tuple[float, list[dict]]]]
 
 
-def extract_page(html: str, url: str, threshold: float, hints: tuple = (), rules: Rules | None = None, aliases: Mapping[str, str] = {}, extractors: tuple[Extractor, ...] = ()) -> tuple[str, float, list[dict]]:
-    """The first method whose records reach the threshold, and are surer than 0.3; further extractors come last."""
+def extract_page(html: str, url: str, threshold: float, hints: tuple = (), rules: Rules | None = None, aliases: Mapping[str, str] = {}, extractors: tuple[Extractor, ...] = (), linked_first: bool = True, embedded: bool = True) -> tuple[str, float, list[dict]]:
+    """The first method whose records reach the threshold, and are surer than 0.3; further extractors come last. A page that is JSON is read as that alone of the structured kinds, and isn't parsed as HTML unless that isn't sure enough."""
+    raw = of_raw(html, url, hints)
+    if raw and threshold <= RAW:
+        return "raw_json", RAW, raw
     root = parse(html)
-    tries = [lambda: of_structured(html, root, url, hints), lambda: ("table", *of_tables(root, url, aliases)), lambda: ("card", *of_cards(root, url))]
+    tries = [lambda: of_structured(root, url, hints, linked_first, embedded)] * (not raw) + [lambda: ("table", *of_tables(root, url, aliases)), lambda: ("card", *of_cards(root, url))]
     if rules:
         tries.append(lambda: ("rules", rules.confidence(found := rules.records(root, url)), found))
     if "|" in html:
@@ -597,18 +609,19 @@ def extract_page(html: str, url: str, threshold: float, hints: tuple = (), rules
     return "pipeline_failed", 0.0, []
 
 
-def extract(pages: DataFrame, threshold: float = 0.4, hints: tuple = (), rules: Rules | None = None, aliases: Mapping[str, str] = {}, extractors: tuple[Extractor, ...] = ()) -> DataFrame:
+def extract(pages: DataFrame, threshold: float = 0.4, hints: tuple = (), rules: Rules | None = None, aliases: Mapping[str, str] = {}, extractors: tuple[Extractor, ...] = (), linked_first: bool = True, embedded: bool = True) -> DataFrame:
     """One row per record of the pages (page_id, url, html): method, confidence, row_index and the fields as text.
 
     ``hints`` are dotted paths to the records in embedded JSON, which are tried first; ``rules`` apply where no heuristic is
-    sure; ``aliases`` are headers of tables with their fields; ``extractors`` are further methods, tried last.
+    sure; ``aliases`` are headers of tables with their fields; ``extractors`` are further methods, tried last;
+    ``linked_first`` tries linked data before other structured data, else after it; ``embedded`` reads JSON in scripts.
     """
 
     def run(batches):
         for batch in batches:
             out = []
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                method, sure, records = extract_page(html or "", url or "", threshold, hints, rules, aliases, extractors)
+                method, sure, records = extract_page(html or "", url or "", threshold, hints, rules, aliases, extractors, linked_first, embedded)
                 out += [(page, method, sure, i, *(r.get(c) for c in COLUMNS)) for i, r in enumerate(records)]
             columns = list(zip(*out)) or [[]] * (4 + len(COLUMNS))
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32()] + [pa.string()] * len(COLUMNS)

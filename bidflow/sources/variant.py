@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidflow.functions.text import absolute
 from bidflow.sources.html import COLUMNS, LISTS, PROPERTIES
 
 CONFIDENCE = 0.9
@@ -49,19 +50,6 @@ def candidates(payload: Column, hints: tuple = ()) -> Column:
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.array_compact(F.array(*at)))
 
 
-def absolute(url: Column, link: Column) -> Column:
-    """A link against the page's address; dots in paths stay as they are."""
-    part = lambda pattern: F.regexp_extract(url, pattern, 1)
-    return (
-        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(part("^([A-Za-z][A-Za-z0-9+.-]*:)"), link))
-        .when(link.startswith("/"), F.concat(part("^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"), link))
-        .when(link.startswith("?"), F.concat(part("^([^?#]*)"), link))
-        .when(link.startswith("#"), F.concat(part("^([^#]*)"), link))
-        .otherwise(F.concat(F.coalesce(F.nullif(part("^([^?#]*//[^?#]*/)"), F.lit("")), F.concat(part("^([^?#]*)"), F.lit("/"))), link))
-    )
-
-
 def json_records(pages: DataFrame, hints: tuple = ()) -> DataFrame:
     """One row per record of the pages (page_id, url, html) that are JSON, with the columns of html.extract."""
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.try_parse_json("html").alias("payload")).where("payload is not null")

@@ -115,3 +115,23 @@ def test_aliases_and_further_extractors(spark):
     assert [(r["method"], r["title"]) for r in html.extract(df, extractors=(own,)).collect()] == [("paragraphs", "odd")]
     rules = html.Rules.of({"container_selector": "p", "fields": {"title": "b", "external_id": {"selectors": ["i"], "regex": r"\d+", "required": True}}})
     assert rules.container == "p" and rules.fields["external_id"].required and rules.records(markup.parse("<p><b>t</b><i>no 5</i>"), "") == [{"title": "t", "external_id": "5"}]
+
+
+def test_structured_options():
+    """Linked data first or last, scripts read or not, and JSON pages without a tree."""
+    from bidflow.sources import html
+
+    page = '<script type="application/ld+json">{"name": "linked", "identifier": "L"}</script><script>var data = {"items": [{"id": "E", "title": "embedded"}]};</script><p data-id="D" data-title="attribute">x</p>'
+    method = lambda **more: html.extract_page(page, "https://e.org", 0.4, **more)[0]
+    assert method() == "jsonld" and method(linked_first=False) == "embedded" and method(linked_first=False, embedded=False) == "data_attributes"
+    assert html.extract_page(page.split("</script>")[0] + "</script>", "", 0.4, linked_first=False)[0] == "jsonld"
+    assert html.extract_page('[{"id": 1, "title": "t"}]', "", 0.9)[:2] == ("raw_json", 0.9) and html.extract_page('[{"id": 1, "title": "t"}]', "", 0.95)[0] == "pipeline_failed"
+
+
+def test_links_of_filtered_rows(spark):
+    from bidflow.operators.listing import quick_filter
+
+    links = ["/d/1?x=1", "d/2", "https://o.org/3", "", None, "//h.org/4"]
+    rows = spark.createDataFrame([(i, "t", x) for i, x in enumerate(links)], "id int, title string, detail_url string")
+    got = [r["detail_url"] for r in quick_filter(rows, base_url="https://e.org/list/page?q=1").orderBy("id").collect()]
+    assert got == ["https://e.org/d/1?x=1", "https://e.org/list/d/2", "https://o.org/3", "", None, "https://h.org/4"]

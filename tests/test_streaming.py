@@ -70,3 +70,16 @@ def test_first_seen(spark, tmp_path):
     query = s.first_seen(stream).writeStream.format("memory").queryName("first_seen").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r["external_id"] for r in spark.table("first_seen").collect()) == ["a", "b"]
+
+
+def test_page_stream(spark, tmp_path):
+    """Pages that arrive as files become the state, file by file."""
+    from bidflow.sources import html
+
+    page = lambda n: "<table><tr><th>Bid #<th>Title<th>Status<th>Closing Date" + "".join(f"<tr><td>B-{n}{i}<td>Works {i}<td>Open<td>2030-01-0{i}" for i in range(1, 5)) + "</table>"
+    for n in range(2):
+        spark.createDataFrame([(n, f"https://e.org/{n}", page(n), "2024-01-01 00:00:00")], "page_id long, url string, html string, t string").selectExpr("page_id", "url", "html", "cast(t as timestamp) as fetched_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = s.normalized(html.extract(s.page_stream(spark, str(tmp_path / "in"), files=1)), 7, F.lit("2029-01-01").cast("timestamp_ntz"))
+    s.stream_listings(rows, str(tmp_path / "out")).awaitTermination()
+    assert {r["external_id"] for r in s.state_of(spark, str(tmp_path / "out"), 1).collect()} == {f"B-{n}{i}" for n in range(2) for i in range(1, 5)}
+    assert s.state_of(spark, str(tmp_path / "out"), 0).count() == 4
