@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidflow.functions import headers
-from bidflow.sources import html, selectors, variant
+from bidflow.sources import html, plugins, selectors, variant
 from bidflow.sources import views as v
 
 BASE = "https://bids.example.org/list/"
@@ -128,6 +128,27 @@ def next_selectors(spark, sf):
     return selectors.next_selectors(_pages(spark, sf, body))
 
 
+def _portal_pages(spark, sf):
+    """A page of each customer on its nation's portal: tables, or JSON that names the next page."""
+    k = _k()
+    table = _text("<table><tr><th>Bid #<th>Title<th>Status<tr><td>B-", k, "<td>", F.col("c_name"), "<td>Open</table><a rel=next href='?page=", k, "'>2</a>")
+    answer = _text('{"results": [{"id": "B-', k, '", "title": "', F.col("c_name"), '", "status": "Open"}], "links": {"next": "/api?page=', k, '"}}')
+    c = v.table(spark, sf, "customer")
+    found = c.select(k.alias("page_id"), F.col("c_nationkey").alias("portal_id"), F.lit(BASE).alias("url"), F.when(F.col("c_nationkey") % 3 == 0, answer).otherwise(table).alias("html"))
+    kind = F.when(F.col("portal_id") % 3 == 0, "api_based").when(F.col("portal_id") == 1, "unheard_of").otherwise("generic_table")
+    return found, v.portals(spark, sf).withColumn("portal_type", kind)
+
+
+def plugin_records(spark, sf):
+    """Records of all portals' pages, each read by its portal's plug-in."""
+    return plugins.dispatched(*_portal_pages(spark, sf), "listing").select("page_id", "portal_id", "method", "external_id", "title", "status")
+
+
+def plugin_pagination(spark, sf):
+    """Where each page leads on to, as its portal's plug-in tells."""
+    return plugins.dispatched(*_portal_pages(spark, sf), "pagination").select("page_id", "portal_id", "pagination", "strategy", "next_url")
+
+
 def page_outline(spark, sf):
     """What every fetched page holds: its title, links, paragraphs, and how it would be paged."""
     return html.outline(v.table(spark, sf, "pages"))
@@ -234,6 +255,8 @@ SQL = {
  select event_type, case when other and plain then 'OBJECT<k: VARIANT, more: ARRAY<BIGINT>>' when other then 'OBJECT<k: STRING, more: ARRAY<BIGINT>>' else 'OBJECT<k: BIGINT>' end as shape, n, broken, sum_k from t""",
     "next_selectors": """select c_custkey as page_id, list_extract(['rel', 'aria', 'title', 'class', 'text', null], cast(c_custkey % 6 + 1 as int)) as strategy, case c_custkey % 6 when 0 then '[rel]' when 1 then 'a' when 2 then case when c_custkey < 100 then '#n' || c_custkey else '[id]' end when 3 then '.next-page' when 4 then '[disabled]' end as selector,
  case when c_custkey % 6 < 5 then c_custkey % 6 = 4 end as disabled from customer""",
+    "plugin_records": "select c_custkey as page_id, c_nationkey as portal_id, case when c_nationkey % 3 = 0 then 'raw_json' else 'table' end as method, 'B-' || c_custkey as external_id, c_name as title, 'Open' as status from customer where c_nationkey <> 1",
+    "plugin_pagination": "select c_custkey as page_id, c_nationkey as portal_id, case when c_nationkey % 3 = 0 then 'next_link' else 'none' end as pagination, case when c_nationkey % 3 > 0 then 'rel' end as strategy, case when c_nationkey % 3 = 0 then 'https://bids.example.org/api?page=' || c_custkey else 'https://bids.example.org/list/?page=' || c_custkey end as next_url from customer where c_nationkey <> 1",
     "page_outline": r"""with p as (select page_id, regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs') as h from pages), q as (select page_id, regexp_replace(regexp_replace(h, '<script>.*?</script>', '', 'gs'), '<style>.*?</style>', '', 'gs') as h from p)
  select page_id, trim(regexp_replace(replace(replace(regexp_extract(h, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')) as title, trim(regexp_replace(replace(replace(regexp_extract(h, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')) as heading, cast(len(regexp_extract_all(h, '<a ')) as bigint) as n_links, regexp_extract_all(h, '<a href="([^"]*)"', 1)[1] as first_link, cast(len(regexp_extract_all(h, '<p>')) as bigint) as n_paragraphs from q""",
     "embedded_scripts": """select c_custkey as page_id, 'embedded' as method, round_even(0.5::double + case when c_custkey = 0 then 3 else 4 end / 20.0::double, 3) as confidence, nullif(cast(c_custkey as varchar), '0') as external_id, c_name as title, 'open' as status from customer""",
