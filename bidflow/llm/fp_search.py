@@ -39,9 +39,10 @@ from pyspark.sql import functions as F
 from bidflow.llm.common import discard, read, rows, stored
 
 K = 20
-ITEM_BYTES = 8 << 20
+ITEM_BYTES = 2 << 20
 #: Items that go down a tree together.
 ABREAST = 256
+CELLS = 1 << 22
 TREE_TERMS = 400_000
 #: Bytes of a term: 0-9, a-z and all beyond ASCII; A-Z become lower case, all else is blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -214,6 +215,17 @@ def descend(tree: Tree, weights: np.ndarray, items: np.ndarray, bests: Bests) ->
     return seen
 
 
+def abreast(weights: list):
+    """(start, end) of the items that go down a tree together: ABREAST at most, and CELLS weights if they share no term, or one item."""
+    start = held = 0
+    for end, (ranks, _) in enumerate(weights):
+        if end > start and (end - start == ABREAST or (end - start + 1) * (held + len(ranks)) > CELLS):
+            yield start, end
+            start, held = end, 0
+        held += len(ranks)
+    yield start, len(weights)
+
+
 def searched(table: DataFrame, order: np.ndarray, weights: list, total: int, words: int, k: int) -> DataFrame:
     """(item, doc_id, score): the k best of each item within each task. order: rank of each term; weights: (rank, weight) lists of items."""
     shared = table.sparkSession.sparkContext.broadcast((order, weights))
@@ -221,19 +233,17 @@ def searched(table: DataFrame, order: np.ndarray, weights: list, total: int, wor
     def run(batches):
         order, weights = shared.value
         bests, held, size = Bests(len(weights), k), [], 0
-        blocks = []
-        for start in range(0, len(weights), ABREAST):  # columns of the items that go together, over the terms that they hold
-            some = weights[start : start + ABREAST]
-            ranks = np.unique(np.concatenate([r for r, _ in some]))
-            dense = np.zeros((len(ranks), len(some)), np.int64)
-            for i, (r, w) in enumerate(some):
-                dense[np.searchsorted(ranks, r), i] = w
-            blocks.append((start, ranks, dense))
+        groups = list(abreast(weights))
 
         def flush():
-            for start, ranks, dense in blocks:
+            for start, end in groups:
+                some = weights[start:end]  # columns of the items that go together, over the terms that they hold
+                ranks = np.unique(np.concatenate([r for r, _ in some]))
                 if narrow := [d for x in held if (d := _narrowed(x, ranks))[2]]:
-                    descend(Tree(narrow), dense, np.arange(dense.shape[1]), bests.part(start, dense.shape[1]))
+                    dense = np.zeros((len(ranks), len(some)), np.int64)
+                    for i, (r, w) in enumerate(some):
+                        dense[np.searchsorted(ranks, r), i] = w
+                    descend(Tree(narrow), dense, np.arange(len(some)), bests.part(start, len(some)))
             held.clear()
 
         for batch in batches:

@@ -47,9 +47,9 @@ def some_items(docs):
     return list(enumerate(cut)) + [(50, prose(rng, 40)), (51, cut[0].upper() + "!"), (52, "nothing-that-occurs qqqq"), (53, ""), (54, None), (55, " \n"), (56, "a"), (57, "ZÜRICH naïve 日本 _x_"), (0, cut[0]), (1, cut[2]), (None, "a b"), (58, "a a a b " * 30)]
 
 
-@pytest.mark.parametrize("tree_terms,abreast,item_bytes", [(400_000, 256, 8 << 20), (60, 3, 8 << 20), (1, 256, 900)])
-def test_whole_tables(spark, monkeypatch, tree_terms, abreast, item_bytes):
-    for name, v in (("TREE_TERMS", tree_terms), ("ABREAST", abreast), ("ITEM_BYTES", item_bytes)):
+@pytest.mark.parametrize("tree_terms,abreast,cells,item_bytes", [(400_000, 256, 1 << 22, 2 << 20), (60, 3, 1 << 22, 2 << 20), (1, 256, 150, 900)])
+def test_whole_tables(spark, monkeypatch, tree_terms, abreast, cells, item_bytes):
+    for name, v in (("TREE_TERMS", tree_terms), ("ABREAST", abreast), ("CELLS", cells), ("ITEM_BYTES", item_bytes)):
         monkeypatch.setattr(fp_search, name, v)
     docs = texts()
     items = some_items(docs)
@@ -63,6 +63,13 @@ def test_few_and_many_bests(spark):
     assert search(spark, docs, items, k=500) == plain(docs, items, 500)
 
 
+def test_items_abreast():
+    many = lambda *sizes: [(np.arange(n), np.ones(n)) for n in sizes]
+    groups = list(fp_search.abreast(many(*[40] * 600)))
+    assert groups[0] == (0, 256) and groups[-1][1] == 600 and all(a[1] == b[0] for a, b in zip(groups, groups[1:]))
+    assert list(fp_search.abreast(many(5_000_000, 3, 5_000_000))) == [(0, 1), (1, 2), (2, 3)] and list(fp_search.abreast(many(7))) == [(0, 1)]
+
+
 def test_empty_tables(spark):
     assert search(spark, [], [(1, "a b")]) == search(spark, [(1, "a b")], []) == search(spark, [(1, None), (2, " ")], [(1, "a")]) == []
 
