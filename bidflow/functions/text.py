@@ -45,6 +45,16 @@ def shortened(c: Column, most: int, tail: str = "...") -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - len(tail)), F.lit(tail))).otherwise(c)
 
 
+# How many letters lists, samples and previews show of a text.
+SHOWN = {"title": 50, "agency": 30, "preview": 40, "sample": 100}
+DETAIL = 2000
+
+
+def detail_text(c: Column) -> Column:
+    """The first DETAIL letters of a description; the mark of what is left out comes on top."""
+    return F.when(F.length(c) > DETAIL, F.concat(F.substring(c, 1, DETAIL), F.lit("..."))).otherwise(c)
+
+
 def first_filled(*columns) -> Column:
     """The first that is neither null nor empty; white space counts as filled."""
     return F.coalesce(*(F.nullif(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidflow.functions import dates
+from bidflow.functions import dates, text
 from bidflow.operators import canonical, cdc, listing
 from bidflow.plans.ctes import OPPORTUNITIES, RUNS
 from bidflow.sources import views as v
@@ -41,8 +41,8 @@ def repo_events(spark, sf):
 
 def template_variables(spark, sf):
     """Several variables in one text: dates before and after, the environment, and names of one's own."""
-    text = F.element_at(F.array(*(F.lit(x) for x in ("${TODAY-7d}..${TODAY+14d}", "${env:REGION}/${env:UNSET}|${TODAY}", "${query} since ${LAST_RUN_DATE}", "${TODAY-1d} ${TODAY-1d} ${query}", "${OTHER} ${TODAY+xd}"))), (T("id") % 5 + 1).cast("int"))
-    value = dates.dynamic_value(text, T("posted_at"), F.when(T("id") % 2 == 0, T("closing_at")), {"REGION": "west"}, {"query": T("category")})
+    told = F.element_at(F.array(*(F.lit(x) for x in ("${TODAY-7d}..${TODAY+14d}", "${env:REGION}/${env:UNSET}|${TODAY}", "${query} since ${LAST_RUN_DATE}", "${TODAY-1d} ${TODAY-1d} ${query}", "${OTHER} ${TODAY+xd}"))), (T("id") % 5 + 1).cast("int"))
+    value = dates.dynamic_value(told, T("posted_at"), F.when(T("id") % 2 == 0, T("closing_at")), {"REGION": "west"}, {"query": T("category")})
     return v.opportunities(spark, sf).select("id", value.alias("value"))
 
 
@@ -65,6 +65,12 @@ def detail_enriched(spark, sf):
     return canonical.enriched(o, d, ["description", "contact_email", "contact_phone"], 1000, "id").select("id", "description", "contact_email", "detail")
 
 
+def shown_texts(spark, sf):
+    """Texts as lists, previews, samples and detail views show them."""
+    d = v.table(spark, sf, "documents")
+    return d.select("doc_id", *(text.shortened(T("text"), n).alias(name) for name, n in text.SHOWN.items()), F.md5(F.encode(text.detail_text(T("text")), "UTF-8")).alias("detail_md5"))
+
+
 O = f"with {OPPORTUNITIES}"
 _CHANGED = "(id % 29 = 0 or id % 7 = 0 and closing_at is not null or id % 13 = 0 or id % 23 = 0 or id % 31 = 0)"
 SQL = {
@@ -80,6 +86,7 @@ SQL = {
     "list_by_portal_name": O + " select o.id, p.portal_name, o.title from opportunities o join portals p using (portal_id) where p.portal_name = 'nation_7'",
     "portal_view": f"""with {RUNS}, r as (select portal_id, sum(opportunities_new) as n, max(finished_at) as t from runs group by 1), p as (select n_nationkey as k, lower(n_name) as name from nation where n_nationkey % 5 <> 0)
  select name as portal_name, cast(to_json({{'name': name, 'display_name': case when k % 2 = 0 then upper(name) end, 'base_url': 'https://' || name || '.example.org', 'enabled': true, 'total_opportunities': cast(coalesce(n, 0) as bigint), 'last_scraped': strftime(t, '%Y-%m-%dT%H:%M:%S')}}) as varchar) as line from p left join r on portal_id = k""",
+    "shown_texts": "select doc_id, " + ", ".join(f"case when length(text) > {n} then substring(text, 1, {n - 3}) || '...' else text end as {name}" for name, n in (("title", 50), ("agency", 30), ("preview", 40), ("sample", 100))) + ", md5(case when length(text) > 2000 then substring(text, 1, 2000) || '...' else text end) as detail_md5 from documents",
     "detail_enriched": O
     + """, a as (select id from opportunities where id % 3 > 0 order by id limit 1000), b as (select o.id, a.id is not null as asked, a.id is not null and o.id % 7 <> 0 and o.id % 5 > 0 as came from opportunities o left join a using (id))
  select id, case when came and id % 2 = 0 then 'long text' else 'short' end as description, case when came then 'x' || id || '@e.org' end as contact_email, case when came then 'scraped' when asked then 'failed' end as detail from b""",
