@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet to the
 shared folder and read again as the next one's docs. All but the last return the columns of documents.
+
+Edge cases, of every stage: null and empty texts are kept (they are scored like any text, have no lines, are near nothing,
+hold no item, and pack as their end mark alone); null ids are allowed, such rows stay as long as nothing decides against their
+text; repeated rows go the same way, and of near-duplicates the smallest id stays with all its rows; texts of any length are
+read whole; tables may be empty (labels: nothing is toxic; benchmark: nothing leaks); further columns, of whatever
+names, are carried to the last stage but one.
 """
 
 from __future__ import annotations
