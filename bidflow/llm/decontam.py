@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -51,48 +52,47 @@ UNITS = frozenset(b"mm cm m km in inch inches ft foot feet yd yard yards mile mi
 NUMBER_WORDS = frozenset(b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 _NUMBER = re.compile(rb"[$+-]?\d[\d.,:/]*%?([a-z]*)")
 _EDGE = b".,;:!?\"'()[]{}<>|*#&$%_-"
-_ENDS = (b".", b"!", b"?", b":", b"|")
+_ENDS = frozenset(b".!?:|")
 _NUM, _UNIT, _CAPITAL, _ENDING, _EMPTY = 1, 2, 4, 8, 16
 #: Template words of the slots.
 NUMBER, NAME, MEASURE = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"<num>", b"<name>", b"<unit>"))
 NAMED, PLAIN = 0, 1  # forms
 
 
-class Words:
-    """Template words of texts, as hashes; what a distinct word is, is found once."""
+class Words(dict):
+    """Template words of texts, as hashes; what a distinct word is, is found once, when it is first asked for its number."""
 
     def __init__(self):
-        self.clear()
+        self.forget()
 
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.hashes, self.flags = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
+    def forget(self) -> None:
+        self.clear()
+        self.hashes, self.flags = array("Q"), array("B")
 
-    def learn(self, raw: bytes) -> int:
-        word, n = raw.strip(_EDGE), len(self.number)
-        low, capital = word.lower(), word[:1].isupper()
-        if not word.isascii():
+    def __missing__(self, raw: bytes) -> int:
+        word = raw.strip(_EDGE)
+        low, first = word.lower(), word[0] if word else 0
+        capital = 65 <= first <= 90
+        if first > 127 or not word.isascii():
             text = word.decode("utf-8", "surrogatepass")
             low, capital = text.casefold().encode("utf-8", "surrogatepass"), text[:1].isupper()
-        m = _NUMBER.fullmatch(low)
-        number = low in NUMBER_WORDS or bool(m and (not m[1] or m[1] in UNITS))
-        if n == len(self.flags):
-            self.hashes, self.flags = np.concatenate([self.hashes, self.hashes]), np.concatenate([self.flags, self.flags])
-        self.hashes[n] = xxhash.xxh3_64_intdigest(low)
-        self.flags[n] = _NUM * number + _UNIT * (low in UNITS) + _CAPITAL * (capital and not number) + _ENDING * raw.endswith(_ENDS) + _EMPTY * (not word)
-        self.number[raw] = n
+        number = low in NUMBER_WORDS
+        if first < 58 and not number and (m := _NUMBER.fullmatch(low)):  # digits and signs come before all letters
+            number = not m[1] or m[1] in UNITS
+        self.hashes.append(xxhash.xxh3_64_intdigest(low))
+        self.flags.append(_NUM * number + _UNIT * (low in UNITS) + _CAPITAL * (capital and not number) + _ENDING * (raw[-1] in _ENDS) + _EMPTY * (not word))
+        n = self[raw] = len(self)
         return n
 
     def __call__(self, text: str | bytes | None) -> Canonical:
         raws = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).split()
-        if len(self.number) > KNOWN_WORDS:
-            self.clear()
-        get, learn = self.number.get, self.learn
-        at = np.fromiter((learn(r) if (k := get(r)) is None else k for r in raws), np.int64, len(raws))
-        flags = self.flags[at]
-        opening = np.r_[True, flags[:-1] & _ENDING != 0][: len(at)]
+        if len(self) > KNOWN_WORDS:
+            self.forget()
+        at = np.fromiter(map(self.__getitem__, raws), np.int64, len(raws))
+        flags = np.frombuffer(self.flags, np.uint8)[at]
+        opening = np.concatenate([[True], flags[:-1] & _ENDING != 0])[: len(at)]
         kept = flags & _EMPTY == 0
-        return Canonical(self.hashes[at[kept]], flags[kept], opening[kept])
+        return Canonical(np.frombuffer(self.hashes, np.uint64)[at[kept]], flags[kept], opening[kept])
 
 
 class Canonical:
@@ -100,7 +100,7 @@ class Canonical:
 
     def __init__(self, values: np.ndarray, flags: np.ndarray, opening: np.ndarray):
         number = flags & _NUM != 0
-        unit = (flags & _UNIT != 0) & np.r_[False, number[:-1]][: len(number)] & ~number
+        unit = (flags & _UNIT != 0) & np.concatenate([[False], number[:-1]])[: len(number)] & ~number
         self.name = (flags & _CAPITAL != 0) & ~unit
         self.values, self.opening, self.slot = values, opening, number | unit | self.name
         plain = np.where(number, NUMBER, np.where(unit, MEASURE, values))
