@@ -82,15 +82,14 @@ def _cron_field(field: Column, value: Column, low: int) -> Column:
 CYCLE = 40
 
 
-def _next_day(after: Column, fits_month, fits_day, fits_weekday) -> Column:
-    """The first date after a date whose month, day and weekday fit; months are tried in turn, and days in the first months that fit alone."""
+def _next_day(after: Column, months: Column, days: Column, weekdays: Column) -> Column:
+    """The first date after a date whose month, day and weekday are among the given ones; months are tried in turn, and days in the first months that fit alone."""
     none = F.lit(None).cast("date")
-    months, days = (F.filter(F.sequence(F.lit(1), F.lit(n)), f) for n, f in ((12, fits_month), (31, fits_day)))
 
     def in_month(year: Column, month: Column) -> Column:
         first = F.make_date(year, month, F.lit(1))
         dates = F.transform(F.filter(days, lambda d: d <= F.dayofmonth(F.last_day(first))), lambda d: F.date_add(first, d - 1))
-        return F.array_min(F.filter(dates, lambda d: (d > after) & fits_weekday(F.dayofweek(d) - 1)))
+        return F.array_min(F.filter(dates, lambda d: (d > after) & F.array_contains(weekdays, F.dayofweek(d) - 1)))
 
     first_of = lambda values, find: F.aggregate(values, none, lambda found, x: F.when(found.isNotNull(), found).otherwise(find(x)))
     return first_of(F.sequence(F.lit(0), F.lit(CYCLE)), lambda y: first_of(months, lambda m: in_month(F.year(after) + y, m)))
@@ -103,17 +102,21 @@ def next_cron(expression: Column, now: Column) -> Column:
     """
 
     def of(part: Column) -> Column:
-        fits = lambda i, low: lambda value: _cron_field(F.get(part, F.lit(i)), value, low)
-        minutes, hours = (F.filter(F.sequence(F.lit(0), F.lit(n)), fits(i, 0)) for i, n in ((0, 59), (1, 23)))
-        day, weekday, today = F.date_trunc("DAY", now).cast("timestamp_ntz"), fits(4, 0), F.to_date(now)
-        fits_today = fits(3, 1)(F.month(now)) & fits(2, 1)(F.dayofmonth(now)) & weekday(F.dayofweek(now) - 1)
+        """The values that fit each field are found once."""
+        fitting = lambda i, low, high: F.filter(F.sequence(F.lit(low), F.lit(high)), lambda value: _cron_field(F.get(part, F.lit(i)), value, low))
+        return bound(F.struct(*(fitting(i, low, high).alias(name) for i, (name, low, high) in enumerate((("minutes", 0, 59), ("hours", 0, 23), ("days", 1, 31), ("months", 1, 12), ("weekdays", 0, 6))))), at)
+
+    def at(fit: Column) -> Column:
+        minutes, hours, days, months, weekdays = (fit[n] for n in ("minutes", "hours", "days", "months", "weekdays"))
+        day, today = F.date_trunc("DAY", now).cast("timestamp_ntz"), F.to_date(now)
+        fits_today = F.array_contains(months, F.month(now)) & F.array_contains(days, F.dayofmonth(now)) & F.array_contains(weekdays, F.dayofweek(now) - 1)
         later = lambda values, than: F.array_min(F.filter(values, lambda x: x > than))
         first = F.array_min(minutes)
         this_hour = F.when(F.array_contains(hours, F.hour(now)), F.hour(now) * 60 + later(minutes, F.minute(now)))
-        at = F.when(fits_today, F.coalesce(this_hour, later(hours, F.hour(now)) * 60 + first))
-        other = _next_day(today, fits(3, 1), fits(2, 1), weekday).cast("timestamp_ntz")
+        here = F.when(fits_today, F.coalesce(this_hour, later(hours, F.hour(now)) * 60 + first))
+        other = _next_day(today, months, days, weekdays).cast("timestamp_ntz")
         minute_of = lambda start, m: start + F.make_dt_interval(F.lit(0), F.lit(0), m)
-        return F.coalesce(minute_of(day, at), minute_of(other, F.array_min(hours) * 60 + first))
+        return F.coalesce(minute_of(day, here), minute_of(other, F.array_min(hours) * 60 + first))
 
     return bound(F.split(F.trim(expression), r"\s+"), of)
 
