@@ -66,16 +66,16 @@ def blacked_out(now: Column, start: Column, end: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), False).when(a <= b, (at >= a) & (at < b)).otherwise((at >= a) | (at < b))
 
 
-def _cron_field(field: Column, value: Column, low: int) -> Column:
-    """Whether a value fits a field: ``*``, numbers, ranges, steps and lists of them."""
+def _cron_spans(field: Column, low: int) -> Column:
+    """What a field names, as an array of first, last and step: ``*``, numbers, ranges, steps and lists of them."""
 
-    def fits(part: Column) -> Column:
+    def span(part: Column) -> Column:
         step = F.coalesce(F.regexp_extract(part, r"/(\d+)$", 1).try_cast("int"), F.lit(1))
         first = F.coalesce(F.regexp_extract(part, r"^(\d+)", 1).try_cast("int"), F.lit(low))
         last = F.when(part.startswith("*") | F.contains(part, F.lit("/")) & ~F.contains(part, F.lit("-")), F.lit(9999)).otherwise(F.coalesce(F.regexp_extract(part, r"-(\d+)", 1).try_cast("int"), first))
-        return value.between(first, last) & ((value - first) % step == 0)
+        return F.struct(first.alias("first"), last.alias("last"), step.alias("step"))
 
-    return F.exists(F.split(field, ","), fits)
+    return F.transform(F.split(field, ","), span)
 
 
 #: Years in which any date of the calendar falls on any weekday at least once: 29 February meets one again after 40 at most.
@@ -103,12 +103,14 @@ def next_cron(expression: Column, now: Column) -> Column:
 
     def of(part: Column) -> Column:
         """The values that fit each field are found once."""
-        fitting = lambda i, low, high: F.filter(F.sequence(F.lit(low), F.lit(high)), lambda value: _cron_field(F.get(part, F.lit(i)), value, low))
-        return bound(F.struct(*(fitting(i, low, high).alias(name) for i, (name, low, high) in enumerate((("minutes", 0, 59), ("hours", 0, 23), ("days", 1, 31), ("months", 1, 12), ("weekdays", 0, 6))))), at)
+        named = lambda spans, value: F.exists(spans, lambda s: value.between(s["first"], s["last"]) & (F.try_mod(value - s["first"], s["step"]) == 0))
+        fitting = lambda i, low, high: bound(_cron_spans(F.get(part, F.lit(i)), low), lambda spans: F.filter(F.sequence(F.lit(low), F.lit(high)), lambda value: named(spans, value)))
+        return bound(F.struct(*(fitting(i, low, high).alias(name) for i, (name, low, high) in enumerate((("minutes", 0, 59), ("hours", 0, 23), ("days", 1, 31), ("months", 1, 12), ("weekdays", 0, 6)))), F.to_date(now).alias("today")), at)
 
     def at(fit: Column) -> Column:
         minutes, hours, days, months, weekdays = (fit[n] for n in ("minutes", "hours", "days", "months", "weekdays"))
-        day, today = F.date_trunc("DAY", now).cast("timestamp_ntz"), F.to_date(now)
+        today = fit["today"]
+        day = today.cast("timestamp_ntz")
         fits_today = F.array_contains(months, F.month(now)) & F.array_contains(days, F.dayofmonth(now)) & F.array_contains(weekdays, F.dayofweek(now) - 1)
         later = lambda values, than: F.array_min(F.filter(values, lambda x: x > than))
         first = F.array_min(minutes)

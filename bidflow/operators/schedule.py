@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidflow.functions.text import bound
+
 
 def portals_of_job(jobs: DataFrame, portals: DataFrame) -> DataFrame:
     """Each job with the portals it names (comma-separated); none named: all."""
@@ -34,7 +36,7 @@ def next_fire(kind: Column, time_of_day: Column, every_hours: Column, now: Colum
 
 def in_zone(fires, now: Column, zone: Column, *args: Column) -> Column:
     """fires(*args, now) with now, and what it gives, in UTC, and the schedule in a zone; an hour that the zone skips or repeats counts as its first offset has it."""
-    return F.convert_timezone(zone, F.lit("UTC"), fires(*args, F.convert_timezone(F.lit("UTC"), zone, now)))
+    return bound(F.convert_timezone(F.lit("UTC"), zone, now), lambda local: F.convert_timezone(zone, F.lit("UTC"), fires(*args, local)))
 
 
 def jittered(at: Column, most_minutes: Column, *seed: Column) -> Column:
