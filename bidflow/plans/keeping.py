@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bidflow.functions import text as texts
 from bidflow.operators import cascade, cdc, overlap, progress
 from bidflow.plans.ctes import EVENTS, OPPORTUNITIES, RUNS
 from bidflow.sources import config
@@ -70,7 +71,7 @@ def config_validation(spark, sf):
         '{"name": "', F.when(k % 9 == 0, "").otherwise(T("c_name")), '", "base_url": "', F.when(k % 8 == 0, "nowhere").otherwise("https://e.org/"), '", "seed_urls": [', F.when(k % 10 > 0, '"/l"').otherwise(""), '], "backend": {"preferred": "', F.when(k % 4 == 0, "curl").otherwise("http"),
         '"}, "politeness": {"min_delay_ms": ', k % 7 * 300, ', "max_delay_ms": 1000, "max_retries": ', k % 13, '}, "discovery": {"pagination": {"max_pages": ', k, '}}, "extraction": {"confidence_threshold": ', k % 1200 / 1000, ', "listing": {"fields": {"title": {"regex": "', F.when(k % 6 == 0, "(").otherwise("(.)"), '"}}}}}',
     )
-    found = config.checked(v.table(spark, sf, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+    found = config.checked(texts.spread(v.table(spark, sf, "customer")).select("c_custkey", text.alias("text")), "c_custkey", "text")
     return found.select(T("id").alias("c_custkey"), F.array_join("faults", "; ").alias("faults"), F.get_json_object("settings", "$.politeness.concurrency").alias("concurrency"), F.get_json_object("settings", "$.display_name").alias("display_name"))
 
 
