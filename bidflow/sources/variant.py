@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidflow.functions.text import absolute
+from bidflow.functions.text import absolute, bound
 from bidflow.sources.html import COLUMNS, LISTS, PROPERTIES
 
 CONFIDENCE = 0.9
@@ -20,21 +20,25 @@ def _get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _filled(v: Column) -> Column:
-    """A text or number that is filled, as text."""
-    kind, text = F.schema_of_variant(v), v.try_cast("string")
-    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    return F.when((kind == "STRING") & (text != ""), text).when(number & (text.try_cast("double") != 0), text).when((kind == "BOOLEAN") & (text == "true"), F.lit("True"))
+#: The type of an object whose parts are looked up one by one.
+OBJECT = "map<string, variant>"
+RECORDS = f"array<struct<{', '.join(f'{f}: string' for f in PROPERTIES)}>>"
+_NAMES = [n for names in PROPERTIES.values() for n in names]
 
 
-def _text(item: Column, name: str) -> Column:
-    """The text of a property: its own, or that of the first filled part of an object."""
-    return F.coalesce(_filled(_get(item, f"$.{name}")), *(_filled(_get(item, f"$.{name}.{part}")) for part in ("name", "value", "text")))
+def _filled(v: Column, inner: bool = True) -> Column:
+    """A text or number that is filled, as text; of an object, with inner, its first filled part."""
+    text = v.try_cast("string")
+    number = lambda t: F.when(t.try_cast("double") != 0, t)
+    parts = F.coalesce(*(_filled(_get(v, f"$.{part}"), False) for part in ("name", "value", "text"))) if inner else F.lit(None).cast("string")
+    told = lambda kind: F.when(kind == "STRING", F.nullif(text, F.lit(""))).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), bound(text, number)).when((kind == "BOOLEAN") & (text == "true"), F.lit("True")).when(kind.startswith("OBJECT"), parts)
+    return bound(F.schema_of_variant(v), told)
 
 
 def record_of(item: Column) -> Column:
-    """Struct of an object's fields."""
-    return F.struct(*(F.coalesce(*(_text(item, n) for n in names)).alias(field) for field, names in PROPERTIES.items()))
+    """Struct of the fields of an object (its parts by name); each part is read once."""
+    texts = F.transform_values(F.map_filter(item, lambda name, _: name.isin(_NAMES)), lambda _, v: _filled(v))
+    return bound(texts, lambda t: F.struct(*(F.coalesce(*(F.try_element_at(t, F.lit(n)) for n in names)).alias(field) for field, names in PROPERTIES.items())))
 
 
 def _path(hint: str) -> str:
@@ -44,7 +48,7 @@ def _path(hint: str) -> str:
 
 def candidates(payload: Column, hints: tuple = ()) -> Column:
     """Array of the lists of objects that a payload may tell its records by, in the order in which they are tried."""
-    listed = lambda v: F.coalesce(v.try_cast("array<variant>"), F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array(v)))
+    listed = lambda v: F.coalesce(v.try_cast("array<variant>"), F.when(v.try_cast(OBJECT).isNotNull(), F.array(v)))
     at = [*(listed(_get(payload, _path(h))) for h in hints), *(_get(payload, f"$.{key}", "array<variant>") for key in LISTS), listed(payload)]
     whole = payload.try_cast("array<variant>")
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.array_compact(F.array(*at)))
@@ -52,12 +56,15 @@ def candidates(payload: Column, hints: tuple = ()) -> Column:
 
 def json_records(pages: DataFrame, hints: tuple = ()) -> DataFrame:
     """One row per record of the pages (page_id, url, html) that are JSON, with the columns of html.extract."""
-    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.try_parse_json("html").alias("payload")).where("payload is not null")
+    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.try_parse_json("html").alias("payload"))
     filled = lambda r: F.coalesce(*(r[f] for f in PROPERTIES)).isNotNull()
-    objects = lambda items: F.filter(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-    lists = F.transform(candidates(F.col("payload"), hints), lambda items: F.filter(F.transform(objects(items), record_of), filled))
-    found = parsed.withColumn("records", F.get(F.filter(lists, lambda x: F.size(x) > 0), F.lit(0)))
-    rows = found.select("page_id", "url", F.posexplode("records").alias("row_index", "r"))
+    objects = lambda items: F.filter(F.transform(items, lambda v: v.try_cast(OBJECT)), lambda o: o.isNotNull())
+    of = lambda items: bound(F.filter(F.transform(objects(items), record_of), filled), lambda x: F.when(F.size(x) > 0, x))
+    # Lists after the first that gives records aren't looked into.
+    first = F.aggregate(candidates(F.col("payload"), hints), F.lit(None).cast(RECORDS), lambda found, items: F.coalesce(found, of(items)))
+    found = parsed.withColumn("records", first)
+    # Outer, as Spark would else test the records for being some before a shuffle below, and so read the pages there, twice.
+    rows = found.select("page_id", "url", F.posexplode_outer("records").alias("row_index", "r")).where("r is not null")
     told = {f: F.col(f"r.{f}") for f in PROPERTIES} | {"detail_url": absolute(F.col("url"), F.col("r.detail_url"))}
     return rows.select("page_id", F.lit("raw_json").alias("method"), F.lit(CONFIDENCE).alias("confidence"), "row_index", *((told[c] if c in told else F.lit(None).cast("string")).alias(c) for c in COLUMNS))
 
