@@ -23,9 +23,9 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores before heavy projections, where it is read from fewer files than there are cores."""
+    """df over all cores, a few tasks each, before heavy projections, where it is read from fewer files than there are cores: a file of one row group is read by one task, however many rows it has."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(4 * cores) if len(df.inputFiles()) < cores else df
 
 
 def normalize_whitespace(c: Column) -> Column:

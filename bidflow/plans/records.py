@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidflow.functions import headers
+from bidflow.functions import headers, text
 from bidflow.sources import html, plugins, selectors, variant
 from bidflow.sources import views as v
 
@@ -16,7 +16,7 @@ BASE = "https://bids.example.org/list/"
 
 
 def _pages(spark, sf, body):
-    c = v.table(spark, sf, "customer")
+    c = text.spread(v.table(spark, sf, "customer"))
     return c.select(F.col("c_custkey").alias("page_id"), F.lit(BASE).alias("url"), body.alias("html"))
 
 
@@ -133,7 +133,7 @@ def _portal_pages(spark, sf):
     k = _k()
     table = _text("<table><tr><th>Bid #<th>Title<th>Status<tr><td>B-", k, "<td>", F.col("c_name"), "<td>Open</table><a rel=next href='?page=", k, "'>2</a>")
     answer = _text('{"results": [{"id": "B-', k, '", "title": "', F.col("c_name"), '", "status": "Open"}], "links": {"next": "/api?page=', k, '"}}')
-    c = v.table(spark, sf, "customer")
+    c = text.spread(v.table(spark, sf, "customer"))
     found = c.select(k.alias("page_id"), F.col("c_nationkey").alias("portal_id"), F.lit(BASE).alias("url"), F.when(F.col("c_nationkey") % 3 == 0, answer).otherwise(table).alias("html"))
     kind = F.when(F.col("portal_id") % 3 == 0, "api_based").when(F.col("portal_id") == 1, "unheard_of").otherwise("generic_table")
     return found, v.portals(spark, sf).withColumn("portal_type", kind)
