@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,46 +82,101 @@ def _cron_spans(field: Column, low: int) -> Column:
 
 #: Years in which any date of the calendar falls on any weekday at least once: 29 February meets one again after 40 at most.
 CYCLE = 40
+#: Bits of every so many values, from 0 to 59, by the step.
+_STEPS = [sum(1 << k for k in range(0, 60, step)) for step in range(1, 61)]
+#: Repeats the bits of a week over six weeks.
+_WEEKS = sum(1 << 7 * k for k in range(6))
+
+
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", _long(1), n.cast("int"))
+
+
+def _has(values: Column, n: Column) -> Column:
+    return values.bitwiseAND(_bit(n)) != 0
+
+
+def _least(values: Column) -> Column:
+    """The least value of a set of bits; null if there is none."""
+    return F.when(values != 0, F.bit_count(values.bitwiseAND(-values) - 1))
+
+
+def _above(n: Column) -> Column:
+    """The bits of all values above one."""
+    return -_bit(n + 1)
+
+
+def _cron_values(field: Column, low: int, high: int) -> Column:
+    """The values that a field names, from low to high, as bits."""
+
+    def named(span: Column) -> Column:
+        first, last = span["first"], F.least(span["last"], F.lit(high))
+        every = F.get(F.array(*map(_long, _STEPS)), F.least(span["step"], F.lit(60)) - 1)
+        fitting = F.call_function("shiftleft", every, first).bitwiseAND(_bit(last + 1) - _bit(F.greatest(first, F.lit(low))))
+        return F.when((first <= last) & (last >= low), fitting)
+
+    return F.aggregate(_cron_spans(field, low), _long(0), lambda found, span: found.bitwiseOR(F.coalesce(named(span), _long(0))))
+
+
+def _cron_bits(field: str, low: int, high: int) -> int:
+    """_cron_values of a field that is known beforehand."""
+    found = 0
+    number = lambda pattern, part: next((int(n) for n in re.findall(pattern, part) if int(n) < 2**31), None)
+    for part in field.split(","):
+        step, first, last = (number(p, part) for p in (r"/([0-9]+)$", r"^([0-9]+)", r"-([0-9]+)"))
+        first = low if first is None else first
+        last = high if part.startswith("*") or "/" in part and "-" not in part else first if last is None else last
+        if step != 0:
+            found |= sum(1 << value for value in range(low, high + 1) if first <= value <= last and (value - first) % (step or 1) == 0)
+    return found
 
 
 def _next_day(after: Column, months: Column, days: Column, weekdays: Column) -> Column:
-    """The first date after a date whose month, day and weekday are among the given ones; months are tried in turn, and days in the first months that fit alone."""
-    none = F.lit(None).cast("date")
+    """The first date after a date whose month, day and weekday are among the given ones (bits); months are tried in turn, the days of one all at once."""
+
+    def of(k: Column) -> Column:
+        def in_month(month: Column, least: Column) -> Column:
+            """month counts from January of the date's year."""
+            of_first = lambda first: bound(days.bitwiseAND(F.call_function("shiftleft", F.call_function("shiftright", k["weeks"], F.dayofweek(first) - 1), F.lit(1))).bitwiseAND(_bit(F.dayofmonth(F.last_day(first)) + 1) - 2).bitwiseAND(least), lambda fit: F.date_add(first, _least(fit) - 1))
+            return F.when(_has(months, month % 12 + 1), bound(F.make_date(k["year"] + F.floor(month / 12).cast("int"), month % 12 + 1, F.lit(1)), of_first))
 
-    def in_month(year: Column, month: Column) -> Column:
-        first = F.make_date(year, month, F.lit(1))
-        dates = F.transform(F.filter(days, lambda d: d <= F.dayofmonth(F.last_day(first))), lambda d: F.date_add(first, d - 1))
-        return F.array_min(F.filter(dates, lambda d: (d > after) & F.array_contains(weekdays, F.dayofweek(d) - 1)))
+        every = _long(-1)
+        later = F.aggregate(F.sequence(k["month"] + 2, F.lit(CYCLE * 12 + 11)), F.lit(None).cast("date"), lambda found, month: F.coalesce(found, in_month(month, every)))
+        return F.coalesce(in_month(k["month"], _above(F.dayofmonth(after))), in_month(k["month"] + 1, every), later)
 
-    first_of = lambda values, find: F.aggregate(values, none, lambda found, x: F.when(found.isNotNull(), found).otherwise(find(x)))
-    return first_of(F.sequence(F.lit(0), F.lit(CYCLE)), lambda y: first_of(months, lambda m: in_month(F.year(after) + y, m)))
+    return bound(F.struct(F.year(after).alias("year"), (F.month(after) - 1).alias("month"), (weekdays * _long(_WEEKS)).alias("weeks")), of)
 
 
-def next_cron(expression: Column, now: Column) -> Column:
+def next_cron(expression: Column | str, now: Column) -> Column:
     """The next minute after now that a cron expression (minute, hour, day, month, weekday with 0 for Sunday) fits, however far off.
 
-    Null: there is none (30 February), or the expression isn't one.
+    Null: there is none (30 February), or the expression isn't one. One expression for all rows, told as text, is read here and not row by row.
     """
+    fields = (("minutes", 0, 59), ("hours", 0, 23), ("days", 1, 31), ("months", 1, 12), ("weekdays", 0, 6))
 
     def of(part: Column) -> Column:
-        """The values that fit each field are found once."""
-        named = lambda spans, value: F.exists(spans, lambda s: value.between(s["first"], s["last"]) & (F.try_mod(value - s["first"], s["step"]) == 0))
-        fitting = lambda i, low, high: bound(_cron_spans(F.get(part, F.lit(i)), low), lambda spans: F.filter(F.sequence(F.lit(low), F.lit(high)), lambda value: named(spans, value)))
-        return bound(F.struct(*(fitting(i, low, high).alias(name) for i, (name, low, high) in enumerate((("minutes", 0, 59), ("hours", 0, 23), ("days", 1, 31), ("months", 1, 12), ("weekdays", 0, 6)))), F.to_date(now).alias("today")), at)
+        """The values that fit each field are found once, as bits."""
+        return bound(F.struct(*(_cron_values(F.get(part, F.lit(i)), low, high).alias(name) for i, (name, low, high) in enumerate(fields)), F.to_date(now).alias("today")), at)
 
     def at(fit: Column) -> Column:
         minutes, hours, days, months, weekdays = (fit[n] for n in ("minutes", "hours", "days", "months", "weekdays"))
         today = fit["today"]
-        day = today.cast("timestamp_ntz")
-        fits_today = F.array_contains(months, F.month(now)) & F.array_contains(days, F.dayofmonth(now)) & F.array_contains(weekdays, F.dayofweek(now) - 1)
-        later = lambda values, than: F.array_min(F.filter(values, lambda x: x > than))
-        first = F.array_min(minutes)
-        this_hour = F.when(F.array_contains(hours, F.hour(now)), F.hour(now) * 60 + later(minutes, F.minute(now)))
+        fits_today = _has(months, F.month(today)) & _has(days, F.dayofmonth(today)) & _has(weekdays, F.dayofweek(today) - 1)
+        later = lambda values, than: _least(values.bitwiseAND(_above(than)))
+        first = _least(minutes)
+        this_hour = F.when(_has(hours, F.hour(now)), F.hour(now) * 60 + later(minutes, F.minute(now)))
         here = F.when(fits_today, F.coalesce(this_hour, later(hours, F.hour(now)) * 60 + first))
-        other = _next_day(today, months, days, weekdays).cast("timestamp_ntz")
-        minute_of = lambda start, m: start + F.make_dt_interval(F.lit(0), F.lit(0), m)
-        return F.coalesce(minute_of(day, here), minute_of(other, F.array_min(hours) * 60 + first))
+        minute_of = lambda start, m: start.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), m)
+        return F.coalesce(minute_of(today, here), minute_of(_next_day(today, months, days, weekdays), _least(hours) * 60 + first))
 
+    if isinstance(expression, str):
+        told = [*expression.split(), *[None] * len(fields)]
+        values = (F.lit(None if t is None else _cron_bits(t, low, high)).cast("long").alias(name) for t, (name, low, high) in zip(told, fields))
+        return bound(F.struct(*values, F.to_date(now).alias("today")), at)
     return bound(F.split(F.trim(expression), r"\s+"), of)
 
 

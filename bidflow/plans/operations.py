@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidflow.functions import dates, hashing, status
+from bidflow.functions import dates, hashing, status, text
 from bidflow.operators import canonical as canon
 from bidflow.operators import cdc, runs, schedule
 from bidflow.plans.ctes import LISTINGS, OPPORTUNITIES, RUNS, fingerprint
@@ -158,7 +158,7 @@ def cron_next(spark, sf):
     """The next fire of cron jobs after each customer's point in time."""
     expression = F.element_at(F.array(*(F.lit(x) for x in ("30 6 * * *", "0 */6 * * *", "15 9 * * 1-5", "0 0 1,15 * *", "*/20 22 * * 0"))), (T("c_custkey") % 5 + 1).cast("int"))
     now = F.lit("2024-02-27 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (T("c_custkey") * 37 % 4000).cast("int"))
-    return v.table(spark, sf, "customer").select("c_custkey", runs.next_cron(expression, now).alias("next_run_at"))
+    return text.spread(v.table(spark, sf, "customer")).select("c_custkey", runs.next_cron(expression, now).alias("next_run_at"))
 
 
 #: Schedules that may be years away, one that never fires, and one that isn't any.
@@ -170,17 +170,17 @@ def cron_far(spark, sf):
     k = T("c_custkey")
     expression = F.element_at(F.array(*map(F.lit, _FAR)), (k % len(_FAR) + 1).cast("int"))
     now = F.lit("2023-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((k * 13 % 2200).cast("int"), F.lit(0), (k * 7 % 1440).cast("int"))
-    return v.table(spark, sf, "customer").select("c_custkey", runs.next_cron(expression, now).alias("next_run_at"))
+    return text.spread(v.table(spark, sf, "customer")).select("c_custkey", runs.next_cron(expression, now).alias("next_run_at"))
 
 
 def zoned_schedules(spark, sf):
     """Daily, weekday and cron jobs in zones of their own, in UTC, and how late jitter may make them."""
     zone = F.element_at(F.array(*map(F.lit, ("America/New_York", "Europe/Berlin", "Asia/Kolkata"))), (T("id") % 3 + 1).cast("int"))
     kind, at = F.when(T("id") % 2 == 0, "daily").otherwise("weekday"), F.format_string("%02d:30", T("id") % 5 + 8)
-    fires = schedule.in_zone(lambda now: schedule.next_fire(kind, at, F.lit(1), now), T("created_at"), zone)
-    late = schedule.jittered(fires, F.lit(5), T("id"))
-    cron = schedule.in_zone(lambda now: runs.next_cron(F.lit("15 9 * * 1-5"), now), T("created_at"), zone)
-    return v.events(spark, sf).select("id", fires.alias("next_run_at"), cron.alias("next_cron_at"), F.timestamp_diff("SECOND", fires, late).between(0, 300).alias("in_time"))
+    told = {"fires": schedule.in_zone(lambda now: schedule.next_fire(kind, at, F.lit(1), now), T("created_at"), zone), "cron": schedule.in_zone(lambda now: runs.next_cron("15 9 * * 1-5", now), T("created_at"), zone)}
+    found = text.computed(text.spread(v.events(spark, sf)).select("id", "created_at"), told)
+    late = schedule.jittered(T("fires"), F.lit(5), T("id"))
+    return found.select("id", T("fires").alias("next_run_at"), T("cron").alias("next_cron_at"), F.timestamp_diff("SECOND", T("fires"), late).between(0, 300).alias("in_time"))
 
 
 def blackout(spark, sf):
