@@ -59,14 +59,15 @@ def _classified(token: Column, day_first: Column) -> Column:
     minutes = number(offset, 2) * 60 + number(offset, 3)
     value = F.regexp_extract(token, r"^(\d{1,9})", 1).try_cast("int")
     return (
-        F.when(token.rlike(iso), told("date", number(iso, 1), number(iso, 2), number(iso, 3)))
+        F.when(token >= "a", F.coalesce(F.try_element_at(word, token), told("unknown", F.lit(0))))  # the others begin with a digit or a sign
+        .when(token.rlike(iso), told("date", number(iso, 1), number(iso, 2), number(iso, 3)))
         .when(token.rlike(numeric), date)
         .when(token.rlike(clock), told("clock", number(clock, 1), number(clock, 2), F.coalesce(number(clock, 3), F.lit(0))))
         .when(token.rlike(offset), told("zone", F.when(token.startswith("-"), -minutes).otherwise(minutes)))
         .when(token.rlike(r"^\d{4}$"), told("year", value))
         .when(token.rlike(r"^\d+$"), told("number", value))
         .when(token.rlike(r"^\d+[a-z]+$"), told("ordinal", value))
-        .otherwise(F.coalesce(F.try_element_at(word, token), told("unknown", F.lit(0))))
+        .otherwise(told("unknown", F.lit(0)))
     )
 
 
@@ -154,8 +155,9 @@ def parse_words(c: Column, base: Column, day_first: Column | bool = False, zone:
 
     def of(text: Column) -> Column:
         rest = F.regexp_replace(text, TOKEN, "").rlike(r"^[\s,.;()@-]*$")
+        known = lambda tokens: F.when(~F.exists(tokens, lambda t: t["kind"] == "unknown"), _folded(tokens))
         tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: _classified(t, day_first))
-        return bound(F.when(rest, _folded(tokens)), lambda x: sure(text, x))
+        return bound(F.when(rest, bound(tokens, known)), lambda x: sure(text, x))
 
     def sure(text: Column, x: Column) -> Column:
         relative = F.lit(False)
@@ -176,4 +178,4 @@ def parse_words(c: Column, base: Column, day_first: Column | bool = False, zone:
 def parse_any(c: Column, base: Column, day_first: Column | bool = False, zone: str | Column | None = None) -> Column:
     """Struct of value, confidence and format: by the fixed formats, else by the grammar (``words``); null and 0 where neither reads the text."""
     words = bound(parse_words(c, base, day_first, zone), lambda w: F.when(w["value"].isNotNull(), F.struct(w["value"], w["confidence"], F.lit("words").alias("format"))))
-    return bound(parse_date(c), lambda p: F.coalesce(F.when(p["value"].isNotNull(), p), words, p))
+    return bound(parse_date(c), lambda p: F.coalesce(F.when(p["value"].isNotNull() | (F.coalesce(c, F.lit("")) == ""), p), words, p))

@@ -3,62 +3,61 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bidflow.functions.text import bound
+from bidflow.functions.text import SPACES, bound
 
 # Prefixes that are removed in this order, and time zones that end a date.
 PREFIXES = ["due:", "closes?:", "deadline:", r"closing\s+date:", r"open\s+until:", "posted:", "published:", "date:"]
+LEADS = "(?i)^" + "".join(rf"(?:{p}\s*)?" for p in PREFIXES)
 ZONES = "PT|PST|PDT|MT|MST|MDT|CT|CST|CDT|ET|EST|EDT"
-# Format name, pattern, confidence; the first that gives a valid date wins.
-ISO, US = r"^(\d{4})-(\d{2})-(\d{2})", r"^(\d{1,2})/(\d{1,2})/(\d{4})"
-FORMATS = [
-    ("iso8601", ISO + r"T(\d{2}):(\d{2}):(\d{2})", 1.0),
-    ("iso_space", ISO + r"\s+(\d{2}):(\d{2}):(\d{2})", 0.95),
-    ("iso_space_no_sec", ISO + r"\s+(\d{2}):(\d{2})", 0.95),
-    ("iso_date", ISO, 0.9),
-    ("us_datetime", US + r"\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(AM|PM|am|pm)?", 0.85),
-    ("us_date", US, 0.85),
-    ("us_date_short", r"^(\d{1,2})/(\d{1,2})/(\d{2})\b", 0.75),
-]
+# Pattern and confidence of each format; the first that gives a valid date wins.
+ISO, SLASHED, US = r"^(\d{4})-(\d{2})-(\d{2})", r"^\d{1,2}/\d{1,2}/\d{2}", r"^(\d{1,2})/(\d{1,2})/(\d{4})"
+FORMATS = {
+    "iso8601": (ISO + r"T(\d{2}):(\d{2}):(\d{2})", 1.0),
+    "iso_space": (ISO + r"\s+(\d{2}):(\d{2}):(\d{2})", 0.95),
+    "iso_space_no_sec": (ISO + r"\s+(\d{2}):(\d{2})", 0.95),
+    "iso_date": (ISO, 0.9),
+    "us_datetime": (US + r"\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(AM|PM|am|pm)?", 0.85),
+    "us_date": (US, 0.85),
+    "us_date_short": (r"^(\d{1,2})/(\d{1,2})/(\d{2})\b", 0.75),
+}
 
 
 def clean_date_text(c: Column) -> Column:
-    text = reduce(lambda x, p: F.regexp_replace(x, rf"(?i)^{p}\s*", ""), PREFIXES, F.trim(c))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), rf"(?i)\s+({ZONES})\s*$", ""))
-
-
-def _labelled(name: str, confidence: float):
-    return lambda x: F.struct(x.alias("value"), F.lit(confidence).alias("confidence"), F.lit(name).alias("format"))
+    text = F.trim(c)
+    text = F.when(F.contains(text, F.lit(":")), F.regexp_replace(text, LEADS, "")).otherwise(text)
+    return F.trim(F.regexp_replace(F.regexp_replace(text, SPACES, " "), rf"(?i)\s+({ZONES})\s*$", ""))
 
 
 def parse_date(c: Column) -> Column:
     """Struct of value, confidence and format; null and 0 where no format gives a valid date."""
 
     def of(text: Column) -> Column:
-        found = []
-        for name, pattern, confidence in FORMATS:
-            iso, short = name.startswith("iso"), name == "us_date_short"
-            part = lambda i, p=pattern: F.regexp_extract(text, p, i).try_cast("int")
-            year = part(1 if iso else 3)
-            if short:
-                year = year + F.when(year < 50, 2000).otherwise(1900)
-            hour, minute, second = F.lit(0), F.lit(0), F.lit(0)
-            if name in ("iso8601", "iso_space", "iso_space_no_sec", "us_datetime"):
-                hour, minute = part(4), part(5)
-                second = F.lit(0) if name == "iso_space_no_sec" else F.coalesce(part(6), F.lit(0))
-            if name == "us_datetime":
-                half = F.upper(F.regexp_extract(text, pattern, 7))
-                hour = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
-            month, day = (part(2), part(3)) if iso else (part(1), part(2))
-            value = F.when(text.rlike(pattern), F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)")))
-            # In an array of one, the value is found once for the test and the result.
-            found.append(F.get(F.transform(F.array_compact(F.array(value)), _labelled(name, confidence)), F.lit(0)))
+        # Fields that stand at fixed places are cut out there; white space is single blanks by now.
+        part = lambda start, length: F.substring(text, start, length).try_cast("int")
+        clock = lambda i: F.regexp_extract(text, FORMATS["us_datetime"][0], i)
+        month, day = F.substring_index(text, "/", 1), F.substring_index(F.substring_index(text, "/", 2), "/", -1)
+        year = lambda digits: F.substring(text, F.length(month) + F.length(day) + 3, F.lit(digits)).try_cast("int")
+
+        def at(name: str, year: Column, month: Column, day: Column, hour: Column = F.lit(0), minute: Column = F.lit(0), second: Column = F.lit(0)) -> Column:
+            value = F.when(text.rlike(FORMATS[name][0]), F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)")))
+            return bound(value, lambda x: F.when(x.isNotNull(), F.struct(x.alias("value"), F.lit(FORMATS[name][1]).alias("confidence"), F.lit(name).alias("format"))))
+
+        iso = (part(1, 4), part(6, 2), part(9, 2))
+        timed = F.coalesce(at("iso8601", *iso, part(12, 2), part(15, 2), part(18, 2)), at("iso_space", *iso, part(12, 2), part(15, 2), part(18, 2)), at("iso_space_no_sec", *iso, part(12, 2), part(15, 2)))
+        hour, half = clock(4).try_cast("int"), F.upper(clock(7))
+        hour = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
+        us = (month.try_cast("int"), day.try_cast("int"))
+        short = year(2) + F.when(year(2) < 50, 2000).otherwise(1900)
         none = F.struct(F.lit(None).cast("timestamp_ntz").alias("value"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("format"))
-        return F.coalesce(*found, none)
+        return (
+            F.when(text.rlike(ISO), F.coalesce(F.when(F.length(text) > 10, timed), at("iso_date", *iso), none))
+            .when(text.rlike(SLASHED), F.coalesce(F.when(F.contains(text, F.lit(":")), at("us_datetime", year(4), *us, hour, clock(5).try_cast("int"), F.coalesce(clock(6).try_cast("int"), F.lit(0)))), at("us_date", year(4), *us), at("us_date_short", short, *us), none))
+            .otherwise(none)
+        )
 
     return bound(clean_date_text(c), of)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bidflow.functions.text import bound
+
 # Patterns of each status; the first that a text contains decides.
 PATTERNS = {
     "OPEN": ["open", "active", "accepting", "in progress", "pending", "current", "live", "ongoing", "available", "accepting bids", "accepting quotes", "accepting proposals", "open for bid", "open for quote", "bidding open"],
@@ -18,17 +20,23 @@ ORDER = ["OPEN", "CLOSED", "AWARDED", "CANCELLED", "PENDING", "UNKNOWN"]
 
 def parse_status(c: Column, default: str = "UNKNOWN") -> Column:
     """Struct of status and confidence: 0.95 for the pattern itself, 0.85 for a text with it, 0.7 for four fifths of its words."""
-    text = F.lower(F.trim(c))
     each = [(status, p) for status, patterns in PATTERNS.items() for p in patterns]
-    held = [F.when(F.contains(text, F.lit(p)), F.struct(F.lit(s).alias("status"), F.when(text == p, 0.95).otherwise(0.85).alias("confidence"))) for s, p in each]
-    words = F.split(text, r"\s+")
-    near = [
-        F.when(F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in dict.fromkeys(p.split()))))) >= 0.8 * len(set(p.split())), F.struct(F.lit(s).alias("status"), F.lit(0.7).alias("confidence")))
-        for s, p in each
-        if len(p.split()) > 1
-    ]
-    none = F.struct(F.lit(default).alias("status"), F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(0.3).alias("confidence"))
-    return F.coalesce(*held, *near, none)
+    none = lambda sure: F.struct(F.lit(default).alias("status"), F.lit(sure).alias("confidence"))
+
+    def of(text: Column) -> Column:
+        held = [F.when(F.contains(text, F.lit(p)), F.struct(F.lit(s).alias("status"), F.when(text == p, 0.95).otherwise(0.85).alias("confidence"))) for s, p in each]
+
+        def near(words: Column) -> Column:
+            found = [
+                F.when(F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in dict.fromkeys(p.split()))))) >= 0.8 * len(set(p.split())), F.struct(F.lit(s).alias("status"), F.lit(0.7).alias("confidence")))
+                for s, p in each
+                if len(p.split()) > 1
+            ]
+            return F.coalesce(*found, none(0.3))
+
+        return F.when(F.coalesce(text, F.lit("")) == "", none(0.0)).otherwise(F.coalesce(*held, bound(F.split(text, r"\s+"), near)))
+
+    return bound(F.lower(F.trim(c)), of)
 
 
 def inferred(status: Column, closing: Column, awarded: Column, as_of: Column) -> Column:

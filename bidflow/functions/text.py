@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 # Entities that are decoded, in this order.
 ENTITIES = [("&nbsp;?", " "), ("&amp;?", "&"), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "'")]
+#: Runs of Unicode white space that aren't one blank already.
+SPACES = r"(?U)[^\S ]\s*| \s+"
 URL = r"https?://[^\s<>\"'{}|\\^`\[\]]+"
 
 
 def bound(value: Column, use) -> Column:
-    """use(value), with value found once however often it is used."""
-    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+    """use(value), with value found once however often it is used.
+
+    As the end of a fold over nothing: an element of a transformed array is read by its type, which Spark derives anew from all of use in every row.
+    """
+    return F.aggregate(F.array(), value, lambda x, _: x, lambda x: use(x))
 
 
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -30,11 +35,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 def normalize_whitespace(c: Column) -> Column:
     """Runs of any Unicode white space become one blank; null becomes empty."""
-    return F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(c, SPACES, " ")), F.lit(""))
 
 
 def clean_html_text(c: Column) -> Column:
-    return normalize_whitespace(reduce(lambda x, e: F.regexp_replace(x, e[0], e[1]), ENTITIES, c))
+    return normalize_whitespace(F.when(F.contains(c, F.lit("&")), reduce(lambda x, e: F.regexp_replace(x, e[0], e[1]), ENTITIES, c)).otherwise(c))
 
 
 def first_url(c: Column) -> Column:

@@ -70,7 +70,7 @@ def canonical(raw: DataFrame, as_of: Column, keep: tuple = (), compat: bool = Fa
         date(0).alias("closing_at"), first("closing_at").isNotNull().alias("__told"), date(1).alias("posted_at"), date(2).alias("awarded_at"), F.when(first("status").isNotNull(), F.col("__state.status")).alias("__status"),
         cut("category").alias("category"), F.transform(F.split(first("commodity_codes"), ","), lambda x: F.trim(x)).alias("codes"), cut("agency").alias("agency"), cut("department").alias("department"), cut("location").alias("location"),
         *(first(c).alias(c) for c in ("contact_name", "contact_email", "contact_phone", "awardee", "source_url", "detail_url")), amount("estimated_value").alias("__value"), amount("award_amount").alias("__award"),
-        F.coalesce(F.col("confidence").try_cast("double") if "confidence" in raw.columns else none.cast("double"), F.lit(0.0)).alias("extraction_confidence"),
+        F.coalesce(F.when(F.col("confidence").cast("string").rlike(r"(?i)\d|inf|nan"), F.col("confidence").try_cast("double")) if "confidence" in raw.columns else none.cast("double"), F.lit(0.0)).alias("extraction_confidence"),
     )
     state = status.inferred(F.col("__status"), F.col("closing_at"), F.col("awarded_at"), as_of)
     warnings = F.array_compact(F.array(F.when(F.col("__made"), F.lit("external id made up")), F.when(F.col("__told") & F.col("closing_at").isNull(), F.lit("closing date not read"))))

@@ -14,11 +14,16 @@ T = F.col
 
 
 def _raw(spark, sf):
-    """Raw fields under several keys, as pages tell them."""
-    o = v.opportunities(spark, sf).select("id", F.date_format("posted_at", "yyyy-MM-dd").alias("post_date"), F.when(T("id") % 4 == 0, F.date_format("posted_at", "MM/dd/yyyy")).alias("award_date"), F.when(T("id") % 4 == 0, F.concat(F.lit("$"), F.format_number(F.floor("estimated_value").cast("long"), 0), F.lit(".75"))).otherwise("0").alias("awarded_value"))
-    r = v.raw_listings(spark, sf).drop("portal_id").withColumnRenamed("closing_text", "due_date").withColumnRenamed("status_text", "state").withColumnRenamed("agency", "buyer").withColumnRenamed("category", "type")
+    """Raw fields under several keys, as pages tell them; rows are joined and dealt out before their texts are made."""
     k = T("id")
-    return r.join(o, "id").select(
+    told = v.opportunities(spark, sf).select("id", T("posted_at").alias("told_at"), T("estimated_value").alias("told_value"))
+    both = text.spread(v.opportunities(spark, sf).drop("posted_at").join(told, "id"))
+    r = v.printed(both, "told_at", "told_value").withColumnsRenamed({"closing_text": "due_date", "status_text": "state", "agency": "buyer", "category": "type"})
+    more = {
+        "post_date": F.date_format("told_at", "yyyy-MM-dd"), "award_date": F.when(k % 4 == 0, F.date_format("told_at", "MM/dd/yyyy")),
+        "awarded_value": F.when(k % 4 == 0, F.concat(F.lit("$"), F.format_number(F.floor("told_value").cast("long"), 0), F.lit(".75"))).otherwise("0"),
+    }
+    return r.withColumns(more).select(
         F.when(k % 9 != 0, T("external_id")).alias("bid_id"), "due_date", F.when(k % 5 != 0, T("state")).alias("state"), "title", "type", F.when(k % 3 == 0, F.concat(F.lit(" Dept  of "), T("type"))).alias("department"), "buyer", "post_date", "award_date", "awarded_value",
         F.concat(F.lit("Scope&nbsp;of &lt;"), k.cast("string"), F.lit("&gt;  ")).alias("details"), F.when(k % 2 == 0, F.concat_ws(", ", F.lit("10"), T("type"))).otherwise("").alias("commodity_codes"), F.concat(F.lit("buyer "), (k % 100).cast("string")).alias("contact"),
         F.when(k % 2 == 0, F.lit("a@b.c")).alias("email"), F.lit("555").alias("phone"), F.when(k % 4 == 0, T("buyer")).alias("winner"), F.when(k % 3 == 0, "0.75").when(k % 3 == 1, "n/a").alias("confidence"), T("id").alias("key"),

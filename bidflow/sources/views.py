@@ -47,7 +47,11 @@ def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings as portals print them: dates, money and statuses in rotating textual forms."""
-    o = opportunities(spark, sf_dir)
+    return printed(opportunities(spark, sf_dir))
+
+
+def printed(o: DataFrame, *keep: str) -> DataFrame:
+    """Opportunities as raw listings, with columns to carry along."""
     shape, date = F.col("id") % 7, F.col("closing_at")
     fmt = lambda f: F.date_format(date, f)
     closing = (
@@ -69,7 +73,7 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("n/a"))
     )
     status = F.when(F.col("status") == "OPEN", "Open for bid").when(F.col("status") == "AWARDED", "Contract awarded").otherwise("Under review")
-    return o.select("id", "portal_id", "external_id", F.concat(F.lit("  "), "title", F.lit(" &amp; services\t")).alias("title"), "agency", "category", closing.alias("closing_text"), value.alias("value_text"), status.alias("status_text"))
+    return o.select("id", "portal_id", "external_id", F.concat(F.lit("  "), "title", F.lit(" &amp; services\t")).alias("title"), "agency", "category", closing.alias("closing_text"), value.alias("value_text"), status.alias("status_text"), *keep)
 
 
 def snapshot(spark: SparkSession, sf_dir: str, later: bool) -> DataFrame:
